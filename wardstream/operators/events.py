@@ -46,7 +46,9 @@ def canonicalize(df: DataFrame, ipv6: bool = True) -> DataFrame:
     first = F.transform(F.array(*[F.lit(f) for f in fields]), lambda f: F.try_element_at(F.filter("_known", lambda e: e["f"] == f), F.lit(1))["v"])
     df = df.withColumn("_m", first)
     m = {f: F.col("_m")[i] for i, f in enumerate(fields)}
-    typed = {"source_ip": S.event_ip(m["source_ip"], ipv6), "dest_ip": S.event_ip(m["dest_ip"], ipv6), "port": S.safe_long(m["port"]).cast("int"), "dest_port": S.safe_long(m["dest_port"]).cast("int")}
+    df = df.withColumns({f"_{f}_text": m[f] for f in ("source_ip", "dest_ip")})
+    df = df.withColumns({f"_{f}": S.event_ip(F.col(f"_{f}_text"), ipv6) for f in ("source_ip", "dest_ip")})
+    typed = {"source_ip": F.col("_source_ip"), "dest_ip": F.col("_dest_ip"), "port": S.safe_long(m["port"]).cast("int"), "dest_port": S.safe_long(m["dest_port"]).cast("int")}
     invalid = [x for f, v in typed.items() for x in (F.lit(f"_invalid_{f}"), F.when(m[f].isNotNull() & (m[f] != "") & v.isNull(), m[f]))]
     rest = F.map_filter("flat", lambda k, v: S.lookup(S.field_key(k), ALIASES).isNull() & v.isNotNull() & (v != ""))
     attributes = F.map_concat(rest, F.map_filter(F.create_map(*invalid), lambda k, v: v.isNotNull()))
