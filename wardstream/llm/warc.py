@@ -163,7 +163,9 @@ class WarcReader(DataSourceReader):
     def refused(self, row: dict) -> bool:
         return any(row[c] not in v if how == "in" else not (row[c] or "").startswith(v) for c, how, v in self.tests)
 
-    def read(self, partition: ArchiveFile) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ArchiveFile | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an archive without files
+            return
         system, _ = opened(self.path)
         schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("file", pa.string()), ("offset", pa.int64())])
         rows, held = [], 0
