@@ -16,6 +16,11 @@ from . import vocab
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
 
 
+def let(c: Column, f) -> Column:
+    """f(c) with c evaluated once, however often f names it: keeps nested expressions from growing by copies."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def lookup(key: Column, table: dict[str, str]) -> Column:
     """A literal map lookup; null for unknown keys."""
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
@@ -36,24 +41,36 @@ def rounded(c: Column, digits: int = 4) -> Column:
     return F.floor(c * F.lit(10.0**digits) + 0.5) / F.lit(10.0**digits)
 
 
-def _ipv6_text(c: Column) -> Column:
-    """Canonical IPv6 text (groups without leading zeros, the longest run of zero groups as ::), else null."""
-    group = "[0-9a-fA-F]{1,4}"
-    scope, body = F.regexp_extract(c, "(%[^%]+)$", 1), F.regexp_replace(c, "%[^%]+$", "")
-    tail = F.regexp_extract(body, r"(?:^|:)(\d{1,3}(?:\.\d{1,3}){3})$", 1)
-    number = F.transform(F.split(tail, "[.]"), lambda x: x.try_cast("int"))
-    pair = F.concat_ws(":", *[F.hex(F.get(number, F.lit(i)) * 256 + F.get(number, F.lit(i + 1))) for i in (0, 2)])
-    mixed = F.when(_ipv4(tail, False).isNotNull(), F.concat(F.substring(body, F.lit(1), F.length(body) - F.length(tail)), pair))
-    body = F.when(tail == "", body).otherwise(mixed)
-    parts = lambda side: F.filter(F.split(side, ":"), lambda x: x != "")
-    left, right = parts(F.split_part(body, F.lit("::"), F.lit(1))), parts(F.split_part(body, F.lit("::"), F.lit(2)))
-    short, n = body.contains("::"), F.size(left) + F.size(right)
-    good = body.rlike(f"^(?:{group}(?::{group})*)?(?:::(?:{group}(?::{group})*)?)?$") & F.when(short, n <= 7).otherwise(n == 8)
-    full = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - n, F.lit(0))), right)
-    text = F.array_join(F.transform(full, lambda x: F.lower(F.regexp_replace(x, "^0+(?=.)", ""))), ":")
+_GROUP = "[0-9a-fA-F]{1,4}"
+_IPV6 = f"^(?:{_GROUP}(?::{_GROUP})*)?(?:::(?:{_GROUP}(?::{_GROUP})*)?)?$"
+
+
+def _hex_tail(body: Column) -> Column:
+    """An IPv4 address at the end of IPv6 text as two groups; null if it is none."""
+    number = F.transform(F.split(F.regexp_extract(body, r"([\d.]+)$", 1), "[.]"), lambda x: x.try_cast("int"))
+    pair = let(number, lambda n: F.concat_ws(":", *[F.hex(F.get(n, F.lit(i)) * 256 + F.get(n, F.lit(i + 1))) for i in (0, 2)]))
+    good = _ipv4(F.regexp_extract(body, r":([\d.]+)$", 1), False).isNotNull()
+    return F.when(body.contains("."), F.when(good, F.concat(F.regexp_extract(body, r"^(.*:)[\d.]+$", 1), pair))).otherwise(body)
+
+
+def _packed(text: Column) -> Column:
+    """The longest run of zero groups (two at least, the first of equals) as ::."""
     runs = [f"^(.*?)(?:^|:)0(?::0){{{k}}}(?::|$)(.*)$" for k in range(7, 0, -1)]
-    packed = F.coalesce(*[F.when(text.rlike(r), F.regexp_replace(text, r, "$1::$2")) for r in runs], text)
-    return F.when(good, F.concat(packed, scope))
+    return F.coalesce(*[F.when(text.rlike(r), F.regexp_replace(text, r, "$1::$2")) for r in runs], text)
+
+
+def _groups(body: Column) -> Column:
+    """Text of all eight groups without leading zeros, or null."""
+    parts = lambda side: F.filter(F.split(F.split_part(body, F.lit("::"), F.lit(side)), ":"), lambda x: x != "")
+    whole = lambda p: let(F.size(p["l"]) + F.size(p["r"]), lambda n: F.when(F.when(body.contains("::"), n <= 7).otherwise(n == 8), F.concat(p["l"], F.array_repeat(F.lit("0"), 8 - n), p["r"])))
+    full = let(F.struct(parts(1).alias("l"), parts(2).alias("r")), whole)
+    return F.when(body.rlike(_IPV6), F.array_join(F.transform(full, lambda x: F.lower(F.regexp_replace(x, "^0+(?=.)", ""))), ":"))
+
+
+def _ipv6_text(c: Column) -> Column:
+    """Canonical IPv6 text, a scope (%name) kept; else null."""
+    body = _hex_tail(F.regexp_replace(c, "%[^%]+$", ""))
+    return F.concat(let(let(body, _groups), _packed), F.regexp_extract(c, "(%[^%]+)$", 1))
 
 
 def _ipv4(c: Column, repair: bool) -> Column:
@@ -63,18 +80,18 @@ def _ipv4(c: Column, repair: bool) -> Column:
     return F.when(good, F.array_join(F.transform(number, lambda x: x.cast("string")), "."))
 
 
+def _either(s: Column, repair: bool, ipv6: bool) -> Column:
+    return F.when(s.contains(":"), _ipv6_text(s)).otherwise(_ipv4(s, repair)) if ipv6 else _ipv4(s, repair)
+
+
 def record_ip(c: Column, ipv6: bool = True) -> Column:
     """IPv4 with leading zeros repaired, canonical IPv6, else null. ``ipv6=False`` makes a smaller plan for IPv4 data."""
-    s = strip(c)
-    v4 = F.when(~s.isin(vocab.MISSING_WORDS), _ipv4(s, True))
-    return F.coalesce(v4, _ipv6_text(F.when(s.contains(":"), s))) if ipv6 else v4
+    return let(strip(c), lambda s: F.when(~s.isin(vocab.MISSING_WORDS), _either(s, True, ipv6)))
 
 
 def event_ip(c: Column, ipv6: bool = True) -> Column:
     """Strict IPv4 or IPv6 in canonical text, else null."""
-    s = strip(c)
-    v4 = _ipv4(s, False)
-    return F.coalesce(v4, _ipv6_text(F.when(s.contains(":"), s))) if ipv6 else v4
+    return let(strip(c), lambda s: _either(s, False, ipv6))
 
 
 def record_port(c: Column) -> Column:
@@ -132,13 +149,16 @@ def _parsed(s: Column, formats: list[tuple[str, str]]) -> Column:
 
 def record_timestamp(c: Column) -> Column:
     """ISO text as it is; listed formats (UTC) and epochs as ISO text with +00:00; else null."""
-    s = strip(c)
-    iso = s.contains("T") & (s.endswith("Z") | F.substring(s, 11, 1000).contains("+"))
-    number = s.try_cast("double")
-    epoch = F.when(number > 1e12, number / 1000).otherwise(number)
-    at = F.when((epoch > 0) & (epoch < 2e10), F.timestamp_micros(F.floor(epoch * 1e6 + 0.5).cast("bigint")))
-    known = F.when(iso, s).otherwise(_iso_micros(F.coalesce(_parsed(s, RECORD_FORMATS), at)))
-    return F.when(~s.isin("", *vocab.MISSING_WORDS), known)
+
+    def epoch(number: Column) -> Column:
+        return let(F.when(number > 1e12, number / 1000).otherwise(number), lambda e: F.when((e > 0) & (e < 2e10), F.timestamp_micros(F.floor(e * 1e6 + 0.5).cast("bigint"))))
+
+    def read(s: Column) -> Column:
+        iso = s.contains("T") & (s.endswith("Z") | F.substring(s, 11, 1000).contains("+"))
+        at = F.coalesce(_parsed(s, RECORD_FORMATS), let(s.try_cast("double"), epoch))
+        return F.when(~s.isin("", *vocab.MISSING_WORDS), F.when(iso, s).otherwise(let(at, _iso_micros)))
+
+    return let(strip(c), read)
 
 
 #: The same for events.
@@ -154,14 +174,16 @@ _ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z
 
 def event_timestamp(c: Column) -> Column:
     """Epochs (digits alone always), ISO with offsets, listed formats; text ...SSZ in UTC, fractions dropped."""
-    s = strip(c)
-    number = F.when(s.rlike(r"^-*\d*\.?\d+$|^-*\d+\.$"), s.try_cast("double"))
-    epoch = F.when(number >= 1e11, number / 1000).otherwise(number)
-    at = F.when(number.isNotNull(), F.timestamp_seconds(F.floor(epoch).cast("bigint")))
-    iso = F.when(s.rlike(_ISO_SHAPE), F.try_to_timestamp(s))
-    year = F.when(s.rlike(r"^[A-Za-z]{3}\s+\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"), F.regexp_replace(s, r"\s+", " "))
-    syslog = F.try_to_timestamp(F.concat(F.lit("1900 "), year), F.lit("yyyy MMM d H:m:s"))
-    return F.date_format(F.coalesce(at, iso, _parsed(s, EVENT_FORMATS), syslog), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+    def read(s: Column) -> Column:
+        number = F.when(s.rlike(r"^-*\d*\.?\d+$|^-*\d+\.$"), s.try_cast("double"))
+        at = let(number, lambda n: F.timestamp_seconds(F.floor(F.when(n >= 1e11, n / 1000).otherwise(n)).cast("bigint")))
+        iso = F.when(s.rlike(_ISO_SHAPE), F.try_to_timestamp(s))
+        year = F.when(s.rlike(r"^[A-Za-z]{3}\s+\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"), F.regexp_replace(s, r"\s+", " "))
+        syslog = F.try_to_timestamp(F.concat(F.lit("1900 "), year), F.lit("yyyy MMM d H:m:s"))
+        return F.date_format(F.coalesce(at, iso, _parsed(s, EVENT_FORMATS), syslog), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+    return let(strip(c), read)
 
 
 def event_severity(c: Column) -> Column:

@@ -17,19 +17,24 @@ ALIASES = {spelling: field for field, words in vocab.FIELD_ALIASES.items() for s
 def event_type(mapped: dict[str, Column]) -> Column:
     """Category of an event: its own hint if known, else what its fields and words suggest."""
     some = lambda *names: reduce(lambda a, b: a | b, [F.coalesce(mapped[n] != "", F.lit(False)) for n in names])
-    joined = F.lower(F.concat_ws(" ", *mapped.values()))
-    says = lambda words: reduce(lambda a, b: a | b, [joined.contains(w) for w in words])
     hint = F.lower(mapped["_event_type"])
+
+    def by_words(joined: Column) -> Column:
+        says = lambda words: reduce(lambda a, b: a | b, [joined.contains(w) for w in words])
+        return (
+            F.when(says(vocab.AUTH_TOKENS), "authentication")
+            .when(says(vocab.REGISTRY_TOKENS), "registry_modification")
+            .when(mapped["file_path"].isNotNull() | says(vocab.FILE_TOKENS), "file_modification")
+            .when(says(vocab.WEB_TOKENS), "web_request")
+            .otherwise("generic")
+        )
+
     return (
         F.when(hint.isin(vocab.EVENT_TYPES), hint)
         .when(some("process_name", "command_line"), "process_creation")
         .when(some("source_ip", "dest_ip"), "network_connection")
         .when(mapped["domain"].isNotNull(), "dns_query")
-        .when(says(vocab.AUTH_TOKENS), "authentication")
-        .when(says(vocab.REGISTRY_TOKENS), "registry_modification")
-        .when(mapped["file_path"].isNotNull() | says(vocab.FILE_TOKENS), "file_modification")
-        .when(says(vocab.WEB_TOKENS), "web_request")
-        .otherwise("generic")
+        .otherwise(S.let(F.lower(F.concat_ws(" ", *mapped.values())), by_words))
     )
 
 
