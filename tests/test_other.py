@@ -73,8 +73,8 @@ def test_generate_keeps_copies_in_training(spark):
 
     from wardstream.operators import records
 
-    done = records.run_pipeline(flows(spark, 25), records.label_map(spark))
-    out = training.generate(done, "sys", "oversample", balance_train_only=True)
+    done = records.run_pipeline(flows(spark, 25), records.label_map(spark)).cache()
+    out = training.generate(done, "sys", "oversample", balance_train_only=True).cache()
     ids = {s: {r.record_id for r in out.filter(f"split = '{s}'").collect()} for s in ("train", "validation", "test")}
     assert not ids["train"] & (ids["validation"] | ids["test"])
     m = out.first().messages

@@ -52,7 +52,7 @@ def flows(spark, n=25):
 def test_pipeline_and_report(spark):
     d = flows(spark, 20)
     again = d.limit(5).withColumn("record_id", F.concat(F.lit("x"), "record_id")).withColumn("record_index", F.col("record_index") + 100)
-    out = records.run_pipeline(d.unionByName(again), records.label_map(spark))
+    out = records.run_pipeline(d.unionByName(again), records.label_map(spark)).cache()
     r = records.pipeline_report(out).first()
     assert (r.input_records, r.output_records, r.duplicates, r.rejected, r.harmonized) == (25, 20, 5, 0, 20)
     dup = {x.record_id: x.duplicate_of for x in out.filter("status = 'duplicate'").collect()}
@@ -106,10 +106,11 @@ EVENTS = [
 
 def test_event_outcomes(spark):
     d = spark.createDataFrame([(f"e-{i}", "f", "jsonl", i, x) for i, x in enumerate(EVENTS)], "event_id string, source_name string, source_format string, record_index bigint, raw string")
-    out = {r.record_index: r for r in events.process(d).collect()}
+    done = events.process(d).cache()
+    out = {r.record_index: r for r in done.collect()}
     assert [out[i].status for i in range(5)] == ["trusted", "duplicate", "trusted", "rejected", "rejected"]
     assert out[1].duplicate_of == "e-0" and out[0].event_type == "network_connection" and out[0].hostname == "h1"
-    alert = events.alert_input(events.process(d)).filter("event_id = 'e-2'").first()
+    alert = events.alert_input(done).filter("event_id = 'e-2'").first()
     assert alert.evidence[0].id == "EVT-000003" and alert.context.username == "v"
 
 

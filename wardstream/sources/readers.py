@@ -47,8 +47,8 @@ def detect(head: Column, extension: Column) -> Column:
         F.when(magic.isNotNull(), magic)
         .when(text == "", None)
         .when(text.startswith("<") & ~text.rlike(r"^<\d+>"), "xml")
+        .when(braced & F.try_parse_json(line).isNotNull() & text.rlike(r"^[^\r\n]*[\r\n]+\s*\S"), "jsonl")
         .when(braced & F.try_parse_json(text).isNotNull(), "json")
-        .when(braced & F.try_parse_json(line).isNotNull(), "jsonl")
         .when(delimited, "csv")
         .otherwise("text_log")
     )
