@@ -32,7 +32,7 @@ from ._common import materialise, small_or_plain
 
 WIDTH = 20
 #: Rounds of pair naming after the naming of runs.
-ROUNDS = 4
+ROUNDS = 3
 #: Words parsed at once; a longer document is parsed in slices that overlap by width - 1 words.
 SLICE = 1 << 17
 #: Places of an anchor beyond which its windows are dealt out one by one.
@@ -102,8 +102,27 @@ def window_names(sym: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+_BASE = int(_A)
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def span_names(sym: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hash of the words from lo to hi, both included."""
+    up_to = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sym) * _powers(_BASE, len(sym)), dtype=np.uint64)])
+    return pair_name((up_to[hi + 1] - up_to[lo]) * _powers(_INVERSE, len(sym))[lo], (hi - lo).astype(np.uint64))
+
+
 def anchors(sym: np.ndarray, fence: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Name and place (an identity of the occurrence) of the anchor of the window at each of the sorted starts."""
+    """Name and place (an identity of the occurrence) of the anchor of the window at each of the sorted starts.
+
+    The name stands for all words of the anchor's span, not the symbol's alone, so that few anchors recur by chance.
+    """
     name, place = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.int64)
     todo = np.arange(len(starts))
     for level, (names, lo, hi) in enumerate(parse(sym, fence)):
@@ -117,12 +136,12 @@ def anchors(sym: np.ndarray, fence: np.ndarray, starts: np.ndarray, width: int)
         if not len(mine):
             continue
         power = np.frexp((b - a).astype(np.float64))[1] - 1
-        best = np.arange(len(names))
+        best, span = np.arange(len(names)), span_names(sym, lo, hi)
         for k in range(int(power.max()) + 1):
             use = power == k
             x, y = best[a[use]], best[b[use] - (1 << k)]
             pick = np.where(names[x] <= names[y], x, y)
-            name[mine[use]], place[mine[use]] = names[pick], (level << 40) + pick
+            name[mine[use]], place[mine[use]] = span[pick], (level << 40) + pick
             x, y = best[: len(best) - (1 << k)], best[1 << k :]
             best = np.where(names[x] <= names[y], x, y)
     if len(todo):  # no symbol lies inside: the window is its own anchor
