@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vocab
+from .records import evaluated
 
 TEXT_FIELDS = ["hostname", "username", "domain", "process_name", "command_line", "file_path", "file_hash", "protocol", "status"]
 ALIASES = {spelling: field for field, words in vocab.FIELD_ALIASES.items() for spelling in words.split()}
@@ -116,7 +117,9 @@ def deduplicate(df: DataFrame) -> DataFrame:
 
 def process(df: DataFrame, ipv6: bool = True) -> DataFrame:
     """All outcomes of the raw rows; filter on ``status = 'trusted'`` for what goes on."""
-    return df.transform(lambda d: canonicalize(d, ipv6)).transform(normalize).transform(validate).transform(deduplicate)
+    for step in (lambda d: canonicalize(d, ipv6), normalize, validate):
+        df = df.transform(step).transform(evaluated)
+    return deduplicate(df)
 
 
 def alert_input(df: DataFrame) -> DataFrame:

@@ -33,6 +33,15 @@ def as_records(df: DataFrame) -> DataFrame:
     return df.select(*made, tags.alias("enrichment_tags"), *[c for c in df.columns if c not in RECORD and c not in lists and c != "enrichment_tags"])
 
 
+def evaluated(df: DataFrame) -> DataFrame:
+    """df with its columns computed once: later filters and projections are not merged into their expressions.
+
+    The optimizer would copy a long expression into every use of its column. A filter on a non-deterministic id, which
+    all rows pass, stops that without a shuffle or a materialisation. For batch frames only.
+    """
+    return df.withColumn("_once", F.monotonically_increasing_id()).filter("_once >= 0").drop("_once")
+
+
 def normalize(df: DataFrame, ipv6: bool = True) -> DataFrame:
     """Field functions, types, and an action ``field: change`` for every value that changed, in a fixed order."""
     steps = [
@@ -235,11 +244,11 @@ def run_pipeline(df: DataFrame, maps: DataFrame, near: bool = False, harmonize_f
     The default order enriches before it harmonizes, as the source semantics have it; ``harmonize_first`` lets the
     harmonized category drive the enrichment.
     """
-    out = as_records(df).transform(lambda d: normalize(d, ipv6)).transform(validate)
+    out = as_records(df).transform(lambda d: normalize(d, ipv6)).transform(evaluated).transform(validate).transform(evaluated)
     out = out.transform(lambda d: deduplicate(d, vocab.NEAR_FIELDS if near else vocab.EXACT_FIELDS))
     steps = [enrich, lambda d: harmonize(d, maps)]
     for step in reversed(steps) if harmonize_first else steps:
-        out = out.transform(step)
+        out = out.transform(evaluated).transform(step)
     return out
 
 
