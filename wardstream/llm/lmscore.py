@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_or_plain
+from ._common import drop_scratch, materialise, small_or_plain
 from .substring import mix
 
 VOCABULARY = 30_000
@@ -61,8 +61,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
-    """The most frequent words, ties by word."""
-    return [bytes(r["word"]) for r in word_counts(docs).orderBy(F.desc("n"), "word").limit(size).collect()]
+    """The most frequent words, ties by word.
+
+    A histogram of the counts' logarithms (at most 512 bins) first tells how rare the last word is; the words from its
+    bin on are then ranked in few tasks, so what reaches the driver does not grow with the corpus.
+    """
+    counted, path = materialise(word_counts(docs), "lm-words")
+    level = F.floor(F.log2("n") * 8)
+    bins = sorted(((r[0], r[1]) for r in counted.groupBy(level).count().collect()), reverse=True)
+    least, held = 0, 0
+    for least, n in bins:
+        held += n
+        if held >= size:
+            break
+    top = counted.filter(level >= least).coalesce(16).orderBy(F.desc("n"), "word").limit(size)
+    words = [bytes(r["word"]) for r in top.collect()]
+    drop_scratch(docs.sparkSession, path)
+    return words
 
 
 def pair_cells(ids: np.ndarray) -> np.ndarray:
