@@ -160,50 +160,47 @@ def test_mixing_large_rates_nulls_and_empty(spark):
 
 
 # 4 LM scoring
-def brute_lm(texts, targets, size):
+def brute_lm(texts, targets):
     split = [(t or "").encode().lower().split() for t in texts]
-    n = Counter(w for s in split for w in s)
-    vocabulary = sorted(n, key=lambda w: (-n[w], w))[:size]
-    ids = {w: i for i, w in enumerate(vocabulary)}
-    code = [[ids.get(w, len(vocabulary)) for w in s] for s in split]
     uni, pair, starts = [Counter(), Counter()], [Counter(), Counter()], [0, 0]
-    for i, c in enumerate(code):
+    for i, c in enumerate(split):
         k = int(i in targets)
         starts[k] += bool(c)
         uni[k].update(c)
-        pair[k].update(lmscore.pair_cells(np.array(c, np.int64)).tolist() if c else [])
+        pair[k].update(zip([None, *c], c))
     total = [sum(u.values()) for u in uni]
     scale = [total[1] / total[0], 1.0]
-    v = len(vocabulary) + 1
+    v = len(set(uni[0]) | set(uni[1]))
     out = []
-    for c in code:
+    for c in split:
         if not c:
             out.append(None)
             continue
         loss = [0.0, 0.0]
         for k in (0, 1):
-            for j, (w, cell) in enumerate(zip(c, lmscore.pair_cells(np.array(c, np.int64)).tolist())):
+            for before, w in zip([None, *c], c):
                 p = (uni[k][w] * scale[k] + 1) / (total[k] * scale[k] + v)
-                context = (uni[k][c[j - 1]] if j else starts[k]) * scale[k]
-                loss[k] -= np.log((min(pair[k][cell] * scale[k], context) + lmscore.PRIOR * p) / (context + lmscore.PRIOR))
+                context = (starts[k] if before is None else uni[k][before]) * scale[k]
+                loss[k] -= np.log((pair[k][before, w] * scale[k] + lmscore.PRIOR * p) / (context + lmscore.PRIOR))
         out.append((loss[1] - loss[0]) / len(c))
     return out
 
 
-def test_lm_scores(spark, texts):
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 2000, "bucket_words": 700}])
+def test_lm_scores(spark, texts, sizes):
     d, targets = docs(spark, texts), set(range(0, 30, 2))
     ids = spark.createDataFrame([(i,) for i in [*targets, 0, 0, None]], "doc_id bigint")
-    got = {r.doc_id: r.score for r in lmscore.score(d, lmscore.fit(d, ids, 100)).collect()}
-    for i, want in enumerate(brute_lm(texts, targets, 100)):
-        assert got[i] is None if want is None else abs(got[i] - want) < 1e-4
+    got = {r.doc_id: r.score for r in lmscore.score(d, ids, **sizes).collect()}
+    assert len(got) == len(texts)
+    for i, want in enumerate(brute_lm(texts, targets)):
+        assert got[i] is None if want is None else abs(got[i] - want) < 1e-9
     assert np.mean([got[i] for i in targets]) < np.mean([got[i] for i in range(1, 30, 2)])
 
 
 def test_lm_without_targets_or_rows(spark, texts):
     none = spark.createDataFrame([], "doc_id bigint")
-    d = docs(spark, texts)
-    assert lmscore.score(d, lmscore.fit(d, none, 50)).filter("score is null").count() == 3
-    assert lmscore.score(empty(spark), lmscore.fit(empty(spark), none, 50)).count() == 0
+    assert lmscore.score(docs(spark, texts), none).filter("score is null").count() == 3
+    assert lmscore.score(empty(spark), none).count() == 0
 
 
 # 5 WARC

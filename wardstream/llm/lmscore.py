@@ -1,171 +1,208 @@
 """Cross-entropy difference: target and background n-gram models over one vocabulary.
 
-Both models are interpolated bigrams with the same smoothing. The shared vocabulary is the ``vocabulary`` most frequent
-words of all documents, counted whole; every other word is one unknown word. Word pairs are counted in 2**PAIR_BITS
-cells by hash, which fixes the size of the models. All documents are counted: those of the target class in the target
-model, the others in the background model; the background's counts are scaled to the target's number of words, so that
-smoothing weighs the same in both (matched models). A document's score is the mean over its words of the target loss
-minus the background loss, in nats: lower is closer to the target.
+Both models are interpolated bigrams with the same smoothing. The shared vocabulary is every distinct word of all
+documents, and every word pair has a count of its own: what is gathered grows with the corpus and nothing is capped.
+All documents are counted: those of the target class in the target model, the others in the background model; the
+background's counts are scaled to the target's number of words, so that smoothing weighs the same in both (matched
+models). A document's score is the mean over its words of the target loss minus the background loss, in nats: lower is
+closer to the target.
+
+The models are never held in one place. Documents are packed into blocks of about ``BLOCK_BYTES``. Each block sends the
+words and pairs that occur in it, once each, as sorted 64-bit keys with their counts to buckets of the key space; a
+bucket (about ``BUCKET_WORDS`` words' worth) adds up the counts of all blocks and answers each with the totals, in the
+order it asked; the block then scores its documents. A word found everywhere costs a bucket one entry a block, so
+frequent words and large groups of copies make no hot task.
 
 Defined cases: null or wordless text has n_words 0 and null losses; with no target (or no background) documents that
 model is uniform over the vocabulary; repeated rows are counted as often as they stand; a document named several times
-among the targets counts once; an empty table gives an empty result; further columns are ignored.
+among the targets counts once; an empty table gives an empty result; further columns are ignored. Two n-grams share a
+count only where their 64-bit keys collide (for 10^11 n-grams about 300 pairs of them).
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_scratch, materialise, small_or_plain
+from ._common import materialise, small_or_plain
 from .substring import mix
 
-VOCABULARY = 30_000
-PAIR_BITS = 18
 #: Weight of the unigram estimate in a bigram estimate, in words.
 PRIOR = 20.0
-#: Distinct words a task holds before it hands its counts on.
-HELD_WORDS = 300_000
+#: Text of one block (a longer document is a block of its own).
+BLOCK_BYTES = 8 << 20
+#: Words of the corpus for each bucket of the key space; there are as many buckets as the corpus needs.
+BUCKET_WORDS = 2_000_000
+#: Stands before the first word of a document.
+START = np.uint64(0x5354415254)
+
+BLOCKS = "block bigint, doc_id array<{}>, target array<boolean>, length array<int>, texts binary, words0 bigint, words1 bigint, docs0 bigint, docs1 bigint"
+COUNTS = "bucket int, block bigint, n_keys int, keys binary, counts binary"
 
 
 def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all documents, summed in the tasks first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-            held.clear()
-            return out
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                held.update(tokens(t))
-                if len(held) >= HELD_WORDS:
-                    yield flush()
-        yield flush()
-
-    counted = docs.select(F.encode("text", "UTF-8").alias("text")).mapInArrow(run, "word binary, n bigint")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
-    """The most frequent words, ties by word.
+def pack(column: np.ndarray) -> bytes:
+    """Integers as compressed byte planes: small numbers and small differences cost little."""
+    import zstandard
 
-    A histogram of the counts' logarithms (at most 512 bins) first tells how rare the last word is; the words from its
-    bin on are then ranked in few tasks, so what reaches the driver does not grow with the corpus.
-    """
-    counted, path = materialise(word_counts(docs), "lm-words")
-    level = F.floor(F.log2("n") * 8)
-    bins = sorted(((r[0], r[1]) for r in counted.groupBy(level).count().collect()), reverse=True)
-    least, held = 0, 0
-    for least, n in bins:
-        held += n
-        if held >= size:
-            break
-    top = counted.filter(level >= least).coalesce(16).orderBy(F.desc("n"), "word").limit(size)
-    words = [bytes(r["word"]) for r in top.collect()]
-    drop_scratch(docs.sparkSession, path)
-    return words
+    return zstandard.compress(np.ascontiguousarray(column.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 3)
 
 
-def pair_cells(ids: np.ndarray) -> np.ndarray:
-    """Cell of each word with the word before it; the first word follows a start mark."""
-    before = np.r_[np.uint64(0xFFFFFFFF), ids[:-1].astype(np.uint64)]
-    return (mix((before << np.uint64(32)) | ids.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+def unpack(data: bytes, n: int) -> np.ndarray:
+    import zstandard
 
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, n).T).view("<u8").ravel()
 
-_WORDS: dict[str, dict[bytes, int]] = {}
 
+def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """Documents (doc_id, text as bytes, target) packed into rows of about block_bytes, with their numbers of words."""
 
-def _ids(words: list[bytes], packed: dict) -> np.ndarray:
-    if packed["id"] not in _WORDS:
-        _WORDS.clear()
-        _WORDS[packed["id"]] = {w: i for i, w in enumerate(packed["words"])}
-    get, unknown = _WORDS[packed["id"]].get, len(packed["words"])
-    return np.fromiter((get(w, unknown) for w in words), np.int64, len(words))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
+        held, size, made = [], 0, 0
+        first = TaskContext.get().partitionId() << 32
 
-def counts(docs: DataFrame, packed: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Unigram (2, vocabulary + 1) and pair (2, cells) counts of background (0) and target (1) documents."""
-    n_words, cells = len(packed["words"]) + 1, 1 << PAIR_BITS
-    sent = docs.sparkSession.sparkContext.broadcast(packed)
+        def flush() -> pa.RecordBatch:
+            ids, texts, target = zip(*held)
+            words, full = [0, 0], [0, 0]
+            for t, k in zip(texts, target):
+                n = len((t or b"").split())
+                words[k] += n
+                full[k] += n > 0
+            row = [first + made, list(ids), list(target), [len(t or b"") for t in texts], zstandard.compress(b"".join(t or b"" for t in texts), 3), *words, *full]
+            types = [pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), *[pa.int64()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, n_words + cells), np.int64)
         for b in batches:
-            for text, target in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if words := tokens(text):
-                    ids = _ids(words, sent.value)
-                    np.add.at(table[int(target)], np.concatenate([ids, n_words + pair_cells(ids)]), 1)
-        kind, cell = np.nonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(table[kind, cell])], ["kind", "cell", "n"])
-
-    rows = docs.select(F.encode("text", "UTF-8").alias("text"), "__target").mapInArrow(run, "kind int, cell int, n bigint")
-    out = np.zeros((2, n_words + cells), np.float64)
-    got = rows.groupBy("kind", "cell").agg(F.sum("n").alias("n")).toPandas()  # a row a cell at most
-    out[got["kind"], got["cell"]] = got["n"]
-    return out[:, :n_words], out[:, n_words:]
-
-
-def losses(ids: np.ndarray, model: dict) -> np.ndarray:
-    """Loss (nats) of each word under background (row 0) and target (row 1)."""
-    before = np.r_[-1, ids[:-1]]
-    cell, out = pair_cells(ids), np.empty((2, len(ids)))
-    for m in (0, 1):
-        uni = model["uni"][m]
-        context = np.where(before >= 0, model["word_n"][m][before], model["docs_n"][m])
-        out[m] = -np.log((np.minimum(model["pair_n"][m][cell], context) + PRIOR * uni[ids]) / (context + PRIOR))
-    return out
-
-
-def fit(docs: DataFrame, targets: DataFrame, size: int = VOCABULARY) -> dict:
-    """The matched models; targets has the doc_id of the target documents."""
-    named = targets.select(F.col("doc_id").alias("__id")).filter("__id is not null").distinct()
-    flag = small_or_plain(named, named.count())
-    rows = docs.select("doc_id", "text").join(flag, F.col("doc_id") == F.col("__id"), "left").select("text", F.col("__id").isNotNull().alias("__target"))
-    packed = {"id": uuid.uuid4().hex, "words": vocabulary(docs, size)}
-    uni, pair = counts(rows, packed)
-    per_kind = rows.filter(F.length(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))) > 0).groupBy("__target").count().collect()
-    starts = {bool(r[0]): float(r[1]) for r in per_kind}
-    total = uni.sum(axis=1)
-    scale = np.array([total[1] / total[0] if total[0] and total[1] else 1.0, 1.0])
-    uni, pair = uni * scale[:, None], pair * scale[:, None]
-    share = (uni + 1.0) / (uni.sum(axis=1, keepdims=True) + uni.shape[1])
-    return packed | {"uni": share, "word_n": uni, "pair_n": pair.astype(np.float32), "docs_n": [starts.get(False, 0.0) * scale[0], starts.get(True, 0.0)]}
-
-
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, n_words, target_loss, background_loss, score of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by VOCABULARY and PAIR_BITS
+            id_type = b.column(0).type
+            for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if held and size + len(row[1] or b"") > block_bytes:
+                    yield flush()
+                    held, size, made = [], 0, made + 1
+                held.append(row)
+                size += len(row[1] or b"")
+        if held:
+            yield flush()
+
+    names = [c.split()[0] for c in BLOCKS.split(", ")]
+    return docs.mapInArrow(run, BLOCKS.format(docs.schema["doc_id"].dataType.simpleString()))
+
+
+def block_keys(length: list[int], texts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each document of a block, and for each word its key (even) and that of its pair with the one before (odd)."""
+    import xxhash
+    import zstandard
+
+    raw, at, known = zstandard.decompress(texts), 0, {}
+    n, parts = np.zeros(len(length), np.int64), [np.zeros(0, np.uint64)]
+    for i, size in enumerate(length):
+        words = tokens(raw[at : at + size])
+        at += size
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh3_64_intdigest(w)
+        n[i] = len(words)
+        parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+    word = np.concatenate(parts) & ~np.uint64(1)
+    before = np.r_[START, word[:-1]][: len(word)]
+    before[(np.cumsum(n) - n)[n > 0]] = START
+    return n, word, mix(mix(before) + word) | np.uint64(1)
+
+
+def requests(packed: DataFrame, n_buckets: int) -> DataFrame:
+    """For each block and bucket: its keys, sorted, as differences, and the counts under background and target."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, target, background = [], [], []
-            for text in b.column(1).to_pylist():
-                words = tokens(text)
-                n.append(len(words))
-                loss = losses(_ids(words, sent.value), sent.value).mean(axis=1) if words else (None, None)
-                background.append(loss[0])
-                target.append(loss[1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(target, pa.float64()), pa.array(background, pa.float64())], ["doc_id", "n_words", "target_loss", "background_loss"])
-
-    made = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words bigint, target_loss double, background_loss double"
-    out = docs.select("doc_id", F.encode("text", "UTF-8").alias("text")).mapInArrow(run, made)
+            for r in b.to_pylist():
+                n, word, pair = block_keys(r["length"], r["texts"])
+                keys, place = np.unique(np.r_[word, pair], return_inverse=True)
+                kind = np.tile(np.repeat(np.array(r["target"], bool), n), 2)
+                counts = [np.bincount(place[kind == k], minlength=len(keys)) for k in (False, True)]
+                bucket = ((keys >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)  # rises with the key
+                cuts = np.flatnonzero(np.diff(bucket)) + 1
+                for lo, hi in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(keys)].tolist()):
+                    if hi > lo:
+                        row = [int(bucket[lo]), r["block"], hi - lo, pack(np.diff(keys[lo:hi], prepend=np.uint64(0))), pack(np.r_[counts[0][lo:hi], counts[1][lo:hi]])]
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names)
+
+    names = [c.split()[0] for c in COUNTS.split(", ")]
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    return packed.select("block", "target", "length", "texts").mapInArrow(run, COUNTS)
+
+
+def answers(asked: DataFrame) -> DataFrame:
+    """For each request the totals over all blocks, and (once a bucket) the number of distinct words in the bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        size = table["n_keys"].to_pylist()
+        keys, place = np.unique(np.concatenate([np.cumsum(unpack(k, n), dtype=np.uint64) for k, n in zip(table["keys"].to_pylist(), size)]), return_inverse=True)
+        total, at = np.zeros((2, len(keys)), np.int64), 0
+        for c, n in zip(table["counts"].to_pylist(), size):
+            total[:, place[at : at + n]] += unpack(c, 2 * n).astype(np.int64).reshape(2, n)  # a request names a key once
+            at += n
+        ends = np.cumsum(size).tolist()
+        found = [pack(total[:, place[e - n : e]].ravel()) for e, n in zip(ends, size)]
+        words = [int((keys & np.uint64(1) == 0).sum())] + [0] * (len(size) - 1)
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "n_keys": table["n_keys"], "totals": pa.array(found, pa.binary()), "n_words": pa.array(words, pa.int64())})
+
+    return asked.groupBy("bucket").applyInArrow(run, "block bigint, bucket int, n_keys int, totals binary, n_words bigint")
+
+
+def scored(packed: DataFrame, totals: DataFrame, words: tuple[int, int], starts: tuple[int, int], vocabulary: int, id_type: str) -> DataFrame:
+    """Scores of the documents of each block by the totals sent back to it."""
+    scale = (words[1] / words[0] if words[0] and words[1] else 1.0, 1.0)
+
+    def run(block: pa.Table, back: pa.Table) -> pa.Table:
+        r = block.to_pylist()[0]
+        n, word, pair = block_keys(r["length"], r["texts"])
+        keys = np.unique(np.r_[word, pair])
+        parts = [unpack(t, 2 * m).reshape(2, m) for _, t, m in sorted(zip(back["bucket"].to_pylist(), back["totals"].to_pylist(), back["n_keys"].to_pylist()))]
+        total = np.concatenate([np.zeros((2, 0)), *parts], axis=1)  # in the order of keys
+        at_word, at_pair = np.searchsorted(keys, word), np.searchsorted(keys, pair)
+        doc = np.repeat(np.arange(len(n)), n)
+        opens = (np.cumsum(n) - n)[n > 0]
+        loss = []
+        for m in (0, 1):
+            count = total[m] * scale[m]
+            uni = (count[at_word] + 1.0) / (words[m] * scale[m] + vocabulary)
+            context = np.r_[0.0, count[at_word][:-1]][: len(word)]
+            context[opens] = starts[m] * scale[m]
+            each = -np.log((count[at_pair] + PRIOR * uni) / (context + PRIOR))
+            loss.append(np.bincount(doc, each, len(n)) / np.maximum(n, 1))
+        none = n == 0
+        return pa.table({
+            "doc_id": block["doc_id"].combine_chunks().flatten(), "n_words": pa.array(n, pa.int64()),
+            "target_loss": pa.array(loss[1], pa.float64(), mask=none), "background_loss": pa.array(loss[0], pa.float64(), mask=none),
+        })
+
+    asking = packed.select("block", "doc_id", "length", "texts").groupBy("block")
+    out = asking.cogroup(totals.select("block", "bucket", "n_keys", "totals").groupBy("block")).applyInArrow(run, f"doc_id {id_type}, n_words bigint, target_loss double, background_loss double")
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
+def score(docs: DataFrame, targets: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_words: int = BUCKET_WORDS) -> DataFrame:
+    """doc_id, n_words, target_loss, background_loss, score of every document; targets has the doc_id of the target documents."""
+    named = targets.select(F.col("doc_id").alias("__id")).filter("__id is not null").distinct()
+    flag = small_or_plain(named, named.count())
+    rows = docs.select("doc_id", F.encode("text", "UTF-8").alias("text")).join(flag, F.col("doc_id") == F.col("__id"), "left")
+    packed, _ = materialise(blocks(rows.select("doc_id", "text", F.col("__id").isNotNull().alias("target")), block_bytes), "lm-blocks")
+    names = ("words0", "words1", "docs0", "docs1")
+    words0, words1, docs0, docs1 = (int(v or 0) for v in packed.agg(*[F.sum(c) for c in names]).first())
+    asked = requests(packed, max(1, -(-(words0 + words1) // bucket_words)))
+    totals, _ = materialise(answers(asked), "lm-totals")
+    vocabulary = int(totals.agg(F.sum("n_words")).first()[0] or 0)
+    return scored(packed, totals, (words0, words1), (docs0, docs1), vocabulary, docs.schema["doc_id"].dataType.simpleString())
+
+
 def score_by_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all documents; the target is what the labels call good (quality 1)."""
-    return score(docs, fit(docs, labels.filter("quality = 1")))
+    return score(docs, labels.filter("quality = 1"))
