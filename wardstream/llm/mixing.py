@@ -39,9 +39,9 @@ def source_rates(docs: DataFrame, alpha: float = 0.5, weights: dict[str, float]
     else:
         table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
         per = per.withColumn("weight", F.coalesce(F.element_at(table, F.col("source")), F.lit(0.0)))
-    total = per.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))
-    rate = F.lit(float(epochs)) * F.col("all_size") * F.col("weight") / F.col("all_weight") / F.col("size")
-    return per.crossJoin(F.broadcast(total)).select("source", rate.alias("rate"))  # total is one row
+    total = lambda c: per.agg(F.sum(c)).scalar()
+    rate = F.lit(float(epochs)) * total("size") * F.col("weight") / total("weight") / F.col("size")
+    return per.select("source", rate.alias("rate"))
 
 
 def with_steps(rates: DataFrame) -> DataFrame:
