@@ -527,6 +527,13 @@ def bm25_term_stats(spark, sf):
     return index["terms"].filter("df >= 20").select("term", "df", S.rounded(F.col("idf")).alias("idf"))
 
 
+@query(f"WITH {TOK} SELECT term, df, {R4('idf')} AS idf FROM ter")
+def bm25_terms(spark, sf):
+    """Every term of the index, rare ones too."""
+    index = retrieval.bm25_index(table(spark, sf, "documents"), "doc_id", "text")
+    return index["terms"].select("term", "df", S.rounded(F.col("idf")).alias("idf"))
+
+
 @query(f"""WITH {TOK}, q AS (SELECT item_id AS query_id, text AS query FROM benchmark), qt AS (SELECT query_id, term, count(*) AS qn FROM (SELECT query_id, unnest({_TOK.replace('lower(text)', 'lower(query)')}) AS term FROM q) GROUP BY ALL),
   part AS (SELECT query_id, doc_id, qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / a)) AS p FROM qt JOIN ter USING (term) JOIN post USING (term), st
     UNION ALL SELECT query_id, doc_id, 2.0 FROM q JOIN tok ON contains(array_to_string(list_distinct_ordered, ' '), lower({_STRIP % 'query'}))),
