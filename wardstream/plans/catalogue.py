@@ -501,6 +501,13 @@ def prompt_rendering(spark, sf):
     return out.select("record_id", F.array_join(F.slice(F.split(p, "\n"), 1, 3), "\n").alias("head"), F.regexp_extract(p, r"\*\*\[EVT-\d+\]\*\*", 0).alias("evidence"))
 
 
+@query()
+def prompt_texts(spark, sf):
+    """The whole prompt of every record that the generator keeps; tests/test_prompts.py holds it against brute force."""
+    out = records.run_pipeline(flows(spark, sf), records.label_map(spark), harmonize_first=True)
+    return out.filter("classification IS NOT NULL AND classification <> 'review_required'").select("record_id", training.user_prompt().alias("prompt"))
+
+
 @query("SELECT doc_id, lang, CAST(rn AS INT) AS rn FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 10")
 def first_n_per_class(spark, sf):
     return records.first_per_group(table(spark, sf, "documents").select("doc_id", "lang"), "lang", ["doc_id"], 10)
