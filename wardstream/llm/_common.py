@@ -2,25 +2,59 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Used only where the session names no shared folder (tests, a laptop).
+#: Used only where a local session (tests, a laptop) names no shared folder.
 FALLBACK_SHARED = "/tmp/checkpoints"
 #: Rows that may be broadcast; beyond it the caller joins by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
+#: Scratch paths made inside each open scope, innermost last.
+_SCOPES: list[list[str]] = []
+#: Scratch roots that the JVM already removes when it ends.
+_ROOTS: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (conf or f"{FALLBACK_SHARED}/{spark.sparkContext.applicationId}").rstrip("/")
+    """The folder that driver and executors share, from spark.checkpoint.dir; only a local master may do without."""
+    context = spark.sparkContext
+    conf = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not conf and not re.match(r"local(\[|$)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (conf or f"{FALLBACK_SHARED}/{context.applicationId}").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/scratch/{tag}-{uuid.uuid4().hex}"
+    """A fresh path below the application's scratch folder, which goes when the application ends."""
+    root = f"{shared_dir(spark)}/scratch/{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(at)
+        system.deleteOnExit(at)
+        _ROOTS.add(root)
+    path = f"{root}/{tag}-{uuid.uuid4().hex}"
+    for scope in _SCOPES[-1:]:
+        scope.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch tables made inside when it ends: write the results within."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        drop_scratch(spark, *_SCOPES.pop())
 
 
 def materialise(df: DataFrame, tag: str, rows_per_file: int = 0) -> tuple[DataFrame, str]:
@@ -52,6 +86,18 @@ def keep_columns(df: DataFrame, made: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """df.mapInArrow for columns of any name (a dot in a name stops mapInArrow): inside, columns go by their place."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, [f"c{i}" for i in range(b.num_columns)])
+
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    out = plain.mapInArrow(placed, T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)]))
+    return out.toDF(*schema.names)
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> tuple[DataFrame, str | None]:
     """(node, root) for every node of the undirected edges (longs); root is the component's smallest node.
 

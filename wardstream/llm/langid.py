@@ -9,7 +9,8 @@ of the shortest code; ``score`` is its posterior under equal priors.
 Text is lower-cased and every run of ASCII non-letters becomes one space before coding; whole texts are coded.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; equal texts get equal results; a tie goes
-to the language first in order; rows with null lang teach nothing; with nothing to learn from all rows are ``und``; an
+to the language first in order; rows with null lang teach nothing; a language whose labelled texts are all empty or
+without letters is not learned, one with a single long text is; with nothing to learn from all rows are ``und``; an
 empty table gives an empty result; columns other than id, text and lang are ignored.
 """
 
@@ -19,16 +20,20 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import map_arrow
+
 ORDER = 3
-#: Bound of the training sample: documents and UTF-8 bytes (whole documents only) for each language.
+#: Bound of the training sample: documents and UTF-8 bytes for each language. Documents are taken whole in the order of
+#: a hash; the one that crosses the bound is the last, of which as many bytes as the bound has left are learned.
 SAMPLE_DOCS = 600
 SAMPLE_BYTES = 1_500_000
+#: Languages that may be learned; more are an error, as what the models hold must stay bounded.
+MAX_LANGUAGES = 400
 #: Bytes coded at once, which bounds a worker's memory.
 CHUNK = 1 << 19
 UNKNOWN = "und"
@@ -152,20 +157,25 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 
 def training_sample(docs: DataFrame, docs_each: int = SAMPLE_DOCS, bytes_each: int = SAMPLE_BYTES) -> DataFrame:
-    """(text, lang): whole documents with the lowest id hashes, within the bounds for each language."""
+    """(text, lang, room): documents with the lowest hashes of id and text, within the bounds for each language.
+
+    Of the last document of a language only ``room`` bytes are learned. A language of one document has a sample.
+    """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    rows = rows.select("text", "lang", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("b"))
-    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    rows = rows.select("text", "lang", F.xxhash64("doc_id", "text").alias("h"), F.octet_length("text").cast("long").alias("b"))
+    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(per) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not per:
-        return rows.select("text", "lang").limit(0)
+        return rows.select("text", "lang", "b").limit(0)
     # A hash threshold first leaves about twice the sample, so that no language meets whole in one task.
     share = F.create_map(*[F.lit(x) for k, n in per.items() for x in (k, min(1.0, (2 * docs_each + 50) / n))])
     unit = F.col("h").cast("double") / 2.0**64 + 0.5
     few = rows.filter(unit < F.element_at(share, F.col("lang")))
     order = Window.partitionBy("lang").orderBy("h", "text")
-    few = few.filter(F.col("b") <= bytes_each // 8)
     few = few.withColumn("k", F.row_number().over(order)).withColumn("upto", F.sum("b").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return few.filter((F.col("k") <= docs_each) & (F.col("upto") <= bytes_each)).select("text", "lang")
+    few = few.withColumn("room", F.least("b", F.lit(bytes_each) - F.col("upto") + F.col("b")))
+    return few.filter((F.col("k") <= docs_each) & ((F.col("room") > 0) | (F.col("b") == 0))).select("text", "lang", "room")
 
 
 def train(docs: DataFrame, docs_each: int = SAMPLE_DOCS, bytes_each: int = SAMPLE_BYTES) -> dict:
@@ -173,14 +183,17 @@ def train(docs: DataFrame, docs_each: int = SAMPLE_DOCS, bytes_each: int = SAMPL
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            table = pd.DataFrame({"text": b.column(0).to_pylist(), "lang": b.column(1).to_pylist()})
-            for lang, part in table.groupby("lang"):
-                pieces = [grams(np.frombuffer(_PAD + normalize(t), np.uint8)) for t in part["text"]]
-                keys, n = np.unique(np.concatenate(pieces), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+            texts: dict[str, list[bytes]] = {}
+            for text, lang, room in zip(*(c.to_pylist() for c in b.columns)):
+                texts.setdefault(lang, []).append(normalize(text.encode("utf-8", "replace")[:room].decode("utf-8", "ignore")))
+            for lang, part in texts.items():
+                keys, n = np.unique(np.concatenate([grams(np.frombuffer(_PAD + t, np.uint8)) for t in part]), return_counts=True)
+                made = [pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(made, ["lang", "gram", "n"])
 
     counted = training_sample(docs, docs_each, bytes_each).mapInArrow(count, "lang string, gram bigint, n bigint")
-    rows = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # at most bytes_each rows a language
+    # At most bytes_each rows a language and MAX_LANGUAGES languages.
+    rows = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows["lang"].unique())
     code = {x: i for i, x in enumerate(languages)}
     rows = rows.sort_values(["gram", "lang"])
@@ -229,7 +242,7 @@ def predict(docs: DataFrame, packed: dict, made: tuple[str, str, str] = ("lang_p
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], [*b.schema.names, *made])
 
     schema = T.StructType([*rows.schema.fields, *[T.StructField(m, k) for m, k in zip(made, (T.StringType(), T.DoubleType(), T.DoubleType()))]])
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def language_digest(docs: DataFrame) -> DataFrame:
