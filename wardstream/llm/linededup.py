@@ -1,13 +1,14 @@
 """Boilerplate lines by the spread of distinct sites, in DataFrame operations only.
 
 A line (trimmed, not blank) that stands in documents of ``min_sites`` or more distinct sources is boilerplate and goes
-from every document. Per line hash a HyperLogLog sketch of the sources is aggregated (sketches merge map-side). An
-estimate far below or above the threshold decides; lines near it get their exact distinct count. Lines are known by
-two 64-bit hashes.
+from every document. Per line hash a HyperLogLog sketch of the sources is aggregated straight from the lines (sketches
+merge map-side). An estimate far below or above the threshold decides; only lines near it get their exact distinct
+count. Lines are known by two 64-bit hashes.
 
 Defined cases: null text has no lines and stays null; a null source is a site of its own; blank lines are never
 boilerplate; repeated rows count their source once; an empty table gives an empty result; a line in every document is
-counted by partial aggregates, its rows joined by a shuffle that splits hot keys.
+counted by partial aggregates, its rows joined by a shuffle that splits hot keys; input columns named n_lines,
+n_removed or kept_text (in any case) give way to those made, and all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, materialise, small_or_plain
+from ._common import BROADCAST_ROWS, keep_columns, materialise, small_or_plain
 
 MIN_SITES = 5
 #: log2 of the sketch's buckets: a relative standard error near 5 %.
@@ -33,17 +34,19 @@ def _line_keys(docs: DataFrame) -> DataFrame:
     return lines.select("k.h1", "k.h2", "site")
 
 
+def line_spread(docs: DataFrame) -> DataFrame:
+    """(h1, h2, est): estimated number of distinct sites of every line."""
+    sketch = _line_keys(docs).groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG_BUCKETS)).alias("s"))
+    return sketch.select("h1", "h2", F.hll_sketch_estimate("s").alias("est"))
+
+
 def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(h1, h2) of the lines found on min_sites or more distinct sources."""
-    pairs, _ = materialise(_line_keys(docs).groupBy("h1", "h2", "site").agg(F.count("*").alias("n")), "line-sites")
-    # A line on one site only needs no sketch: most lines. What is left is merged by line.
-    spread = pairs.groupBy("h1", "h2").agg(F.min("site").alias("a"), F.max("site").alias("b")).filter("a <> b").select("h1", "h2")
-    several = pairs.join(spread, ["h1", "h2"], "left_semi")
-    sketch = several.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG_BUCKETS)).alias("s"))
-    sized, _ = materialise(sketch.select("h1", "h2", F.hll_sketch_estimate("s").alias("est")), "line-spread")
-    sure = sized.filter(F.col("est") > min_sites * BAND).select("h1", "h2")
-    near = sized.filter(F.col("est").between(min_sites / BAND, min_sites * BAND)).select("h1", "h2")
-    exact = pairs.join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count_distinct("site").alias("n"))
+    spread, _ = materialise(line_spread(docs).filter(F.col("est") >= min_sites / BAND), "line-spread")
+    sure = spread.filter(F.col("est") > min_sites * BAND).select("h1", "h2")
+    near = spread.filter(F.col("est") <= min_sites * BAND).select("h1", "h2")
+    near = small_or_plain(near, near.count(), BROADCAST_ROWS // 4)
+    exact = _line_keys(docs).join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count_distinct("site").alias("n"))
     return sure.union(exact.filter(F.col("n") >= min_sites).select("h1", "h2"))
 
 
@@ -51,22 +54,21 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
     """The documents with n_lines, n_removed and kept_text in place of boilerplate lines."""
     found, _ = materialise(boilerplate_lines(docs, min_sites), "boilerplate")
     found = small_or_plain(found, found.count(), BROADCAST_ROWS // 4)
+    kept = keep_columns(docs, ["n_lines", "n_removed", "kept_text", "__id", "__key", "__cut"])
     bare = F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(WHITE)))
-    held = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text"))
     keyed = F.transform(bare, lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2"), (x == "").alias("blank")))
-    lines = held.filter("text is not null").select("doc_id", "text_key", F.explode(keyed).alias("k"))
-    hits = lines.filter(~F.col("k.blank")).select("doc_id", "text_key", "k.i", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"))
+    lines = docs.filter("text is not null").select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__key"), F.explode(keyed).alias("k"))
+    hits = lines.filter(~F.col("k.blank")).select("__id", "__key", "k.i", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"))
     hits = hits.join(found, ["h1", "h2"], "left_semi")
-    cut = hits.groupBy("doc_id", "text_key").agg(F.collect_set("i").alias("cut"))
-    cut = cut.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "cut")
-    both = docs.join(cut, docs["doc_id"].eqNullSafe(cut["__id"]) & (F.xxhash64(docs["text"]) == cut["__key"]), "left")
+    cut = hits.groupBy("__id", "__key").agg(F.collect_set("i").alias("__cut"))
+    both = kept.join(cut, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
     none = F.array().cast("array<int>")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.coalesce("cut", none), i))
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.coalesce("__cut", none), i))
     return both.select(
-        *[docs[c] for c in docs.columns if c not in ("n_lines", "n_removed", "kept_text")],
+        *[F.col(f"`{c}`") for c in kept.columns],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_removed"),
-        F.array_join(kept, "\n").alias("kept_text"),
+        F.coalesce(F.size("__cut"), F.lit(0)).cast("long").alias("n_removed"),
+        F.array_join(left, "\n").alias("kept_text"),
     )
 
 
