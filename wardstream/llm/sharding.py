@@ -5,8 +5,9 @@ the multivariate hypergeometric law with the shards' exact sizes as column sums,
 of a uniform shuffle. Each partition then permutes its rows and deals them out by its row of the matrix; the rows are
 exchanged, and permuted again within their shard. Shard sizes differ by at most one (law ``rows``).
 
-A partition's permutation is a function of (seed, partition, row index), so a task that is run again after the loss
-of an executor deals out the same rows. No task holds a shard: a shard is ordered in blocks of random keys.
+A partition's permutation is a function of (seed, ordinal of the partition, row index), so a task that is run again after
+the loss of an executor deals out the same rows, and a rerun over the same files gives the same slots. No task holds a
+shard: a shard is ordered in blocks of random keys, bounded in rows and in bytes.
 
 Defined cases: null text counts no bytes; repeated rows are rows of their own; an empty table gives an empty result;
 with fewer rows than shards the last shards stay empty; input columns named like a made one give way to it.
@@ -23,12 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import keep_columns, materialise
+from ._common import keep_columns, map_arrow, materialise
 
 #: Rows of one partition of the matrix, which one task permutes.
 PARTITION_ROWS = 1_000_000
-#: Rows of a shard that are ordered together.
-BLOCK_ROWS = 65_536
+#: Rows of a shard, and bytes of its part of the scratch table (compressed), that are ordered together.
+BLOCK_ROWS, BLOCK_BYTES = 65_536, 32_000_000
 
 
 def draw_hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
@@ -85,14 +86,17 @@ def communication_matrix(sizes: list[int], shards: int, seed: int) -> np.ndarray
     return out
 
 
-def shard(df: DataFrame, shards: int = 16, seed: int = 11, block_rows: int = BLOCK_ROWS, partition_rows: int = PARTITION_ROWS) -> DataFrame:
+def shard(
+    df: DataFrame, shards: int = 16, seed: int = 11, block_rows: int = BLOCK_ROWS, partition_rows: int = PARTITION_ROWS, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """All rows and columns of df with ``shard`` (0 to shards-1) and ``slot`` (place in the shard, gapless from 0)."""
     spark = df.sparkSession
-    kept = keep_columns(df, ["shard", "slot", "__file", "__row", "__key", "__block"])
+    kept = keep_columns(df, ["shard", "slot", "__file", "__row", "__key", "__block", "__start"])
     table, _ = materialise(kept, "shard", partition_rows)
     rows = table.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("__file").count().collect()}  # one number per partition
-    names = sorted(sizes)
+    found = table.groupBy("_metadata.file_name").agg(F.count("*"), F.first("_metadata.file_size")).collect()  # two numbers per partition
+    sizes, n_bytes = {r[0]: r[1] for r in found}, sum(r[2] for r in found)
+    names = sorted(sizes)  # in the order of Spark's partitions
     matrix = communication_matrix([sizes[n] for n in names], shards, seed)
     plan = spark.sparkContext.broadcast({n: (p, matrix[p].astype(np.int64)) for p, n in enumerate(names)})
     at = len(kept.columns)
@@ -111,12 +115,14 @@ def shard(df: DataFrame, shards: int = 16, seed: int = 11, block_rows: int = BLO
                     name = f
                 mine = slice(None) if each is None else each == f
                 made[mine] = dest[index[mine]]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made)], [*b.schema.names, "shard"])
+            place = pa.array(np.full(b.num_rows, plan.value[distinct[0]][0], np.int64) if each is None else [plan.value[f][0] for f in each.tolist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], place, b.column(at + 1), pa.array(made)], [*b.schema.names, "shard"])
 
     def dealt(frame: DataFrame) -> DataFrame:
-        out = frame.mapInArrow(deal, T.StructType([*frame.schema.fields, T.StructField("shard", T.IntegerType())]))
+        ordinal = T.StructField("__file", T.LongType())
+        out = map_arrow(frame, deal, T.StructType([*frame.schema.fields[:at], ordinal, frame.schema.fields[at + 1], T.StructField("shard", T.IntegerType())]))
         key = F.xxhash64(F.lit(seed), "__file", "__row")
-        blocks = max(1, math.ceil(sum(sizes.values()) / shards / block_rows))
+        blocks = max(1, math.ceil(sum(sizes.values()) / shards / block_rows), math.ceil(n_bytes / shards / block_bytes))
         return out.withColumn("__key", key).withColumn("__block", F.expr(f"cast(floor(shiftrightunsigned(__key, 33) / 2147483648D * {blocks}) as int)"))
 
     def counted() -> DataFrame:
