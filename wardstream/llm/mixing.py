@@ -2,11 +2,12 @@
 
 A source's repetition rate is its target share of the total size over its size. Each document's number of copies is a
 Poisson draw with that mean: a uniform number seeded by a hash of the document inverts the distribution's steps. The
-copies are exploded and shuffled globally by a sort on a hashed key (a range partitioning, so no group meets in a task).
+copies are exploded and shuffled globally into the order of a hashed key: each partition takes an equal range of keys, so
+no group meets in a task.
 
 Defined cases: null source is a source of its own; null text has size 1 like empty text; rows alike in every hashed
 column (doc_id, text) draw the same count; an empty table gives an empty result; a source without a target weight gets
-share 0 and goes; input columns named like a made one give way to it.
+share 0 and goes, so without any weight above 0 the result is empty; input columns named like a made one give way to it.
 """
 
 from __future__ import annotations
@@ -37,10 +38,11 @@ def source_rates(docs: DataFrame, alpha: float = 0.5, weights: dict[str, float]
     if weights is None:
         per = per.withColumn("weight", F.pow("size", F.lit(float(alpha))))
     else:
-        table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
+        table = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))]) if weights else F.create_map().cast("map<string,double>")
         per = per.withColumn("weight", F.coalesce(F.element_at(table, F.col("source")), F.lit(0.0)))
     total = lambda c: per.agg(F.sum(c)).scalar()
-    rate = F.lit(float(epochs)) * total("size") * F.col("weight") / total("weight") / F.col("size")
+    share = F.coalesce(F.try_divide(F.col("weight"), total("weight")), F.lit(0.0))
+    rate = F.lit(float(epochs)) * total("size") * share / F.col("size")
     return per.select("source", rate.alias("rate"))
 
 
@@ -70,7 +72,11 @@ def mix(docs: DataFrame, alpha: float = 0.5, weights: dict[str, float] | None =
     rows = rows.withColumn("copies", copies).filter("copies > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     key = F.md5(F.concat_ws("|", "__tag", F.lit("place"), F.col("copy").cast("string")))
-    return rows.withColumn("shuffle_key", key).orderBy("shuffle_key").select(*[f"`{c}`" for c in kept.columns], "rate", "copies", "copy", "shuffle_key")
+    rows = rows.select(*[f"`{c}`" for c in kept.columns], "rate", "copies", "copy", key.alias("shuffle_key"))
+    # The keys are uniform, so equal ranges need no sampling pass, which would draw all counts a second time.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long") * n
+    return rows.repartitionById(n, F.shiftright(place, 32).cast("int")).sortWithinPartitions("shuffle_key")
 
 
 ORACLE = f"""
