@@ -1,39 +1,43 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 A test item is contained in a document when at least ``threshold`` of the item's distinct five-word shingles occur in
-it (lower-case words, blanks apart; an item of fewer words is one shingle). Items are partitioned by size, and each
-partition's MinHash sketch has the length its size needs: the item's floor((1 - threshold) n) + 1 least shingle
-hashes. A document that contains the item misses at most floor((1 - threshold) n) shingles, so it must hold one of the
-sketch's: the search over whole, long documents loses nothing, however small the item is beside the document. Each
-candidate is verified by the exact containment of word shingles.
+it (lower-case words, blanks apart; an item of fewer words is one shingle). Items are partitioned by size: an item of n
+shingles is in class floor(log2 n), and its MinHash sketch has the length its size needs, its floor((1 - threshold) n)
++ 1 least shingle hashes. A document that contains the item misses at most floor((1 - threshold) n) shingles, so it must
+hold one of the sketch's: the search over whole, long documents loses nothing, however small the item is beside the
+document. A class whose items all need more shingles than a document has words for is passed over.
 
-Items are a stated query set: they go to the executors in blocks of bounded size, each block against all documents.
+The documents are read once. A bit filter of bounded size over the items' shingles goes to the executors, and what a
+document shares with it is written to the shared folder as rows. Joins on the sketches' hashes give the candidates, and
+joins on the shingles themselves count exactly what a candidate holds of its item.
 
 Defined cases: null or wordless items match nothing and null texts contain nothing; repeated items and documents are
-matched each; a document with several items gives a row for each; empty tables give empty results; columns other than
-the ids and texts are ignored.
+matched each; a document with several items gives a row for each; ids keep their types and may be null; empty tables give
+empty results; columns other than the ids and texts are ignored (``decontaminate`` keeps them, whatever their names).
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ._common import materialise, small_or_plain
 from .substring import mix, pair_name, word_hashes
 
 WORDS = 5
 THRESHOLD = 0.8
-#: UTF-8 bytes of items sent to the executors at once.
-BLOCK_BYTES = 8_000_000
 #: Words hashed at once.
 SLICE = 1 << 17
-FILTER_BITS = 20
+#: The filter has 2**FILTER_BITS bits at most (16 MB).
+FILTER_BITS = 27
+#: Shingles of items that may be broadcast in a join.
+BROADCAST_SHINGLES = 400_000
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -48,111 +52,125 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-class Index:
-    """Sketches of a block of items, by shingle length."""
-
-    def __init__(self, items: list[tuple[int | None, bytes]], threshold: float, k: int):
-        self.items, self.threshold = [], threshold
-        sketch: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for item_id, text in items:
-            words = tokens(text)
-            if not words:
-                continue
-            width = min(k, len(words))
-            shingles = {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
-            hashes = np.unique(shingle_hashes(word_hashes(words), width))
-            size = int((1 - threshold) * len(shingles) + 1e-9) + 1  # one more than may be missing
-            for h in hashes[:size].tolist():
-                sketch[width][h].append(len(self.items))
-            self.items.append((item_id, width, shingles))
-        self.levels = []
-        for width, rows in sketch.items():
-            known = np.array(sorted(rows), np.uint64)
-            bits = np.zeros(1 << FILTER_BITS, bool)
-            bits[known >> np.uint64(64 - FILTER_BITS)] = True
-            self.levels.append((width, known, bits, rows))
-
-    def candidates(self, words: list[bytes], longest: int) -> set[int]:
-        out: set[int] = set()
-        for at in range(0, len(words), SLICE):
-            h = word_hashes(words[at : at + SLICE + longest - 1])
-            for width, known, bits, rows in self.levels:
-                if len(h) < width:
-                    continue
-                s = shingle_hashes(h, width)
-                s = s[bits[s >> np.uint64(64 - FILTER_BITS)]]
-                for x in np.unique(s[np.isin(s, known)]).tolist() if len(s) else ():
-                    out.update(rows[x])
-        return out
-
-    def matches(self, text: bytes | None, longest: int) -> list[tuple[int | None, int, int, int]]:
-        """(item_id, place of the item, its shingles, those found in the text) of every item contained."""
-        words, out, held = tokens(text), [], {}
-        for i in sorted(self.candidates(words, longest)):
-            item_id, width, shingles = self.items[i]
-            if width not in held:
-                held[width] = {tuple(words[j : j + width]) for j in range(len(words) - width + 1)}
-            found = len(shingles & held[width])
-            if found >= self.threshold * len(shingles) - 1e-9:
-                out.append((item_id, i, len(shingles), found))
-        return out
-
-
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int | None, bytes]]]:
-    """Items (id, UTF-8) in blocks of about BLOCK_BYTES; the driver holds one block at a time."""
-    block, size = [], 0
-    for r in items.select("item_id", F.encode("text", "UTF-8").alias("text")).filter("text is not null").toLocalIterator():
-        block.append((r["item_id"], bytes(r["text"])))
-        size += len(block[-1][1])
-        if size >= BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-def _search(docs: DataFrame, block: list[tuple[int | None, bytes]], threshold: float, k: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(block)  # at most about BLOCK_BYTES
+def sketched(items: DataFrame, threshold: float, k: int) -> DataFrame:
+    """One row for each item with words: i (its number), item_id, width, n_shingles, size_class, and its distinct shingles
+    in the order of their hashes (shingles.h, shingles.g), of which the first ``sketch`` are the MinHash sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(sent.value, threshold, k)
+        i = TaskContext.get().partitionId() << 33
         for b in batches:
-            rows = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in index.matches(t, k)]
-            cols = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[i], pa.int64()) for i in (0, 1, 3, 4)], ["doc_id", "item_id", "n_shingles", "n_shared"])
+            rows = []
+            for item_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = tokens(text)
+                if not words:
+                    continue
+                width = min(k, len(words))
+                h = shingle_hashes(word_hashes(words), width).view(np.int64).tolist()
+                found = {b" ".join(words[j : j + width]): x for j, x in enumerate(h)}
+                order = sorted((x & (2**64 - 1), g) for g, x in found.items())
+                n = len(order)
+                signed = [{"h": x - (x >> 63 << 64), "g": g} for x, g in order]
+                rows.append((i, item_id, width, n, n.bit_length() - 1, int((1 - threshold) * n + 1e-9) + 1, signed))
+                i += 1
+            cols = list(zip(*rows)) or [[]] * 7
+            kinds = [pa.int64(), b.column(0).type, pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.struct([("h", pa.int64()), ("g", pa.binary())]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["i", "item_id", "width", "n_shingles", "size_class", "sketch", "shingles"])
+
+    made = f"i bigint, item_id {items.schema['item_id'].dataType.simpleString()}, width int, n_shingles bigint, size_class int, sketch bigint, shingles array<struct<h: bigint, g: binary>>"
+    return items.select("item_id", F.encode("text", "UTF-8").alias("text")).mapInArrow(run, made)
+
+
+def bit_filter(shingles: DataFrame, n: int) -> np.ndarray:
+    """Bits of the leading bits of the hashes h, at least 16 for each hash while the bound of 2**FILTER_BITS allows."""
+    size = min(FILTER_BITS, max(16, n.bit_length() + 4))
+    place = F.shiftrightunsigned("h", 64 - size)
+    word = shingles.select(F.shiftright(place, 6).alias("w"), F.expr("1L").alias("one"), place.bitwiseAND(F.lit(63)).cast("int").alias("b"))
+    words = word.groupBy("w").agg(F.bit_or(F.expr("shiftleft(one, b)")).alias("bits")).toPandas()  # 2**(size - 6) rows at most
+    bits = np.zeros(1 << size - 6, np.int64)
+    bits[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return bits.view(np.uint8)
+
+
+def shared_shingles(docs: DataFrame, bits: np.ndarray, classes: list[tuple[int, int]]) -> DataFrame:
+    """(d, doc_id, t, n_words, h, g): each document's distinct shingles that the filter lets through; d numbers the rows.
+
+    classes are (width, least number of shingles that a document must have) of the items' size classes.
+    """
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(bits)  # at most 2**FILTER_BITS bits
+    shift = np.uint64(64 - int(math.log2(8 * len(bits))))
+    least = {w: min(n for v, n in classes if v == w) for w, _ in classes}
 
-    return docs.select("doc_id", F.encode("text", "UTF-8").alias("text")).mapInArrow(run, "doc_id bigint, item_id bigint, n_shingles bigint, n_shared bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        d = TaskContext.get().partitionId() << 33
+        for b in batches:
+            row, size, names, texts = [], [], [], []
+            for i, text in enumerate(b.column(2).to_pylist()):
+                words, found = tokens(text), {}
+                widths = [w for w, n in least.items() if len(words) - w + 1 >= n]
+                for at in range(0, len(words) if widths else 0, SLICE):
+                    part = word_hashes(words[at : at + SLICE + max(widths) - 1])
+                    for w in widths:
+                        if len(part) >= w:
+                            h = shingle_hashes(part, w)
+                            at_bit = h >> shift
+                            for j in np.flatnonzero(known[at_bit >> np.uint64(3)] >> (at_bit & np.uint64(7)).astype(np.uint8) & 1).tolist():
+                                found[b" ".join(words[at + j : at + j + w])] = h[j]
+                row += [i] * len(found)
+                size += [len(words)] * len(found)
+                names += found.values()
+                texts += found
+            at = pa.array(row, pa.int64())
+            h = pa.array(np.array(names, np.uint64).view(np.int64))
+            made = [pa.array(np.array(row, np.int64) + d), b.column(0).take(at), b.column(1).take(at), pa.array(size, pa.int64()), h, pa.array(texts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, ["d", "doc_id", "t", "n_words", "h", "g"])
+            d += b.num_rows
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), F.encode("text", "UTF-8").alias("text"))
+    return rows.mapInArrow(run, f"d bigint, doc_id {kind}, t bigint, n_words bigint, h bigint, g binary")
+
+
+def _matches(docs: DataFrame, items: DataFrame, threshold: float, k: int) -> DataFrame | None:
+    """(d, doc_id, t, item_id, n_shingles, n_shared) of every item contained in a document's row; None without items."""
+    held, _ = materialise(sketched(items, threshold, k), "leak-items")
+    sized = held.groupBy("width", "size_class").agg(F.min("n_shingles").alias("least"), F.sum("n_shingles").alias("n")).collect()  # a row for each class
+    if not sized:
+        return None
+    n = sum(r["n"] for r in sized)
+    classes = [(r["width"], math.ceil(threshold * r["least"] - 1e-9)) for r in sized]
+    each = held.select("i", "item_id", "width", "n_shingles", F.explode("shingles").alias("s")).select("i", "item_id", "width", "n_shingles", "s.h", "s.g")
+    hits, _ = materialise(shared_shingles(docs, bit_filter(each, n), classes), "leak-hits")
+    sketch = held.select("i", "n_shingles", "width", "size_class", F.explode(F.slice("shingles", F.lit(1), F.col("sketch").cast("int"))).alias("s"))
+    sketch = small_or_plain(sketch.select("i", "width", "n_shingles", "s.h"), n, BROADCAST_SHINGLES)
+    need = F.ceil(F.lit(threshold) * F.col("n_shingles") - F.lit(1e-9))
+    pairs = hits.join(sketch, "h").filter(F.col("n_words") - F.col("width") + 1 >= need).select("d", "i").distinct()
+    pairs, _ = materialise(pairs, "leak-pairs")
+    # A candidate's shingles, each met again in what its document shares with the filter, are counted.
+    wanted = pairs.join(small_or_plain(each, n, BROADCAST_SHINGLES), "i").select("d", "i", "item_id", "n_shingles", "g")
+    found = wanted.join(hits.select("d", "doc_id", "t", "g"), ["d", "g"])
+    counted = found.groupBy("d", "i").agg(F.first("doc_id").alias("doc_id"), F.first("t").alias("t"), F.first("item_id").alias("item_id"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n_shared"))
+    return counted.filter(F.col("n_shared") >= F.lit(threshold) * F.col("n_shingles") - F.lit(1e-9))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: int = WORDS) -> DataFrame:
     """doc_id, item_id, n_shingles, n_shared, containment of every item contained in a document."""
-    out = None
-    for block in _blocks(items):
-        found = _search(docs, block, threshold, k)
-        out = found if out is None else out.union(found)
+    out = _matches(docs, items, threshold, k)
     if out is None:
-        out = docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, n_shingles bigint, n_shared bigint")
-    return out.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+        kinds = [t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (items, "item_id"))]
+        out = docs.sparkSession.createDataFrame([], "doc_id {}, item_id {}, n_shingles bigint, n_shared bigint".format(*kinds))
+    return out.select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: int = WORDS) -> DataFrame:
     """The documents in which no item is contained, with their columns."""
-    for block in _blocks(items):
-        docs = _clean(docs, block, threshold, k)
-    return docs
-
-
-def _clean(docs: DataFrame, block: list[tuple[int | None, bytes]], threshold: float, k: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(block)
-    at = [c.lower() for c in docs.columns].index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(sent.value, threshold, k)
-        for b in batches:
-            clean = [not index.matches(t.encode("utf-8") if t is not None else None, k) for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array(clean, pa.bool_()))
-
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    out = _matches(docs, items, threshold, k)
+    if out is None:
+        return docs
+    gone, _ = materialise(out.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct(), "leak-documents")
+    gone = small_or_plain(gone, gone.count())
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__t")), "left_anti")
 
 
 #: Whole words as in tokens(); containment as counts, for items of five words or more and of fewer.
