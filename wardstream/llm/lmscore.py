@@ -4,8 +4,9 @@ Both models are interpolated bigrams with the same smoothing. The shared vocabul
 documents, and every word pair has a count of its own: what is gathered grows with the corpus and nothing is capped.
 All documents are counted: those of the target class in the target model, the others in the background model; the
 background's counts are scaled to the target's number of words, so that smoothing weighs the same in both (matched
-models). A document's score is the mean over its words of the target loss minus the background loss, in nats: lower is
-closer to the target.
+models). A document is judged by what all others teach: its own words and pairs are taken off the counts of the model
+that it was counted in. Its score is the mean over its words of the target loss minus the background loss, in nats:
+lower is closer to the target.
 
 The models are never held in one place. Documents are packed into blocks of about ``BLOCK_BYTES``. Each block sends the
 words and pairs that occur in it, once each, as sorted 64-bit keys with their counts to buckets of the key space; a
@@ -157,6 +158,12 @@ def answers(asked: DataFrame) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(run, "block bigint, bucket int, n_keys int, totals binary, n_words bigint")
 
 
+def own_counts(doc: np.ndarray, at: np.ndarray, n_keys: int) -> np.ndarray:
+    """For each word, how often its key stands in its own document."""
+    _, place, count = np.unique(doc * n_keys + at, return_inverse=True, return_counts=True)
+    return count[place]
+
+
 def scored(packed: DataFrame, totals: DataFrame, words: tuple[int, int], starts: tuple[int, int], vocabulary: int, id_type: str) -> DataFrame:
     """Scores of the documents of each block by the totals sent back to it."""
     scale = (words[1] / words[0] if words[0] and words[1] else 1.0, 1.0)
@@ -170,13 +177,16 @@ def scored(packed: DataFrame, totals: DataFrame, words: tuple[int, int], starts:
         at_word, at_pair = np.searchsorted(keys, word), np.searchsorted(keys, pair)
         doc = np.repeat(np.arange(len(n)), n)
         opens = (np.cumsum(n) - n)[n > 0]
-        loss = []
+        own_word, own_pair = (own_counts(doc, at, len(keys)) for at in (at_word, at_pair))
+        target, loss = np.array(r["target"], bool), []
         for m in (0, 1):
-            count = total[m] * scale[m]
-            uni = (count[at_word] + 1.0) / (words[m] * scale[m] + vocabulary)
-            context = np.r_[0.0, count[at_word][:-1]][: len(word)]
-            context[opens] = starts[m] * scale[m]
-            each = -np.log((count[at_pair] + PRIOR * uni) / (context + PRIOR))
+            mine = (target == bool(m))[doc]  # the model that holds this document
+            count_word = (total[m][at_word] - np.where(mine, own_word, 0)) * scale[m]
+            count_pair = (total[m][at_pair] - np.where(mine, own_pair, 0)) * scale[m]
+            uni = (count_word + 1.0) / ((words[m] - np.where(mine, n[doc], 0)) * scale[m] + vocabulary)
+            context = np.r_[0.0, count_word[:-1]][: len(word)]
+            context[opens] = (starts[m] - mine[opens]) * scale[m]
+            each = -np.log((count_pair + PRIOR * uni) / (context + PRIOR))
             loss.append(np.bincount(doc, each, len(n)) / np.maximum(n, 1))
         none = n == 0
         return pa.table({
@@ -184,7 +194,7 @@ def scored(packed: DataFrame, totals: DataFrame, words: tuple[int, int], starts:
             "target_loss": pa.array(loss[1], pa.float64(), mask=none), "background_loss": pa.array(loss[0], pa.float64(), mask=none),
         })
 
-    asking = packed.select("block", "doc_id", "length", "texts").groupBy("block")
+    asking = packed.select("block", "doc_id", "target", "length", "texts").groupBy("block")
     out = asking.cogroup(totals.select("block", "bucket", "n_keys", "totals").groupBy("block")).applyInArrow(run, f"doc_id {id_type}, n_words bigint, target_loss double, background_loss double")
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
