@@ -69,7 +69,17 @@ def test_sharding_digest_and_empty(spark, texts):
 def test_sharding_is_the_same_on_a_rerun(spark, texts):
     d = docs(spark, texts)
     a, b = (sorted((r.doc_id, r.shard, r.slot) for r in sharding.shard(d, 4).collect()) for _ in range(2))
-    assert len(a) == len(b)
+    assert a == b and len(a) == len(texts)
+
+
+def test_sharding_blocks_by_bytes_and_null_ids(spark, texts):
+    d = docs(spark, texts).withColumn("doc_id", F.expr("if(doc_id % 7 = 0, null, doc_id)")).withColumn("a.b", F.lit(1)).withColumn("__start", F.lit(2))
+    out = sharding.shard(d, 3, block_bytes=500).collect()
+    assert sum(r.doc_id is None for r in out) == len(range(0, len(texts), 7)) and "a.b" in out[0].asDict()
+    by = defaultdict(list)
+    for r in out:
+        by[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
 def test_communication_matrix_margins_and_law():
@@ -157,6 +167,18 @@ def test_mixing_large_rates_nulls_and_empty(spark):
     assert abs(n[None] / 400 - 50.5) < 2 and abs(n["big"] / 400 - 0.505) < 0.15
     assert mixing.mix(empty(spark)).count() == 0
     assert mixing.mix(d, weights={"big": 1.0}).filter("source is null").count() == 0
+    assert mixing.mix(d, weights={"absent": 1.0}).count() == 0 and mixing.mix(d, weights={}).count() == 0
+    assert mixing.mix(d, weights={"big": 0}).count() == 0
+
+
+def test_mixing_repeats_long_texts_and_names(spark):
+    rows = [(1, "x", "en", "a", 1)] * 5 + [(2, "long " * 40_000, "en", "b", 0), (None, None, "en", "a", 0)]
+    d = spark.createDataFrame(rows, DOCS).withColumn("a.b", F.lit(1)).withColumn("Copy", F.lit(2)).withColumn("__tag", F.lit(3))
+    out = mixing.mix(d, alpha=1.0, epochs=3.0)
+    got = out.collect()
+    assert {"a.b", "copy", "copies", "rate"} <= set(out.columns)
+    n = Counter(r.doc_id for r in got)
+    assert n[1] % 5 == 0 and all(r.copies == n[r.doc_id] for r in got if r.doc_id == 2)
 
 
 # 4 LM scoring
@@ -172,16 +194,17 @@ def brute_lm(texts, targets):
     scale = [total[1] / total[0], 1.0]
     v = len(set(uni[0]) | set(uni[1]))
     out = []
-    for c in split:
+    for i, c in enumerate(split):
         if not c:
             out.append(None)
             continue
-        loss = [0.0, 0.0]
+        loss, own, own_pair = [0.0, 0.0], Counter(c), Counter(zip([None, *c], c))
         for k in (0, 1):
+            mine = int(k == (i in targets))
             for before, w in zip([None, *c], c):
-                p = (uni[k][w] * scale[k] + 1) / (total[k] * scale[k] + v)
-                context = (starts[k] if before is None else uni[k][before]) * scale[k]
-                loss[k] -= np.log((pair[k][before, w] * scale[k] + lmscore.PRIOR * p) / (context + lmscore.PRIOR))
+                p = ((uni[k][w] - mine * own[w]) * scale[k] + 1) / ((total[k] - mine * len(c)) * scale[k] + v)
+                context = (starts[k] - mine if before is None else uni[k][before] - mine * own[before]) * scale[k]
+                loss[k] -= np.log(((pair[k][before, w] - mine * own_pair[before, w]) * scale[k] + lmscore.PRIOR * p) / (context + lmscore.PRIOR))
         out.append((loss[1] - loss[0]) / len(c))
     return out
 
@@ -203,6 +226,14 @@ def test_lm_without_targets_or_rows(spark, texts):
     assert lmscore.score(empty(spark), none).count() == 0
 
 
+def test_lm_copies_ties_and_names(spark, texts):
+    d = docs(spark, [*texts, texts[0]]).withColumn("Target", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("block", F.lit(3))
+    got = {r.doc_id: r for r in lmscore.score(d, spark.createDataFrame([(1,)], "doc_id bigint")).collect()}
+    assert (got[0].score, got[0].background_loss) == (got[len(texts)].score, got[len(texts)].background_loss)
+    # What stands a second time in the background is known to it; a document's own words do not count.
+    assert got[0].background_loss < min(got[i].background_loss for i in range(6, 20)) - 0.2
+
+
 # 5 WARC
 PAGES = "page_id bigint, url string, html string"
 
@@ -284,21 +315,40 @@ def test_decontamination(spark, texts):
     assert kept == set(range(len(corpus))) - {x[0] for x in want}
 
 
-def test_decontamination_blocks_and_empty(spark, texts, monkeypatch):
+def test_decontamination_full_filter_slices_and_empty(spark, texts, monkeypatch):
     t = spark.createDataFrame([(i, x) for i, x in enumerate(texts[:20])], "item_id bigint, text string")
     whole = sorted(map(tuple, decontaminate.contained_items(docs(spark, texts), t).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 8)
+    monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", 0)
     assert sorted(map(tuple, decontaminate.contained_items(docs(spark, texts), t).collect())) == whole
     assert decontaminate.contained_items(docs(spark, texts), t.limit(0)).count() == 0
     assert decontaminate.contained_items(empty(spark), t).count() == 0
     assert decontaminate.decontaminate(docs(spark, texts), t.limit(0)).count() == len(texts)
 
 
+def test_decontamination_repeats_ids_and_names(spark):
+    leak = "p q r s t u v w x y"
+    rows = [("a", leak), ("a", leak), ("a", "clean words only here for once"), (None, leak), (None, None), ("b", "z " * 50_000 + leak)]
+    d = spark.createDataFrame(rows, "doc_id string, text string").withColumn("i", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("N_Shared", F.lit(3))
+    t = spark.createDataFrame([("x", leak), ("x", leak), (None, "no")], "item_id string, text string").withColumn("doc_id", F.lit(1))
+    got = Counter((r.doc_id, r.item_id, r.n_shared) for r in decontaminate.contained_items(d, t).collect())
+    assert got == {("a", "x", 6): 4, (None, "x", 6): 2, ("b", "x", 6): 2}
+    out = decontaminate.decontaminate(d, t)
+    assert out.columns == d.columns and sorted((r.doc_id or "", r.text or "") for r in out.collect()) == [("", ""), ("a", rows[2][1])]
+
+
+def test_decontamination_sizes(spark, texts):
+    items = spark.createDataFrame([(i, " ".join(f"v{j}" for j in range(n))) for i, n in enumerate((1, 5, 9, 40, 300))], "item_id bigint, text string")
+    held = {r.item_id: r for r in decontaminate.sketched(items, 0.8, 5).collect()}
+    assert [(held[i].n_shingles, held[i].size_class, held[i].sketch) for i in range(5)] == [(1, 0, 1), (1, 0, 1), (5, 2, 2), (36, 5, 8), (296, 8, 60)]
+    assert all([x.h & (2**64 - 1) for x in r.shingles] == sorted(x.h & (2**64 - 1) for x in r.shingles) for r in held.values())
+
+
 # 7 line dedup
 def test_line_dedup(spark):
     rows = [(i, f"head {i}\n  shared line \n\nbody {i}\r\nrare" + ("\nfew" if i < 8 else ""), "en", f"s{i % 7}", 0) for i in range(40)]
     rows += [(100, None, "en", "s1", 0), (101, "", "en", None, 0), (102, "shared line", "en", None, 0), (103, "\n\n", "en", "s2", 0), (1, "shared line", "en", "s0", 0)]
-    d = spark.createDataFrame(rows, DOCS).withColumn("cut", F.lit(3)).withColumn("n_lines", F.lit("mine"))
+    d = spark.createDataFrame(rows, DOCS).withColumn("cut", F.lit(3)).withColumn("N_Lines", F.lit("mine")).withColumn("a.b", F.lit(4)).withColumn("h1", F.lit(5)).withColumn("i", F.lit(6))
     for least in (2, 5, 7, 8, 9):
         sites = defaultdict(set)
         for _, t, _, s, _ in rows:
@@ -307,8 +357,9 @@ def test_line_dedup(spark):
                     sites[x.strip(" \t\r\x0b\x0c")].add(s)
         gone = {x for x, s in sites.items() if len(s) >= least}
         want = sorted((i, None if t is None else "\n".join(x for x in t.split("\n") if x.strip(" \t\r\x0b\x0c") not in gone)) for i, t, _, _, _ in rows)
-        got = sorted((r.doc_id, r.kept_text) for r in linededup.remove_boilerplate(d.drop("cut"), least).collect())
+        got = sorted((r.doc_id, r.kept_text) for r in linededup.remove_boilerplate(d, least).collect())
         assert [(a, b or "") for a, b in got] == [(a, b or "") for a, b in want]
+    assert linededup.remove_boilerplate(d).columns == ["doc_id", "text", "lang", "source", "n_chars", "cut", "a.b", "h1", "i", "n_lines", "n_removed", "kept_text"]
     assert linededup.remove_boilerplate(empty(spark)).count() == 0
 
 
@@ -437,6 +488,22 @@ def test_language_code_lengths(spark):
     assert kept.columns == d.columns and not {1000, 1001, 1004} & {r.doc_id for r in kept.collect()}
 
 
+def test_language_empty_long_and_few_texts(spark, monkeypatch):
+    rng = random.Random(4)
+    en = [(i, words(rng, 20).replace("w", "the ") + " and the thing", "en", "s", 0) for i in range(20)]
+    fr = [(100 + i, " ".join(rng.choices("que les été aux nation voilà".split(), k=30_000)), "fr", "s", 0) for i in range(12)]
+    rest = [(200 + i, "", "de", "s", 0) for i in range(4)] + [(None, "uno dos tres cuatro cinco", "es", "s", 0)] * 3
+    d = spark.createDataFrame(en + fr + rest, DOCS)
+    packed = langid.train(d, bytes_each=300_000)
+    assert packed["languages"] == ["en", "es", "fr"]
+    assert sum(r.room for r in langid.training_sample(d, bytes_each=300_000).filter("lang = 'fr'").collect()) == 300_000
+    out = {r.doc_id: r.lang_pred for r in langid.language_digest(d).collect()}
+    assert [out[i] for i in (0, 100, 200, None)] == ["en", "fr", "und", "es"]
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(d)
+
+
 def test_language_long_texts_and_nothing_learned(spark, monkeypatch):
     d = docs(spark, ["the cat sat " * 3000, "la vie est belle " * 20])
     packed = langid.train(d)
@@ -504,15 +571,33 @@ def test_simhash_tiles(spark):
 
 
 def test_simhash_dedup_repeats_nulls_and_empty(spark, texts):
-    out = simhash.deduplicate(docs(spark, texts))
+    out = simhash.deduplicate(docs(spark, texts), width=4, radius=4)
     want = {i for i, c in enumerate(brute_components([brute_fingerprint(t) for t in texts], 4)) if i == c}
     assert {r.doc_id for r in out.collect()} == want
     rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "p q r s t"), (3, "a b c d e")]
-    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 2]
+    for how in ({}, {"radius": 4}):
+        kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string"), **how).collect()
+        assert sorted((r.doc_id or 0) for r in kept) == [1, 2]
     assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.deduplicate(empty(spark)).count() == 0
 
 
+def test_simhash_skips_by_population_count():
+    rng = np.random.default_rng(5)
+    bits = rng.random((3000, 64)) < rng.random((3000, 1))  # population counts from 0 to 64
+    v = np.unique(np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel())
+    v = v[np.argsort(np.bitwise_count(v), kind="stable")]
+    pop, edge = np.bitwise_count(v).astype(np.int64), simhash.SQUARE
+    compared = list(simhash.squares(pop, 4))
+    tiles = -(-len(v) // edge)
+    skipped = tiles * (tiles + 1) // 2 - len(compared)
+    assert skipped > 0
+    near = {(i, j) for i in range(len(v)) for j in (np.flatnonzero(np.bitwise_count(v[i + 1 :] ^ v[i]) <= 4) + i + 1).tolist()}
+    assert len(near) > 50 and all((i // edge * edge, j // edge * edge) in compared for i, j in near)
+    tile = np.arange(len(v)) // 64  # small tiles: every pair within the radius, and rows that are done early
+    hits = {(int(i), int(i) + d) for at, d in simhash.small_hits(tile, v, np.arange(len(v)), 4) for i in at}
+    assert hits == {(i, j) for i, j in near if tile[i] == tile[j]}
+
+
 def test_connected_components_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 2000), (5, 5)], "a bigint, b bigint")
     got = {r.node: r.root for r in _common.connected_components(edges, "a", "b")[0].collect()}

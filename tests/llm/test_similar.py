@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 from test_operators import docs, words
-from wardstream.llm import neardup
+from wardstream.llm import _similar, simhash
 
 
 def shingles(text):
@@ -55,13 +55,13 @@ def test_grid_of_cells(spark):
     texts, _ = planted(12)
     d = docs(spark, texts)
     groups = lambda pairs: {frozenset(i for i, c in pairs if c == x) for _, x in pairs}
-    got = groups([(r.doc_id, r.component) for r in neardup.components(d, cell_rows=3).collect()])
+    got = groups([(r.doc_id, r.component) for r in _similar.components(d, cell_rows=3).collect()])
     assert got == groups(list(enumerate(brute(texts))))
 
 
 def test_rows_are_decided_one_by_one(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "p q r s t"), (3, "a b c d e"), (3, "u v w x y"), (None, "k l m n o"), (None, "k l m n o"), (3, "i j k l m")]
-    kept = neardup.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     want = [(1, "a b c d e"), (2, "p q r s t"), (3, "i j k l m"), (3, "u v w x y"), (None, "k l m n o")]
     assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
-    assert neardup.deduplicate(docs(spark, [])).count() == 0
+    assert simhash.deduplicate(docs(spark, [])).count() == 0

@@ -5,6 +5,7 @@ tile pair is skipped when the population counts in it differ by more than the ra
 with the square of the corpus, tiles are first formed by the pigeonhole rule: of ``radius + c`` segments of the
 fingerprint at least ``c`` must agree between two linked fingerprints, so every linked pair meets in a tile of equal
 segments. No link is lost: each tile is compared in full, and an oversized one is dealt out as a grid of tile pairs.
+Where links are by a similarity of word shingles instead of a radius (``deduplicate``), ``_similar`` forms the tiles.
 
 Defined cases: null or wordless text has fingerprint zero, linked like any other; a null doc_id keeps its row and
 never names a component; repeated rows all come back; an empty table gives an empty result; columns other than the
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _similar
 from ._common import connected_components, materialise
 
 SEED = 42
@@ -103,43 +105,52 @@ class Forest:
                 self.up[max(i, j)] = min(i, j)
 
 
-def link_tile(values: np.ndarray, radius: int) -> np.ndarray:
-    """For each distinct fingerprint of one tile, the position of the root of its linked group within the tile."""
-    order = np.argsort(np.bitwise_count(values), kind="stable")
-    v, pop = values[order], np.bitwise_count(values[order]).astype(np.int64)
+def squares(pop: np.ndarray, radius: int, edge: int = SQUARE) -> Iterator[tuple[int, int]]:
+    """Corners of the tile pairs to compare, for population counts in order; the rest differ beyond the radius."""
+    for a in range(0, len(pop), edge):
+        for b in range(a, len(pop), edge):
+            if pop[b] - pop[min(a + edge, len(pop)) - 1] > radius:
+                break  # later tiles differ even more
+            yield a, b
+
+
+def link_tile(v: np.ndarray, radius: int) -> np.ndarray:
+    """For each distinct fingerprint of one tile, sorted by population count, the position of its group's root."""
     n, forest, label = len(v), Forest(len(v)), np.arange(len(v))
-    for a in range(0, n, SQUARE):
-        for b in range(a, n, SQUARE):
-            if pop[b] - pop[min(a + SQUARE, n) - 1] > radius:
-                break  # sorted by population count: later tiles differ even more
-            near = np.bitwise_count(v[a : a + SQUARE, None] ^ v[None, b : b + SQUARE]) <= radius
-            i, j = np.nonzero(near)
-            i, j = i + a, j + b
-            first = np.unique(i, return_index=True)[1]
-            forest.join(zip(i[first].tolist(), j[first].tolist()))
-            label = np.fromiter(map(forest.find, range(n)), np.int64, n) if len(i) > len(first) + SQUARE else label
-            rest = label[i] != label[j]
-            forest.join(zip(i[rest].tolist(), j[rest].tolist()))
-    roots = np.fromiter(map(forest.find, range(n)), np.int64, n)
-    out = np.empty(n, np.int64)
-    out[order] = order[roots]
-    return out
+    for a, b in squares(np.bitwise_count(v).astype(np.int64), radius):
+        near = np.bitwise_count(v[a : a + SQUARE, None] ^ v[None, b : b + SQUARE]) <= radius
+        i, j = np.nonzero(near)
+        i, j = i + a, j + b
+        first = np.unique(i, return_index=True)[1]
+        forest.join(zip(i[first].tolist(), j[first].tolist()))
+        label = np.fromiter(map(forest.find, range(n)), np.int64, n) if len(i) > len(first) + SQUARE else label
+        rest = label[i] != label[j]
+        forest.join(zip(i[rest].tolist(), j[rest].tolist()))
+    return np.fromiter(map(forest.find, range(n)), np.int64, n)
+
+
+def small_hits(tile: np.ndarray, values: np.ndarray, at: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, int]]:
+    """(places, d) of rows within the radius of the d-th row after them in their tile, all small tiles side by side.
+
+    Rows of a tile are sorted by population count: a row is done when the next one's differs beyond the radius.
+    """
+    pop, d = np.bitwise_count(values).astype(np.int64), 1
+    while len(at):
+        at = at[at + d < len(values)]
+        at = at[(tile[at] == tile[at + d]) & (pop[at + d] - pop[at] <= radius)]
+        yield at[np.bitwise_count(values[at] ^ values[at + d]) <= radius], d
+        d += 1
 
 
 def link_tiles(tile: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (a, b) of all linked groups, for rows sorted by tile."""
+    """Spanning links (a, b) of all linked groups, for rows sorted by tile and population count."""
     values = fp.view(np.uint64)
     cut = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1], True])
     sizes = np.diff(cut)
     small = np.repeat(sizes <= 64, sizes)
     forest, left, right = Forest(len(fp)), [], []
-    at, d = np.flatnonzero(small), 1
-    while len(at):  # all small tiles at once: each row against the d-th after it in its tile
-        at = at[at + d < len(fp)]
-        at = at[tile[at] == tile[at + d]]
-        hit = at[np.bitwise_count(values[at] ^ values[at + d]) <= radius]
+    for hit, d in small_hits(tile, values, np.flatnonzero(small), radius):
         forest.join(zip(hit.tolist(), (hit + d).tolist()))
-        d += 1
     for i in np.flatnonzero(sizes > 64):
         lo, hi = cut[i], cut[i + 1]
         root = link_tile(values[lo:hi], radius)
@@ -183,7 +194,7 @@ def links(distinct: DataFrame, n: int, radius: int, tile_rows: int = TILE_ROWS)
                 yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], ["a", "b"])
                 held_t, held_f = held_t[cut:], held_f[cut:]
 
-    return dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a bigint, b bigint")
+    return dealt.repartition("tile").sortWithinPartitions("tile", F.bit_count("fp")).mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(
@@ -200,15 +211,25 @@ def near_duplicates(
     return fps.join(named.join(best, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """The documents with one kept of each near-duplicate group: that with the smallest doc_id.
+def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int | None = None) -> DataFrame:
+    """The documents with one row kept of each group of near copies: that of the smallest doc_id, null ids last.
 
-    Rows that repeat a doc_id are copies of one document, of which one row stays. Rows with a null doc_id, which
-    nothing can name, all stay.
+    Links are by the similarity of word shingles, or by the radius of fingerprints if one is given. Decided for each row
+    by its doc_id and text: rows that only share a doc_id are different documents; of rows alike in both one stays.
     """
-    found = near_duplicates(docs, width=width, radius=radius).filter("doc_id is not null")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    if found.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        kept = kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    if radius is None:
+        groups = _similar.components(docs, similarity=similarity, width=width)
+    else:
+        fps, _ = materialise(fingerprints(docs.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("h"))), width=width), "simhash")
+        distinct, _ = materialise(fps.select("fp").distinct(), "simhash-distinct")
+        nodes, _ = connected_components(links(distinct, distinct.count(), radius), "a", "b")
+        groups = fps.join(nodes, F.col("fp") == F.col("node"), "left").select("doc_id.doc_id", "doc_id.h", F.coalesce("root", "fp").alias("component"))
+    found, _ = materialise(groups, "simhash-groups")
+    rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "h")
+    best = found.groupBy("component").agg(F.min(rank).alias("best"), F.count("*").alias("m")).filter("m > 1")
+    gone = found.join(best, "component").filter(~rank.eqNullSafe(F.col("best"))).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
+    h = F.xxhash64("text")
+    kept = docs.join(gone.distinct(), F.col("doc_id").eqNullSafe(F.col("__id")) & (h == F.col("__h")), "left_anti")
+    if found.groupBy("doc_id", "h").count().filter("count > 1").limit(1).count():
+        kept = kept.withColumn("__h", h).dropDuplicates(["doc_id", "__h"]).drop("__h")
     return kept
