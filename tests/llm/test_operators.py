@@ -119,6 +119,39 @@ def test_substring_against_brute_force(spark, texts, width):
         assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_substring_many_copies_without_broadcast(spark, texts, monkeypatch):
+    long = " ".join(f"c{i}" for i in range(50))
+    rows = texts + [long] * 60 + [f"{long} tail {i}" for i in range(20)]
+    monkeypatch.setattr(substring, "BROADCAST_ROWS", 0)
+    d = docs(spark, rows).withColumn("a.b", F.lit(1)).withColumn("T", F.lit(2)).withColumn("sig", F.lit(3))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.repeats_digest(d).collect()}
+    assert got == brute_repeats(list(enumerate(rows)), 20)
+
+
+def test_substring_later_windows_over_batches():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows, at = [], 0
+    for key in range(12):
+        for _ in range(rng.randrange(1, 9)):
+            rows.append((key, at, 0, at, n := rng.randrange(0, 5) or 3, [rng.randrange(6) for _ in range(n)] if rng.random() < 0.8 else []))
+            at += 10
+    seen, want = set(), set()
+    for key, d, _, start, n, hashes in rows:
+        for j in range(n):
+            if not hashes or (key, hashes[j]) in seen:
+                want.add((d, start + j))
+            if hashes:
+                seen.add((key, hashes[j]))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+    for step in (1, 2, 7, 1000):
+        parts = [rows[i : i + step] for i in range(0, len(rows), step)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*p), kinds)], ["key", "d", "t", "start", "n", "hashes"]) for p in parts]
+        out = [r for b in substring._later(iter(batches)) for r in b.to_pylist()]
+        assert {(r["d"], r["start"] + j) for r in out for j in range(r["n"])} == want
+
+
 def test_substring_small_vocabulary_and_periods(spark):
     rng = random.Random(9)
     texts = [" ".join(rng.choice("ab") for _ in range(rng.randrange(60))) for _ in range(40)] + ["x y " * 40, "y x " * 40, "a b a c " * 25]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, small_or_plain
+from ._common import BROADCAST_ROWS, materialise, small_or_plain
 
 WIDTH = 20
 #: Rounds of pair naming after the naming of runs.
@@ -37,6 +37,8 @@ ROUNDS = 3
 SLICE = 1 << 17
 #: Places of an anchor beyond which its windows are dealt out one by one.
 HOT = 2_000
+#: Tasks among which the rows of one key are dealt where its join cannot be broadcast.
+SALTS = 64
 LAST = (1 << 63) - 1
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -282,25 +284,31 @@ def _candidates(width: int):
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key and place: (d, t, start, n), the runs of windows that came before."""
-    now, seen = None, set()
+    last, seen = None, np.empty(0, np.int64)  # the key at the end of the batch before, and its windows so far
     for b in batches:
-        d, t, s, n = [], [], [], []
-        for key, dd, tt, start, count, hashes in zip(*(c.to_pylist() for c in b.columns)):
-            if not hashes:
-                d.append(dd), t.append(tt), s.append(start), n.append(count)
-                continue
-            if key != now:
-                now, seen = key, set()
-            run = 0
-            for i, h in enumerate([*hashes, None]):
-                if h is not None and h in seen:
-                    run += 1
-                    continue
-                if run:
-                    d.append(dd), t.append(tt), s.append(start + i - run), n.append(run)
-                    run = 0
-                seen.add(h)
-        yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32())], ["d", "t", "start", "n"])
+        if not b.num_rows:
+            continue
+        key, start, count, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(3).to_numpy(), b.column(4).to_numpy(), b.column(5)
+        size = np.diff(lists.offsets.to_numpy())
+        window = lists.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(key)), size)
+        order = np.lexsort((window, key[row]))  # stable: places stay in order
+        later = np.ones(len(window), bool)
+        later[order[_changes(key[row][order], window[order])]] = False
+        if last == key[0]:
+            later |= (key[row] == last) & np.isin(window, seen)
+        ends = window[key[row] == key[-1]]
+        seen = np.union1d(seen, ends) if last == key[-1] else np.unique(ends)
+        last = key[-1]
+        spot = np.flatnonzero(later)
+        at = _changes(row[spot], spot - np.arange(len(spot)))
+        first = spot[at]
+        known = np.flatnonzero(size == 0)  # without hashes: repeats already
+        source = np.r_[row[first], known]
+        begin = np.r_[start[row[first]] + first - (np.cumsum(size) - size)[row[first]], start[known]]
+        n = np.r_[np.diff(np.r_[at, len(spot)]), count[known]]
+        take = pa.array(source)
+        yield pa.RecordBatch.from_arrays([b.column(1).take(take), b.column(2).take(take), pa.array(begin.astype(np.int32)), pa.array(n.astype(np.int32))], ["d", "t", "start", "n"])
 
 
 def covered(n_words: int, runs: list[tuple[int, int]], width: int) -> np.ndarray:
@@ -333,6 +341,15 @@ def _cut(width: int, with_text: bool):
     return run
 
 
+def spread_join(rows: DataFrame, keys: DataFrame, on: str, n: int) -> DataFrame:
+    """rows joined with one row for each key: by broadcast while they are few, else with every key dealt to SALTS tasks."""
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), on)
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    each = keys.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(each, [on, "__salt"]).drop("__salt")
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text (words joined by one space) of every document."""
     unique = not docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
@@ -345,7 +362,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True,
     found, _ = materialise(rows.mapInArrow(_survey(width), survey), "substring")
     long = found.filter(F.col("n_words") >= width)
     first = long.groupBy("sig").agg(F.min(F.struct("d", "t")).alias("f"), F.count("*").alias("c")).filter("c > 1").select("sig", "f")
-    copies = long.select("d", "t", "sig").join(first, "sig").filter(F.struct("d", "t") != F.col("f")).select("d", "t").distinct()
+    first, _ = materialise(first, "substring-first")
+    copies = spread_join(long.select("d", "t", "sig"), first, "sig", first.count()).filter(F.struct("d", "t") != F.col("f")).select("d", "t").distinct()
     copies, _ = materialise(copies, "substring-copies")
     alone = found.join(small_or_plain(copies, copies.count()), ["d", "t"], "left_anti")
     if not unique:
