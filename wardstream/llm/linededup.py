@@ -35,8 +35,15 @@ def _line_keys(docs: DataFrame) -> DataFrame:
 
 
 def line_spread(docs: DataFrame) -> DataFrame:
-    """(h1, h2, est): estimated number of distinct sites of every line."""
-    sketch = _line_keys(docs).groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG_BUCKETS)).alias("s"))
+    """(h1, h2, est): estimated number of distinct sites of every line that is on more than one.
+
+    Most lines are on one site, which the least and the largest site of a line tell; they get no sketch.
+    """
+    lines = _line_keys(docs)
+    several = lines.groupBy("h1", "h2").agg(F.min("site").alias("a"), F.max("site").alias("b")).filter("a <> b").select("h1", "h2")
+    several, _ = materialise(several, "line-several")
+    several = small_or_plain(several, several.count(), BROADCAST_ROWS // 4)
+    sketch = lines.join(several, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG_BUCKETS)).alias("s"))
     return sketch.select("h1", "h2", F.hll_sketch_estimate("s").alias("est"))
 
 
