@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vocab
+from ..session import written
 from .records import evaluated
 
 TEXT_FIELDS = ["hostname", "username", "domain", "process_name", "command_line", "file_path", "file_hash", "protocol", "status"]
-ALIASES = {spelling: field for field, words in vocab.FIELD_ALIASES.items() for spelling in words.split()}
+ALIASES = {spelling: field for field, words in vocab.FIELD_ALIASES.items() for spelling in words}
 
 
 def event_type(mapped: dict[str, Column]) -> Column:
@@ -45,8 +46,10 @@ def canonicalize(df: DataFrame, ipv6: bool = True) -> DataFrame:
     The object is flattened to dotted paths; invalid addresses and ports are kept as ``_invalid_*`` attributes.
     """
     df = df.withColumn("flat", S.flatten_json("raw"))
-    known = F.transform(F.map_entries("flat"), lambda e: F.struct(S.lookup(S.field_key(e["key"]), ALIASES).alias("f"), e["value"].alias("v")))
-    df = df.withColumn("_known", F.filter(known, lambda e: e["f"].isNotNull() & (e["v"] != "")))
+    # Each key is reduced and looked up once; the fields and the attributes both come from these entries.
+    entry = lambda e: F.struct(S.lookup(S.field_key(e["key"]), ALIASES).alias("f"), e["key"].alias("k"), e["value"].alias("v"))
+    df = df.withColumn("_e", F.filter(F.transform(F.map_entries("flat"), entry), lambda e: e["v"] != ""))
+    df = df.withColumns({"_known": F.filter("_e", lambda e: e["f"].isNotNull()), "_rest": F.filter("_e", lambda e: e["f"].isNull())})
     # One array of all fields' values: as single columns the optimizer would copy the search into every use.
     fields = list(vocab.FIELD_ALIASES)
     first = F.transform(F.array(*[F.lit(f) for f in fields]), lambda f: F.try_element_at(F.filter("_known", lambda e: e["f"] == f), F.lit(1))["v"])
@@ -56,7 +59,7 @@ def canonicalize(df: DataFrame, ipv6: bool = True) -> DataFrame:
     df = df.withColumns({f"_{f}": S.event_ip(F.col(f"_{f}_text"), ipv6) for f in ("source_ip", "dest_ip")})
     typed = {"source_ip": F.col("_source_ip"), "dest_ip": F.col("_dest_ip"), "port": S.safe_long(m["port"]).cast("int"), "dest_port": S.safe_long(m["dest_port"]).cast("int")}
     invalid = [x for f, v in typed.items() for x in (F.lit(f"_invalid_{f}"), F.when(m[f].isNotNull() & (m[f] != "") & v.isNull(), m[f]))]
-    rest = F.map_filter("flat", lambda k, v: S.lookup(S.field_key(k), ALIASES).isNull() & v.isNotNull() & (v != ""))
+    rest = F.map_from_entries(F.transform("_rest", lambda e: F.struct(e["k"], e["v"])))
     attributes = F.map_concat(rest, F.map_filter(F.create_map(*invalid), lambda k, v: v.isNotNull()))
     text = {f: F.nullif(S.strip(m[f]), F.lit("")) for f in TEXT_FIELDS}
     return df.select(
@@ -117,9 +120,9 @@ def deduplicate(df: DataFrame) -> DataFrame:
 
 def process(df: DataFrame, ipv6: bool = True) -> DataFrame:
     """All outcomes of the raw rows; filter on ``status = 'trusted'`` for what goes on."""
-    for step in (lambda d: canonicalize(d, ipv6), normalize, validate):
+    for step in (lambda d: canonicalize(d, ipv6), normalize):
         df = df.transform(step).transform(evaluated)
-    return deduplicate(df)
+    return deduplicate(written(validate(df), "events"))
 
 
 def alert_input(df: DataFrame) -> DataFrame:

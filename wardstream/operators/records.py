@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vocab
+from ..session import written
 
 #: Columns of a record and their types after normalization. Ports, counters and duration arrive as text.
 RECORD = {
@@ -244,7 +245,8 @@ def run_pipeline(df: DataFrame, maps: DataFrame, near: bool = False, harmonize_f
     The default order enriches before it harmonizes, as the source semantics have it; ``harmonize_first`` lets the
     harmonized category drive the enrichment.
     """
-    out = as_records(df).transform(lambda d: normalize(d, ipv6)).transform(evaluated).transform(validate).transform(evaluated)
+    out = as_records(df).transform(lambda d: normalize(d, ipv6)).transform(evaluated).transform(validate)
+    out = written(out, "records")  # the search for first rows reads two columns of it, the rest goes on
     out = out.transform(lambda d: deduplicate(d, vocab.NEAR_FIELDS if near else vocab.EXACT_FIELDS))
     steps = [enrich, lambda d: harmonize(d, maps)]
     for step in reversed(steps) if harmonize_first else steps:
