@@ -101,7 +101,8 @@ def candidate_indicators(explicit: Column | None = None) -> Column:
     kinds = (("ip", vocab.IPV4), ("hash", vocab.SHA256), ("technique", vocab.TECHNIQUE))
     item = lambda x, kind, at: F.struct(x.alias("indicator"), F.lit(kind).alias("type"), at.alias("source"))
     kept = lambda xs: F.filter(xs, lambda x: ~x["indicator"].isin("0.0.0.0", "255.255.255.255"))
-    within = lambda blob, at: kept(F.concat(*[F.transform(F.regexp_extract_all(blob, F.lit(p), F.lit(0)), lambda x, kind=kind: item(x, kind, at)) for kind, p in kinds]))
+    each = lambda kind, p, blob, at: F.transform(F.regexp_extract_all(blob, F.lit(p), F.lit(0)), lambda x: item(x, kind, at))
+    within = lambda blob, at: kept(F.concat(*[each(kind, p, blob, at) for kind, p in kinds]))
     alert = within(F.concat_ws(" ", "input.alert.title", "input.alert.description", F.to_json("input.alert")), F.lit("alert"))
     context = F.concat(*[
         F.array_compact(F.array(F.when(F.col(f"input.context.{f}").rlike(f"^{vocab.IPV4}"), item(F.col(f"input.context.{f}"), "ip", F.lit(f"context.{f}"))).when(F.col(f"input.context.{f}").rlike(f"^{vocab.SHA256}"), item(F.col(f"input.context.{f}"), "hash", F.lit(f"context.{f}")))))
