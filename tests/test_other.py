@@ -136,7 +136,8 @@ def test_discovery_and_ingest(spark, folder):
     assert by["proc.json"] == [{"CommandLine": "a"}, {"_row": [1]}, {"value": 5}]
     assert by["net.jsonl"][0] == {"src_ip": "10.0.0.1"} and "_parse_error" in by["net.jsonl"][1] and by["net.jsonl"][2] == {"value": 7}
     assert [x["Host"] for x in by["ev.xml"]] == ["i", "j"]
-    assert by["sys.log"][0]["user"] == "bob" and by["sys.log"][0]["message"] == "ok"
+    assert by["sys.log"][0]["user"] == "bob" and by["sys.log"][0]["message"] == "user= action= ok"
+    assert by["net.jsonl"][1]["_parse_error"].startswith("JSONL line 3") and {r.event_id for r in rows if r.source_name == "sys.log"} == {"sys-000000", "sys-000001"}
     assert readers.ingest(spark, folder, 3).count() == 3
     total = [r for r in readers.ingest_summary(readers.ingest(spark, folder)).collect() if r.source_format is None][0]
     assert (total.records, total.errors) == (12, 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.scalars import rounded, search_tokens, strip
-from ..session import written
+from ..session import small, written
 
 
 def chunk(df: DataFrame, key: str, text: str, size: int = 400, overlap: int = 50) -> DataFrame:
@@ -31,15 +31,6 @@ def bm25_index(df: DataFrame, key: str, text: str) -> dict[str, DataFrame]:
     return {"postings": postings, "terms": terms, "stats": stats}
 
 
-#: Query terms, or pairs of a query and a text, that may be broadcast.
-SMALL = 500_000
-
-
-def _small(df: DataFrame, limit: int = SMALL) -> DataFrame:
-    """A broadcast hint where the counted rows are within the limit, else df as it is (a shuffle join)."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def bm25(df: DataFrame, key: str, text: str, queries: DataFrame, k: int = 3, threshold: float = 0.05, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, key, score, rank): top k above the threshold, ties by key.
 
@@ -50,21 +41,21 @@ def bm25(df: DataFrame, key: str, text: str, queries: DataFrame, k: int = 3, thr
     tokens = df.select(key, search_tokens(F.col(text)).alias("tok"))
     stats = F.broadcast(tokens.agg(F.count("*").alias("n"), F.avg(F.size("tok")).alias("avg_len")))  # one row
     asked = queries.select("query_id", F.explode(search_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    terms = _small(asked.select("term").distinct())
+    terms = small(asked.select("term").distinct())
     postings = tokens.select(key, F.size("tok").alias("len"), F.explode("tok").alias("term")).join(terms, "term", "left_semi")
     postings = written(postings.groupBy(key, "len", "term").agg(F.count("*").alias("tf")), "postings")
     idf = F.greatest(F.lit(0.01), F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weights = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(stats).select("term", idf.alias("idf"), "avg_len")
     tf, norm = F.col("tf"), k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
     part = F.col("qn") * F.col("idf") * tf * (k1 + 1) / (tf + norm)
-    hits = postings.join(_small(asked.join(weights, "term")), "term").select("query_id", key, part.alias("part"))
+    hits = postings.join(small(asked.join(weights, "term")), "term").select("query_id", key, part.alias("part"))
     want = queries.select("query_id", F.lower(strip(F.col("query"))).alias("_q")).filter(F.length("_q") >= 4)
     inner = F.slice(F.split("_q", " "), 2, F.greatest(F.size(F.split("_q", " ")) - 2, F.lit(0)))
     want = want.withColumn("term", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
     words = df.select(key, F.array_join(F.array_distinct(search_tokens(F.col(text))), " ").alias("_w"))
-    long = written(postings.select(key, "term").join(_small(want.filter("term is not null")), "term").select("query_id", key, "_q"), "bonus")
-    short = words.join(_small(want.filter("term is null").select("query_id", "_q")), F.col("_w").contains(F.col("_q"))).select("query_id", key)
-    bonus = words.join(_small(long), key).filter(F.col("_w").contains(F.col("_q"))).select("query_id", key).union(short)
+    long = written(postings.select(key, "term").join(small(want.filter("term is not null")), "term").select("query_id", key, "_q"), "bonus")
+    short = words.join(small(want.filter("term is null").select("query_id", "_q")), F.col("_w").contains(F.col("_q"))).select("query_id", key)
+    bonus = words.join(small(long), key).filter(F.col("_w").contains(F.col("_q"))).select("query_id", key).union(short)
     scored = hits.union(bonus.withColumn("part", F.lit(2.0))).groupBy("query_id", key).agg(rounded(F.sum("part")).alias("score")).filter(F.col("score") > threshold)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

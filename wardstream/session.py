@@ -6,6 +6,7 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: UTC for all time text; last value wins for repeated keys in log lines; adaptive execution for skew.
 SETTINGS = {
@@ -62,3 +63,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = scratch_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, limit: int = 500_000) -> DataFrame:
+    """A broadcast hint where the counted rows are within the limit, else df as it is (a shuffle join)."""
+    return F.broadcast(df) if df.count() <= limit else df

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import event_timestamp
 from ..registry import readers
+from ..session import small, written
 
 # What discovery takes and leaves, and wrapper keys of JSON documents.
 EXTENSIONS = ["csv", "tsv", "json", "jsonl", "ndjson", "xml", "log", "txt", "parquet", "xlsx", "xls"]
@@ -15,22 +21,54 @@ WRAPPERS = ["records", "events", "data", "items", "results", "logs", "alerts", "
 SAMPLE = 65536
 
 
+#: Files whose heads are held and judged at once (64 MB).
+HEADS = 1000
+Paths = str | list[str]
+
+
+def head(spark: SparkSession, path: str, n: int = SAMPLE) -> bytes:
+    """The first n bytes of a file in any store that Spark reads; the rest is not opened."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, n)))
+    finally:
+        stream.close()
+
+
+def _heads(spark: SparkSession, paths: Iterable[str], n: int = SAMPLE) -> Iterator[list[tuple[str, bytes]]]:
+    """(path, head) in lists of at most HEADS files."""
+    paths = list(paths)
+    with ThreadPoolExecutor(16) as pool:
+        for at in range(0, len(paths), HEADS):
+            part = paths[at : at + HEADS]
+            yield list(zip(part, pool.map(lambda p: head(spark, p, n), part)))
+
+
 def discover(spark: SparkSession, path: str, extensions: list[str] = EXTENSIONS, skip: list[str] = SKIPPED, max_depth: int | None = None) -> DataFrame:
-    """(path, size, extension, format, confidence) of the files below path, by path; a missing path gives no rows."""
+    """(path, size, extension, format, confidence) of the files below path, by path; a missing path gives no rows.
+
+    Files are listed by Spark; of each only the head is read.
+    """
+    schema = "path string, size bigint, extension string, format string, confidence double"
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
-        return spark.createDataFrame([], "path string, size bigint, extension string, format string, confidence double")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+        return spark.createDataFrame([], schema)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("size"))
     below = F.replace(F.col("path"), F.lit(path.rstrip("/")), F.lit(""))
-    parts = F.filter(F.split(below, "/"), lambda p: p != "")
-    files = files.withColumns({"extension": ext, "_parts": parts}).filter(F.col("extension").isin(extensions))
+    files = files.withColumns({"extension": F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)), "_parts": F.filter(F.split(below, "/"), lambda p: p != "")})
+    files = files.filter(F.col("extension").isin(extensions))
     files = files.filter(~F.exists(F.slice("_parts", 1, F.greatest(F.size("_parts") - 1, F.lit(0))), lambda p: p.isin(skip)))
     if max_depth is not None:
         files = files.filter(F.size("_parts") <= max_depth + 1)
-    head = F.substring("content", 1, SAMPLE)
-    kind = detect(head, F.col("extension"))
-    return files.select("path", F.col("length").alias("size"), "extension", kind["format"].alias("format"), kind["confidence"].alias("confidence")).orderBy("path")
+    found = {r["path"]: (r["size"], r["extension"]) for r in files.select("path", "size", "extension").collect()}  # one row a file
+    rows = []
+    for part in _heads(spark, sorted(found)):
+        batch = spark.createDataFrame([(p, *found[p], bytearray(h)) for p, h in part], "path string, size bigint, extension string, head binary")
+        kind = detect(F.col("head"), F.col("extension"))
+        rows += [tuple(r) for r in batch.select("path", "size", "extension", kind["format"], kind["confidence"]).collect()]
+    return spark.createDataFrame(rows, schema).orderBy("path")
 
 
 def detect(head: Column, extension: Column) -> Column:
@@ -58,34 +96,70 @@ def detect(head: Column, extension: Column) -> Column:
     return F.struct(F.coalesce(said, named, F.lit("unknown")).alias("format"), sure.alias("confidence"))
 
 
-def _numbered(df: DataFrame, raw: Column) -> DataFrame:
-    """record_index from 0 in file order, per file: the scan's position orders rows within a file."""
-    df = df.select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), raw.alias("raw"), F.monotonically_increasing_id().alias("_i"))
-    name = F.regexp_extract("_f", r"([^/]+)$", 1)
-    w = Window.partitionBy("_f").orderBy("_b", "_i")
-    return df.withColumn("record_index", F.row_number().over(w) - 1).select(name.alias("source_name"), "record_index", "raw")
+def _numbered(df: DataFrame, raw: Column, keep: Column | None = None) -> DataFrame:
+    """(source_name, record_index, raw) of the kept rows, record_index from 0 in file order; ``raw`` may use ``_line``, the
+    row's number in the file from 1.
+
+    A block of a file is read by one task in order, so an id that grows in steps of one within the task numbers its rows
+    when the block's first id is taken off. Only the blocks' first ids and sizes are gathered; no file meets in one task.
+    """
+    fixed = [F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b")]
+    rows = df.select("*", *fixed, F.monotonically_increasing_id().alias("_p"))
+    kept = (rows if keep is None else rows.filter(keep)).withColumn("_i", F.monotonically_increasing_id())
+    starts = _starts(kept, "_i", "_r").join(_starts(rows, "_p", "_l"), ["_f", "_b"])
+    starts = written(starts, "blocks")
+    out = kept.join(small(starts), ["_f", "_b"])
+    out = out.withColumns({"record_index": F.col("_i") + F.col("_r"), "_line": F.col("_p") + F.col("_l") + 1})
+    return out.select(F.regexp_extract("_f", r"([^/]+)$", 1).alias("source_name"), "record_index", raw.alias("raw"))
+
+
+def _starts(rows: DataFrame, number: str, made: str) -> DataFrame:
+    """(_f, _b, made) of each block: what turns an id of one of its rows into the row's number in the file."""
+    per = rows.groupBy("_f", "_b").agg(F.min(number).alias("_m"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return per.select("_f", "_b", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_m")).alias(made))
 
 
 def with_event_ids(df: DataFrame, source_format: str) -> DataFrame:
-    """Adds source_format and event_id: the file's stem and the row's number."""
+    """Adds source_format and event_id: the file's stem and the row's number from 0."""
     stem = F.regexp_replace("source_name", r"\.[^.]*$", "")
-    return df.withColumns({"source_format": F.lit(source_format), "event_id": F.format_string("%s-%06d", stem, F.col("record_index") + 1)})
+    return df.withColumns({"source_format": F.lit(source_format), "event_id": F.format_string("%s-%06d", stem, "record_index")})
+
+
+def dialect(sample: str) -> tuple[str, str]:
+    """(delimiter, header line): of comma, tab, semicolon and bar the one that every line of the sample has most of."""
+    lines = [x for x in sample.splitlines() if x.strip()]
+    whole = lines[:-1] if len(lines) > 1 and not sample.endswith(("\n", "\r")) else lines
+    if not whole:
+        return ",", ""
+    return max([",", "\t", ";", "|"], key=lambda d: (min(x.count(d) for x in whole), whole[0].count(d))), lines[0]
 
 
 @readers.register("csv")
-def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """Header row, all text, empty cells null; the delimiter is the most frequent of comma, tab, semicolon, bar in the head."""
-    if sep is None:
-        head = spark.read.text(path).limit(1).collect()
-        first = head[0][0] if head else ""
-        sep = max([",", "\t", ";", "|"], key=first.count)
-    rows = spark.read.option("header", True).option("sep", sep).option("nullValue", "").option("multiLine", True).option("inferSchema", False).csv(path)
-    rows = rows.withColumnsRenamed({c: c.lstrip("﻿") for c in rows.columns})
-    return _numbered(rows, F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))
+def read_csv(spark: SparkSession, path: Paths, sep: str | None = None, encoding: str = "UTF-8", multiline: bool = True) -> DataFrame:
+    """Header row, all text, empty cells null; files are read together where delimiter and header agree.
+
+    The delimiter is judged for each file from its first 4,096 characters. ``multiline=False`` lets large files without
+    line ends inside quotes be split.
+    """
+    paths, alike = [path] if isinstance(path, str) else path, defaultdict(list)
+    files = [f for p in paths for f in spark.read.format("binaryFile").load(p).select("path").toPandas()["path"]]
+    for part in _heads(spark, files, 4096):
+        for p, h in part:
+            found, header = dialect(h.decode(encoding, "replace"))
+            alike[sep or found, header].append(p)
+    out = None
+    for (d, _), same in alike.items():
+        reader = spark.read.option("header", True).option("sep", d).option("nullValue", "").option("multiLine", multiline).option("encoding", encoding).option("inferSchema", False)
+        rows = reader.csv(same)
+        rows = rows.withColumnsRenamed({c: c.lstrip("\ufeff") for c in rows.columns})
+        rows = _numbered(rows, F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))
+        out = rows if out is None else out.union(rows)
+    return out if out is not None else spark.createDataFrame([], "source_name string, record_index bigint, raw string")
 
 
 @readers.register("json")
-def read_json(spark: SparkSession, path: str) -> DataFrame:
+def read_json(spark: SparkSession, path: Paths) -> DataFrame:
     """Documents: arrays give rows; objects the rows of their first wrapper key, or one row; list items _row, scalars value."""
     docs = spark.read.option("wholetext", True).text(path).select("*", F.col("_metadata.file_path").alias("_f"))
     body = F.regexp_replace("value", "^﻿", "")
@@ -101,102 +175,143 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 @readers.register("jsonl")
-def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """One row a line; blank lines are skipped, a malformed line is kept as _raw_line with _parse_error."""
+def read_jsonl(spark: SparkSession, path: Paths) -> DataFrame:
+    """One row a line; blank lines are skipped, a malformed line is kept as _raw_line with _parse_error and its number."""
     lines = spark.read.text(path)
     ok = F.try_parse_json("value").isNotNull()
     body = F.trim("value")
-    bad = F.to_json(F.struct(F.col("value").alias("_raw_line"), F.lit("JSONL line is not JSON").alias("_parse_error")))
+    bad = F.to_json(F.struct(body.alias("_raw_line"), F.concat(F.lit("JSONL line "), F.col("_line").cast("string"), F.lit(": no JSON")).alias("_parse_error")))
     raw = F.when(~ok, bad).when(body.startswith("{"), body).otherwise(F.concat(F.lit('{"value":'), body, F.lit("}")))
-    return _numbered(lines.filter(body != ""), raw)
+    return _numbered(lines, raw, body != "")
 
 
 @readers.register("xml")
-def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:
-    """Children of the root with the first child's tag; attributes @name; of repeated tags the last value."""
-    if row_tag is None:
-        head = spark.read.option("wholetext", True).text(path).select(F.regexp_extract("value", r"(?s)^\s*(?:<\?.*?\?>\s*)?<[^>]+>\s*<([^\s/>]+)", 1)).first()
-        row_tag = head[0] if head else "row"
-    rows = spark.read.option("rowTag", row_tag).option("attributePrefix", "@").option("valueTag", "#text").option("inferSchema", False).xml(path)
-    last = [F.element_at(F.col(f"`{f.name}`"), -1).alias(f.name) if f.dataType.typeName() == "array" else F.col(f"`{f.name}`") for f in rows.schema.fields]
-    name = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1)).first()[0]
-    body = rows.select(F.to_json(F.struct(*last)).alias("raw"), F.monotonically_increasing_id().alias("_i"))
-    return body.select(F.lit(name).alias("source_name"), (F.row_number().over(Window.orderBy("_i")) - 1).alias("record_index"), "raw")
-
-
-# Leading timestamps of log lines, and key=value pairs.
+def read_xml(spark: SparkSession, path: Paths, row_tag: str | None = None) -> DataFrame:
+    """Children of the root with the first child's tag; attributes @name; of repeated tags the last value.
+
+    Files are read together where that tag agrees; fields that a file lacks are left out of its rows.
+    """
+    paths, alike = [path] if isinstance(path, str) else path, defaultdict(list)
+    files = [f for p in paths for f in spark.read.format("binaryFile").load(p).select("path").toPandas()["path"]]
+    for part in _heads(spark, files):
+        for p, h in part:
+            first = re.match(r"(?s)\s*(?:<\?.*?\?>\s*|<!.*?>\s*)*<[^>]+>\s*(?:<!--.*?-->\s*)*<([^\s/>]+)", h.decode("utf-8", "replace").lstrip("\ufeff"))
+            alike[row_tag or (first[1] if first else "row")].append(p)
+    out = None
+    for tag, same in alike.items():
+        rows = spark.read.option("rowTag", tag).option("attributePrefix", "@").option("valueTag", "#text").option("inferSchema", False).xml(",".join(same))
+        last = [F.element_at(F.col(f"`{f.name}`"), -1).alias(f.name) if f.dataType.typeName() == "array" else F.col(f"`{f.name}`") for f in rows.schema.fields]
+        rows = _numbered(rows, F.to_json(F.struct(*last)))
+        out = rows if out is None else out.union(rows)
+    return out if out is not None else spark.createDataFrame([], "source_name string, record_index bigint, raw string")
+
+
+# Timestamps of log lines in search order, and key=value pairs.
 LOG_TIMES = [
-    r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?",
-    r"\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}",
-    r"\d{1,2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2}",
-    r"[A-Z][a-z]{2}\s+\d{1,2} \d{2}:\d{2}:\d{2}",
+    r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?Z?",
+    r"\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2}",
+    r"\d{2}-[A-Za-z]{3}-\d{4}\s+\d{2}:\d{2}:\d{2}",
+    r"\[\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?Z?\]",
 ]
-LOG_PAIR = r"([A-Za-z_][A-Za-z0-9_.\-]*)[=:](\"[^\"]*\"|\S+)"
+LOG_PAIR = r"(\w[\w.\-]*)\s*[=:]\s*(\"[^\"]*\"|'[^']*'|\[[^\]]*\]|\S+)"
 
 
 def log_fields(line: Column) -> Column:
-    """Map of a log line: timestamp, message, its key=value pairs (the last of a key), and the line itself."""
-    times = [F.nullif(F.regexp_extract(line, p, 0), F.lit("")) for p in LOG_TIMES]
-    stamp = F.coalesce(*[F.when(event_timestamp(t).isNotNull(), t) for t in times])
+    """Map of a log line: timestamp, its key=value pairs (the last of a key), message, and the line itself.
+
+    The message is the line without its timestamps and without each pair's value, once; keys stay.
+    """
+    times = [F.nullif(F.btrim(F.regexp_extract(line, p, 0), F.lit("[]")), F.lit("")) for p in LOG_TIMES]
+    stamp = F.coalesce(*[event_timestamp(t) for t in times])
+    pairs = lambda i: F.regexp_extract_all(line, F.lit(LOG_PAIR), F.lit(i))
+    values = F.transform(pairs(2), lambda v: F.btrim(F.btrim(F.trim(v), F.lit('"')), F.lit("'")))
     rest = line
     for p in LOG_TIMES:
         rest = F.regexp_replace(rest, p, "")
-    pairs = lambda i: F.regexp_extract_all(rest, F.lit(LOG_PAIR), F.lit(i))
-    values = F.transform(pairs(2), lambda v: F.btrim(v, F.lit('"')))
-    message = F.trim(F.regexp_replace(F.regexp_replace(rest, LOG_PAIR, ""), " +", " "))
-    base = F.create_map(F.lit("timestamp"), stamp, F.lit("message"), message, F.lit("_raw_line"), line)
-    both = F.concat(F.map_entries(base), F.arrays_zip(pairs(1).alias("key"), values.alias("value")))
+    without = lambda text, v: F.when(F.position(v, text) > 0, F.concat(F.substring(text, F.lit(1), F.position(v, text) - 1), F.substring(text, F.position(v, text) + F.length(v), F.length(text)))).otherwise(text)
+    rest = F.aggregate(pairs(2), rest, without)
+    message = F.nullif(F.trim(F.regexp_replace(rest, r"\s{2,}", " ")), F.lit(""))
+    entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    both = F.concat(F.array(entry("timestamp", stamp)), F.arrays_zip(pairs(1).alias("key"), values.alias("value")), F.array(entry("message", message), entry("_raw_line", line)))
+    both = F.filter(both, lambda e: e["value"].isNotNull())
     # The last entry of a key stands.
     return F.map_from_entries(F.filter(F.transform(both, lambda e, i: F.when(~F.exists(F.slice(both, i + 2, F.size(both)), lambda x: x["key"] == e["key"]), e)), lambda e: e.isNotNull()))
 
 
 @readers.register("text_log")
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    return _numbered(lines, F.to_json(log_fields(F.col("value"))))
+def read_log(spark: SparkSession, path: Paths) -> DataFrame:
+    return _numbered(spark.read.text(path), F.to_json(log_fields(F.col("value"))), F.trim("value") != "")
 
 
 @readers.register("parquet")
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.parquet(path)
+def read_parquet(spark: SparkSession, path: Paths) -> DataFrame:
+    rows = spark.read.parquet(*([path] if isinstance(path, str) else path))
     return _numbered(rows, F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))
 
 
 @readers.register("excel")
-def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """Needs openpyxl; every sheet, first row as header."""
+def read_excel(spark: SparkSession, path: Paths) -> DataFrame:
+    """Needs openpyxl; every sheet, first row as header. Workbooks (small by their format) are read by the tasks."""
     try:
-        import openpyxl
+        import openpyxl  # noqa: F401
     except ImportError as e:
         raise RuntimeError("reading Excel files needs the optional package openpyxl") from e
-    import json
 
-    rows = []
-    for sheet in openpyxl.load_workbook(path, read_only=True, data_only=True).worksheets:
-        it = sheet.iter_rows(values_only=True)
-        head = [c if c is not None else f"col{i}" for i, c in enumerate(next(it, ()))]
-        rows += [json.dumps(dict(zip(head, r)), default=str) for r in it if any(c is not None for c in r)]
-    name = path.rsplit("/", 1)[-1]
-    return spark.createDataFrame([(name, i, r) for i, r in enumerate(rows)], "source_name string, record_index int, raw string")
+    def run(batches):
+        import io
+        import json
+
+        import openpyxl
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for name, content in zip(b["path"], b["content"]):
+                n = 0
+                for sheet in openpyxl.load_workbook(io.BytesIO(content), read_only=True, data_only=True).worksheets:
+                    it = sheet.iter_rows(values_only=True)
+                    top = [c if c is not None else f"col{i}" for i, c in enumerate(next(it, ()))]
+                    for r in it:
+                        if any(c is not None for c in r):
+                            rows.append((name.rsplit("/", 1)[-1], n, json.dumps(dict(zip(top, r)), default=str)))
+                            n += 1
+            yield pd.DataFrame(rows, columns=["source_name", "record_index", "raw"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "source_name string, record_index bigint, raw string")
 
 
-def ingest(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Raw rows of all files below path whose format has a reader, in file order; ``limit`` counts rows over all files."""
+def ingest(spark: SparkSession, path: str, limit: int | None = None, limit_per_file: int | None = None) -> DataFrame:
+    """Raw rows of all files below path whose format has a reader; ``limit`` counts rows over all files, in file order.
+
+    The files of a format are read together, so the plan grows with the formats and not with the files.
+    """
+    alike = defaultdict(list)
+    for f in discover(spark, path).select("path", "format").collect():  # one row a file
+        alike[f["format"]].append(f["path"])
     out = None
-    for f in discover(spark, path).collect():  # one row a file
-        reader = readers.get(f["format"])
+    for kind, paths in sorted(alike.items()):
+        reader = readers.get(kind)
         if reader:
-            rows = with_event_ids(reader(spark, f["path"]).withColumn("record_index", F.col("record_index").cast("bigint")), f["format"])
+            rows = with_event_ids(reader(spark, paths).withColumn("record_index", F.col("record_index").cast("bigint")), kind)
             out = rows if out is None else out.unionByName(rows)
     if out is None:
         out = spark.createDataFrame([], "source_name string, record_index bigint, raw string, source_format string, event_id string")
+    if limit_per_file and limit_per_file > 0:
+        out = out.filter(F.col("record_index") < limit_per_file)
     return out.orderBy("source_name", "record_index").limit(limit) if limit and limit > 0 else out
 
 
+def skipped_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, reason) of the files that no reader takes."""
+    found = discover(spark, path)
+    return found.filter(~F.col("format").isin(readers.keys())).select("path", F.concat(F.lit("no parser for format "), "format").alias("reason"))
+
+
 def ingest_summary(events: DataFrame) -> DataFrame:
     """Rows and errors by format and file, by format, and in all."""
     error = F.count_if(F.get_json_object("raw", "$._parse_error").isNotNull())
     return events.rollup("source_format", "source_name").agg(F.count("*").alias("records"), error.alias("errors"))
 
 
-__all__ = ["detect", "discover", "ingest", "ingest_summary", "log_fields", "with_event_ids"]
+__all__ = ["detect", "dialect", "discover", "ingest", "ingest_summary", "log_fields", "skipped_files", "with_event_ids"]
