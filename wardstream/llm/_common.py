@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,36 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Used only where a local session (tests, a laptop) names no shared folder.
-FALLBACK_SHARED = "/tmp/checkpoints"
+from .. import session
+
 #: Rows that may be broadcast; beyond it the caller joins by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 #: Scratch paths made inside each open scope, innermost last.
 _SCOPES: list[list[str]] = []
-#: Scratch roots that the JVM already removes when it ends.
-_ROOTS: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; only a local master may do without."""
-    context = spark.sparkContext
-    conf = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf and not re.match(r"local(\[|$)", context.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (conf or f"{FALLBACK_SHARED}/{context.applicationId}").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the application's scratch folder, which goes when the application ends."""
-    root = f"{shared_dir(spark)}/scratch/{spark.sparkContext.applicationId}"
-    if root not in _ROOTS:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-        system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        system.mkdirs(at)
-        system.deleteOnExit(at)
-        _ROOTS.add(root)
-    path = f"{root}/{tag}-{uuid.uuid4().hex}"
+    """A fresh path below the application's scratch folder, which goes when the scope or the application ends."""
+    path = session.scratch_path(spark, tag)
     for scope in _SCOPES[-1:]:
         scope.append(path)
     return path
