@@ -59,6 +59,8 @@ def canonicalize(df: DataFrame, ipv6: bool = True) -> DataFrame:
     df = df.withColumns({f"_{f}": S.event_ip(F.col(f"_{f}_text"), ipv6) for f in ("source_ip", "dest_ip")})
     typed = {"source_ip": F.col("_source_ip"), "dest_ip": F.col("_dest_ip"), "port": S.safe_long(m["port"]).cast("int"), "dest_port": S.safe_long(m["dest_port"]).cast("int")}
     invalid = [x for f, v in typed.items() for x in (F.lit(f"_invalid_{f}"), F.when(m[f].isNotNull() & (m[f] != "") & v.isNull(), m[f]))]
+    odd = F.when(S.event_timestamp(m["timestamp"]).isNull() & (m["timestamp"] != ""), m["timestamp"])
+    invalid += [F.lit("_unparsed_timestamp"), odd]
     rest = F.map_from_entries(F.transform("_rest", lambda e: F.struct(e["k"], e["v"])))
     attributes = F.map_concat(rest, F.map_filter(F.create_map(*invalid), lambda k, v: v.isNotNull()))
     text = {f: F.nullif(S.strip(m[f]), F.lit("")) for f in TEXT_FIELDS}
@@ -77,6 +79,16 @@ def normalize(df: DataFrame) -> DataFrame:
     return df.withColumns(new | {"attributes": spaced, "normalization_actions": F.filter(acts, lambda x: x.isNotNull())})
 
 
+def light_issues() -> Column:
+    """Array of texts of the four structural checks of one event."""
+    c = F.col
+    return F.array_compact(F.array(
+        F.when(F.coalesce(c("event_id"), F.lit("")) == "", "missing event_id"), F.when(c("source_format") == "unknown", "unknown source format"),
+        F.when(~F.coalesce(c("event_type").isin(vocab.EVENT_TYPES), F.lit(False)), F.concat(F.lit("unrecognized event_type: "), F.coalesce("event_type", F.lit("none")))),
+        F.when((c("severity") != "") & ~c("severity").isin(vocab.SEVERITIES), F.concat(F.lit("unrecognized severity: "), "severity")),
+    ))
+
+
 def validate(df: DataFrame) -> DataFrame:
     """Adds ``issues`` (code, field, severity) and validation_status."""
     c = F.col

@@ -203,6 +203,51 @@ def label_map(spark: SparkSession, extra: list[tuple[str, str, str, str]] = ())
     return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "source string, label string, classification string, attack_category string, ord int")
 
 
+def label_overrides(text: str, source: str) -> list[tuple[str, str, str, str]]:
+    """Rows for label_map from the YAML text of a label file, whose name is the source's.
+
+    ``labels`` maps a label to its classification and attack_category (unknown ones become suspicious and other), or to a
+    classification alone (an unknown one is left out, the category is other).
+    """
+    doc = _yaml(text)
+    labels = doc.get("labels", doc) if isinstance(doc, dict) else None
+    rows = []
+    for label, held in labels.items() if isinstance(labels, dict) else ():
+        if isinstance(held, dict):
+            cls, category = held.get("classification", "suspicious"), held.get("attack_category", "other")
+            rows.append((source, str(label), cls if cls in vocab.CLASSIFICATIONS else "suspicious", category if category in vocab.ATTACK_CATEGORIES else "other"))
+        elif isinstance(held, str) and held in vocab.CLASSIFICATIONS:
+            rows.append((source, str(label), held, "other"))
+    return rows
+
+
+def _yaml(text: str) -> dict:
+    """Nested mappings of plain scalars; the optional package yaml reads more."""
+    try:
+        import yaml
+
+        return yaml.safe_load(text) or {}
+    except ImportError:
+        pass
+    root: dict = {}
+    open_at = [(-1, root)]
+    for line in text.splitlines():
+        body = line.strip()
+        if not body or body.startswith("#") or ":" not in body:
+            continue
+        depth = len(line) - len(line.lstrip())
+        while depth <= open_at[-1][0]:
+            open_at.pop()
+        key, _, value = body.rpartition(":") if body.endswith(":") else body.partition(": ")
+        key, value = (x.strip().strip("\"'") for x in (key, value))
+        if value:
+            open_at[-1][1][key] = value
+        else:
+            open_at[-1][1][key] = {}
+            open_at.append((depth, open_at[-1][1][key]))
+    return root
+
+
 def resolve_labels(labels: DataFrame, maps: DataFrame) -> DataFrame:
     """Distinct (source, source_label) with match_kind (mapped, ambiguous, unknown), class, category and matched label.
 

@@ -68,6 +68,11 @@ def investigation(df: DataFrame) -> DataFrame:
     return _agent(df, F.col("status") == "completed", "steps", [_share(right, F.count("*")).alias("conclusion_accuracy")])
 
 
+def conclusions(df: DataFrame) -> DataFrame:
+    """(conclusion, n) of the investigations; none for those without."""
+    return df.groupBy(F.coalesce("conclusion", F.lit("none")).alias("conclusion")).agg(F.count("*").alias("n"))
+
+
 def threat_intel(df: DataFrame) -> DataFrame:
     """One row. Needs status, tools (the tool of each step), findings, attempts and candidates (indicators found)."""
     used = lambda keep: _total(_size(F.filter("tools", keep)))

@@ -86,7 +86,7 @@ def detect(head: Column, extension: Column) -> Column:
         .when(text == "", None)
         .when(text.startswith("<") & ~text.rlike(r"^<\d+>"), "xml")
         .when(braced & F.try_parse_json(line).isNotNull() & text.rlike(r"^[^\r\n]*[\r\n]+\s*\S"), "jsonl")
-        .when(braced & F.try_parse_json(text).isNotNull(), "json")
+        .when(braced & (F.try_parse_json(text).isNotNull() | (F.length(head) >= SAMPLE)), "json")  # a document longer than the sample
         .when(delimited, "csv")
         .otherwise("text_log")
     )
@@ -199,7 +199,7 @@ def read_xml(spark: SparkSession, path: Paths, row_tag: str | None = None) -> Da
             alike[row_tag or (first[1] if first else "row")].append(p)
     out = None
     for tag, same in alike.items():
-        rows = spark.read.option("rowTag", tag).option("attributePrefix", "@").option("valueTag", "#text").option("inferSchema", False).xml(",".join(same))
+        rows = spark.read.option("rowTag", tag).option("attributePrefix", "@").option("valueTag", "#text").option("inferSchema", False).xml(same)
         last = [F.element_at(F.col(f"`{f.name}`"), -1).alias(f.name) if f.dataType.typeName() == "array" else F.col(f"`{f.name}`") for f in rows.schema.fields]
         rows = _numbered(rows, F.to_json(F.struct(*last)))
         out = rows if out is None else out.union(rows)

@@ -18,6 +18,25 @@ def write_by(df: DataFrame, path: str, column: str = "status") -> None:
     df.write.partitionBy(column).option("ignoreNullFields", False).json(path)
 
 
+def write_audit(df: DataFrame, path: str, column: str = "status") -> dict:
+    """All rows by status below path/data, and their counts in path/audit.json, which is returned."""
+    write_by(df, f"{path}/data", column)
+    counts = {r[0]: r[1] for r in df.groupBy(column).count().collect()}  # a row for each status
+    report = {"records": sum(counts.values()), "status": counts}
+    write_text(df.sparkSession, f"{path}/audit.json", json.dumps(report, indent=2, sort_keys=True))
+    return report
+
+
+def write_splits(df: DataFrame, path: str, column: str = "split") -> dict:
+    """Training splits as JSON lines in a folder each below path/data, and path/metadata.json: counts and file hashes."""
+    write_by(df, f"{path}/data", column)
+    counts = {r[0]: r[1] for r in df.groupBy(column).count().collect()}
+    splits = {s: {"count": n, "sha256": file_hashes(df.sparkSession, f"{path}/data/{column}={s}")} for s, n in counts.items()}
+    meta = {"schema_version": "sft-chat-v1", "splits": splits}
+    write_text(df.sparkSession, f"{path}/metadata.json", json.dumps(meta, indent=2, sort_keys=True))
+    return meta
+
+
 def write_valid(df: DataFrame, path: str, errors: str = "issues", score: str = "quality_score", least: int = 70) -> None:
     """Rows without errors and with the least score under validated, the others under rejected."""
     bad = F.exists(errors, lambda i: i["severity"] == "error") | (F.coalesce(F.col(score), F.lit(100)) < least)
@@ -59,6 +78,12 @@ def file_hashes(spark: SparkSession, path: str) -> dict[str, str]:
     return {r[0]: r[1] for r in files.select(F.regexp_extract("path", r"([^/]+)$", 1), F.sha2("content", 256)).collect()}
 
 
+def checksum_matches(spark: SparkSession, path: str, expected: str) -> bool:
+    """Whether the SHA-256 of a file is the expected one, in any case."""
+    held = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()
+    return bool(held) and held[0] == expected.strip().lower()
+
+
 def load_version(spark: SparkSession, base: str, version: str) -> DataFrame:
     return spark.read.parquet(f"{base.rstrip('/')}/v{version}/data")
 
@@ -128,3 +153,9 @@ def report_markdown(row: dict, classes: list[tuple[str, int]], complete: list[tu
     lines += [f"| {c} | {n} |" for c, n in sorted(classes, key=lambda x: -x[1])]
     lines += ["", *[f"{'█' * round(v * 20):<20} {v:.2%} {f}" for f, v in sorted(complete, key=lambda x: -x[1])]]
     return "\n".join(lines)
+
+
+def benchmark_markdown(rows: list[tuple[str, float, float]]) -> str:
+    """A comparison of two runs: (metric, base, tuned) with the difference."""
+    lines = ["# Benchmark", "", "| metric | base | tuned | delta |", "| --- | --- | --- | --- |"]
+    return "\n".join([*lines, *[f"| {m} | {a:.4f} | {b:.4f} | {b - a:+.4f} |" for m, a, b in rows]])

@@ -21,6 +21,35 @@ def unique(stream: DataFrame) -> DataFrame:
     return prepare(stream).filter("status <> 'rejected'").dropDuplicates(["fingerprint"])
 
 
+def outcomes(stream: DataFrame) -> DataFrame:
+    """Every row of the stream with its outcome: record_id, fingerprint, status and duplicate_of; nothing is dropped.
+
+    The first row of a fingerprint that comes is kept in the state; rejected rows have no state of their own.
+    """
+    rows = prepare(stream)
+    bad = F.col("status") == "rejected"
+    rows = rows.select("record_id", "record_index", "fingerprint", "status", F.when(bad, F.concat(F.lit("rejected/"), F.coalesce("record_id", F.lit("")))).otherwise(F.col("fingerprint")).alias("state_key"))
+
+    def run(key, batches, state):
+        import pandas as pd
+
+        rows = pd.concat(list(batches)).sort_values(["record_index", "record_id"])
+        first = state.get[0] if state.exists else None
+        out = []
+        for rid, fp, status in zip(rows["record_id"], rows["fingerprint"], rows["status"]):
+            if status == "rejected":
+                out.append((rid, fp, status, None))
+                continue
+            out.append((rid, fp, "duplicate" if first is not None else status, first))
+            first = rid if first is None else first
+        if first is not None:
+            state.update((first,))
+        yield pd.DataFrame(out, columns=["record_id", "fingerprint", "status", "duplicate_of"])
+
+    made = "record_id string, fingerprint string, status string, duplicate_of string"
+    return rows.groupBy("state_key").applyInPandasWithState(run, made, "first string", "append", GroupStateTimeout.NoTimeout)
+
+
 def unique_within(stream: DataFrame, event_time: str, delay: str) -> DataFrame:
     """First of each fingerprint within the watermark's delay: bounded state."""
     return prepare(stream).filter("status <> 'rejected'").withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["fingerprint"])
