@@ -41,31 +41,52 @@ def overall(df: DataFrame, label: str, fields: list[str], fp: str, valid: Column
     """One row: n, balance, completeness, duplicates, validity, label coverage and the weighted score."""
     base = df.agg(
         F.count("*").alias("n"), F.avg(valid.cast("double")).alias("validity"), F.avg(F.col(label).isNotNull().cast("double")).alias("label_coverage"),
-        *[(F.count(f) / F.count("*")).alias(f"c_{i}") for i, f in enumerate(fields)],
+        *[F.try_divide(F.count(f), F.count("*")).alias(f"c_{i}") for i, f in enumerate(fields)],
     )
     row = base.crossJoin(F.broadcast(balance_score(df, label))).crossJoin(F.broadcast(duplicate_count(df, fp)))  # one row each
     complete = reduce(lambda a, b: a + b, [rounded(F.col(f"c_{i}")) for i in range(len(fields))]) / len(fields)
-    unique = 1.0 - F.col("duplicates") / F.col("n")
+    unique = 1.0 - F.try_divide(F.col("duplicates"), F.col("n"))
     # Weights of the score.
     score = F.col("validity") * 0.30 + F.col("balance") * 0.20 + complete * 0.25 + unique * 0.15 + F.col("label_coverage") * 0.10
     return row.select("n", "balance", rounded(complete).alias("completeness"), "duplicates", rounded(F.col("validity")).alias("validity"), rounded(F.col("label_coverage")).alias("label_coverage"), rounded(score).alias("score"))
 
 
-def quality_issues(row: DataFrame) -> DataFrame:
-    """The report row with the issues and recommendations its figures call for."""
+def quality_issues(row: DataFrame, histogram: DataFrame | None = None) -> DataFrame:
+    """The report row with the issues and recommendations its figures call for; a histogram tells of a dominant class."""
     c = F.col
+    if histogram is None:
+        row = row.withColumn("_largest", F.lit(None).cast("bigint"))
+    else:
+        row = row.crossJoin(F.broadcast(histogram.agg(F.max("n").alias("_largest"))))  # one row
     # Thresholds of the report.
     issues = [
         F.when(c("balance") < 0.3, "severe class imbalance").when(c("balance") < 0.6, "moderate class imbalance"),
         F.when(c("validity") < 0.9, "more than a tenth of the records are invalid"),
         F.when(c("duplicates") > 0.05 * c("n"), "more than one record in twenty is a duplicate"),
         F.when(c("label_coverage") < 0.5, "fewer than half of the records have a label"),
+        F.when(c("_largest") > 0.9 * c("n"), "one class holds over nine tenths of the records"),
     ]
     advice = [
         F.when(c("balance") < 0.5, "balance the classes"), F.when(c("label_coverage") < 0.9, "label the unlabeled records"),
         F.when(c("duplicates") > 0, "remove duplicates"), F.when(c("score") < 0.5, "improve the data before training").when(c("score") >= 0.8, "ready for training"),
     ]
-    return row.withColumns({"issues": F.array_compact(F.array(*issues)), "recommendations": F.array_compact(F.array(*advice))})
+    return row.withColumns({"issues": F.array_compact(F.array(*issues)), "recommendations": F.array_compact(F.array(*advice))}).drop("_largest")
+
+
+def analyze(df: DataFrame, label: str, fields: list[str], fp: str, valid: Column) -> DataFrame:
+    """The whole report as one row; a data set without rows has zeros and says that it is empty."""
+    row = overall(df, label, fields, fp, valid)
+    row = row.na.fill(0.0, ["balance", "completeness", "validity", "label_coverage", "score"]).na.fill(0, ["duplicates"])
+    out = quality_issues(row, class_histogram(df, label))
+    empty = F.col("n") == 0
+    return out.withColumns({"issues": F.when(empty, F.array(F.lit("Dataset is empty"))).otherwise(F.col("issues")), "recommendations": F.when(empty, F.array().cast("array<string>")).otherwise(F.col("recommendations"))})
+
+
+def lexical_hint(text: Column, words: dict[str, list[str]]) -> Column:
+    """The first group of which the text holds a word, in any case; else none."""
+    low = F.lower(text)
+    says = lambda ws: reduce(lambda a, b: a | b, [low.contains(w) for w in ws])
+    return F.coalesce(*[F.when(says(ws), F.lit(k)) for k, ws in words.items()], F.lit("none"))
 
 
 def record_score() -> Column:
