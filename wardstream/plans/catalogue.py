@@ -494,11 +494,18 @@ def sft_messages_json(spark, sf):
     return g.select("conv_id", F.md5(text).alias("digest"), training.example_reason().alias("reason"))
 
 
-@query(f"""WITH {OUTCOME} SELECT record_id, '## Security Alert for Triage' || chr(10) || chr(10) || '**Alert**: ' || CASE WHEN src_ip IS NOT NULL THEN 'Network Activity: ' || src_ip || ' → ' || dst_ip ELSE 'Security Event Detected' END AS head, '**[EVT-' || lpad(CAST(record_index + 1 AS VARCHAR), 6, '0') || ']**' AS evidence FROM outcome WHERE status = 'rejected'""")
+_TITLES = {c: f"{c.replace('_', ' ').title()} Activity Detected" for c in vocab.ATTACK_CATEGORIES if c != "none"}
+_CATEGORY = "CASE WHEN status IN ('rejected', 'duplicate') THEN NULL WHEN source_label IS NULL OR status = 'review_required' THEN 'other' ELSE b.a END"
+
+
+@query(f"""WITH {OUTCOME} SELECT record_id, '## Security Alert for Triage' || chr(10) || chr(10) || '**Alert**: ' || coalesce({sql_case(_CATEGORY, _TITLES)}, CASE WHEN src_ip IS NOT NULL THEN 'Network Activity: ' || src_ip || ' → ' || dst_ip ELSE 'Security Event Detected' END)
+  || chr(10) || '**Severity**: medium' || chr(10) || '**Source**: ' || source || chr(10) || '**Timestamp**: ' || timestamp || chr(10) || chr(10) || '### Context' || CASE WHEN src_ip IS NOT NULL THEN chr(10) || '- **Source IP**: ' || src_ip ELSE '' END
+  || chr(10) || '- **Destination IP**: ' || dst_ip || chr(10) || chr(10) || '### Evidence' || chr(10) || '**[EVT-' || lpad(CAST(record_index + 1 AS VARCHAR), CAST(greatest(6, length(CAST(record_index + 1 AS VARCHAR))) AS INT), '0') || ']** Network flow record:'
+  || CASE WHEN src_ip IS NOT NULL THEN chr(10) || '  Source: ' || src_ip || CASE WHEN src_port > 0 THEN ':' || src_port ELSE '' END ELSE '' END || chr(10) || '  Destination: ' || dst_ip || ':443' || chr(10) || '  Protocol: ' || protocol || chr(10) || '  Bytes sent: ' || bytes_sent AS prompt FROM outcome""")
 def prompt_rendering(spark, sf):
-    out = records.run_pipeline(flows(spark, sf), records.label_map(spark), ipv6=False).filter("status = 'rejected'")
-    p = training.user_prompt()
-    return out.select("record_id", F.array_join(F.slice(F.split(p, "\n"), 1, 3), "\n").alias("head"), F.regexp_extract(p, r"\*\*\[EVT-\d+\]\*\*", 0).alias("evidence"))
+    """The whole prompt of every record, whatever its outcome."""
+    out = records.run_pipeline(flows(spark, sf), records.label_map(spark), ipv6=False)
+    return out.select("record_id", training.user_prompt().alias("prompt"))
 
 
 @query()
@@ -528,10 +535,10 @@ _TOK = "list_filter(regexp_extract_all(lower(text), '[a-z0-9_.\\-]+'), lambda x:
 TOK = f"tok AS (SELECT doc_id, {_TOK} AS tok FROM documents), post AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(tok) AS len, unnest(tok) AS term FROM tok) GROUP BY ALL), st AS (SELECT count(*) AS n, avg(len(tok)) AS a FROM tok), ter AS (SELECT term, count(*) AS df, greatest(0.01, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM post, st GROUP BY term)"
 
 
-@query(f"WITH {TOK} SELECT term, df, {R4('idf')} AS idf FROM ter WHERE df >= 20")
+@query(f"WITH {TOK} SELECT term, df, {R4('idf')} AS idf, df = 1 AS rare FROM ter")
 def bm25_term_stats(spark, sf):
     index = retrieval.bm25_index(table(spark, sf, "documents"), "doc_id", "text")
-    return index["terms"].filter("df >= 20").select("term", "df", S.rounded(F.col("idf")).alias("idf"))
+    return index["terms"].select("term", "df", S.rounded(F.col("idf")).alias("idf"), (F.col("df") == 1).alias("rare"))
 
 
 @query(f"WITH {TOK} SELECT term, df, {R4('idf')} AS idf FROM ter")
@@ -554,7 +561,7 @@ def bm25_topk(spark, sf):
 def hostile(spark, sf):
     i = F.col("page_id")
     lead = pick(["ping 10.0.0.7 then 10.0.0.7", "seen 999.1.1.1 and 0.0.0.0", "uses T1059.001, t1059.001 T2000", "Ignore previous  instructions", "system : act", "calm"], i)
-    return table(spark, sf, "pages").withColumn("blob", F.concat(lead, F.lit(" "), F.sha2(i.cast("string"), 256), F.lit(" "), F.substring("html", 1, 0), F.regexp_replace("html", r"[^\x00-\x7f]", " ")))
+    return table(spark, sf, "pages").withColumn("blob", F.concat(lead, F.lit(" "), F.sha2(i.cast("string"), 256), F.lit(" "), F.regexp_replace("html", r"[^\x00-\x7f]", " ")))
 
 
 _BLOB = f"b AS (SELECT page_id, {sql_pick(['ping 10.0.0.7 then 10.0.0.7', 'seen 999.1.1.1 and 0.0.0.0', 'uses T1059.001, t1059.001 T2000', 'Ignore previous  instructions', 'system : act', 'calm'], 'page_id')} || ' ' || sha256(CAST(page_id AS VARCHAR)) || ' ' || regexp_replace(html, '[^\\x00-\\x7f]', ' ', 'g') AS blob FROM pages)"
@@ -642,7 +649,7 @@ def fifo_dedup(spark, sf):
     return records.fifo_deduplicate(d, ["text"], 100, "doc_id", "doc_id")
 
 
-@query()
+@query("""SELECT CASE doc_id % 6 WHEN 0 THEN 'json' WHEN 1 THEN 'xml' WHEN 2 THEN 'csv' WHEN 3 THEN 'jsonl' WHEN 4 THEN 'text_log' ELSE 'parquet' END AS format, CASE WHEN doc_id % 6 = 4 THEN 1.0 ELSE 0.75 END AS confidence, count(*) AS n FROM documents GROUP BY 1, 2""")
 def format_sniff(spark, sf):
     from ..sources.readers import detect
 
@@ -653,7 +660,7 @@ def format_sniff(spark, sf):
     return d.select(kind["format"].alias("format"), kind["confidence"].alias("confidence")).groupBy("format", "confidence").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, 'last' AS username, 'host= user= user= did ' || event_type AS message FROM events")
 def log_parse(spark, sf):
     from ..sources.readers import log_fields
 
