@@ -122,7 +122,7 @@ def test_substring_against_brute_force(spark, texts, width):
 def test_substring_many_copies_without_broadcast(spark, texts, monkeypatch):
     long = " ".join(f"c{i}" for i in range(50))
     rows = texts + [long] * 60 + [f"{long} tail {i}" for i in range(20)]
-    monkeypatch.setattr(substring, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(_common, "BROADCAST_ROWS", 0)
     d = docs(spark, rows).withColumn("a.b", F.lit(1)).withColumn("T", F.lit(2)).withColumn("sig", F.lit(3))
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.repeats_digest(d).collect()}
     assert got == brute_repeats(list(enumerate(rows)), 20)
@@ -309,6 +309,17 @@ def test_warc_filters_and_payload(spark, tmp_path):
     assert list(reader.pushFilters([EqualTo(("record_type",), "revisit")])) == [] and reader.tests
 
 
+def test_warc_repeats_null_ids_and_names(spark, tmp_path, monkeypatch):
+    rows = [(1, "u", "same"), (1, "u", "same"), (None, "u", "same"), (5, "u", "same"), (5, "v", "other"), (None, None, None)]
+    d = spark.createDataFrame(rows, PAGES).withColumn("Payload", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("sha", F.lit("x"))
+    for limit in (1_000_000, 0):
+        monkeypatch.setattr(_common, "BROADCAST_ROWS", limit)
+        got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_digest(d).collect())
+        assert got == {(1, 4, "response", None): 2, (None, 4, "response", None): 1, (5, 4, "revisit", 1): 1, (5, 5, "response", None): 1, (None, 0, "response", None): 1}
+    warc.write_archives(warc.as_records(d), str(tmp_path / "w"))
+    assert warc.read_archives(spark, str(tmp_path / "w"), "full").count() == 6 and warc.qualified(spark, "/x").startswith("file:")
+
+
 def test_warc_plain_and_foreign_gzip(spark, tmp_path):
     import gzip
 
@@ -469,6 +480,9 @@ def test_media_digest(spark, texts):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-64:]))
     assert rows[0][6:] == rows[40][6:]
     assert media.media_digest(empty(spark)).count() == 0
+    odd = docs(spark, texts[:9] + texts[:2]).withColumn("media", F.lit("mine")).withColumn("Feature", F.lit(1)).withColumn("a.b", F.lit(2))
+    more = {r.doc_id: r for r in media.media_digest(odd).collect()}
+    assert more[0][1:] == more[9][1:] == rows[0][1:] and len(more) == 11
     made = media.jpeg_features(media.store_texts(docs(spark, texts)), "doc_id", "media").collect()
     assert all(len(r.thumb) == r.thumb_width * r.thumb_height for r in made)
 

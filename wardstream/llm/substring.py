@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, materialise, small_or_plain
+from ._common import materialise, small_or_plain, spread_join
 
 WIDTH = 20
 #: Rounds of pair naming after the naming of runs.
@@ -37,8 +37,6 @@ ROUNDS = 3
 SLICE = 1 << 17
 #: Places of an anchor beyond which its windows are dealt out one by one.
 HOT = 2_000
-#: Tasks among which the rows of one key are dealt where its join cannot be broadcast.
-SALTS = 64
 LAST = (1 << 63) - 1
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -341,15 +339,6 @@ def _cut(width: int, with_text: bool):
     return run
 
 
-def spread_join(rows: DataFrame, keys: DataFrame, on: str, n: int) -> DataFrame:
-    """rows joined with one row for each key: by broadcast while they are few, else with every key dealt to SALTS tasks."""
-    if n <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(keys), on)
-    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
-    each = keys.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return dealt.join(each, [on, "__salt"]).drop("__salt")
-
-
 def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text (words joined by one space) of every document."""
     unique = not docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()

@@ -8,7 +8,8 @@ SHA-1 of the bytes read, no payload column filled) or ``none`` (headers only).
 
 ``df.write.format("warc")`` writes records of ``warc_columns``. Each task writes files of its own names; the commit
 lists those of the successful attempts in a manifest, and only listed files are read, so tasks may be lost and run
-again. Paths are opened by Arrow's file systems (local or shared folders, object stores, HDFS).
+again. Paths are opened by Arrow's file systems (local or shared folders, object stores, HDFS); ``write_archives`` and
+``read_archives`` first give a path without a scheme that of Spark's default file system.
 
 Defined cases: null payload is an empty one; of records with equal payloads that with the smallest page_id is the
 response and the others revisit it; rows that repeat both page_id and payload, or have no page_id, are all responses;
@@ -43,7 +44,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from ._common import scratch_path, small_or_plain
+from ._common import materialise, scratch_path, small_or_plain, spread_join
 
 #: Compressed bytes after which a task begins a new file.
 FILE_BYTES = 64_000_000
@@ -320,7 +321,8 @@ def as_records(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     narrow = pages.select("page_id", F.unhex(F.sha1(payload)).alias("sha"))
     first = narrow.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("sha", "first_id")
-    again = narrow.join(first, "sha").filter("page_id > first_id").select("page_id", "sha", "first_id").distinct()
+    first, _ = materialise(first, "warc-first")
+    again = spread_join(narrow, first, "sha", first.count()).filter("page_id > first_id").select("page_id", "sha", "first_id").distinct()
     again = small_or_plain(again, again.count())
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")))
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
@@ -333,11 +335,27 @@ def as_records(pages: DataFrame) -> DataFrame:
     )
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that Spark finds it in."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
+def write_archives(records: DataFrame, path: str) -> None:
+    """Writes records (as of as_records) as archives below the path."""
+    register(records.sparkSession)
+    records.write.format("warc").mode("append").save(qualified(records.sparkSession, path))
+
+
+def read_archives(spark: SparkSession, path: str, payload: str = "digest") -> DataFrame:
+    register(spark)
+    return spark.read.format("warc").option("payload", payload).load(qualified(spark, path))
+
+
 def archive_digest(pages: DataFrame) -> DataFrame:
     """Writes the pages as WARC archives in the shared folder and digests the records read back."""
     spark = pages.sparkSession
-    register(spark)
     path = scratch_path(spark, "warc")
-    as_records(pages).write.format("warc").mode("append").save(path)
+    write_archives(as_records(pages), path)
     number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("bigint")
-    return spark.read.format("warc").load(path).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "target_uri")
+    return read_archives(spark, path).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "target_uri")
