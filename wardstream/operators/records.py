@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -284,17 +285,28 @@ def harmonize(df: DataFrame, maps: DataFrame) -> DataFrame:
     return out.withColumns({c: F.when(live, e).otherwise(F.col(c)) for c, e in new.items()}).drop("match_kind", "_class", "_category", "_label")
 
 
-def run_pipeline(df: DataFrame, maps: DataFrame, near: bool = False, harmonize_first: bool = False, ipv6: bool = True) -> DataFrame:
+def load_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of JSON lines as written by the sink, typed; blank lines are skipped, a field that is absent is null."""
+    lists = "normalization_actions array<string>, validation_issues array<string>, enrichment_tags map<string,string>"
+    return spark.read.schema(", ".join(f"{c} {t}" for c, t in RECORD.items()) + f", {lists}").json(path)
+
+
+def run_pipeline(
+    df: DataFrame, maps: DataFrame, near: bool = False, harmonize_first: bool = False, ipv6: bool = True, steps: list[Callable[[DataFrame], DataFrame]] | None = None
+) -> DataFrame:
     """Every row with its outcome in ``status``; rejected and duplicate rows skip the later steps.
 
     The default order enriches before it harmonizes, as the source semantics have it; ``harmonize_first`` lets the
-    harmonized category drive the enrichment.
+    harmonized category drive the enrichment. ``steps`` (functions of a frame, which must keep every row) take the place
+    of both.
     """
     out = as_records(df).transform(lambda d: normalize(d, ipv6)).transform(evaluated).transform(validate)
     out = written(out, "records")  # the search for first rows reads two columns of it, the rest goes on
     out = out.transform(lambda d: deduplicate(d, vocab.NEAR_FIELDS if near else vocab.EXACT_FIELDS))
-    steps = [enrich, lambda d: harmonize(d, maps)]
-    for step in reversed(steps) if harmonize_first else steps:
+    if steps is None:
+        steps = [enrich, lambda d: harmonize(d, maps)]
+        steps = steps[::-1] if harmonize_first else steps
+    for step in steps:
         out = out.transform(evaluated).transform(step)
     return out
 

@@ -100,6 +100,21 @@ def check_manifest(manifest: DataFrame, rows: DataFrame, key: str, body: str) ->
     return manifest.join(held, key, "left").select(key, state.alias("state"))
 
 
+def manifest_report(manifest: DataFrame, rows: DataFrame, key: str, label: str, expected: int, per_class: int) -> DataFrame:
+    """One row: what keeps a manifest (key, label) from being an evaluation set of ``expected`` rows, ``per_class`` of each class.
+
+    Counts repeated keys, keys that no row has, and labels other than the row's; ``ok`` if all is as it should be.
+    """
+    held = rows.select(key, F.col(label).alias("_label"), F.lit(True).alias("_is"))
+    both = manifest.join(held, key, "left")
+    classes = manifest.groupBy(label).agg(F.count("*").alias("c")).agg(F.count_if(F.col("c") != per_class).alias("n_uneven_classes"))
+    keys = manifest.groupBy(key).agg(F.count("*").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 1).alias("n_repeated"))
+    found = both.agg(F.count_if(F.col("_is").isNull()).alias("n_missing"), F.count_if(F.col("_is").isNotNull() & ~F.col("_label").eqNullSafe(F.col(label))).alias("n_mislabelled"))
+    row = keys.crossJoin(F.broadcast(classes)).crossJoin(F.broadcast(found))  # one row each
+    good = (F.col("n") == expected) & (F.col("n_repeated") + F.col("n_uneven_classes") + F.col("n_missing") + F.col("n_mislabelled") == 0)
+    return row.withColumn("ok", good)
+
+
 def approve(df: DataFrame, score: str = "quality_score", least: int = 90, status: str = "review_status") -> DataFrame:
     """Approves the rows whose score is at least ``least``; the others keep their status."""
     return df.withColumn(status, F.when(F.col(score) >= least, "approved").otherwise(F.col(status)))

@@ -436,3 +436,39 @@ def lexical_indicators(spark, sf):
     words = {"authentication": ["login", "logon"], "lateral": ["psexec", "wmi"]}
     return table(spark, sf, "events").select("event_id", quality.lexical_hint(text, words).alias("hint"), F.lower("event_type").contains("click").alias("says_click"))
 
+
+@query(f"""WITH {OUTCOME} SELECT record_id, status, src_port, CASE WHEN status IN ('rejected', 'duplicate') THEN NULL WHEN source_label IS NULL THEN 'no_label' WHEN b IS NULL THEN 'unknown' WHEN b.level = 2 THEN 'ambiguous' ELSE 'mapped' END AS tag FROM outcome""")
+def record_lines_round_trip(spark, sf):
+    """Processed records written as JSON lines and loaded again with their types."""
+    from ..sources import sinks
+
+    path = scratch_path(spark, "lines")
+    sinks.write_jsonl(records.run_pipeline(flows(spark, sf), records.label_map(spark)), path)
+    return records.load_records(spark, path).select("record_id", "status", "src_port", F.col("enrichment_tags")["harmonization"].alias("tag"))
+
+
+@query(f"""WITH {OUTCOME} SELECT status, count(*) AS n FROM (SELECT CASE WHEN status IN ('rejected', 'duplicate') THEN status WHEN record_index % 2 = 0 THEN 'flagged' ELSE 'validated' END AS status FROM outcome) GROUP BY 1""")
+def pipeline_of_own_steps(spark, sf):
+    """The pipeline with a step of the user's own in place of enrichment and harmonization."""
+    flag = lambda d: d.withColumn("status", F.when((F.col("status") == "validated") & (F.col("record_index") % 2 == 0), "flagged").otherwise(F.col("status")))
+    out = records.run_pipeline(flows(spark, sf), records.label_map(spark), steps=[flag])
+    return out.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("""WITH m AS (SELECT doc_id, quality AS g FROM labels WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1 - quality FROM labels WHERE doc_id % 10 = 1 UNION ALL SELECT -1, 0), j AS (SELECT m.*, l.quality AS q, l.doc_id IS NULL AS lost FROM m LEFT JOIN labels l ON m.doc_id = l.doc_id)
+  SELECT CAST(count(*) AS BIGINT) AS n, (SELECT count(*) FROM (SELECT doc_id FROM m GROUP BY 1 HAVING count(*) > 1)) AS n_repeated, (SELECT count(*) FROM (SELECT g FROM m GROUP BY 1 HAVING count(*) <> 10)) AS n_uneven_classes, count(*) FILTER (lost) AS n_missing, count(*) FILTER (NOT lost AND q <> g) AS n_mislabelled, FALSE AS ok FROM j""")
+def manifest_faults(spark, sf):
+    """A manifest with foreign keys and wrong labels."""
+    lab = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("g"))
+    m = lab.filter("doc_id % 2 = 0").union(lab.filter("doc_id % 10 = 1").select("doc_id", 1 - F.col("g"))).union(spark.createDataFrame([(-1, 0)], "doc_id bigint, g int"))
+    return suites.manifest_report(m, lab, "doc_id", "g", 20, 10)
+
+
+@query("""SELECT count(*) AS n, 0 AS n_faults, TRUE AS ok FROM (SELECT DISTINCT lang FROM documents), range(0, 10)""")
+def manifest_whole(spark, sf):
+    """The first ten documents of each language are a sound evaluation set."""
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    first = records.first_per_group(d, "lang", ["doc_id"], 10).select("doc_id", "lang")
+    n = 10 * d.select("lang").distinct().count()
+    out = suites.manifest_report(first, d, "doc_id", "lang", n, 10)
+    return out.select(F.col("n").cast("bigint").alias("n"), (F.col("n_repeated") + F.col("n_missing")).cast("int").alias("n_faults"), "ok")
