@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _similar
-from ._common import connected_components, materialise
+from ._common import connected_components, materialise, spread_join
 
 SEED = 42
 #: Rows of one tile that a single task compares; a larger tile becomes a grid of tile pairs.
@@ -226,8 +226,9 @@ def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius
         groups = fps.join(nodes, F.col("fp") == F.col("node"), "left").select("doc_id.doc_id", "doc_id.h", F.coalesce("root", "fp").alias("component"))
     found, _ = materialise(groups, "simhash-groups")
     rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "h")
-    best = found.groupBy("component").agg(F.min(rank).alias("best"), F.count("*").alias("m")).filter("m > 1")
-    gone = found.join(best, "component").filter(~rank.eqNullSafe(F.col("best"))).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
+    best = found.groupBy("component").agg(F.min(rank).alias("best"), F.count("*").alias("m")).filter("m > 1").select("component", "best")
+    best, _ = materialise(best, "simhash-best")
+    gone = spread_join(found, best, "component", best.count()).filter(~rank.eqNullSafe(F.col("best"))).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
     h = F.xxhash64("text")
     kept = docs.join(gone.distinct(), F.col("doc_id").eqNullSafe(F.col("__id")) & (h == F.col("__h")), "left_anti")
     if found.groupBy("doc_id", "h").count().filter("count > 1").limit(1).count():
