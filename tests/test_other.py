@@ -158,9 +158,15 @@ def test_connectors(spark):
     t = connectors.stix(spark.createDataFrame([(json.dumps(bundle),)], "raw string")).collect()
     assert [(x.mitre_technique_id, x.mitre_technique_name, x.mitre_tactic) for x in t] == [("T1", "N", "p")]
     assert connectors.custom(spark.createDataFrame([("1.1.1.1", "x")], "`Src IP` string, mine string"), {"mine": "hostname"}).first().hostname == "x"
-    s = {"id": "SOC-000001", "task": "t", "input": {"alert": {"severity": "HIGH"}, "context": {"hostname": "h", "src_ip": "1.1.1.1"}}, "output": {"classification": "Benign"}}
+    s = {"id": "SOC-000001", "task": "t", "input": {"alert": {"severity": "low", "source_port": "44"}, "context": {"hostname": "h", "src_ip": "1.1.1.1"}}, "output": {"classification": "Benign", "severity": "HIGH "}}
     r = connectors.soc(spark.createDataFrame([(json.dumps(s),)], "raw string")).first()
-    assert (r.record_id, r.classification, r.severity, r.src_ip, r.confidence) == ("SOC-000001", "benign", "high", "1.1.1.1", 1.0)
+    assert (r.record_id, r.classification, r.severity, r.src_ip, r.confidence, r.src_port) == ("SOC-000001", "benign", "high", "1.1.1.1", 1.0, 44)
+
+
+def test_custom_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("Src IP|who|label\n1.1.1.1|Zoë|x\n|b|y\n".encode("latin-1"))
+    rows = connectors.read_custom(spark, str(tmp_path), {"who": "username"}, "|", "ISO-8859-1").orderBy("record_index").collect()
+    assert [(r.record_index, r.src_ip, r.username, r.source_label) for r in rows] == [(0, "1.1.1.1", "Zoë", "x"), (1, None, "b", "y")]
 
 
 def test_versions_and_stores(spark, tmp_path):

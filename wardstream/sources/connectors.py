@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.scalars import lookup, safe_double, safe_long
 from ..registry import connectors
+from .readers import read_csv
 
 
 def _renamed(df: DataFrame, aliases: dict[str, str]) -> DataFrame:
@@ -110,6 +111,14 @@ def custom(df: DataFrame, mapping: dict[str, str] | None = None, source: str = "
     return _record(d, source, {f: safe_long(_col(d, f)) if f in number else safe_double(_col(d, f)) if f == "duration" else _col(d, f) for f in fields})
 
 
+def read_custom(spark: SparkSession, path: str, mapping: dict[str, str] | None = None, sep: str = ",", encoding: str = "UTF-8", source: str = "custom_csv") -> DataFrame:
+    """Records of a CSV file, or of the CSV files of a folder, with a header row; rows are numbered in each file."""
+    rows = read_csv(spark, path, sep, encoding)
+    names = sorted({k for r in rows.select(F.explode(F.json_object_keys("raw")).alias("k")).distinct().collect() for k in [r["k"]]})  # the columns
+    cells = rows.select("record_index", *[F.get_json_object("raw", f"$['{c}']").alias(c) for c in names])
+    return custom(cells, mapping, source)
+
+
 @connectors.register("labelled_frame")
 def labelled(df: DataFrame, mapping: dict[str, str] | None = None, source: str = "custom") -> DataFrame:
     """Any frame; its label is the first there is of label, Label, labels, target, class, category."""
@@ -125,12 +134,15 @@ def soc(df: DataFrame) -> DataFrame:
     first = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs])
     alert = lambda k: first(g("_in", f"$.alert.{k}"), g("raw", f"$.alert.{k}"), g("raw", f"$.{k}"))
     ctx = lambda *ks: first(*[g("_in", f"$.context.{k}") for k in ks], *[g("_in", f"$.alert.{k}") for k in ks], *[g("raw", f"$.{k}") for k in ks])
-    cls, sev = F.lower(F.trim(g("_out", "$.classification"))), F.lower(F.trim(alert("severity")))
-    tags = F.map_filter(F.create_map(F.lit("soc_task"), g("raw", "$.task"), F.lit("soc_metadata"), g("raw", "$.metadata"), F.lit("adapter"), F.lit("soc")), lambda _, v: v.isNotNull())
+    cls, sev = F.lower(F.trim(g("_out", "$.classification"))), F.lower(F.trim(g("_out", "$.severity")))
+    tags = F.map_filter(F.create_map(F.lit("soc_task"), g("raw", "$.task"), F.lit("soc_metadata"), g("raw", "$.metadata"), F.lit("adapter"), F.lit("soc"), F.lit("adapter_version"), F.lit("1.0")), lambda _, v: v.isNotNull())
+    classes = [c for c in vocab.CLASSIFICATIONS if c != "review_required"]
     cols = {
-        "timestamp": alert("timestamp"), "src_ip": ctx("source_ip", "src_ip", "ip_address"), "dst_ip": ctx("destination_ip", "dest_ip", "dst_ip"),
+        "timestamp": alert("timestamp"), "src_ip": first(alert("source_ip"), alert("src_ip"), ctx("source_ip", "src_ip", "ip_address")),
+        "dst_ip": first(alert("destination_ip"), alert("dst_ip"), ctx("destination_ip", "dest_ip", "dst_ip")),
+        "src_port": safe_long(first(alert("source_port"), alert("src_port"))), "dst_port": safe_long(first(alert("destination_port"), alert("dst_port"))), "protocol": alert("protocol"),
         "hostname": ctx("hostname"), "username": ctx("username"), "process_name": ctx("process_name"), "command_line": ctx("command_line"), "file_hash": ctx("file_hash"),
-        "source_label": cls, "classification": F.when(cls.isin(vocab.CLASSIFICATIONS), cls), "severity": F.when(sev.isin(vocab.SEVERITIES), sev),
+        "source_label": cls, "classification": F.when(cls.isin(classes), cls), "severity": F.when(sev.isin(vocab.SEVERITIES), sev),
         "confidence": F.coalesce(safe_double(g("_out", "$.confidence")), F.lit(1.0)), "enrichment_tags": tags,
     }
     return _record(d, "soc", cols).withColumn("record_id", F.coalesce(g("raw", "$.id"), "record_id"))
