@@ -46,7 +46,7 @@ def folder(spark: SparkSession, sf: str) -> str:
     cells.select("id", "action").repartition(2).write.option("rootTag", "all").option("rowTag", "one").xml(f"{root}/tags")
     cells.select("id", "action").repartition(2).write.parquet(f"{root}/columns")
     docs = cells.groupBy(F.floor(F.col("id").cast("bigint") / 500).alias("part")).agg(F.collect_list(F.struct("id", "action")).alias("events"))  # 500 rows a document
-    docs.select("part", F.to_json(F.struct("events")).alias("value")).repartition("part").write.partitionBy("part").text(f"{root}/documents")
+    docs.select("part", F.to_json(F.struct("events")).alias("value")).repartition("part").select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/documents")
     cells.limit(1).write.option("header", True).csv(f"{root}/node_modules/skipped")
     return root
 
