@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +22,10 @@ SALTS = 64
 _SCOPES: list[list[str]] = []
 
 
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the application's scratch folder, which goes when the scope or the application ends."""
+def scratch_path(spark: SparkSession, tag: str, keep: bool = False) -> str:
+    """A fresh path below the application's scratch folder, which goes when the scope (not with keep) or the application ends."""
     path = session.scratch_path(spark, tag)
-    for scope in _SCOPES[-1:]:
+    for scope in _SCOPES[-1:] if not keep else ():
         scope.append(path)
     return path
 
@@ -39,9 +40,9 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         drop_scratch(spark, *_SCOPES.pop())
 
 
-def materialise(df: DataFrame, tag: str, rows_per_file: int = 0) -> tuple[DataFrame, str]:
+def materialise(df: DataFrame, tag: str, rows_per_file: int = 0, keep: bool = False) -> tuple[DataFrame, str]:
     """Write df as Parquet to the shared folder and read it again: the lineage ends at files any executor can read."""
-    path = scratch_path(df.sparkSession, tag)
+    path = scratch_path(df.sparkSession, tag, keep)
     writer = df.write.option("compression", "zstd")
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
@@ -71,6 +72,26 @@ def spread_join(rows: DataFrame, keys: DataFrame, on: str, n: int) -> DataFrame:
     return dealt.join(each, [on, "__salt"]).drop("__salt")
 
 
+def bit_filter(hashes: DataFrame, column: str, n: int, most: int) -> np.ndarray:
+    """Bits at the places that the leading bits of 64-bit hashes name, as bytes: at least 8 for each of n hashes, 2**most at most.
+
+    The bits are put together by Spark; the driver gets one number for each 64 places.
+    """
+    size = min(most, max(16, n.bit_length() + 3))
+    place = F.shiftrightunsigned(column, 64 - size)
+    word = hashes.select(F.shiftright(place, 6).alias("w"), F.expr("1L").alias("one"), place.bitwiseAND(F.lit(63)).cast("int").alias("b"))
+    words = word.groupBy("w").agg(F.bit_or(F.expr("shiftleft(one, b)")).alias("bits")).toPandas()  # 2**(size - 6) rows at most
+    bits = np.zeros(1 << size - 6, np.int64)
+    bits[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return bits.view(np.uint8)
+
+
+def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes (unsigned) may be among those of the filter; none that is gets lost."""
+    place = hashes >> np.uint64(64 - (8 * len(bits)).bit_length() + 1)
+    return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def keep_columns(df: DataFrame, made: list[str]) -> DataFrame:
     """df without input columns that bear the name of a column the operator makes (case-insensitively)."""
     taken = {m.lower() for m in made}

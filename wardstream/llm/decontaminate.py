@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, small_or_plain
+from ._common import bit_filter, in_filter, materialise, small_or_plain
 from .substring import mix, pair_name, word_hashes
 
 WORDS = 5
@@ -80,17 +80,6 @@ def sketched(items: DataFrame, threshold: float, k: int) -> DataFrame:
     return items.select("item_id", F.encode("text", "UTF-8").alias("text")).mapInArrow(run, made)
 
 
-def bit_filter(shingles: DataFrame, n: int) -> np.ndarray:
-    """Bits of the leading bits of the hashes h, at least 16 for each hash while the bound of 2**FILTER_BITS allows."""
-    size = min(FILTER_BITS, max(16, n.bit_length() + 4))
-    place = F.shiftrightunsigned("h", 64 - size)
-    word = shingles.select(F.shiftright(place, 6).alias("w"), F.expr("1L").alias("one"), place.bitwiseAND(F.lit(63)).cast("int").alias("b"))
-    words = word.groupBy("w").agg(F.bit_or(F.expr("shiftleft(one, b)")).alias("bits")).toPandas()  # 2**(size - 6) rows at most
-    bits = np.zeros(1 << size - 6, np.int64)
-    bits[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return bits.view(np.uint8)
-
-
 def shared_shingles(docs: DataFrame, bits: np.ndarray, classes: list[tuple[int, int]]) -> DataFrame:
     """(d, doc_id, t, n_words, h, g): each document's distinct shingles that the filter lets through; d numbers the rows.
 
@@ -98,7 +87,6 @@ def shared_shingles(docs: DataFrame, bits: np.ndarray, classes: list[tuple[int,
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(bits)  # at most 2**FILTER_BITS bits
-    shift = np.uint64(64 - int(math.log2(8 * len(bits))))
     least = {w: min(n for v, n in classes if v == w) for w, _ in classes}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +102,7 @@ def shared_shingles(docs: DataFrame, bits: np.ndarray, classes: list[tuple[int,
                     for w in widths:
                         if len(part) >= w:
                             h = shingle_hashes(part, w)
-                            at_bit = h >> shift
-                            for j in np.flatnonzero(known[at_bit >> np.uint64(3)] >> (at_bit & np.uint64(7)).astype(np.uint8) & 1).tolist():
+                            for j in np.flatnonzero(in_filter(known, h)).tolist():
                                 found[b" ".join(words[at + j : at + j + w])] = h[j]
                 row += [i] * len(found)
                 size += [len(words)] * len(found)
@@ -141,7 +128,7 @@ def _matches(docs: DataFrame, items: DataFrame, threshold: float, k: int) -> Dat
     n = sum(r["n"] for r in sized)
     classes = [(r["width"], math.ceil(threshold * r["least"] - 1e-9)) for r in sized]
     each = held.select("i", "item_id", "width", "n_shingles", F.explode("shingles").alias("s")).select("i", "item_id", "width", "n_shingles", "s.h", "s.g")
-    hits, _ = materialise(shared_shingles(docs, bit_filter(each, n), classes), "leak-hits")
+    hits, _ = materialise(shared_shingles(docs, bit_filter(each, "h", n, FILTER_BITS), classes), "leak-hits")
     sketch = held.select("i", "n_shingles", "width", "size_class", F.explode(F.slice("shingles", F.lit(1), F.col("sketch").cast("int"))).alias("s"))
     sketch = small_or_plain(sketch.select("i", "width", "n_shingles", "s.h"), n, BROADCAST_SHINGLES)
     need = F.ceil(F.lit(threshold) * F.col("n_shingles") - F.lit(1e-9))

@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, small_or_plain, spread_join
+from ._common import bit_filter, drop_scratch, in_filter, materialise, small_or_plain, spread_join
 
 WIDTH = 20
 #: Rounds of pair naming after the naming of runs.
 ROUNDS = 3
+#: A round's filter of shared names has 2**FILTER_BITS bits at most (8 MB).
+FILTER_BITS = 26
 #: Words parsed at once; a longer document is parsed in slices that overlap by width - 1 words.
 SLICE = 1 << 17
 #: Places of an anchor beyond which its windows are dealt out one by one.
@@ -60,8 +62,9 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def parse(sym: np.ndarray, fence: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Levels, highest first, of (name, lo, hi): symbols and the places their existence depends on.
+def parse(sym: np.ndarray, fence: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Levels, highest first, of (name, lo, hi, born): symbols, the places their existence depends on, and the round that
+    named them (0: words and runs).
 
     ``fence`` marks places between documents, whose symbols merge with nothing; the first and last place are fences.
     """
@@ -70,8 +73,8 @@ def parse(sym: np.ndarray, fence: np.ndarray) -> list[tuple[np.ndarray, np.ndarr
     count = np.diff(np.r_[first, n])
     name = np.where(count > 1, pair_name(sym[first], count.astype(np.uint64)), sym[first])
     lo, hi, fence = np.maximum(first - 1, 0), np.minimum(first + count, n - 1), fence[first]
-    levels = []
-    for r in range(ROUNDS):
+    levels, born = [], np.zeros(len(name), np.int8)
+    for r in range(rounds):
         left = (mix(name + np.uint64((r + 1) * int(_B) % 2**64)) & np.uint64(1)).astype(bool)
         merge = left[:-1] & ~left[1:] & ~fence[:-1] & ~fence[1:]
         begins, ends = np.r_[merge, False], np.r_[False, merge]
@@ -82,12 +85,65 @@ def parse(sym: np.ndarray, fence: np.ndarray) -> list[tuple[np.ndarray, np.ndarr
         fresh = name.copy()
         fresh[at] = pair_name(name[at], name[at + 1])
         lo2[at], hi2[at] = lo[at], hi[at + 1]
+        born2 = born.copy()
+        born2[at] = r + 1
         stay = ~ends
-        name, lo, hi, fence = fresh[stay], lo2[stay], hi2[stay], fence[stay]
-        levels.append((name, lo, hi))
+        name, lo, hi, fence, born = fresh[stay], lo2[stay], hi2[stay], fence[stay], born2[stay]
+        levels.append((name, lo, hi, born))
     return levels[::-1]
 
 
+def shared(name: np.ndarray, born: np.ndarray, filters: list[np.ndarray]) -> np.ndarray:
+    """Which symbols may stand in more than one place: words and runs, and pairs that their round's filter lets through."""
+    out = np.ones(len(name), bool)
+    for r, bits in enumerate(filters):
+        mine = np.flatnonzero(born == r + 1)
+        out[mine] = in_filter(bits, name[mine])
+    return out
+
+
+def _new_pairs(sym: np.ndarray, fence: np.ndarray, filters: list[np.ndarray]) -> np.ndarray:
+    """Names that the round after those of the filters gives to pairs of shared symbols."""
+    r = len(filters)
+    above = parse(sym, fence, r + 1)
+    name, _, _, born = above[0]
+    fresh = np.flatnonzero(born == r + 1)
+    if not r:
+        return name[fresh]
+    # The members of a pair stand side by side on the level below: those that are gone from this one.
+    below, _, _, old = above[1]
+    first = np.cumsum(np.r_[0, 1 + (born == r + 1)[:-1]])[fresh]
+    good = shared(below, old, filters)
+    return name[fresh[good[first] & good[first + 1]]]
+
+
+def _names(width: int, sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for g in groups(b.column(0).to_pylist(), width):
+                sym, _, _, _, fence = g.windows(width)
+                name, n = np.unique(_new_pairs(sym, fence, sent.value), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(n.astype(np.int64))], ["name", "n"])
+
+    return run
+
+
+def naming_rounds(rows: DataFrame, width: int) -> list[np.ndarray]:
+    """A filter of the shared names for each round of pairs.
+
+    In every round Spark adds up over the whole corpus how often each name was given; names given once can be in no
+    repeat, so the next round pairs only symbols that are shared. What goes from round to round is a filter of bounded size.
+    """
+    filters: list[np.ndarray] = []
+    for r in range(ROUNDS):
+        sent = rows.sparkSession.sparkContext.broadcast(filters)  # at most ROUNDS * 2**FILTER_BITS bits
+        given = rows.select("text").mapInArrow(_names(width, sent), "name bigint, n bigint")
+        again, path = materialise(given.groupBy("name").agg(F.sum("n").alias("n")).filter("n > 1").select("name"), f"substring-names{r}")
+        filters.append(bit_filter(again, "name", again.count(), FILTER_BITS))
+        drop_scratch(rows.sparkSession, path)
+    return filters
+
+
 def window_names(sym: np.ndarray, width: int) -> np.ndarray:
     """Hash of the ``width`` symbols from each place on, built from names of pairs of blocks of doubling length."""
     n, out, at, block, size = len(sym), None, 0, sym, 1
@@ -118,14 +174,16 @@ def span_names(sym: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return pair_name((up_to[hi + 1] - up_to[lo]) * _powers(_INVERSE, len(sym))[lo], (hi - lo).astype(np.uint64))
 
 
-def anchors(sym: np.ndarray, fence: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def anchors(sym: np.ndarray, fence: np.ndarray, starts: np.ndarray, width: int, filters: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Name and place (an identity of the occurrence) of the anchor of the window at each of the sorted starts.
 
+    With filters the place is -1 where the anchor's symbol is not shared: that window is no repeat.
+
     The name stands for all words of the anchor's span, not the symbol's alone, so that few anchors recur by chance.
     """
     name, place = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.int64)
     todo = np.arange(len(starts))
-    for level, (names, lo, hi) in enumerate(parse(sym, fence)):
+    for level, (names, lo, hi, born) in enumerate(parse(sym, fence)):
         if not len(todo):
             break
         a = np.searchsorted(lo, starts[todo], "left")
@@ -137,11 +195,12 @@ def anchors(sym: np.ndarray, fence: np.ndarray, starts: np.ndarray, width: int)
             continue
         power = np.frexp((b - a).astype(np.float64))[1] - 1
         best, span = np.arange(len(names)), span_names(sym, lo, hi)
+        alive = shared(names, born, filters) if filters else np.ones(len(names), bool)
         for k in range(int(power.max()) + 1):
             use = power == k
             x, y = best[a[use]], best[b[use] - (1 << k)]
             pick = np.where(names[x] <= names[y], x, y)
-            name[mine[use]], place[mine[use]] = span[pick], (level << 40) + pick
+            name[mine[use]], place[mine[use]] = span[pick], np.where(alive[pick], (level << 40) + pick, -1)
             x, y = best[: len(best) - (1 << k)], best[1 << k :]
             best = np.where(names[x] <= names[y], x, y)
     if len(todo):  # no symbol lies inside: the window is its own anchor
@@ -208,7 +267,7 @@ def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _survey(width: int):
+def _survey(width: int, sent):
     """Per document: words, signature of all words, anchors met once and anchors met again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,8 +278,9 @@ def _survey(width: int):
             names, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for g in groups(texts, width):
                 sym, starts, doc, _, fence = g.windows(width)
-                name, place = anchors(sym, fence, starts, width)
+                name, place = anchors(sym, fence, starts, width, sent.value)
                 at = _changes(doc, place)
+                at = at[place[at] >= 0]
                 names.append(name[at])
                 owners.append(doc[at])
             name, owner = np.concatenate(names), np.concatenate(owners)
@@ -347,8 +407,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True,
         (F.lit(0).cast("long") if unique else F.xxhash64("text")).alias("t"),
         F.encode("text", "UTF-8").alias("text"),
     )
+    filters = rows.sparkSession.sparkContext.broadcast(naming_rounds(rows, width))
     survey = "d bigint, t bigint, n_words bigint, sig binary, once array<bigint>, again array<bigint>"
-    found, _ = materialise(rows.mapInArrow(_survey(width), survey), "substring")
+    found, _ = materialise(rows.mapInArrow(_survey(width, filters), survey), "substring")
     long = found.filter(F.col("n_words") >= width)
     first = long.groupBy("sig").agg(F.min(F.struct("d", "t")).alias("f"), F.count("*").alias("c")).filter("c > 1").select("sig", "f")
     first, _ = materialise(first, "substring-first")
