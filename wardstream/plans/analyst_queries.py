@@ -88,7 +88,7 @@ def answered(spark: SparkSession, sf: str, answers: list) -> DataFrame:
 
 
 _b = lambda x: "NULL" if x is None else str(x).upper()
-_ANSWERS = "answers AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {q(r)}, {q(c)}, CAST({_b(i)} AS BOOLEAN), {q(e)}, {q(s)}, {q(p)})" for k, (_, (r, c, i, e, s, p)) in enumerate(ANSWERS)) + ") t(k, refusal, classification, investigation_required, cited, summary, priorities))"
+_ANSWERS = "answers AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {q(r)}, {q(c)}, CAST(CAST({_b(i)} AS BOOLEAN) AS VARCHAR), {q(e)}, {q(s)}, {q(p)})" for k, (_, (r, c, i, e, s, p)) in enumerate(ANSWERS)) + ") t(k, refusal, classification, investigation_required, cited, summary, priorities))"
 
 
 @query(f"WITH {_ANSWERS} SELECT event_id, refusal, classification, investigation_required, cited, summary, priorities FROM events JOIN answers ON k = event_id % {len(ANSWERS)}")
@@ -96,7 +96,7 @@ def agent_triage_results(spark, sf):
     out = agents.triage_result(answered(spark, sf, ANSWERS), "body")
     r = lambda n: F.col(f"result.{n}")
     priorities = F.array_join(F.transform(r("recommended_actions"), lambda a: a["priority"]), ",")
-    return out.select("event_id", "refusal", r("classification").alias("classification"), r("investigation_required").alias("investigation_required"), F.array_join(r("evidence_ids"), ",").alias("cited"), r("summary").alias("summary"), priorities.alias("priorities"))
+    return out.select("event_id", "refusal", r("classification").alias("classification"), r("investigation_required").cast("string").alias("investigation_required"), F.array_join(r("evidence_ids"), ",").alias("cited"), r("summary").alias("summary"), priorities.alias("priorities"))
 
 
 #: Answers of investigations and their results: conclusion, severity, confidence, status, kept and rejected ids.
@@ -116,7 +116,7 @@ def agent_investigation_results(spark, sf):
     return out.select("event_id", *[r(n).alias(n) for n in ("conclusion", "severity", "confidence", "status")], kept.alias("kept"), F.array_join(r("rejected_ids"), ",").alias("rejected"))
 
 
-@query(f"""WITH {_ANSWERS}, e AS (SELECT event_id, coalesce(investigation_required, FALSE) AS investigated, event_id % 3 AS m FROM events JOIN answers ON k = event_id % {len(ANSWERS)})
+@query(f"""WITH {_ANSWERS}, e AS (SELECT event_id, coalesce(investigation_required = 'true', FALSE) AS investigated, event_id % 3 AS m FROM events JOIN answers ON k = event_id % {len(ANSWERS)})
   SELECT event_id, investigated, investigated OR m > 0 AS enriched, CASE m WHEN 1 THEN '8.8.8.8' WHEN 2 THEN '198.51.100.50,8.8.8.8' ELSE '' END AS indicators FROM e""")
 def agent_alert_chain(spark, sf):
     rows = agents.triage_result(answered(spark, sf, ANSWERS), "body")

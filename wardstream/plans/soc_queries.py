@@ -143,14 +143,14 @@ _CHAT = f"""{RAW}, p AS (SELECT event_id, k, j, j->>'$.output.classification' AS
     WHEN j->>'$.output.recommended_actions[0].priority' NOT IN ({', '.join(repr(x) for x in vocab.ACTION_PRIORITIES)}) THEN 'invalid action priority' END AS reason FROM a)"""
 
 
-@query(f"""WITH {_CHAT} SELECT event_id, reason, CASE WHEN reason IS NULL THEN severity END AS severity, CASE WHEN reason IS NULL THEN inv END AS investigation_required,
+@query(f"""WITH {_CHAT} SELECT event_id, reason, CASE WHEN reason IS NULL THEN severity END AS severity, CASE WHEN reason IS NULL THEN CAST(inv AS VARCHAR) END AS investigation_required,
   CASE WHEN reason IS NULL THEN array_to_string(list_sort(list_distinct(cited)), ',') END AS cited, CASE WHEN reason IS NULL THEN len(f) END AS n_findings, CASE WHEN reason IS NULL THEN 3 END AS n_messages FROM r""")
 def soc_to_chat(spark, sf):
     out = soc.to_chat(parsed(spark, sf), "Judge the alert.")
     body = F.get(F.col("messages"), F.lit(2))["content"]
     got = lambda p: F.get_json_object(body, p)
     return out.select(
-        "event_id", "reason", got("$.severity").alias("severity"), got("$.investigation_required").cast("boolean").alias("investigation_required"),
+        "event_id", "reason", got("$.severity").alias("severity"), got("$.investigation_required").alias("investigation_required"),
         F.array_join(F.from_json(got("$.evidence_ids"), "array<string>"), ",").alias("cited"), F.json_array_length(got("$.findings")).cast("bigint").alias("n_findings"), F.when(F.col("messages").isNotNull(), F.size("messages")).alias("n_messages"),
     )
 
