@@ -123,6 +123,7 @@ def test_substring_many_copies_without_broadcast(spark, texts, monkeypatch):
     long = " ".join(f"c{i}" for i in range(50))
     rows = texts + [long] * 60 + [f"{long} tail {i}" for i in range(20)]
     monkeypatch.setattr(_common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(_common, "HOT_ROWS", 20)
     d = docs(spark, rows).withColumn("a.b", F.lit(1)).withColumn("T", F.lit(2)).withColumn("sig", F.lit(3))
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.repeats_digest(d).collect()}
     assert got == brute_repeats(list(enumerate(rows)), 20)
@@ -337,6 +338,7 @@ def test_warc_repeats_null_ids_and_names(spark, tmp_path, monkeypatch):
     d = spark.createDataFrame(rows, PAGES).withColumn("Payload", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("sha", F.lit("x"))
     for limit in (1_000_000, 0):
         monkeypatch.setattr(_common, "BROADCAST_ROWS", limit)
+        monkeypatch.setattr(_common, "HOT_ROWS", 2)
         got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_digest(d).collect())
         assert got == {(1, 4, "response", None): 2, (None, 4, "response", None): 1, (5, 4, "revisit", 1): 1, (5, 5, "response", None): 1, (None, 0, "response", None): 1}
     warc.write_archives(warc.as_records(d), str(tmp_path / "w"))

@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 from test_operators import docs, words
-from wardstream.llm import _similar, simhash
+from wardstream.llm import _common, _similar, simhash
 
 
 def shingles(text):
@@ -51,8 +51,11 @@ def test_stage_drops_near_copies_and_keeps_clean(spark):
     assert got == want
 
 
-def test_grid_of_cells(spark):
+def test_grid_of_cells_and_frequent_copies(spark, monkeypatch):
     texts, _ = planted(12)
+    texts += texts[:1] * 30
+    monkeypatch.setattr(_common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(_common, "HOT_ROWS", 10)
     d = docs(spark, texts)
     groups = lambda pairs: {frozenset(i for i, c in pairs if c == x) for _, x in pairs}
     got = groups([(r.doc_id, r.component) for r in _similar.components(d, cell_rows=3).collect()])

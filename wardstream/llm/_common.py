@@ -15,8 +15,8 @@ from .. import session
 
 #: Rows that may be broadcast; beyond it the caller joins by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Tasks among which the rows of one key are dealt where its join cannot be broadcast.
-SALTS = 64
+#: Rows of one key beyond which its join is by broadcast, whatever the number of keys.
+HOT_ROWS = 1_000_000
 
 #: Scratch paths made inside each open scope, innermost last.
 _SCOPES: list[list[str]] = []
@@ -63,13 +63,19 @@ def small_or_plain(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if rows <= limit else df
 
 
-def spread_join(rows: DataFrame, keys: DataFrame, on: str, n: int) -> DataFrame:
-    """rows joined with one row for each key: by broadcast while they are few, else with every key dealt to SALTS tasks."""
+def spread_join(rows: DataFrame, keys: DataFrame, on: str, n: int, how: str = "inner") -> DataFrame:
+    """rows joined with one row for each of n keys, so that the rows of a frequent key meet in no task.
+
+    By broadcast while the keys are few; else the keys with over HOT_ROWS rows are (there is at most one in HOT_ROWS rows),
+    and the others shuffle.
+    """
     if n <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(keys), on)
-    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
-    each = keys.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return dealt.join(each, [on, "__salt"]).drop("__salt")
+        return rows.join(F.broadcast(keys), on, how)
+    hot = rows.groupBy(on).agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS).filter(F.col(on).isNotNull()).select(on)
+    hot, _ = materialise(hot, "hot-keys")
+    hot = F.broadcast(hot)
+    few = rows.join(hot, on, "left_semi").join(F.broadcast(keys.join(hot, on, "left_semi")), on, how)
+    return few.unionByName(rows.join(hot, on, "left_anti").join(keys, on, how))
 
 
 def bit_filter(hashes: DataFrame, column: str, n: int, most: int) -> np.ndarray:
