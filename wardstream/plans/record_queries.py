@@ -335,15 +335,15 @@ def completeness_all_fields(spark, sf):
     return quality.completeness(records.normalize(records.as_records(flows(spark, sf))), vocab.COMPLETENESS_FIELDS)
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, 'last' AS username, 'id= host= user= did ' || event_type AS message, '00:00' IS NOT NULL AS has_line FROM events")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, 'last' AS username, 'id= host= user= user= did ' || event_type AS message, TRUE AS has_line FROM events")
 def log_lines(spark, sf):
     """Fields of log lines: the last of a key, and the line without times and values."""
     from ..sources.readers import log_fields
 
-    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" id="), F.col("event_id").cast("string"), F.lit(" host='h1 x' user="), F.col("user_id").cast("string"), F.lit("  did "), "event_type")
-    m = log_fields(F.concat(line, F.lit("")))
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" id="), F.col("event_id").cast("string"), F.lit(" host='h1 x' user="), F.col("user_id").cast("string"), F.lit(" user='last'  did "), "event_type")
+    m = log_fields(line)
     e = table(spark, sf, "events")
-    return e.select("event_id", m["timestamp"].alias("stamp"), F.lit("last").alias("username"), F.regexp_replace(m["message"], " +", " ").alias("message"), m["_raw_line"].isNotNull().alias("has_line"))
+    return e.select("event_id", m["timestamp"].alias("stamp"), m["user"].alias("username"), F.regexp_replace(m["message"], " +", " ").alias("message"), (m["_raw_line"] == line).alias("has_line"))
 
 
 @query(f"""WITH RECURSIVE d AS (SELECT doc_id, md5(coalesce(text, '')) AS f, row_number() OVER (ORDER BY doc_id) AS r FROM documents),

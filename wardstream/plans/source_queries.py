@@ -190,7 +190,7 @@ def version_snapshot(spark, sf):
 def split_files(spark, sf):
     """Training splits as JSON lines in a folder each, with their metadata, read back."""
     k = F.col("o_orderkey") % 10
-    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_comment").alias("text") if "o_comment" in table(spark, sf, "orders").columns else F.lit("é").alias("text"), F.when(k < 8, "train").when(k == 8, "validation").otherwise("test").alias("split"))
+    rows = table(spark, sf, "orders").select("o_orderkey", F.lit("é").alias("text"), F.when(k < 8, "train").when(k == 8, "validation").otherwise("test").alias("split"))
     path = scratch_path(spark, "splits")
     meta = sinks.write_splits(rows, path)
     read = spark.read.schema("o_orderkey bigint, text string, split string").json(f"{path}/data")
@@ -235,7 +235,7 @@ def json_store(spark, sf):
     for r in table(spark, sf, "nation").collect():  # one file a record, by design of a store of small records
         store.put(f"m{r.n_nationkey}", {"key": r.n_name, "value": r.n_regionkey, "lifecycle": "trained"})
     store.promote("m2"), store.promote("m4")
-    return store.frame().select("key", F.col("value").cast("int").alias("value"), "lifecycle") if "n_regionkey" in table(spark, sf, "nation").columns else store.frame()
+    return store.frame().select("key", F.col("value").cast("int").alias("value"), "lifecycle")
 
 
 @query("""SELECT count(*) AS n, TRUE AS same FROM region""")
