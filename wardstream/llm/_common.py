@@ -81,15 +81,27 @@ def spread_join(rows: DataFrame, keys: DataFrame, on: str, n: int, how: str = "i
 def bit_filter(hashes: DataFrame, column: str, n: int, most: int) -> np.ndarray:
     """Bits at the places that the leading bits of 64-bit hashes name, as bytes: at least 8 for each of n hashes, 2**most at most.
 
-    The bits are put together by Spark; the driver gets one number for each 64 places.
+    The tasks put the bits together in blocks of 64 KB; the driver gets these, the whole filter once.
     """
     size = min(most, max(16, n.bit_length() + 3))
-    place = F.shiftrightunsigned(column, 64 - size)
-    word = hashes.select(F.shiftright(place, 6).alias("w"), F.expr("1L").alias("one"), place.bitwiseAND(F.lit(63)).cast("int").alias("b"))
-    words = word.groupBy("w").agg(F.bit_or(F.expr("shiftleft(one, b)")).alias("bits")).toPandas()  # 2**(size - 6) rows at most
-    bits = np.zeros(1 << size - 6, np.int64)
-    bits[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return bits.view(np.uint8)
+    block = min(size, 19)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            place = np.unique(b.column(0).to_numpy(zero_copy_only=False))
+            cut = np.flatnonzero(np.r_[True, np.diff(place >> block) > 0]) if len(place) else []
+            for part in np.split(place, cut[1:]) if len(place) else ():
+                held.setdefault(int(part[0]) >> block, np.zeros(1 << block, bool))[part & ((1 << block) - 1)] = True
+        packed = [np.packbits(x, bitorder="little").tobytes() for x in held.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(packed, pa.binary())], ["block", "bits"])
+
+    place = hashes.select(F.shiftrightunsigned(column, 64 - size).alias("p")).repartition(F.shiftright("p", block))
+    out = np.zeros(1 << size - 3, np.uint8)
+    for r in place.mapInArrow(run, "block bigint, bits binary").collect():  # 2**(size - 3) bytes in all
+        at = r["block"] << block - 3
+        out[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
 def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
