@@ -153,29 +153,6 @@ def test_substring_later_windows_over_batches():
         assert {(r["d"], r["start"] + j) for r in out for j in range(r["n"])} == want
 
 
-def test_substring_rounds_keep_every_repeat(spark, texts, monkeypatch):
-    d = docs(spark, texts).select(F.encode("text", "UTF-8").alias("text"))
-    filters = substring.naming_rounds(d, 20)
-    assert len(filters) == substring.ROUNDS
-    group = next(substring.groups([(t or "").encode() for t in texts], 20))
-    sym, starts, doc, start, fence = group.windows(20)
-    whole = substring.window_names(sym, 20)[starts]
-    _, n = np.unique(whole, return_inverse=True)
-    again = np.bincount(n)[n] > 1
-    place = substring.anchors(sym, fence, starts, 20, filters)[1]
-    assert again.any() and (place[again] >= 0).all() and (place[~again] < 0).mean() > 0.3  # windows that are passed over
-    for r in range(substring.ROUNDS):  # each round's names are those that two places bear
-        names = substring._new_pairs(sym, fence, filters[:r])
-        level = substring.parse(sym, fence, r + 1)[0]
-        born = np.sort(level[0][level[3] == r + 1])
-        assert set(names.tolist()) <= set(born.tolist()) and (r or len(names) == len(born))
-        seen, count = np.unique(born, return_counts=True)
-        assert set(seen[count > 1].tolist()) <= set(names.tolist())
-    monkeypatch.setattr(substring, "FILTER_BITS", 6 + 6)
-    got = substring.remove_repeats(docs(spark, texts), 20).collect()
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_repeats(list(enumerate(texts)), 20)
-
-
 def test_substring_small_vocabulary_and_periods(spark):
     rng = random.Random(9)
     texts = [" ".join(rng.choice("ab") for _ in range(rng.randrange(60))) for _ in range(40)] + ["x y " * 40, "y x " * 40, "a b a c " * 25]
