@@ -128,7 +128,8 @@ def _matches(docs: DataFrame, items: DataFrame, threshold: float, k: int) -> Dat
     n = sum(r["n"] for r in sized)
     classes = [(r["width"], math.ceil(threshold * r["least"] - 1e-9)) for r in sized]
     each = held.select("i", "item_id", "width", "n_shingles", F.explode("shingles").alias("s")).select("i", "item_id", "width", "n_shingles", "s.h", "s.g")
-    hits, _ = materialise(shared_shingles(docs, bit_filter(each, "h", n, FILTER_BITS), classes), "leak-hits")
+    bits = bit_filter(each, "h", n << 4, FILTER_BITS)  # 128 bits a shingle: what passes by chance is under a hundredth
+    hits, _ = materialise(shared_shingles(docs, bits, classes), "leak-hits")
     sketch = held.select("i", "n_shingles", "width", "size_class", F.explode(F.slice("shingles", F.lit(1), F.col("sketch").cast("int"))).alias("s"))
     sketch = small_or_plain(sketch.select("i", "width", "n_shingles", "s.h"), n, BROADCAST_SHINGLES)
     need = F.ceil(F.lit(threshold) * F.col("n_shingles") - F.lit(1e-9))
