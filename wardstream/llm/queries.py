@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, lmscore, media, mixing, sharding, simhash, substring, warc
+from . import decontaminate, langid, linededup, lmscore, media, mixing, periodic, resampling, secrets, sharding, simhash, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.runs_digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampling_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_substring_dedup, op3_mixing, op4_lm_scoring, op5_warc, op6_decontamination, op7_line_dedup, op8_media, op9_language_id, op10_simhash)
+    for f in (
+        op1_sharding, op2_substring_dedup, op3_mixing, op4_lm_scoring, op5_warc, op6_decontamination, op7_line_dedup, op8_media, op9_language_id, op10_simhash,
+        op11_secret_scan, op12_periodic_runs, op13_importance_resampling,
+    )
 }
 
 #: The others need draws, hashes or coders that SQL does not have; tests/llm holds them against brute force.
@@ -66,4 +81,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
     "op6_decontamination": decontaminate.ORACLE,
     "op7_line_dedup": linededup.ORACLE,
+    "op11_secret_scan": secrets.ORACLE,
 }
