@@ -99,7 +99,7 @@ def find_runs(w: np.ndarray, chunk: int = GRID_CHUNK) -> list[tuple[int, int, in
             last_period, stretch = p, right_end(w, i, p)
             start = left_end(w, i, p)
             length = stretch + p - start
-            if length >= max(6, 4 * p):
+            if stretch > i + 2 * p and length >= max(6, 4 * p):  # the four points lie in it: else it may be a smaller period's
                 runs.append((start, length, p))
                 np.maximum(covered[start : start + length], start + length, out=covered[start : start + length])
     return sorted(runs, key=lambda r: (r[0], r[2]))
