@@ -216,7 +216,8 @@ def test_mixing_repeats_long_texts_and_names(spark):
 
 
 # 4 LM scoring
-def brute_lm(texts, targets):
+def brute_lm(texts, targets, copies=False):
+    rows = [Counter((t, i in targets) for i, t in enumerate(texts))[t, k] if copies else 0 for t in texts for k in (False, True)]
     split = [(t or "").encode().lower().split() for t in texts]
     uni, pair, starts = [Counter(), Counter()], [Counter(), Counter()], [0, 0]
     for i, c in enumerate(split):
@@ -234,7 +235,7 @@ def brute_lm(texts, targets):
             continue
         loss, own, own_pair = [0.0, 0.0], Counter(c), Counter(zip([None, *c], c))
         for k in (0, 1):
-            mine = int(k == (i in targets))
+            mine = rows[2 * i + k] if copies else int(k == (i in targets))
             for before, w in zip([None, *c], c):
                 p = ((uni[k][w] - mine * own[w]) * scale[k] + 1) / ((total[k] - mine * len(c)) * scale[k] + v)
                 context = (starts[k] - mine if before is None else uni[k][before] - mine * own[before]) * scale[k]
@@ -254,6 +255,18 @@ def test_lm_scores(spark, texts, sizes):
     assert np.mean([got[i] for i in targets]) < np.mean([got[i] for i in range(1, 30, 2)])
 
 
+@pytest.mark.parametrize("limit", [_common.BROADCAST_ROWS, 0])
+def test_lm_without_copies(spark, texts, limit, monkeypatch):
+    monkeypatch.setattr(_common, "BROADCAST_ROWS", limit)
+    rows = [*texts, *[texts[0]] * 9, *texts[:5], None]
+    targets = {*range(0, 30, 2), len(texts), len(texts) + 1}
+    ids = spark.createDataFrame([(i,) for i in targets], "doc_id bigint")
+    got = {r.doc_id: r.score for r in lmscore.score(docs(spark, rows), ids, block_bytes=3000, leave_out_copies=True).collect()}
+    for i, want in enumerate(brute_lm(rows, targets, True)):
+        assert got[i] is None if want is None else abs(got[i] - want) < 1e-9
+    assert len({got[i] for i, t in enumerate(rows) if t == texts[0]}) == 1
+
+
 def test_lm_without_targets_or_rows(spark, texts):
     none = spark.createDataFrame([], "doc_id bigint")
     assert lmscore.score(docs(spark, texts), none).filter("score is null").count() == 3
@@ -520,8 +533,7 @@ def test_language_code_lengths(spark):
     rows = [(i, " ".join("".join(rng.choices(pools[k].split(), k=3)) for _ in range(rng.randrange(1, 30))), k, "s", 0) for i, k in enumerate(list(pools) * 60)]
     rows += [(1000, None, "en", "s", 0), (1001, "123 !!", "fr", "s", 0), (1002, "x", None, "s", 0), (1003, "日本語 \U0001f600", "en", "s", 0), (1004, "\U0001f600 42", "de", "s", 0)]
     d = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("mine"))
-    packed = langid.train(d)
-    model = langid.load(packed)
+    model = langid.load(langid.train(d)[0].value)
     learned = {k: [r[1] for r in rows if r[2] == k and r[1] is not None and zlib.crc32(str(r[0]).encode()) % 4 != 2] for k in pools}
     probes = ["The thing", "über ßé zzz", "q", rows[0][1] * 50, "日本"]
     got = model.lengths([langid.normalize(p) for p in probes])
@@ -537,25 +549,40 @@ def test_language_code_lengths(spark):
     assert kept.columns == d.columns and not {1000, 1001, 1004} & {r.doc_id for r in kept.collect()}
 
 
-def test_language_empty_long_and_few_texts(spark, monkeypatch):
+def test_many_languages_in_groups(spark, monkeypatch):
+    """500 languages of their own syllables: the best code over all groups, the same as from one table of all languages."""
+    rng = random.Random(12)
+    syllables = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(12)] for _ in range(500)]
+    text = lambda k: " ".join("".join(rng.choices(syllables[k], k=2)) for _ in range(12))
+    rows = [(i, text(i % 500), f"l{i % 500:03}", "s", 0) for i in range(4000)]
+    d = spark.createDataFrame(rows, DOCS)
+    monkeypatch.setattr(langid, "ENTRIES_HELD", 100_000)
+    got = {r.doc_id: r for r in langid.language_digest(d).collect()}
+    held = [r for r in rows if got[r[0]].held_out]
+    assert len(held) > 900 and np.mean([got[r[0]].lang_pred == r[2] for r in held]) > 0.97
+    one = langid.train(d, group_languages=1000)
+    assert len(one) == 1 and len(langid.train(d)) == 32
+    probes = [r[1] for r in rows[:300]]
+    names, scores, rates = langid.judge(probes, [one[0].value])
+    assert names == [got[i].lang_pred for i in range(300)] and np.allclose(scores, [got[i].score for i in range(300)])
+
+
+def test_language_empty_long_and_few_texts(spark):
     rng = random.Random(4)
     en = [(i, words(rng, 20).replace("w", "the ") + " and the thing", "en", "s", 0) for i in range(20)]
     fr = [(100 + i, " ".join(rng.choices("que les été aux nation voilà".split(), k=30_000)), "fr", "s", 0) for i in range(12)]
     rest = [(200 + i, "", "de", "s", 0) for i in range(4)] + [(None, "uno dos tres cuatro cinco", "es", "s", 0)] * 3
     d = spark.createDataFrame(en + fr + rest, DOCS)
-    packed = langid.train(d, bytes_each=300_000)
-    assert packed["languages"] == ["en", "es", "fr"]
+    groups = langid.train(d, bytes_each=300_000, group_languages=2)
+    assert [g.value["languages"] for g in groups] == [["en", "es"], ["fr"]]
     assert sum(r.room for r in langid.training_sample(d, bytes_each=300_000).filter("lang = 'fr'").collect()) == 300_000
     out = {r.doc_id: r.lang_pred for r in langid.language_digest(d).collect()}
     assert [out[i] for i in (0, 100, 200, None)] == ["en", "fr", "und", "es"]
-    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
-    with pytest.raises(ValueError, match="languages"):
-        langid.train(d)
 
 
 def test_language_long_texts_and_nothing_learned(spark, monkeypatch):
     d = docs(spark, ["the cat sat " * 3000, "la vie est belle " * 20])
-    packed = langid.train(d)
+    packed = langid.train(d)[0].value
     whole = langid.load(packed).lengths([langid.normalize("the cat " * 500), b"a"])
     monkeypatch.setattr(langid, "CHUNK", 100)
     assert np.allclose(langid.load(packed).lengths([langid.normalize("the cat " * 500), b"a"]), whole)

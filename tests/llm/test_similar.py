@@ -62,6 +62,33 @@ def test_grid_of_cells_and_frequent_copies(spark, monkeypatch):
     assert got == groups(list(enumerate(brute(texts))))
 
 
+def test_bands_of_a_chain_are_its_tiles(spark, monkeypatch):
+    """Texts of which each shares most with the next: one coarse group, cells that grow with its length and not its square."""
+    rng = random.Random(5)
+    monkeypatch.setattr(_common, "BROADCAST_ROWS", 0)
+    sent, stream = {}, [f"w{rng.randrange(5000)}" for _ in range(60_000)]
+    for n in (1250, 5000):
+        texts = [" ".join(stream[9 * i : 9 * i + 130]) for i in range(n)]
+        d = docs(spark, texts)
+        rows = _similar.sketches(d)
+        nodes, _ = _common.connected_components(_similar.proposals(rows), "lo", "fp")
+        members = rows.join(nodes, rows.fp == nodes.node).select("node", "root", "n", "bands").persist()
+        size = members.groupBy("root").count().agg({"count": "max"}).first()[0]
+        cells = _similar.placed(members, 100).persist()
+        assert size > n // 3 and cells.groupBy("cell").count().agg({"count": "max"}).first()[0] <= 100
+        sent[n] = cells.count()
+        if n == 1250:
+            groups = lambda pairs: {frozenset(i for i, c in pairs if c == x) for x in {c for _, c in pairs}}
+            got = [(r.doc_id, r.component) for r in _similar.components(d, cell_rows=100).collect()]
+            want, last = [], 0
+            sets = [shingles(t) for t in texts]
+            for i in range(n):  # a window is as near to the next as any pair is
+                last = last if i and len(sets[i] & sets[i - 1]) / len(sets[i] | sets[i - 1]) >= 0.8 else i
+                want.append((i, last))
+            assert groups(got) == groups(want)
+    assert sent[5000] < 5 * sent[1250]
+
+
 def test_rows_are_decided_one_by_one(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "p q r s t"), (3, "a b c d e"), (3, "u v w x y"), (None, "k l m n o"), (None, "k l m n o"), (3, "i j k l m")]
     kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()

@@ -116,6 +116,13 @@ def keep_columns(df: DataFrame, made: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def by_place(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named by place (c0, c1, ...), so that none clashes with a column made on the way, and the name
+    that each column (in lower case) has there. ``toDF(*df.columns)`` gives the names back."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain, {c.lower(): f"c{i}" for i, c in enumerate(df.columns)}
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """df.mapInArrow for columns of any name (a dot in a name stops mapInArrow): inside, columns go by their place."""
 
@@ -123,7 +130,7 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
         for b in run(batches):
             yield pa.RecordBatch.from_arrays(b.columns, [f"c{i}" for i in range(b.num_columns)])
 
-    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    plain, _ = by_place(df)
     out = plain.mapInArrow(placed, T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)]))
     return out.toDF(*schema.names)
 

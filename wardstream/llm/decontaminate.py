@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bit_filter, in_filter, materialise, small_or_plain
+from ._common import bit_filter, by_place, in_filter, materialise, small_or_plain
 from .substring import mix, pair_name, word_hashes
 
 WORDS = 5
@@ -156,9 +156,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
     out = _matches(docs, items, threshold, k)
     if out is None:
         return docs
-    gone, _ = materialise(out.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct(), "leak-documents")
+    gone, _ = materialise(out.select("doc_id", "t").distinct(), "leak-documents")
     gone = small_or_plain(gone, gone.count())
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__t")), "left_anti")
+    plain, at = by_place(docs)
+    kept = plain.join(gone, F.col(at["doc_id"]).eqNullSafe(F.col("doc_id")) & (F.xxhash64(at["text"]) == F.col("t")), "left_anti")
+    return kept.toDF(*docs.columns)
 
 
 #: Whole words as in tokens(); containment as counts, for items of five words or more and of fewer.

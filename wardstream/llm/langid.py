@@ -9,7 +9,7 @@ of the shortest code; ``score`` is its posterior under equal priors.
 Text is lower-cased and every run of ASCII non-letters becomes one space before coding; whole texts are coded.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; equal texts get equal results; a tie goes
-to the language first in order; rows with null lang teach nothing; a language whose labelled texts are all empty or
+to the language first in order; any number of languages can be learned; rows with null lang teach nothing; a language whose labelled texts are all empty or
 without letters is not learned, one with a single long text is; with nothing to learn from all rows are ``und``; an
 empty table gives an empty result; columns other than id, text and lang are ignored.
 """
@@ -21,19 +21,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_arrow
+from ._common import by_place, map_arrow, materialise, small_or_plain
 
 ORDER = 3
 #: Bound of the training sample: documents and UTF-8 bytes for each language. Documents are taken whole in the order of
 #: a hash; the one that crosses the bound is the last, of which as many bytes as the bound has left are learned.
 SAMPLE_DOCS = 600
 SAMPLE_BYTES = 1_500_000
-#: Languages that may be learned; more are an error, as what the models hold must stay bounded.
-MAX_LANGUAGES = 400
+#: Languages whose trees are one table; documents are coded by group after group, and the best code so far is kept.
+GROUP_LANGUAGES = 16
+#: Table entries (strings times languages) that a worker keeps from one batch of documents to the next.
+ENTRIES_HELD = 20_000_000
 #: Bytes coded at once, which bounds a worker's memory.
 CHUNK = 1 << 19
 UNKNOWN = "und"
@@ -163,23 +166,19 @@ def training_sample(docs: DataFrame, docs_each: int = SAMPLE_DOCS, bytes_each: i
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     rows = rows.select("text", "lang", F.xxhash64("doc_id", "text").alias("h"), F.octet_length("text").cast("long").alias("b"))
-    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(per) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not per:
-        return rows.select("text", "lang", "b").limit(0)
+    per, _ = materialise(rows.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "of"), "language-sizes")
     # A hash threshold first leaves about twice the sample, so that no language meets whole in one task.
-    share = F.create_map(*[F.lit(x) for k, n in per.items() for x in (k, min(1.0, (2 * docs_each + 50) / n))])
     unit = F.col("h").cast("double") / 2.0**64 + 0.5
-    few = rows.filter(unit < F.element_at(share, F.col("lang")))
+    sized = rows.join(small_or_plain(per, per.count()), F.col("lang") == F.col("of"))
+    few = sized.filter(unit < F.lit(2 * docs_each + 50) / F.col("n")).select("text", "lang", "h", "b")
     order = Window.partitionBy("lang").orderBy("h", "text")
     few = few.withColumn("k", F.row_number().over(order)).withColumn("upto", F.sum("b").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     few = few.withColumn("room", F.least("b", F.lit(bytes_each) - F.col("upto") + F.col("b")))
     return few.filter((F.col("k") <= docs_each) & ((F.col("room") > 0) | (F.col("b") == 0))).select("text", "lang", "room")
 
 
-def train(docs: DataFrame, docs_each: int = SAMPLE_DOCS, bytes_each: int = SAMPLE_BYTES) -> dict:
-    """Counts of 4-byte strings by language, over the bounded sample."""
+def train(docs: DataFrame, docs_each: int = SAMPLE_DOCS, bytes_each: int = SAMPLE_BYTES, group_languages: int = GROUP_LANGUAGES) -> list[Broadcast]:
+    """Counts of 4-byte strings by language, over the bounded sample: one broadcast table for each group of languages."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,53 +191,59 @@ def train(docs: DataFrame, docs_each: int = SAMPLE_DOCS, bytes_each: int = SAMPL
                 yield pa.RecordBatch.from_arrays(made, ["lang", "gram", "n"])
 
     counted = training_sample(docs, docs_each, bytes_each).mapInArrow(count, "lang string, gram bigint, n bigint")
-    # At most bytes_each rows a language and MAX_LANGUAGES languages.
-    rows = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(rows["lang"].unique())
-    code = {x: i for i, x in enumerate(languages)}
-    rows = rows.sort_values(["gram", "lang"])
-    return {
-        "id": uuid.uuid4().hex,
-        "languages": languages,
-        "lang": rows["lang"].map(code).to_numpy(np.int64),
-        "gram": rows["gram"].to_numpy(np.uint32),
-        "n": rows["n"].to_numpy(np.float64),
-    }
+    counted, _ = materialise(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-strings")
+    languages = [r["lang"] for r in counted.select("lang").distinct().orderBy("lang").collect()]  # names alone
+    sent = []
+    for first in range(0, len(languages), group_languages):
+        some = languages[first : first + group_languages]
+        rows = counted.filter(F.col("lang").isin(some)).toPandas().sort_values(["gram", "lang"])  # at most bytes_each rows a language of the group
+        code = {x: i for i, x in enumerate(some)}
+        packed = {"id": uuid.uuid4().hex, "languages": some, "lang": rows["lang"].map(code).to_numpy(np.int64), "gram": rows["gram"].to_numpy(np.uint32), "n": rows["n"].to_numpy(np.float64)}
+        sent.append(docs.sparkSession.sparkContext.broadcast(packed))
+    return sent
 
 
 def load(packed: dict) -> Model:
-    if packed["id"] not in _MODELS:
-        _MODELS.clear()
-        _MODELS[packed["id"]] = Model(packed["languages"], packed["lang"], packed["gram"], packed["n"])
-    return _MODELS[packed["id"]]
+    """The group's model; those used longest ago go when the entries held are too many."""
+    model = _MODELS.pop(packed["id"], None) or Model(packed["languages"], packed["lang"], packed["gram"], packed["n"])
+    _MODELS[packed["id"]] = model
+    while len(_MODELS) > 1 and sum(m.top_cost.size for m in _MODELS.values()) > ENTRIES_HELD:
+        _MODELS.pop(next(iter(_MODELS)))
+    return model
 
 
-def judge(texts: list[str | None], packed: dict) -> tuple[list[str], list[float], list[float]]:
+def judge(texts: list[str | None], groups: list[dict]) -> tuple[list[str], list[float], list[float]]:
     """Language, score and bits a byte of each text."""
     plain = [normalize(t) for t in texts]
-    voiced = [bool(packed["languages"]) and has_letter(t, p) for t, p in zip(texts, plain)]
+    at = [i for i, (t, p) in enumerate(zip(texts, plain)) if groups and has_letter(t, p)]
     names, scores, rates = [UNKNOWN] * len(texts), [0.0] * len(texts), [8.0] * len(texts)
-    at = [i for i, v in enumerate(voiced) if v]
-    if at:
+    if not at:
+        return names, scores, rates
+    least, share, found = np.full(len(at), np.inf), np.zeros(len(at)), np.full(len(at), None, object)
+    coded = [plain[i] for i in at]
+    for packed in groups:
         model = load(packed)
-        bits = model.lengths([plain[i] for i in at])
+        bits = model.lengths(coded)
         best = bits.argmin(axis=1)
-        least = bits[np.arange(len(at)), best]
-        share = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
-        for j, i in enumerate(at):
-            names[i], scores[i], rates[i] = model.languages[best[j]], float(share[j]), float(least[j] / len(plain[i]))
+        low = bits[np.arange(len(at)), best]
+        better = low < least  # a tie stays with the language first in order
+        now = np.where(better, low, least)
+        share = share * np.exp2(np.maximum(now - np.where(np.isinf(least), now, least), -1000)) + np.exp2(np.maximum(now[:, None] - bits, -1000)).sum(axis=1)
+        found[better] = np.array(model.languages, object)[best[better]]
+        least = now
+    for j, i in enumerate(at):
+        names[i], scores[i], rates[i] = found[j], float(1.0 / share[j]), float(least[j] / len(plain[i]))
     return names, scores, rates
 
 
-def predict(docs: DataFrame, packed: dict, made: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
+def predict(docs: DataFrame, groups: list[Broadcast], made: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte"), text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score and bits_per_byte (of the best language); input columns of these names give way."""
     rows = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in made])
-    at = [c.lower() for c in rows.columns].index("text")
-    sent = docs.sparkSession.sparkContext.broadcast(packed)  # bounded by the training sample
+    at = [c.lower() for c in rows.columns].index(text_col.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, scores, rates = judge(b.column(at).to_pylist(), sent.value)
+            names, scores, rates = judge(b.column(at).to_pylist(), [g.value for g in groups])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], [*b.schema.names, *made])
 
     schema = T.StructType([*rows.schema.fields, *[T.StructField(m, k) for m, k in zip(made, (T.StringType(), T.DoubleType(), T.DoubleType()))]])
@@ -247,11 +252,12 @@ def predict(docs: DataFrame, packed: dict, made: tuple[str, str, str] = ("lang_p
 
 def language_digest(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document, the model learned from the documents not held out."""
-    packed = train(docs)
-    return predict(docs.select("doc_id", "text"), packed).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    groups = train(docs)
+    return predict(docs.select("doc_id", "text"), groups).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def keep_known(docs: DataFrame, max_bits: float = 8.0) -> DataFrame:
     """The documents in some learned language: not ``und``, and coded in fewer bits a byte than no model at all."""
-    out = predict(docs, train(docs), ("__lang", "__score", "__bits"))
-    return out.filter((F.col("__lang") != UNKNOWN) & (F.col("__bits") < max_bits)).select(*[f"`{c}`" for c in docs.columns])
+    plain, at = by_place(docs)
+    out = predict(plain, train(docs), text_col=at["text"])
+    return out.filter((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") < max_bits)).select(*plain.columns).toDF(*docs.columns)

@@ -4,8 +4,9 @@ Both models are interpolated bigrams with the same smoothing. The shared vocabul
 documents, and every word pair has a count of its own: what is gathered grows with the corpus and nothing is capped.
 All documents are counted: those of the target class in the target model, the others in the background model; the
 background's counts are scaled to the target's number of words, so that smoothing weighs the same in both (matched
-models). A document is judged by what all others teach: its own words and pairs are taken off the counts of the model
-that it was counted in. Its score is the mean over its words of the target loss minus the background loss, in nats:
+models). A document is judged by what all other rows teach: its own words and pairs are taken off the counts of the model
+that it was counted in, and with ``leave_out_copies`` those of all its exact copies too. Without it a text that stands
+twice is told by its losses, as the corpus does know it; with it copies are scored like texts that stand once. Its score is the mean over its words of the target loss minus the background loss, in nats:
 lower is closer to the target.
 
 The models are never held in one place. Documents are packed into blocks of about ``BLOCK_BYTES``. Each block sends the
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, small_or_plain
+from ._common import materialise, small_or_plain, spread_join
 from .substring import mix
 
 #: Weight of the unigram estimate in a bigram estimate, in words.
@@ -42,7 +43,7 @@ BUCKET_WORDS = 2_000_000
 #: Stands before the first word of a document.
 START = np.uint64(0x5354415254)
 
-BLOCKS = "block bigint, doc_id array<{}>, target array<boolean>, length array<int>, texts binary, words0 bigint, words1 bigint, docs0 bigint, docs1 bigint"
+BLOCKS = "block bigint, doc_id array<{}>, target array<boolean>, hashes array<bigint>, length array<int>, texts binary, words0 bigint, words1 bigint, docs0 bigint, docs1 bigint"
 COUNTS = "bucket int, block bigint, n_keys int, keys binary, counts binary"
 
 
@@ -64,7 +65,7 @@ def unpack(data: bytes, n: int) -> np.ndarray:
 
 
 def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """Documents (doc_id, text as bytes, target) packed into rows of about block_bytes, with their numbers of words."""
+    """Documents (doc_id, text as bytes, target, hash of the text) packed into rows of about block_bytes, with their numbers of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -73,19 +74,19 @@ def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
         first = TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
-            ids, texts, target = zip(*held)
+            ids, texts, target, hashes = zip(*held)
             words, full = [0, 0], [0, 0]
             for t, k in zip(texts, target):
                 n = len((t or b"").split())
                 words[k] += n
                 full[k] += n > 0
-            row = [first + made, list(ids), list(target), [len(t or b"") for t in texts], zstandard.compress(b"".join(t or b"" for t in texts), 3), *words, *full]
-            types = [pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), *[pa.int64()] * 4]
+            row = [first + made, list(ids), list(target), list(hashes), [len(t or b"") for t in texts], zstandard.compress(b"".join(t or b"" for t in texts), 3), *words, *full]
+            types = [pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), *[pa.int64()] * 4]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names)
 
         for b in batches:
             id_type = b.column(0).type
-            for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for row in zip(*(c.to_pylist() for c in b.columns)):
                 if held and size + len(row[1] or b"") > block_bytes:
                     yield flush()
                     held, size, made = [], 0, made + 1
@@ -164,7 +165,18 @@ def own_counts(doc: np.ndarray, at: np.ndarray, n_keys: int) -> np.ndarray:
     return count[place]
 
 
-def scored(packed: DataFrame, totals: DataFrame, words: tuple[int, int], starts: tuple[int, int], vocabulary: int, id_type: str) -> DataFrame:
+def repeated(packed: DataFrame) -> DataFrame:
+    """(block, again): for each block the places of its documents whose text stands several times, with the number of rows
+    under background and target."""
+    each = packed.select("block", F.posexplode(F.arrays_zip("hashes", "target", "length")).alias("place", "d")).filter("d.length > 0")
+    each = each.select("block", "place", F.col("d.hashes").alias("h"), F.col("d.target").alias("target"))
+    many = each.groupBy("h").agg(F.count_if(~F.col("target")).alias("m0"), F.count_if("target").alias("m1")).filter("m0 + m1 > 1")
+    many, _ = materialise(many, "lm-copies")
+    met = spread_join(each.select("block", "place", "h"), many, "h", many.count())
+    return met.groupBy("block").agg(F.collect_list(F.struct("place", "m0", "m1")).alias("again"))  # the documents of one block
+
+
+def scored(packed: DataFrame, totals: DataFrame, words: tuple[int, int], starts: tuple[int, int], vocabulary: int, id_type: str, leave_out_copies: bool) -> DataFrame:
     """Scores of the documents of each block by the totals sent back to it."""
     scale = (words[1] / words[0] if words[0] and words[1] else 1.0, 1.0)
 
@@ -179,11 +191,14 @@ def scored(packed: DataFrame, totals: DataFrame, words: tuple[int, int], starts:
         opens = (np.cumsum(n) - n)[n > 0]
         own_word, own_pair = (own_counts(doc, at, len(keys)) for at in (at_word, at_pair))
         target, loss = np.array(r["target"], bool), []
+        rows = np.stack([~target, target]).astype(np.int64)  # how often each model holds a document's text
+        for x in r.get("again") or ():
+            rows[:, x["place"]] = x["m0"], x["m1"]
         for m in (0, 1):
-            mine = (target == bool(m))[doc]  # the model that holds this document
-            count_word = (total[m][at_word] - np.where(mine, own_word, 0)) * scale[m]
-            count_pair = (total[m][at_pair] - np.where(mine, own_pair, 0)) * scale[m]
-            uni = (count_word + 1.0) / ((words[m] - np.where(mine, n[doc], 0)) * scale[m] + vocabulary)
+            mine = rows[m][doc]
+            count_word = (total[m][at_word] - mine * own_word) * scale[m]
+            count_pair = (total[m][at_pair] - mine * own_pair) * scale[m]
+            uni = (count_word + 1.0) / ((words[m] - mine * n[doc]) * scale[m] + vocabulary)
             context = np.r_[0.0, count_word[:-1]][: len(word)]
             context[opens] = (starts[m] - mine[opens]) * scale[m]
             each = -np.log((count_pair + PRIOR * uni) / (context + PRIOR))
@@ -194,23 +209,28 @@ def scored(packed: DataFrame, totals: DataFrame, words: tuple[int, int], starts:
             "target_loss": pa.array(loss[1], pa.float64(), mask=none), "background_loss": pa.array(loss[0], pa.float64(), mask=none),
         })
 
-    asking = packed.select("block", "doc_id", "target", "length", "texts").groupBy("block")
-    out = asking.cogroup(totals.select("block", "bucket", "n_keys", "totals").groupBy("block")).applyInArrow(run, f"doc_id {id_type}, n_words bigint, target_loss double, background_loss double")
+    asking = packed.select("block", "doc_id", "target", "length", "texts")
+    if leave_out_copies:
+        asking = asking.join(repeated(packed), "block", "left")
+    out = asking.groupBy("block").cogroup(totals.select("block", "bucket", "n_keys", "totals").groupBy("block")).applyInArrow(run, f"doc_id {id_type}, n_words bigint, target_loss double, background_loss double")
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
-def score(docs: DataFrame, targets: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_words: int = BUCKET_WORDS) -> DataFrame:
-    """doc_id, n_words, target_loss, background_loss, score of every document; targets has the doc_id of the target documents."""
+def score(docs: DataFrame, targets: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_words: int = BUCKET_WORDS, leave_out_copies: bool = False) -> DataFrame:
+    """doc_id, n_words, target_loss, background_loss, score of every document; targets has the doc_id of the target documents.
+
+    leave_out_copies also takes the words of a document's exact copies off the counts that it is scored by.
+    """
     named = targets.select(F.col("doc_id").alias("__id")).filter("__id is not null").distinct()
     flag = small_or_plain(named, named.count())
-    rows = docs.select("doc_id", F.encode("text", "UTF-8").alias("text")).join(flag, F.col("doc_id") == F.col("__id"), "left")
-    packed, _ = materialise(blocks(rows.select("doc_id", "text", F.col("__id").isNotNull().alias("target")), block_bytes), "lm-blocks")
+    rows = docs.select("doc_id", F.encode("text", "UTF-8").alias("text"), F.xxhash64("text").alias("h")).join(flag, F.col("doc_id") == F.col("__id"), "left")
+    packed, _ = materialise(blocks(rows.select("doc_id", "text", F.col("__id").isNotNull().alias("target"), "h"), block_bytes), "lm-blocks")
     names = ("words0", "words1", "docs0", "docs1")
     words0, words1, docs0, docs1 = (int(v or 0) for v in packed.agg(*[F.sum(c) for c in names]).first())
     asked = requests(packed, max(1, -(-(words0 + words1) // bucket_words)))
     totals, _ = materialise(answers(asked), "lm-totals")
     vocabulary = int(totals.agg(F.sum("n_words")).first()[0] or 0)
-    return scored(packed, totals, (words0, words1), (docs0, docs1), vocabulary, docs.schema["doc_id"].dataType.simpleString())
+    return scored(packed, totals, (words0, words1), (docs0, docs1), vocabulary, docs.schema["doc_id"].dataType.simpleString(), leave_out_copies)
 
 
 def score_by_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

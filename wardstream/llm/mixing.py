@@ -7,7 +7,8 @@ no group meets in a task.
 
 Defined cases: null source is a source of its own; null text has size 1 like empty text; rows alike in every hashed
 column (doc_id, text) draw the same count; an empty table gives an empty result; a source without a target weight gets
-share 0 and goes, so without any weight above 0 the result is empty; input columns named like a made one give way to it.
+share 0 and goes, so without any weight above 0 the result is empty; input columns named like one that ``mix`` makes give way
+to it, ``replicate`` keeps all columns.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import keep_columns, small_or_plain
+from ._common import by_place, keep_columns, small_or_plain
 
 SEED = "mix-1"
 #: Largest Poisson mean drawn at once; a larger rate is the sum of equal parts, each with a seed of its own.
@@ -59,26 +60,37 @@ def with_steps(rates: DataFrame) -> DataFrame:
     return each.withColumn("c", up_to).groupBy("source", "rate", "parts").agg(F.transform(pairs, lambda x: x["c"]).alias("steps"))
 
 
-def mix(docs: DataFrame, alpha: float = 0.5, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: str = SEED) -> DataFrame:
-    """Every copy of every document: its columns, rate, copies, copy (from 1) and shuffle_key, in order of that key."""
-    made = ["rate", "copies", "copy", "shuffle_key", "__source", "parts", "steps", "__tag"]
-    kept = keep_columns(docs, made)
-    steps = with_steps(source_rates(docs, alpha, weights, epochs)).withColumnRenamed("source", "__source")
+def _copied(docs: DataFrame, alpha: float, weights: dict[str, float] | None, epochs: float, seed: str) -> DataFrame:
+    """The columns of docs named by place, then rate, copies, copy (from 1) and shuffle_key of every copy, in order of that key."""
+    plain, at = by_place(docs)
+    steps = with_steps(source_rates(docs, alpha, weights, epochs))
     steps = small_or_plain(steps, docs.select("source").distinct().count(), BROADCAST_SOURCES)
-    tag = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
-    rows = kept.withColumn("__tag", tag).join(steps, kept["source"].eqNullSafe(steps["__source"]))
-    draw = lambda i: F.size(F.filter("steps", lambda c: c <= _unit(F.concat_ws("|", "__tag", i.cast("string")))))
+    tag = F.concat_ws("|", F.lit(seed), F.coalesce(F.col(at["doc_id"]).cast("string"), F.lit("")), F.md5(F.coalesce(at["text"], F.lit(""))))
+    rows = plain.withColumn("tag", tag).join(steps, F.col(at["source"]).eqNullSafe(F.col("source")))
+    draw = lambda i: F.size(F.filter("steps", lambda c: c <= _unit(F.concat_ws("|", "tag", i.cast("string")))))
     copies = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda a, i: a + draw(i))
     rows = rows.withColumn("copies", copies).filter("copies > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    key = F.md5(F.concat_ws("|", "__tag", F.lit("place"), F.col("copy").cast("string")))
-    rows = rows.select(*[f"`{c}`" for c in kept.columns], "rate", "copies", "copy", key.alias("shuffle_key"))
+    key = F.md5(F.concat_ws("|", "tag", F.lit("place"), F.col("copy").cast("string")))
+    rows = rows.select(*plain.columns, "rate", "copies", "copy", key.alias("shuffle_key"))
     # The keys are uniform, so equal ranges need no sampling pass, which would draw all counts a second time.
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long") * n
     return rows.repartitionById(n, F.shiftright(place, 32).cast("int")).sortWithinPartitions("shuffle_key")
 
 
+def mix(docs: DataFrame, alpha: float = 0.5, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: str = SEED) -> DataFrame:
+    """Every copy of every document: its columns, rate, copies, copy (from 1) and shuffle_key, in order of that key."""
+    made = ["rate", "copies", "copy", "shuffle_key"]
+    kept = keep_columns(docs, made)
+    return _copied(kept, alpha, weights, epochs, seed).toDF(*kept.columns, *made)
+
+
+def replicate(docs: DataFrame, alpha: float = 0.5, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: str = SEED) -> DataFrame:
+    """Every copy of every document with the columns of docs alone, whatever their names, in shuffled order."""
+    return _copied(docs, alpha, weights, epochs, seed).select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
+
+
 ORACLE = f"""
 WITH d AS (SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size,
                   '{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')) AS tag FROM documents),

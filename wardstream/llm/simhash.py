@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _similar
-from ._common import connected_components, materialise, spread_join
+from ._common import by_place, connected_components, materialise, spread_join
 
 SEED = 42
 #: Rows of one tile that a single task compares; a larger tile becomes a grid of tile pairs.
@@ -217,10 +217,12 @@ def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius
     Links are by the similarity of word shingles, or by the radius of fingerprints if one is given. Decided for each row
     by its doc_id and text: rows that only share a doc_id are different documents; of rows alike in both one stays.
     """
+    plain, at = by_place(docs)
+    named = plain.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"))
     if radius is None:
-        groups = _similar.components(docs, similarity=similarity, width=width)
+        groups = _similar.components(named, similarity=similarity, width=width)
     else:
-        fps, _ = materialise(fingerprints(docs.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("h"))), width=width), "simhash")
+        fps, _ = materialise(fingerprints(named.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("h"))), width=width), "simhash")
         distinct, _ = materialise(fps.select("fp").distinct(), "simhash-distinct")
         nodes, _ = connected_components(links(distinct, distinct.count(), radius), "a", "b")
         groups = fps.join(nodes, F.col("fp") == F.col("node"), "left").select("doc_id.doc_id", "doc_id.h", F.coalesce("root", "fp").alias("component"))
@@ -228,9 +230,9 @@ def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius
     rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "h")
     best = found.groupBy("component").agg(F.min(rank).alias("best"), F.count("*").alias("m")).filter("m > 1").select("component", "best")
     best, _ = materialise(best, "simhash-best")
-    gone = spread_join(found, best, "component", best.count()).filter(~rank.eqNullSafe(F.col("best"))).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
-    h = F.xxhash64("text")
-    kept = docs.join(gone.distinct(), F.col("doc_id").eqNullSafe(F.col("__id")) & (h == F.col("__h")), "left_anti")
+    gone = spread_join(found, best, "component", best.count()).filter(~rank.eqNullSafe(F.col("best"))).select("doc_id", "h").distinct()
+    h = F.xxhash64(at["text"])
+    kept = plain.join(gone, F.col(at["doc_id"]).eqNullSafe(F.col("doc_id")) & (h == F.col("h")), "left_anti")
     if found.groupBy("doc_id", "h").count().filter("count > 1").limit(1).count():
-        kept = kept.withColumn("__h", h).dropDuplicates(["doc_id", "__h"]).drop("__h")
-    return kept
+        kept = kept.withColumn("h", h).dropDuplicates([at["doc_id"], "h"]).drop("h")
+    return kept.toDF(*docs.columns)
