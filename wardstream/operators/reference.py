@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small, written
+from .inverted import Index
 from .retrieval import bm25, chunk, intel_lookup, intel_table, techniques
 
 
@@ -38,18 +40,24 @@ def indicator_documents(df: DataFrame) -> DataFrame:
 class Library:
     """Chunks of documents (doc_id, title, content), searched by title and content.
 
-    A library is a table of chunks: ``save`` writes it and ``load`` reads it back, so it is built once for many sessions.
+    In memory a library is its table of chunks, scored as a whole by ``scorer`` (``bm25`` or a function with its arguments
+    and columns). ``save`` writes the chunks and a kept index beside them; a library that was loaded asks that index and
+    reads only the postings and the chunks that it needs, and ``add`` puts further documents into both.
     """
 
-    def __init__(self, chunks: DataFrame, top_k: int = 3, threshold: float = 0.05):
-        self.chunks, self.top_k, self.threshold = chunks, top_k, threshold
+    def __init__(self, chunks: DataFrame, top_k: int = 3, threshold: float = 0.05, scorer=bm25, index: Index | None = None, path: str | None = None):
+        self.chunks, self.top_k, self.threshold, self.scorer, self.index, self.path = chunks, top_k, threshold, scorer, index, path
 
-    @classmethod
-    def build(cls, documents: DataFrame, size: int = 400, overlap: int = 50, **settings) -> Library:
+    @staticmethod
+    def cut(documents: DataFrame, size: int = 400, overlap: int = 50) -> DataFrame:
+        """The chunks of documents, with the text that is searched."""
         titled = documents.select("doc_id", "title")
         parts = chunk(documents.select("doc_id", "content"), "doc_id", "content", size, overlap)
-        rows = parts.join(titled, "doc_id").select("chunk_id", "doc_id", "title", "content", F.concat("title", F.lit("\n"), "content").alias("text"))
-        return cls(rows, **settings)
+        return parts.join(titled, "doc_id").select("chunk_id", "doc_id", "title", "content", F.concat("title", F.lit("\n"), "content").alias("text"))
+
+    @classmethod
+    def build(cls, documents: DataFrame, size: int = 400, overlap: int = 50, **settings) -> Library:
+        return cls(cls.cut(documents, size, overlap), **settings)
 
     @classmethod
     def default(cls, spark, **settings) -> Library:
@@ -57,15 +65,33 @@ class Library:
 
     @classmethod
     def load(cls, spark, path: str, **settings) -> Library:
-        return cls(spark.read.parquet(path), **settings)
+        return cls(spark.read.parquet(f"{path}/chunks"), index=Index(spark, f"{path}/index"), path=path, **settings)
 
     def save(self, path: str) -> None:
-        self.chunks.write.mode("errorifexists").parquet(path)
+        self.chunks.write.mode("errorifexists").parquet(f"{path}/chunks")
+        Index(self.chunks.sparkSession, f"{path}/index").add(self.chunks.sparkSession.read.parquet(f"{path}/chunks"), "chunk_id", "text")
+
+    def add(self, documents: DataFrame, size: int = 400, overlap: int = 50) -> Library:
+        """The library with further documents; of a saved one, chunks whose ids it holds already stay as they are."""
+        new = self.cut(documents, size, overlap)
+        if self.index is None:
+            return Library(self.chunks.unionByName(new), self.top_k, self.threshold, self.scorer)
+        new = written(new.join(self.chunks.select("chunk_id"), "chunk_id", "left_anti"), "library-new")
+        new.select(*self.chunks.columns).write.mode("append").parquet(f"{self.path}/chunks")
+        self.index.add(new, "chunk_id", "text")
+        return Library.load(self.chunks.sparkSession, self.path, top_k=self.top_k, threshold=self.threshold)
+
+    def count(self) -> int:
+        return self.chunks.count() if self.index is None else self.index.count()
 
     def search(self, queries: DataFrame, top_k: int | None = None, threshold: float | None = None) -> DataFrame:
         """(query_id, rank, chunk_id, title, content, score) for rows (query_id, query); blank queries find nothing."""
-        found = bm25(self.chunks, "chunk_id", "text", queries, top_k or self.top_k, self.threshold if threshold is None else threshold)
-        return found.join(self.chunks.select("chunk_id", "title", "content"), "chunk_id")
+        k, least = top_k or self.top_k, self.threshold if threshold is None else threshold
+        if self.index is not None:
+            found = self.index.search(queries, k, least).withColumnRenamed("key", "chunk_id")
+        else:
+            found = self.scorer(self.chunks, "chunk_id", "text", queries, k, least)
+        return small(written(found, "library-found")).join(self.chunks.select("chunk_id", "title", "content"), "chunk_id")
 
     def indicator_report(self, asked: DataFrame, top_k: int = 2) -> DataFrame:
         """Each row (query_id, query) with has_threat_intel, reputation (unknown if there is none) and its best chunk ids."""

@@ -38,7 +38,7 @@ def bm25(df: DataFrame, key: str, text: str, queries: DataFrame, k: int = 3, thr
     of a text's distinct terms (joined by blanks, in order) adds 2. Of a query of three words or more an inner word is
     then a whole term of the text, so it is looked for among the hits of that term only.
     """
-    tokens = df.select(key, search_tokens(F.col(text)).alias("tok"))
+    tokens = df.select(key, search_tokens(F.coalesce(text, F.lit(""))).alias("tok"))  # a null text has length 0
     stats = F.broadcast(tokens.agg(F.count("*").alias("n"), F.avg(F.size("tok")).alias("avg_len")))  # one row
     asked = queries.select("query_id", F.explode(search_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
     terms = small(asked.select("term").distinct())
@@ -95,6 +95,25 @@ def intel_search(spark: SparkSession, query: str) -> DataFrame:
     return t.filter(F.lower(F.concat_ws(" ", "indicator", "threat_actor", "malware_family")).contains(query.strip().lower()))
 
 
+def _matches(asked: DataFrame, keyword: str, known: DataFrame, fields: list[str]) -> DataFrame:
+    """asked with the rows of a table of fixed size whose fields hold the keyword (trimmed, any case); a blank one finds none."""
+    key = F.lower(strip(F.col(keyword)))
+    words = asked.select(key.alias("_key")).distinct().filter("_key <> ''")
+    held = F.broadcast(known.withColumn("_in", F.lower(F.concat_ws(" ", *fields))))  # a few dozen rows
+    found = words.join(held, F.col("_in").contains(F.col("_key"))).drop("_in")
+    return asked.withColumn("_ask", key).join(small(found), F.col("_ask") == F.col("_key")).drop("_ask", "_key")
+
+
+def intel_matches(asked: DataFrame, keyword: str) -> DataFrame:
+    """Each row with the indicators that have its keyword in their name, actor or malware family."""
+    return _matches(asked, keyword, intel_table(asked.sparkSession), ["indicator", "threat_actor", "malware_family"])
+
+
+def technique_matches(asked: DataFrame, keyword: str) -> DataFrame:
+    """Each row with the techniques that have its keyword in their id, name or tactic."""
+    return _matches(asked, keyword, techniques(asked.sparkSession), ["technique_id", "technique_name", "tactic"])
+
+
 def techniques(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(vocab.TECHNIQUES, "technique_id string, technique_name string, tactic string")
 

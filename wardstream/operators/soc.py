@@ -1,7 +1,8 @@
 """The nested triage record: parsing, validation, strict loading, chat examples, fingerprints.
 
 A record is one JSON object: id, task, input (alert, context, evidence), output and metadata. Parsed records are typed
-structs, in which a field that is missing and one that is null are the same. Every check is an expression over one row,
+structs, in which a field that is missing and one that is null are the same; a field of another type than its own is listed
+in ``wrong_types``, which reads the record without a schema. Every check is an expression over one row,
 so a record is validated where it is read; only the search for repeated ids shuffles, and it shuffles ids alone.
 """
 
@@ -9,9 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vocab
-from ..functions.scalars import sorted_json, strip
+from ..functions.scalars import let, sorted_json, strip
 from .training import highest_severity
 
 #: raw_data keeps its JSON text.
@@ -27,9 +29,58 @@ SCHEMA = (
 )
 
 
+#: Types that fields must have, as Spark names a variant's; a truth value counts as a number.
+_OBJECT, _ARRAY, _TEXT, _NUMBER = ["OBJECT"], ["ARRAY"], ["STRING"], ["BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "BOOLEAN"]
+FIELD_TYPES = {
+    "id": _TEXT, "input": _OBJECT, "input.alert": _OBJECT, "input.context": _OBJECT, "input.evidence": _ARRAY,
+    "output": _OBJECT, "output.confidence": _NUMBER, "output.findings": _ARRAY, "metadata": _OBJECT,
+}
+#: Arrays whose items must be objects.
+ITEM_TYPES = ("input.evidence", "output.findings")
+
+
+def _kind(v: Column) -> Column:
+    """The type of a variant without what it holds (OBJECT, ARRAY, STRING, ...); null for an absent one."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def wrong_types(raw: str = "raw") -> Column:
+    """Paths of a record's JSON text at which a value has the wrong type, outer ones first; what is absent or null has none.
+
+    Of a value that is wrong itself nothing inside is judged. Text that is no JSON gives null, JSON that is no object ``$``.
+    """
+
+    def paths(v: Column) -> Column:
+        field = lambda path, kinds: F.when(~_kind(F.try_variant_get(v, f"$.{path}", "variant")).isin([*kinds, "VOID"]), F.lit(path))
+        item = lambda path: F.transform(
+            F.try_variant_get(v, f"$.{path}", "array<variant>"), lambda x, i: F.when(F.coalesce(_kind(x), F.lit("VOID")) != "OBJECT", F.concat(F.lit(f"{path}["), i.cast("string"), F.lit("]"))),
+        )
+        none = F.array().cast("array<string>")
+        inside = F.array_compact(F.concat(F.array(*[field(p, k) for p, k in FIELD_TYPES.items()]), *[F.coalesce(item(p), none) for p in ITEM_TYPES]))
+        return F.when(_kind(v) == "OBJECT", inside).otherwise(F.array(F.lit("$")))
+
+    return let(F.try_parse_json(raw), lambda v: F.when(v.isNotNull(), paths(v)))
+
+
 def parse(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """The rows with the fields of their JSON text; text that is no JSON object gives null fields."""
-    return df.withColumn("_r", F.from_json(raw, SCHEMA)).select("*", "_r.*").drop("_r")
+    """The rows with the fields of their JSON text, and wrong_types; text that is no JSON object gives null fields.
+
+    An item of the wrong type in an array of objects is null, its neighbours are kept.
+    """
+    v, wrong, r = F.try_parse_json(raw), F.coalesce("_w", F.array().cast("array<string>")), F.col("_r")
+    fields = T.StructType.fromDDL(SCHEMA)
+
+    def mended(block: str, array: str) -> Column:
+        kind = fields[block].dataType[array].dataType.simpleString()
+        items = F.try_variant_get(v, f"$.{block}.{array}", kind)
+        return F.when(F.exists(wrong, lambda p: p.startswith(f"{block}.{array}[")), r[block].withField(array, items)).otherwise(r[block])
+
+    out = df.withColumn("_r", F.from_json(raw, SCHEMA)).withColumn("_w", wrong_types(raw))
+    out = out.withColumn("_r", r.withField("input", mended("input", "evidence")).withField("output", mended("output", "findings")))
+    truth = F.try_variant_get(v, "$.output.confidence", "boolean").cast("double")
+    sure = F.when(r["output"]["confidence"].isNull() & truth.isNotNull(), r["output"].withField("confidence", truth)).otherwise(r["output"])
+    out = out.withColumn("_r", r.withField("output", sure))
+    return out.select("*", "_r.*", F.col("_w").alias("wrong_types")).drop("_r", "_w")
 
 
 def _issue(when: Column, code: str, at: Column | str | None = None, severity: str = "error") -> Column:
@@ -38,9 +89,10 @@ def _issue(when: Column, code: str, at: Column | str | None = None, severity: st
 
 
 def _each(items: Column, prefix: str, checks) -> Column:
-    """Issues of the items of an array: checks(item, path) gives their arrays; a missing array has none."""
-    found = F.flatten(F.transform(items, lambda x, i: F.concat(*checks(x, F.concat(F.lit(f"{prefix}["), i.cast("string"), F.lit("]"))))))
-    return F.coalesce(found, F.array().cast("array<struct<code:string,at:string,severity:string>>"))
+    """Issues of the items of an array: checks(item, path) gives their arrays; a missing array or item has none."""
+    none = F.array().cast("array<struct<code:string,at:string,severity:string>>")
+    found = F.flatten(F.transform(items, lambda x, i: F.when(x.isNull(), none).otherwise(F.concat(*checks(x, F.concat(F.lit(f"{prefix}["), i.cast("string"), F.lit("]")))))))
+    return F.coalesce(found, none)
 
 
 def _repeats(values: Column) -> Column:
@@ -53,9 +105,13 @@ def issues(known_techniques: list[str] | None = None) -> Column:
     c = F.col
     known = vocab.TECHNIQUES if known_techniques is None else known_techniques
     known = [t if isinstance(t, str) else t[0] for t in known]
-    ids = F.coalesce(F.transform("input.evidence", lambda e: e["id"]), F.array().cast("array<string>"))
+    ids = F.coalesce(F.array_compact(F.transform("input.evidence", lambda e: e["id"])), F.array().cast("array<string>"))
     blank = lambda x: strip(x) == ""
-    missing = lambda path: _issue(c(path).isNull(), "missing_field", path)
+    wrong = F.coalesce("wrong_types", F.array().cast("array<string>"))
+    # Below a value of the wrong type there is nothing to miss.
+    above = lambda path: [".".join(path.split(".")[:n]) for n in range(1, path.count(".") + 2)]
+    missing = lambda path: _issue(c(path).isNull() & ~F.arrays_overlap(wrong, F.array(*[F.lit(p) for p in above(path)])), "missing_field", path)
+    right = lambda path: ~F.array_contains(wrong, path)
 
     def refs(x: Column, at: Column, empty: bool) -> list[Column]:
         strange = F.exists(x["evidence_refs"], lambda r: ~F.array_contains(ids, r))
@@ -78,8 +134,9 @@ def issues(known_techniques: list[str] | None = None) -> Column:
     stamps = F.filter(F.transform("input.evidence", lambda e: F.try_to_timestamp(e["timestamp"])), lambda t: t.isNotNull())
     cls, conf = c("output.classification"), c("output.confidence")
     return F.concat(
+        _each(F.filter(wrong, lambda p: p != "$"), "wrong", lambda path, at: [_issue(path.isNotNull(), "wrong_type", path)]),
         *[missing(f) for f in ("id", "task", "input", "output", "metadata")],
-        _issue(~c("id").rlike(vocab.SOC_ID), "invalid_id", "id"), _issue(~c("task").isin(vocab.SOC_TASKS), "invalid_task", "task"),
+        _issue(~c("id").rlike(vocab.SOC_ID) & right("id"), "invalid_id", "id"), _issue(~c("task").isin(vocab.SOC_TASKS), "invalid_task", "task"),
         *[F.when(c("input").isNotNull(), missing(f"input.{f}")).otherwise(_issue(F.lit(False), "")) for f in ("alert", "context", "evidence")],
         *[F.when(c("input.alert").isNotNull(), F.concat(missing(f"input.alert.{f}"), _issue(blank(c(f"input.alert.{f}")), "empty_field", f"input.alert.{f}"))).otherwise(_issue(F.lit(False), "")) for f in ("title", "severity", "source")],
         _issue(~c("input.alert.severity").isin(vocab.SEVERITIES), "invalid_alert_severity", "input.alert.severity"),
@@ -109,6 +166,8 @@ def validate(df: DataFrame, strict: bool = False, known_techniques: list[str] |
     tasks; a frequent one is a skewed join key, which adaptive execution splits.
     """
     found = issues(known_techniques)
+    if "wrong_types" not in df.columns:  # records that were typed from the start
+        df = df.withColumn("wrong_types", F.array().cast("array<string>"))
     repeated = df.filter("id is not null").groupBy("id").agg(F.count("*").alias("_n")).filter("_n > 1")
     out = df.withColumn("issues", found).join(repeated, "id", "left")
     again = _issue(F.col("_n") > 1, "duplicate_id", "id")
@@ -200,7 +259,7 @@ def answer() -> Column:
 
 def rejection(a: Column) -> Column:
     """Why the answer struct (a) of a record makes no chat example, the first reason; else null."""
-    ids = F.coalesce(F.transform("input.evidence", lambda e: e["id"]), F.array().cast("array<string>"))
+    ids = F.coalesce(F.array_compact(F.transform("input.evidence", lambda e: e["id"])), F.array().cast("array<string>"))
     priority = lambda x: F.coalesce(x["priority"], F.lit("medium"))
     return F.coalesce(
         F.when(F.col("input").isNull(), "missing input"), F.when(F.col("output").isNull(), "missing output"),
@@ -270,5 +329,5 @@ def top(items: Column, n: int) -> Column:
 
 __all__ = [
     "SCHEMA", "InvalidRecords", "answer", "conversion_counts", "duplicate_counts", "fingerprints", "issues", "load_held_out", "parse", "record_hash", "rejection", "shares", "summary", "template_checks",
-    "to_chat", "top", "user_prompt", "validate",
+    "to_chat", "top", "user_prompt", "validate", "wrong_types",
 ]

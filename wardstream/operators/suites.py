@@ -124,6 +124,14 @@ def score_stats(df: DataFrame, score: str) -> DataFrame:
     return df.agg(F.count(score).alias("n"), rounded(F.avg(score)).alias("mean"), F.min(score).alias("least"), F.max(score).alias("most"))
 
 
+def allocate_rows(weights: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """(key, n) of a table of weights: whole shares of total as in ``allocate``, the last key taking what is left over."""
+    sums = weights.agg(F.sum(weight).alias("_all"), F.max(key).alias("_last"))  # one row
+    rows = weights.crossJoin(F.broadcast(sums)).withColumn("_n", F.bround(F.lit(total) * F.col(weight) / F.col("_all"), 0).cast("bigint"))
+    others = rows.filter(F.col(key) != F.col("_last")).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_others"))  # one row
+    return rows.crossJoin(F.broadcast(others)).select(key, F.when(F.col(key) == F.col("_last"), F.lit(total) - F.col("_others")).otherwise(F.col("_n")).alias("n"))
+
+
 def allocate(total: int, weights: dict[str, float]) -> dict[str, int]:
     """Whole shares of total in proportion to the weights; the last one takes what rounding leaves over."""
     *others, last = weights

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..operators import agents, reference, retrieval, soc, tools
+from ..operators import agents, inverted, reference, retrieval, soc, tools
 from ..session import scratch_path
-from .catalogue import _STRIP, _TOK, R4, pick, query, sql_pick, table
+from .catalogue import _STRIP, _TOK, R4, TOK, pick, query, sql_pick, table
 
 KNOWN_IP, KNOWN_HASH, KNOWN_PAIR = "198.51.100.77", vocab.INDICATORS[8][0], ["8.8.8.8", "198.51.100.50"]
 CASES = [
@@ -236,9 +236,16 @@ def threat_intel_tool(spark, sf):
     return out.select("event_id", "reputation", "evidence_id", "description")
 
 
-@query(f"WITH {_INTEL} SELECT indicator, threat_actor FROM intel WHERE contains(lower(indicator || ' ' || threat_actor || ' ' || malware_family), 'lockbit')")
+_WORD = "lower(split_part(trim(text), ' ', 1))"
+
+
+@query(f"""WITH {_INTEL}, k AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 5 = 0 THEN 'lock' ELSE {_WORD} END AS w FROM conversations)
+  SELECT conv_id, turn, indicator, threat_actor FROM k JOIN intel ON w <> '' AND contains(lower(indicator || ' ' || threat_actor || ' ' || malware_family), w)""")
 def intel_keyword_search(spark, sf):
-    return retrieval.intel_search(spark, " LockBit ").select("indicator", "threat_actor")
+    """What is known of indicators that have the first word of a turn in their names."""
+    word = F.when((F.col("conv_id") + F.col("turn")) % 5 == 0, F.lit(" LOCK ")).otherwise(F.split_part(F.trim("text"), F.lit(" "), F.lit(1)))
+    asked = table(spark, sf, "conversations").select("conv_id", "turn", word.alias("word"))
+    return retrieval.intel_matches(asked, "word").select("conv_id", "turn", "indicator", "threat_actor")
 
 
 _LIB = f"""{_TECH}, {_INTEL}, documents2 AS (SELECT 'MITRE-' || technique_id || '-0' AS doc_id, 'MITRE ' || technique_id || ': ' || technique_name AS title,
@@ -248,7 +255,7 @@ _LIB = f"""{_TECH}, {_INTEL}, documents2 AS (SELECT 'MITRE-' || technique_id ||
   tok AS (SELECT doc_id, {_TOK.replace('lower(text)', "lower(title || chr(10) || content)")} AS tok FROM documents2), post AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(tok) AS len, unnest(tok) AS term FROM tok) GROUP BY ALL), st AS (SELECT count(*) AS n, avg(len(tok)) AS a FROM tok),
   ter AS (SELECT term, greatest(0.01, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM post, st GROUP BY term)"""
 ASKS = ["198.51.100.200", "powershell execution", "LockBit", "T1059.001 PowerShell", "  ", "credential access password", "nothing of the kind"]
-_ASKS = f"q AS (SELECT i AS query_id, {sql_pick(ASKS, 'i')} AS query FROM range(0, {len(ASKS)}) t(i))"
+_ASKS = f"q AS (SELECT conv_id * 1000 + turn AS query_id, CASE WHEN (conv_id + turn) % 3 = 0 THEN {sql_pick(ASKS, 'conv_id')} ELSE coalesce(text, '') END AS query FROM conversations)"
 _FIND = f"""qt AS (SELECT query_id, term, count(*) AS qn FROM (SELECT query_id, unnest({_TOK.replace('lower(text)', 'lower(query)')}) AS term FROM q) GROUP BY ALL),
   part AS (SELECT query_id, doc_id, qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / a)) AS p FROM qt JOIN ter USING (term) JOIN post USING (term), st
     UNION ALL SELECT query_id, doc_id, 2.0 FROM q JOIN tok ON length({_STRIP % 'query'}) >= 4 AND contains(array_to_string(list_filter(tok, lambda x, i: list_position(tok, x) = i), ' '), lower({_STRIP % 'query'}))),
@@ -256,25 +263,48 @@ _FIND = f"""qt AS (SELECT query_id, term, count(*) AS qn FROM (SELECT query_id,
   hit AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0.05)"""
 
 
-def asks(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(ASKS)), "query_id bigint, query string")
+def asks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every turn of the conversations as a question; each third one is of the library's own matters."""
+    i, n = F.col("conv_id"), F.col("turn")
+    query = F.when((i + n) % 3 == 0, pick(ASKS, i)).otherwise(F.coalesce("text", F.lit("")))
+    return table(spark, sf, "conversations").select((i * 1000 + n).alias("query_id"), query.alias("query"))
 
 
 @query(f"WITH {_LIB}, {_ASKS}, {_FIND} SELECT query_id, doc_id AS chunk_id, title, score, CAST(rank AS INT) AS rank FROM hit JOIN documents2 USING (doc_id) WHERE rank <= 3")
 def reference_search(spark, sf):
-    """The default library, written and read back, asked by the example questions."""
+    """The default library, kept in two parts and read back, asked by its index."""
     path = scratch_path(spark, "library")
-    reference.Library.default(spark).save(path)
-    return reference.Library.load(spark, path).search(asks(spark)).select("query_id", "chunk_id", "title", "score", "rank")
+    reference.Library.build(reference.technique_documents(retrieval.techniques(spark))).save(path)
+    library = reference.Library.load(spark, path).add(reference.indicator_documents(retrieval.intel_table(spark)))
+    return library.search(asks(spark, sf)).select("query_id", "chunk_id", "title", "score", "rank")
 
 
 @query(f"""WITH {_LIB}, {_ASKS}, {_FIND} SELECT q.query_id, i.indicator IS NOT NULL AS has_threat_intel, coalesce(reputation, 'unknown') AS reputation, coalesce((SELECT string_agg(doc_id, ',' ORDER BY rank) FROM hit WHERE hit.query_id = q.query_id AND rank <= 2), '') AS chunks FROM q LEFT JOIN intel i ON i.indicator = trim(query)""")
 def reference_indicator_report(spark, sf):
-    out = reference.Library.default(spark).indicator_report(asks(spark))
+    out = reference.Library.default(spark).indicator_report(asks(spark, sf))
     return out.select("query_id", "has_threat_intel", "reputation", F.array_join("chunks", ",").alias("chunks"))
 
 
 @query(f"""WITH {_LIB}, {_ASKS}, {_FIND}, b AS (SELECT query_id, string_agg(chr(10) || '[Source: ' || title || ' | Relevance Score: ' || printf('%.2f', score) || ']' || chr(10) || content, chr(10) ORDER BY rank) AS t FROM hit JOIN documents2 USING (doc_id) WHERE rank <= 3 GROUP BY 1)
   SELECT q.query_id, CASE WHEN t IS NULL THEN 'No relevant threat intelligence or MITRE context found.' ELSE '=== RETRIEVED THREAT INTELLIGENCE & MITRE KNOWLEDGE ===' || chr(10) || t || chr(10) || chr(10) || '=======================================================' END AS context FROM q LEFT JOIN b USING (query_id)""")
 def reference_context(spark, sf):
-    return reference.context_text(reference.Library.default(spark).search(asks(spark)), asks(spark))
+    return reference.context_text(reference.Library.default(spark).search(asks(spark, sf)), asks(spark, sf))
+
+
+_PARTS = "w AS (SELECT item_id, text, regexp_extract_all(text, '[^ ]+') AS w FROM benchmark)"
+_INDEX_ASKS = f"""{_PARTS}, q AS (SELECT item_id * 4 AS query_id, text AS query FROM w UNION ALL SELECT item_id * 4 + 1, w[2] FROM w UNION ALL SELECT item_id * 4 + 2, w[2] || ' ' || w[3] FROM w UNION ALL SELECT item_id * 4 + 3, substr(w[2], 2) || ' ' || w[3] || ' ' || substr(w[4], 1, 2) FROM w)"""
+
+
+_JOINED = "array_to_string(list_filter(tok, lambda x, i: list_position(tok, x) = i), ' ')"
+
+
+@query(f"""WITH {TOK}, tw AS MATERIALIZED (SELECT doc_id, {_JOINED} AS words FROM tok), {_INDEX_ASKS}, {_FIND.replace(_JOINED, "words").replace("q JOIN tok", "q JOIN tw")} SELECT query_id, doc_id AS key, score, CAST(rank AS INT) AS rank FROM hit WHERE rank <= 5""")
+def index_search(spark, sf):
+    """The documents in a kept index, added in two parts that overlap, asked by whole benchmark items and short pieces of them."""
+    docs = table(spark, sf, "documents")
+    index = inverted.scratch_index(spark, "bigint").add(docs.filter("lang = 'en'"), "doc_id", "text").add(docs, "doc_id", "text")
+    w = F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0))
+    word, i = lambda n: F.get(w, F.lit(n)), F.col("item_id") * 4
+    kinds = [F.col("text"), word(1), F.concat_ws(" ", word(1), word(2)), F.concat_ws(" ", F.substring(word(1), 2, 99), word(2), F.substring(word(3), 1, 2))]
+    each = F.explode(F.array(*[F.struct((i + n).alias("query_id"), x.alias("query")) for n, x in enumerate(kinds)]))
+    return index.search(table(spark, sf, "benchmark").select(each.alias("q")).select("q.*"), k=5)

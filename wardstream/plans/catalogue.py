@@ -593,9 +593,13 @@ def intel_lookup(spark, sf):
 _TECH = "tech AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{n}', '{t}')" for i, n, t in vocab.TECHNIQUES) + ") t(technique_id, technique_name, tactic))"
 
 
-@query(f"WITH {_TECH} SELECT technique_id, technique_name, tactic FROM tech WHERE contains(lower(technique_id || ' ' || technique_name || ' ' || tactic), 'script')  OR contains(lower(technique_id || ' ' || technique_name || ' ' || tactic), 'execution')")
+@query(f"""WITH {_TECH}, k AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 4 = 0 THEN 'script' ELSE lower(split_part(trim(text), ' ', 1)) END AS w FROM conversations)
+  SELECT conv_id, turn, technique_id, tactic FROM k JOIN tech ON w <> '' AND contains(lower(technique_id || ' ' || technique_name || ' ' || tactic), w)""")
 def mitre_search(spark, sf):
-    return retrieval.technique_search(spark, "script").union(retrieval.technique_search(spark, "Execution")).distinct()
+    """The techniques that have the first word of a turn in their names."""
+    word = F.when((F.col("conv_id") + F.col("turn")) % 4 == 0, F.lit("Script ")).otherwise(F.split_part(F.trim("text"), F.lit(" "), F.lit(1)))
+    asked = table(spark, sf, "conversations").select("conv_id", "turn", word.alias("word"))
+    return retrieval.technique_matches(asked, "word").select("conv_id", "turn", "technique_id", "tactic")
 
 
 @query("SELECT event_id, user_id FROM events WHERE contains(lower(event_type), 'click') AND user_id = 7 UNION ALL SELECT event_id, user_id FROM events WHERE contains(event_type, 'err') AND user_id <> 7")

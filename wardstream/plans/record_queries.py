@@ -414,22 +414,34 @@ def top_of_each(spark, sf):
     return lists.select(F.col("r_name").alias("region"), F.explode(F.slice("names", 1, 3)).alias("nation")).orderBy("region", "nation")
 
 
-@query("""SELECT task, CAST(n AS INT) AS n FROM (VALUES ('a', 333), ('b', 333), ('c', 334)) t(task, n)""")
+@query("""WITH w AS (SELECT lang, count(*) AS c FROM documents WHERE lang IS NOT NULL GROUP BY 1), r AS (SELECT lang, CAST(round_even(1000 * c / (SELECT sum(c) FROM w), 0) AS BIGINT) AS n FROM w)
+  SELECT lang, CAST(CASE WHEN lang = (SELECT max(lang) FROM w) THEN 1000 - (SELECT coalesce(sum(n), 0) FROM r WHERE lang <> (SELECT max(lang) FROM w)) ELSE n END AS BIGINT) AS n FROM r""")
 def task_allocation(spark, sf):
-    return spark.createDataFrame(list(suites.allocate(1000, {"a": 1, "b": 1, "c": 1}).items()), "task string, n int")
+    """A thousand tasks shared out by the number of documents in each language."""
+    weights = table(spark, sf, "documents").filter("lang is not null").groupBy("lang").agg(F.count("*").alias("c"))
+    return suites.allocate_rows(weights, "lang", "c", 1000)
 
 
-@query("SELECT name FROM (VALUES ('alerts'), ('auth'), ('file'), ('mitre_lookup'), ('network'), ('process'), ('threat_intel'), ('cicids_2017'), ('cicids_2018'), ('ctu_13'), ('custom_csv'), ('ember'), ('labelled_frame'), ('mitre_attack'), ('soc'), ('unsw_nb15'), ('csv'), ('excel'), ('json'), ('jsonl'), ('parquet'), ('text_log'), ('xml')) t(name)")
+_NAMES = "names AS (SELECT name FROM (VALUES ('alerts'), ('auth'), ('file'), ('mitre_lookup'), ('network'), ('process'), ('threat_intel'), ('cicids_2017'), ('cicids_2018'), ('ctu_13'), ('custom_csv'), ('ember'), ('labelled_frame'), ('mitre_attack'), ('soc'), ('unsw_nb15'), ('csv'), ('excel'), ('json'), ('jsonl'), ('parquet'), ('text_log'), ('xml')) t(name))"
+
+
+@query(f"WITH {_NAMES}, a AS (SELECT event_type AS k FROM events UNION ALL SELECT source FROM documents UNION ALL SELECT role FROM conversations) SELECT name, count(k) AS n FROM names LEFT JOIN (SELECT CASE WHEN k IS NULL THEN 'text_log' WHEN k IN (SELECT name FROM names) THEN k ELSE 'custom_csv' END AS k FROM a) ON k = name GROUP BY 1")
 def registered_names(spark, sf):
-    """What the registries of tools, connectors and readers hold."""
+    """What the registries of tools, connectors and readers hold, with the rows whose kind each would serve: unknown kinds
+    go to the connector of custom tables, rows without one to the reader of lines."""
     from ..operators import tools as _tools  # noqa: F401 (registers the tools)
     from ..registry import connectors, readers, tools
     from ..sources import connectors as _c, readers as _r  # noqa: F401
 
-    return spark.createDataFrame([(n,) for r in (tools, connectors, readers) for n in r.keys()], "name string")
+    held = {n for r in (tools, connectors, readers) for n in r.keys()}
+    kinds = [table(spark, sf, t).select(F.col(c).alias("k")) for t, c in (("events", "event_type"), ("documents", "source"), ("conversations", "role"))]
+    k = F.col("k")
+    served = kinds[0].union(kinds[1]).union(kinds[2]).select(F.when(k.isNull(), "text_log").when(k.isin(*held), k).otherwise("custom_csv").alias("name"))
+    counts = served.groupBy("name").agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(n,) for n in sorted(held)], "name string").join(counts, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'auth' || 'entication' WHEN event_id % 3 = 1 THEN 'lateral' ELSE 'none' END AS hint, contains(lower(event_type), 'click') AS says_click FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'authentication' WHEN event_id % 3 = 1 THEN 'lateral' ELSE 'none' END AS hint, contains(lower(event_type), 'click') AS says_click FROM events""")
 def lexical_indicators(spark, sf):
     """Flags of words in texts, as the boundary analysis has them."""
     text = pick(["user LOGIN ok", "moved via PsExec", "quiet"], F.col("event_id"))

@@ -82,6 +82,7 @@ def _variant(changes: list) -> dict:
         at = out
         for p in above:
             at = at[int(p)] if isinstance(at, list) else at[p]
+        last = int(last) if isinstance(at, list) else last
         if value is None:
             del at[last]
         else:
@@ -235,3 +236,43 @@ def firewall_json_lines(spark, sf):
     held = rows.filter("event_id % 4 = 0").select(F.concat(F.lit('{ "r" : '), F.get_json_object("raw", "$.r"), F.lit(' , "e":'), F.col("event_id").cast("string"), F.lit("}")).alias("raw"))
     return training.without_protected(rows.withColumn("line", sorted_json(F.col("raw"))), held.withColumn("line", sorted_json(F.col("raw"))), ["line"]).select("event_id")
 
+
+
+# Records made of documents, in which the row's own values decide which fields have the wrong type: the same text in both
+# engines, so the SQL judges the types by reading the JSON itself.
+def _typed_record(text: str) -> str:
+    """SQL for a record's JSON of a row of documents; text: SQL for the text as a JSON string."""
+    whole = "concat('{\"id\": \"EVT-', lpad(cast(doc_id % 900 as STRING), 3, '0'), '\", \"type\": \"authentication\", \"description\": ', " + text + ", '}')"
+    src = "concat('\"', coalesce(source, ''), '\"')"
+    pick = lambda expr, of, other: f"CASE {expr} " + " ".join(f"WHEN {k} THEN {v}" for k, v in of.items()) + f" ELSE {other} END"
+    ident = pick("lang", {"'en'": "concat('\"SOC-', lpad(cast(doc_id % 1000000 as STRING), 6, '0'), '\"')", "'fr'": "'null'"}, "cast(doc_id as STRING)")
+    evidence = pick("n_chars % 7", {0: src, 1: f"concat('[', {text}, ', 3, null, ', {whole}, ']')", 2: "'{}'"}, f"concat('[', {whole}, ']')")
+    alert = pick("n_chars % 5", {0: src}, f"concat('{{\"title\": ', {text}, ', \"severity\": \"low\", \"source\": ', {src}, '}}')")
+    context = pick("n_chars % 6", {0: "'17'"}, "'{}'")
+    inner = pick("n_chars % 11", {0: text, 1: "'[1]'"}, f"concat('{{\"alert\": ', {alert}, ', \"context\": ', {context}, ', \"evidence\": ', {evidence}, '}}')")
+    sure = pick("n_chars % 8", {0: text, 1: "'true'", 2: "'[]'", 3: "'1'"}, "'0.75'")
+    finding = "concat('{\"description\": ', " + text + ", ', \"evidence_refs\": [\"EVT-', lpad(cast(doc_id % 900 as STRING), 3, '0'), '\"]}')"
+    findings = pick("n_chars % 9", {0: "'7'", 1: f"concat('[', {finding}, ', ', {text}, ']')"}, f"concat('[', {finding}, ']')")
+    output = pick("n_chars % 13", {0: "'[]'", 1: "'0'"}, f"concat('{{\"classification\": \"suspicious\", \"confidence\": ', {sure}, ', \"findings\": ', {findings}, '}}')")
+    meta = pick("n_chars % 10", {0: src}, "'{\"source\": \"synthetic\", \"generator\": \"g\", \"review_status\": \"pending\", \"dataset_version\": \"1\"}'")
+    return f"concat('{{\"id\": ', {ident}, ', \"task\": \"alert_triage\", \"input\": ', {inner}, ', \"output\": ', {output}, ', \"metadata\": ', {meta}, '}}')"
+
+
+_KINDS = {"id": "VARCHAR", "input": "OBJECT", "input.alert": "OBJECT", "input.context": "OBJECT", "input.evidence": "ARRAY", "output": "OBJECT", "output.confidence": "number", "output.findings": "ARRAY", "metadata": "OBJECT"}
+_KIND = "CASE json_type(j, '$.{p}') WHEN 'UBIGINT' THEN 'number' WHEN 'BIGINT' THEN 'number' WHEN 'DOUBLE' THEN 'number' WHEN 'BOOLEAN' THEN 'number' ELSE json_type(j, '$.{p}') END"
+
+
+@query(f"""WITH r AS (SELECT doc_id, CAST({_typed_record("CAST(to_json(coalesce(text, '')) AS VARCHAR)")} AS JSON) AS j FROM documents),
+  w AS (SELECT doc_id, j, [x for x in [{', '.join(f"CASE WHEN ({_KIND.format(p=p)}) NOT IN ('{k if p != 'output.confidence' else 'number'}', 'NULL') AND ('{p}' <> 'id' OR json_type(j, '$.id') <> 'VARCHAR') THEN '{p}' END" for p, k in _KINDS.items())}] if x IS NOT NULL] AS fields,
+    CASE WHEN json_type(j, '$.input.evidence') = 'ARRAY' THEN [i for i in range(0, CAST(json_array_length(j, '$.input.evidence') AS BIGINT)) if json_type(j, '$.input.evidence[' || i || ']') <> 'OBJECT'] ELSE [] END AS e,
+    CASE WHEN json_type(j, '$.output.findings') = 'ARRAY' THEN [i for i in range(0, CAST(json_array_length(j, '$.output.findings') AS BIGINT)) if json_type(j, '$.output.findings[' || i || ']') <> 'OBJECT'] ELSE [] END AS f FROM r)
+  SELECT doc_id, array_to_string(list_concat(fields, list_transform(e, lambda i: 'input.evidence[' || i || ']'), list_transform(f, lambda i: 'output.findings[' || i || ']')), ',') AS wrong,
+    CASE WHEN list_contains(fields, 'output') OR list_contains(fields, 'output.confidence') THEN NULL WHEN json_type(j, '$.output.confidence') = 'BOOLEAN' THEN 1.0 ELSE CAST(j->>'$.output.confidence' AS DOUBLE) END AS confidence,
+    CASE WHEN json_type(j, '$.input.evidence') = 'ARRAY' THEN json_array_length(j, '$.input.evidence') END AS n_evidence FROM w""")
+def soc_wrong_types(spark, sf):
+    """Where documents' records have values of the wrong type, and what their neighbours still hold."""
+    text = F.regexp_extract(F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("t"))), r"(?s)^\{\"t\":(.*)\}$", 1)
+    rows = table(spark, sf, "documents").withColumn("_t", text).select("doc_id", F.expr(_typed_record("_t")).alias("raw"))
+    out = soc.validate(soc.parse(rows))
+    found = F.transform(F.filter("issues", lambda i: i["code"] == "wrong_type"), lambda i: i["at"])
+    return out.select("doc_id", F.array_join(found, ",").alias("wrong"), F.col("output.confidence").alias("confidence"), F.when(F.col("input.evidence").isNotNull(), F.size("input.evidence").cast("bigint")).alias("n_evidence"))
