@@ -150,10 +150,11 @@ def connected_components(edges: DataFrame, a: str, b: str) -> tuple[DataFrame, s
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # There are two nodes an edge at most; a node with many neighbours has as many rows here.
+        large = spread_join(both.filter("v > u"), low, "u", 2 * total[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large, mid = materialise(large.filter("u <> v").distinct(), "cc")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        small = spread_join(large, low, "u", 2 * total[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         new, nxt = materialise(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
         drop_scratch(spark, mid, path)
         now, path = new, nxt
