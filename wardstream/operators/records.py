@@ -127,29 +127,33 @@ def deduplicate(df: DataFrame, fields: list[str] | None = None, order: str = "re
     return out.withColumn("status", F.when(F.col("duplicate_of").isNotNull(), "duplicate").otherwise(F.col("status"))) if "status" in df.columns else out
 
 
-def fifo_deduplicate(df: DataFrame, fields: list[str], limit: int, order: str = "record_index", key: str = "record_id") -> DataFrame:
-    """Exact bounded window: the oldest of ``limit`` fingerprints is forgotten, and may then come again.
+def fifo_deduplicate(df: DataFrame, fields: list[str], limit: int, order: str = "record_index", key: str = "record_id", shards: int = 1) -> DataFrame:
+    """Bounded window: the oldest of ``limit`` fingerprints is forgotten, and may then come again.
 
-    Each decision hangs on all before it, so this is one ordered pass by definition; use deduplicate() for global
-    deduplication. Adds fingerprint, duplicate_of and evictions (so far).
+    Each decision hangs on all before it, so with one shard this is one ordered pass, by definition. With more, each shard
+    of the fingerprints is a pass of its own that remembers limit / shards of them, as ``streams.unique_fifo`` does; the
+    shards run side by side. Use deduplicate() for global deduplication. Adds fingerprint, duplicate_of and evictions (so far).
     """
-    rows = df.withColumn("fingerprint", fingerprint(fields))
-    narrow = rows.select(F.col(order).alias("o"), F.col(key).alias("k"), "fingerprint").repartition(1).sortWithinPartitions("o", "k")
+    rows = df.withColumn("fingerprint", fingerprint(fields)).withColumn("s", F.pmod(F.xxhash64("fingerprint"), F.lit(shards)).cast("int"))
+    narrow = rows.select(F.col(order).alias("o"), F.col(key).alias("k"), "fingerprint", "s")
+    narrow = (narrow.repartition(1) if shards == 1 else narrow.repartition("s")).sortWithinPartitions("s", "o", "k")
+    each = max(1, limit // shards)
 
     def run(batches):
         import collections
 
         import pandas as pd
 
-        seen: dict = collections.OrderedDict()
-        gone = 0
+        seen, shard, gone = collections.OrderedDict(), None, 0
         for b in batches:
             out = []
-            for k, fp in zip(b["k"], b["fingerprint"]):
+            for k, fp, s in zip(b["k"], b["fingerprint"], b["s"]):
+                if s != shard:
+                    seen, shard, gone = collections.OrderedDict(), s, 0
                 first = seen.get(fp)
                 if first is None:
                     seen[fp] = k
-                    if len(seen) > limit:
+                    if len(seen) > each:
                         seen.popitem(last=False)
                         gone += 1
                 out.append((k, fp, first, gone))

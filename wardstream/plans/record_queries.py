@@ -356,6 +356,13 @@ def fifo_window(spark, sf):
     return records.fifo_deduplicate(table(spark, sf, "documents").select("doc_id", "text"), ["text"], 100, "doc_id", "doc_id").select("doc_id", "duplicate_of", "evictions")
 
 
+@query("SELECT doc_id, CASE WHEN doc_id > f THEN f END AS duplicate_of, CAST(0 AS BIGINT) AS evictions FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS f FROM documents)")
+def fifo_shards(spark, sf):
+    """The same with 16 shards side by side, and a memory that no shard fills."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return records.fifo_deduplicate(docs, ["text"], 1 << 30, "doc_id", "doc_id", shards=16).select("doc_id", "duplicate_of", "evictions")
+
+
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, sf))
@@ -393,6 +400,12 @@ def stream_outcomes(spark, sf):
     return _run(streams.outcomes(_stream_flows(spark, sf))).groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query("SELECT count(*) AS n, count(*) - count(DISTINCT event_type || '|' || user_id % 250) AS n_repeated, CAST(0 AS BIGINT) AS evictions FROM events")
+def stream_fifo(spark, sf):
+    """Every row of a stream with the row that it repeats, from state kept entry by entry."""
+    return _run(streams.unique_fifo(_stream_flows(spark, sf), 1 << 30, 8)).agg(F.count("*").alias("n"), F.count("duplicate_of").alias("n_repeated"), F.max("evictions").alias("evictions"))
+
+
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark, sf):
     """Rows by day and type on a stream; the complete result of all windows."""
