@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import event_timestamp
 from ..registry import readers
 from ..session import small, written
+from . import files
 
 # What discovery takes and leaves, and wrapper keys of JSON documents.
 EXTENSIONS = ["csv", "tsv", "json", "jsonl", "ndjson", "xml", "log", "txt", "parquet", "xlsx", "xls"]
@@ -21,54 +20,31 @@ WRAPPERS = ["records", "events", "data", "items", "results", "logs", "alerts", "
 SAMPLE = 65536
 
 
-#: Files whose heads are held and judged at once (64 MB).
-HEADS = 1000
 Paths = str | list[str]
 
 
-def head(spark: SparkSession, path: str, n: int = SAMPLE) -> bytes:
-    """The first n bytes of a file in any store that Spark reads; the rest is not opened."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
-    try:
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, n)))
-    finally:
-        stream.close()
-
-
-def _heads(spark: SparkSession, paths: Iterable[str], n: int = SAMPLE) -> Iterator[list[tuple[str, bytes]]]:
-    """(path, head) in lists of at most HEADS files."""
-    paths = list(paths)
-    with ThreadPoolExecutor(16) as pool:
-        for at in range(0, len(paths), HEADS):
-            part = paths[at : at + HEADS]
-            yield list(zip(part, pool.map(lambda p: head(spark, p, n), part)))
-
-
 def discover(spark: SparkSession, path: str, extensions: list[str] = EXTENSIONS, skip: list[str] = SKIPPED, max_depth: int | None = None) -> DataFrame:
     """(path, size, extension, format, confidence) of the files below path, by path; a missing path gives no rows.
 
-    Files are listed by Spark; of each only the head is read.
+    Files are listed by Spark, and the tasks read the head of each; nothing is collected.
     """
     schema = "path string, size bigint, extension string, format string, confidence double"
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
         return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("size"))
-    below = F.replace(F.col("path"), F.lit(path.rstrip("/")), F.lit(""))
-    files = files.withColumns({"extension": F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)), "_parts": F.filter(F.split(below, "/"), lambda p: p != "")})
-    files = files.filter(F.col("extension").isin(extensions))
-    files = files.filter(~F.exists(F.slice("_parts", 1, F.greatest(F.size("_parts") - 1, F.lit(0))), lambda p: p.isin(skip)))
+    names = F.split(F.replace(F.col("path"), F.lit(path.rstrip("/")), F.lit("")), "/")
+    rows = files.heads(spark, path, SAMPLE, recursiveFileLookup=True, pathGlobFilter="*.{" + ",".join(_any_case(e) for e in extensions) + "}")
+    rows = rows.withColumns({"extension": F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)), "_parts": F.filter(names, lambda p: p != "")})
+    rows = rows.filter(~F.exists(F.slice("_parts", 1, F.greatest(F.size("_parts") - 1, F.lit(0))), lambda p: p.isin(skip)))
     if max_depth is not None:
-        files = files.filter(F.size("_parts") <= max_depth + 1)
-    found = {r["path"]: (r["size"], r["extension"]) for r in files.select("path", "size", "extension").collect()}  # one row a file
-    rows = []
-    for part in _heads(spark, sorted(found)):
-        batch = spark.createDataFrame([(p, *found[p], bytearray(h)) for p, h in part], "path string, size bigint, extension string, head binary")
-        kind = detect(F.col("head"), F.col("extension"))
-        rows += [tuple(r) for r in batch.select("path", "size", "extension", kind["format"], kind["confidence"]).collect()]
-    return spark.createDataFrame(rows, schema).orderBy("path")
+        rows = rows.filter(F.size("_parts") <= max_depth + 1)
+    kind = detect(F.col("head"), F.col("extension"))
+    return rows.select("path", "size", "extension", kind.alias("_k")).select("path", "size", "extension", "_k.*").orderBy("path")
+
+
+def _any_case(extension: str) -> str:
+    """A file pattern for an extension in either case."""
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
 
 
 def detect(head: Column, extension: Column) -> Column:
@@ -142,12 +118,13 @@ def read_csv(spark: SparkSession, path: Paths, sep: str | None = None, encoding:
     The delimiter is judged for each file from its first 4,096 characters. ``multiline=False`` lets large files without
     line ends inside quotes be split.
     """
-    paths, alike = [path] if isinstance(path, str) else path, defaultdict(list)
-    files = [f for p in paths for f in spark.read.format("binaryFile").load(p).select("path").toPandas()["path"]]
-    for part in _heads(spark, files, 4096):
-        for p, h in part:
-            found, header = dialect(h.decode(encoding, "replace"))
-            alike[sep or found, header].append(p)
+    paths = [path] if isinstance(path, str) else path
+
+    def judge(h: bytes) -> tuple[str, str]:
+        found, header = dialect(h.decode(encoding, "replace"))
+        return sep or found, header
+
+    alike = files.alike(spark, paths, 4096, judge)
     out = None
     for (d, _), same in alike.items():
         reader = spark.read.option("header", True).option("sep", d).option("nullValue", "").option("multiLine", multiline).option("encoding", encoding).option("inferSchema", False)
@@ -191,14 +168,15 @@ def read_xml(spark: SparkSession, path: Paths, row_tag: str | None = None) -> Da
 
     Files are read together where that tag agrees; fields that a file lacks are left out of its rows.
     """
-    paths, alike = [path] if isinstance(path, str) else path, defaultdict(list)
-    files = [f for p in paths for f in spark.read.format("binaryFile").load(p).select("path").toPandas()["path"]]
-    for part in _heads(spark, files):
-        for p, h in part:
-            first = re.match(r"(?s)\s*(?:<\?.*?\?>\s*|<!.*?>\s*)*<[^>]+>\s*(?:<!--.*?-->\s*)*<([^\s/>]+)", h.decode("utf-8", "replace").lstrip("\ufeff"))
-            alike[row_tag or (first[1] if first else "row")].append(p)
+    paths = [path] if isinstance(path, str) else path
+
+    def judge(h: bytes) -> tuple[str, str]:
+        first = re.match(r"(?s)\s*(?:<\?.*?\?>\s*|<!.*?>\s*)*<[^>]+>\s*(?:<!--.*?-->\s*)*<([^\s/>]+)", h.decode("utf-8", "replace").lstrip("\ufeff"))
+        return row_tag or (first[1] if first else "row"), ""
+
+    alike = files.alike(spark, paths, SAMPLE, judge)
     out = None
-    for tag, same in alike.items():
+    for (tag, _), same in alike.items():
         rows = spark.read.option("rowTag", tag).option("attributePrefix", "@").option("valueTag", "#text").option("inferSchema", False).xml(same)
         last = [F.element_at(F.col(f"`{f.name}`"), -1).alias(f.name) if f.dataType.typeName() == "array" else F.col(f"`{f.name}`") for f in rows.schema.fields]
         rows = _numbered(rows, F.to_json(F.struct(*last)))
@@ -277,8 +255,8 @@ def read_excel(spark: SparkSession, path: Paths) -> DataFrame:
                             n += 1
             yield pd.DataFrame(rows, columns=["source_name", "record_index", "raw"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "source_name string, record_index bigint, raw string")
+    books = spark.read.format("binaryFile").load(path).select("path", "content")
+    return books.mapInPandas(run, "source_name string, record_index bigint, raw string")
 
 
 def ingest(spark: SparkSession, path: str, limit: int | None = None, limit_per_file: int | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
+
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     """One JSON object a line, nulls written, text as it is."""
@@ -73,15 +75,15 @@ def create_version(df: DataFrame, base: str, version: str, description: str = ""
 
 
 def file_hashes(spark: SparkSession, path: str) -> dict[str, str]:
-    """SHA-256 of each data file, hashed on the executors."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return {r[0]: r[1] for r in files.select(F.regexp_extract("path", r"([^/]+)$", 1), F.sha2("content", 256)).collect()}
+    """SHA-256 of each data file, hashed by the tasks in chunks."""
+    rows = files.digests(spark, path, pathGlobFilter="part-*").select(F.regexp_extract("path", r"([^/]+)$", 1), "sha256")
+    return {r[0]: r[1] for r in rows.collect()}  # a row for each file
 
 
 def checksum_matches(spark: SparkSession, path: str, expected: str) -> bool:
     """Whether the SHA-256 of a file is the expected one, in any case."""
-    held = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()
-    return bool(held) and held[0] == expected.strip().lower()
+    held = files.digests(spark, path).first()
+    return bool(held) and held["sha256"] == expected.strip().lower()
 
 
 def load_version(spark: SparkSession, base: str, version: str) -> DataFrame:
