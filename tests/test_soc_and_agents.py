@@ -164,9 +164,12 @@ def test_reports_and_counts_of_written_splits(spark, tmp_path):
 
 
 def test_wording_is_stable(spark):
-    d = spark.createDataFrame([("Detected: it", 1), ("It was", 0), ("It was", 3)], "t string, s int")
-    got = [tuple(r) for r in d.select(training.worded(F.col("t"), F.col("s")), training.worded_finding(F.col("t"), F.col("s"))).collect()]
-    assert got[0][1] == "Detected: it" and got[1][0].endswith("it was") and got[2][0] == "In order of time: it was"
+    d = spark.createDataFrame([("Seen: it", 1, "x"), ("It was", 0, "benign"), ("It was", 3, "benign"), ("It was", 1, "suspicious"), ("It was", 1, "none")], "t string, s int, c string")
+    own = (training.Style({"": ["a ", "b "]}, ("!",)), training.Style({"benign": ["ok "], "": ["no "]}, lowered=True))
+    columns = [training.worded(F.col("t"), F.col("s"), F.col("c"), x) for x in (training.RATIONALES, training.FINDINGS, own)]
+    got = [tuple(r) for r in d.select(*columns).collect()]
+    assert got[0][1] == "Seen: it" and got[1][0] == "It was" and got[2][0] == "First to last: it was" and got[3][0] == "Unclear. It was" and got[4][0] == "Not enough to go on. It was"
+    assert got[1][2] in ("a It was!", "b It was!") and got[2][2] == "ok it was" and got[3][2] == "no it was"
     assert quality.analyze(d.filter("s > 9"), "t", ["t"], "t", F.lit(True)).first().issues == ["Dataset is empty"]
 
 

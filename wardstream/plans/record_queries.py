@@ -12,7 +12,7 @@ from ..functions import vocab
 from ..operators import evaluate, events, quality, records, retrieval, suites, training
 from ..session import scratch_path
 from ..streaming import streams
-from .catalogue import FLOWS, JUDGED, OUTCOME, R4, _folder, flows, judged, pick, query, table
+from .catalogue import FLOWS, JUDGED, OUTCOME, R4, _folder, flows, judged, pick, query, sql_pick, table
 
 #: Columns of a good record and, for each variant, what is put in and the codes that follow.
 GOOD = {
@@ -259,16 +259,36 @@ def answer_json(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object(body, "$.classification").alias("classification"), body.isNotNull().alias("is_json"))
 
 
-_LEADS = "(['" + "', '".join(training.LEADS) + "'])"
 _NUM = "CAST(('0x' || substr(md5(text), 1, 8)) AS BIGINT)"
 _LOW = "lower(substr(text, 1, 1)) || substr(text, 2)"
 
 
-@query(f"""SELECT doc_id, md5(CASE doc_id % 4 WHEN 0 THEN {_LEADS}[{_NUM} % {len(training.LEADS)} + 1] || {_LOW} WHEN 1 THEN '{training.STYLES[1]}' || text WHEN 2 THEN '{training.STYLES[2].replace("'", "''")}' || text ELSE '{training.STYLES[3]}' || {_LOW} END) AS rationale,
-  md5(CASE WHEN doc_id % 3 = 1 THEN 'Detected: ' || text WHEN doc_id % 3 = 2 THEN 'Records confirm: ' || text ELSE text END) AS finding FROM documents""")
+def _worded_sql(style: training.Style) -> str:
+    """SQL of the text in a style, by the class c; a hash of the text chooses among openings and endings."""
+    of = lambda pool: f"{sql_pick(list(pool), _NUM)}"
+    opening = "CASE c " + " ".join(f"WHEN '{k}' THEN {of(v)}" for k, v in style.openings.items() if k) + f" ELSE {of(style.openings[''])} END" if len(style.openings) > 1 else of(style.openings[""])
+    return f"({opening}) || {_LOW if style.lowered else 'text'} || {of(style.endings)}"
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, {sql_pick(vocab.SOC_CLASSIFICATIONS, 'length(text)')} AS c FROM documents)
+  SELECT doc_id, md5(CASE length(text) % 4 {' '.join(f'WHEN {i} THEN {_worded_sql(s)}' for i, s in enumerate(training.RATIONALES))} END) AS rationale, md5(CASE length(text) % 3 {' '.join(f'WHEN {i} THEN {_worded_sql(s)}' for i, s in enumerate(training.FINDINGS))} END) AS finding FROM d""")
 def worded_texts(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", F.md5(training.worded(F.col("text"), F.col("doc_id") % 4)).alias("rationale"), F.md5(training.worded_finding(F.col("text"), F.col("doc_id") % 3)).alias("finding"))
+    """The texts as rationales and findings in every style, for a class and style that follow from their length."""
+    n = F.length("text")
+    d = table(spark, sf, "documents").withColumn("c", pick(vocab.SOC_CLASSIFICATIONS, n))
+    worded = lambda k, styles: F.md5(training.worded(F.col("text"), n % k, F.col("c"), styles))
+    return d.select("doc_id", worded(4, training.RATIONALES).alias("rationale"), worded(3, training.FINDINGS).alias("finding"))
+
+
+@query("""WITH r AS (SELECT doc_id, CAST(replace(replace(replace('{"title": "{src}: {lang}", "{lang}": {"n": 1, "parts": ["{src}", {"text": "{text}"}]}}', '{src}', CAST(to_json(source) AS VARCHAR)[2:-2]), '{lang}', lang), '{text}', CAST(to_json(text) AS VARCHAR)[2:-2]) AS JSON) AS j FROM documents)
+  SELECT doc_id, j->>'$.title' AS title, CAST(json_keys(j)[2] AS VARCHAR) AS key, md5(coalesce(json_extract_string(j, '$."' || json_keys(j)[2] || '".parts[1].text'), '')) AS text FROM r""")
+def template_fill_nested(spark, sf):
+    """Placeholders in texts, keys and nested lists of a template, filled with values that need escaping."""
+    raw = training.fill_json(F.lit('{"title": "{src}: {lang}", "{lang}": {"n": 1, "parts": ["{src}", {"text": "{text}"}]}}'), {"src": F.col("source"), "lang": F.col("lang"), "text": F.col("text")})
+    d = table(spark, sf, "documents").withColumn("v", F.parse_json(raw))
+    key = F.col("lang")
+    inner = F.from_json(F.to_json("v"), "map<string,string>")[key]
+    return d.select("doc_id", F.variant_get("v", "$.title", "string").alias("title"), key.alias("key"), F.md5(F.get_json_object(inner, "$.parts[1].text")).alias("text"))
 
 
 @query("""WITH s AS (SELECT p_partkey, p_brand, count(*) OVER (PARTITION BY p_brand) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY sha256('42|' || p_partkey), p_partkey) AS rn FROM part),
