@@ -348,13 +348,7 @@ def test_warc_plain_and_foreign_gzip(spark, tmp_path):
 
 
 # 6 decontamination
-def test_decontamination(spark, texts):
-    rng = random.Random(4)
-    items = [words(rng, n) for n in (3, 5, 8, 30, 60)] + ["only", None, "", words(rng, 12)]
-    items.append(items[3])
-    leak = items[3].upper().split()
-    leak[2] = "changed"
-    corpus = texts + [f"{words(rng, 500)} {items[4]} {words(rng, 900)}", f"{words(rng, 20)} {items[3]}", " ".join(leak), f"{items[2]} {items[1]}", items[0], "an only child"]
+def brute_leaks(items, corpus):
     want = set()
     for d, t in enumerate(corpus):
         w = (t or "").lower().encode().split()
@@ -367,6 +361,17 @@ def test_decontamination(spark, texts):
             n = len(s & {tuple(w[j : j + k]) for j in range(len(w) - k + 1)})
             if n >= 0.8 * len(s) - 1e-9:
                 want.add((d, i, len(s), n))
+    return want
+
+
+def test_decontamination(spark, texts):
+    rng = random.Random(4)
+    items = [words(rng, n) for n in (3, 5, 8, 30, 60)] + ["only", None, "", words(rng, 12)]
+    items.append(items[3])
+    leak = items[3].upper().split()
+    leak[2] = "changed"
+    corpus = texts + [f"{words(rng, 500)} {items[4]} {words(rng, 900)}", f"{words(rng, 20)} {items[3]}", " ".join(leak), f"{items[2]} {items[1]}", items[0], "an only child"]
+    want = brute_leaks(items, corpus)
     t = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
     got = {(r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in decontaminate.contained_items(docs(spark, corpus), t).collect()}
     assert got == want and len(want) > 5
@@ -403,6 +408,20 @@ def test_decontamination_sizes(spark, texts):
     assert all([x.h & (2**64 - 1) for x in r.shingles] == sorted(x.h & (2**64 - 1) for x in r.shingles) for r in held.values())
 
 
+def test_decontamination_by_size_classes(spark):
+    """A document asks the classes that it can contain an item of and no other, and finds what asking all of them finds."""
+    rng = random.Random(9)
+    items = [words(rng, n) for n in (1, 2, 6, 8, 11, 30, 33, 70, 200, 900)] * 2
+    corpus = [f"{words(rng, rng.randrange(3))} {t} {words(rng, rng.randrange(3))}" for t in items[:10]] + [words(rng, n) for n in (0, 1, 4, 7, 30, 100, 2000)]
+    t = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in decontaminate.contained_items(docs(spark, corpus), t).collect()}
+    assert found == brute_leaks(items, corpus) and {x[1] for x in found} == set(range(20))
+    held = decontaminate.sketched(t, 0.8, 5).groupBy("width", "size_class").agg(F.min("n_shingles").alias("n")).collect()
+    classes = [decontaminate.SizeClass(r.width << 6 | r.size_class, r.width, int(np.ceil(0.8 * r.n - 1e-9)), 1) for r in held]
+    asked = [len(decontaminate.askable(len(x.split()), classes)) for x in corpus]
+    assert len(classes) > 6 and min(asked) == 0 and max(asked) == len(classes) and len(set(asked)) > 5
+
+
 # 7 line dedup
 def test_line_dedup(spark):
     rows = [(i, f"head {i}\n  shared line \n\nbody {i}\r\nrare" + ("\nfew" if i < 8 else ""), "en", f"s{i % 7}", 0) for i in range(40)]

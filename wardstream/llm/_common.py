@@ -78,29 +78,36 @@ def spread_join(rows: DataFrame, keys: DataFrame, on: str, n: int, how: str = "i
     return few.unionByName(rows.join(hot, on, "left_anti").join(keys, on, how))
 
 
-def bit_filter(hashes: DataFrame, column: str, n: int, most: int) -> np.ndarray:
-    """Bits at the places that the leading bits of 64-bit hashes name, as bytes: at least 8 for each of n hashes, 2**most at most.
+def bit_filters(hashes: DataFrame, column: str, of: str, n: dict[int, int], most: int) -> dict[int, np.ndarray]:
+    """For each value of ``of`` (n has its number of hashes) bits at the places that the leading bits of its 64-bit hashes
+    name, as bytes: at least 8 bits for each hash, 2**most at most.
 
-    The tasks put the bits together in blocks of 64 KB; the driver gets these, the whole filter once.
+    The tasks put the bits together in blocks of 64 KB; the driver gets these, the whole filters once.
     """
-    size = min(most, max(16, n.bit_length() + 3))
-    block = min(size, 19)
+    sizes = {k: min(most, max(16, x.bit_length() + 3)) for k, x in n.items()}
+    deep = {k: min(x, 19) for k, x in sizes.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        held: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            place = np.unique(b.column(0).to_numpy(zero_copy_only=False))
-            cut = np.flatnonzero(np.r_[True, np.diff(place >> block) > 0]) if len(place) else []
-            for part in np.split(place, cut[1:]) if len(place) else ():
-                held.setdefault(int(part[0]) >> block, np.zeros(1 << block, bool))[part & ((1 << block) - 1)] = True
+            of, place = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for k in np.unique(of).tolist():
+                mine, block = np.unique(place[of == k]), deep[k]
+                cut = np.flatnonzero(np.diff(mine >> block)) + 1
+                for part in np.split(mine, cut):
+                    held.setdefault((k, int(part[0]) >> block), np.zeros(1 << block, bool))[part & ((1 << block) - 1)] = True
         packed = [np.packbits(x, bitorder="little").tobytes() for x in held.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(packed, pa.binary())], ["block", "bits"])
-
-    place = hashes.select(F.shiftrightunsigned(column, 64 - size).alias("p")).repartition(F.shiftright("p", block))
-    out = np.zeros(1 << size - 3, np.uint8)
-    for r in place.mapInArrow(run, "block bigint, bits binary").collect():  # 2**(size - 3) bytes in all
-        at = r["block"] << block - 3
-        out[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+        cols = [pa.array([k for k, _ in held], pa.int32()), pa.array([x for _, x in held], pa.int64()), pa.array(packed, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["of", "block", "bits"])
+
+    by = lambda table: F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("of"))
+    rows = hashes.select(F.col(of).cast("int").alias("of"), F.col(column).alias("h"))
+    place = rows.select("of", F.call_function("shiftrightunsigned", "h", F.lit(64) - by(sizes)).alias("p"), by(deep).alias("deep"))
+    place = place.select("of", "p", F.call_function("shiftright", "p", F.col("deep")).alias("block")).repartition("of", "block").select("of", "p")
+    out = {k: np.zeros(1 << x - 3, np.uint8) for k, x in sizes.items()}
+    for r in place.mapInArrow(run, "of int, block bigint, bits binary").collect():  # 2**(size - 3) bytes for each value
+        at = r["block"] << deep[r["of"]] - 3
+        out[r["of"]][at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 

@@ -5,11 +5,13 @@ it (lower-case words, blanks apart; an item of fewer words is one shingle). Item
 shingles is in class floor(log2 n), and its MinHash sketch has the length its size needs, its floor((1 - threshold) n)
 + 1 least shingle hashes. A document that contains the item misses at most floor((1 - threshold) n) shingles, so it must
 hold one of the sketch's: the search over whole, long documents loses nothing, however small the item is beside the
-document. A class whose items all need more shingles than a document has words for is passed over.
+document.
 
-The documents are read once. A bit filter of bounded size over the items' shingles goes to the executors, and what a
-document shares with it is written to the shared folder as rows. Joins on the sketches' hashes give the candidates, and
-joins on the shingles themselves count exactly what a candidate holds of its item.
+Classes are apart from end to end. Each has a bit filter of bounded size over its own items' shingles, which goes to the
+executors. A document asks only the filters of the classes that it can contain an item of: those whose least item does not
+need more shingles than the document has words for. What it shares with a class is written to the shared folder as rows of
+that class; joins on class and sketch hash give the candidates, and joins on class and shingle count exactly what a
+candidate holds of its item. The documents are read once.
 
 Defined cases: null or wordless items match nothing and null texts contain nothing; repeated items and documents are
 matched each; a document with several items gives a row for each; ids keep their types and may be null; empty tables give
@@ -19,7 +21,8 @@ empty results; columns other than the ids and texts are ignored (``decontaminate
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bit_filter, by_place, in_filter, materialise, small_or_plain
+from ._common import bit_filters, by_place, in_filter, materialise, small_or_plain
 from .substring import mix, pair_name, word_hashes
 
 WORDS = 5
 THRESHOLD = 0.8
 #: Words hashed at once.
 SLICE = 1 << 17
-#: The filter has 2**FILTER_BITS bits at most (16 MB).
+#: A class's filter has 2**FILTER_BITS bits at most (16 MB); there is a class for each doubling of the items' size.
 FILTER_BITS = 27
 #: Shingles of items that may be broadcast in a join.
 BROADCAST_SHINGLES = 400_000
@@ -80,64 +83,83 @@ def sketched(items: DataFrame, threshold: float, k: int) -> DataFrame:
     return items.select("item_id", F.encode("text", "UTF-8").alias("text")).mapInArrow(run, made)
 
 
-def shared_shingles(docs: DataFrame, bits: np.ndarray, classes: list[tuple[int, int]]) -> DataFrame:
-    """(d, doc_id, t, n_words, h, g): each document's distinct shingles that the filter lets through; d numbers the rows.
+@dataclass(frozen=True)
+class SizeClass:
+    """Items of one width whose numbers of shingles lie between two powers of two; ``need`` is what the least of them needs."""
 
-    classes are (width, least number of shingles that a document must have) of the items' size classes.
-    """
+    c: int
+    width: int
+    need: int
+    n: int
+
+
+def askable(n_words: int, classes: Sequence[SizeClass]) -> list[SizeClass]:
+    """The classes of which a document of n_words words can contain an item."""
+    return [k for k in classes if n_words - k.width + 1 >= k.need]
+
+
+def shared_shingles(docs: DataFrame, filters: dict[int, np.ndarray], classes: Sequence[SizeClass]) -> DataFrame:
+    """(d, doc_id, t, n_words, c, h, g): each document's distinct shingles that the filter of class c lets through, for the
+    classes that it can contain; d numbers the rows."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(bits)  # at most 2**FILTER_BITS bits
-    least = {w: min(n for v, n in classes if v == w) for w, _ in classes}
+    sent = spark.sparkContext.broadcast(filters)  # at most 2**FILTER_BITS bits for each class
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         d = TaskContext.get().partitionId() << 33
         for b in batches:
-            row, size, names, texts = [], [], [], []
+            row, size, of, names, texts = [], [], [], [], []
             for i, text in enumerate(b.column(2).to_pylist()):
                 words, found = tokens(text), {}
-                widths = [w for w, n in least.items() if len(words) - w + 1 >= n]
+                asked = askable(len(words), classes)
+                widths = sorted({k.width for k in asked})
                 for at in range(0, len(words) if widths else 0, SLICE):
-                    part = word_hashes(words[at : at + SLICE + max(widths) - 1])
+                    part = word_hashes(words[at : at + SLICE + widths[-1] - 1])
                     for w in widths:
-                        if len(part) >= w:
-                            h = shingle_hashes(part, w)
-                            for j in np.flatnonzero(in_filter(known, h)).tolist():
-                                found[b" ".join(words[at + j : at + j + w])] = h[j]
+                        if len(part) < w:
+                            continue
+                        h = shingle_hashes(part, w)
+                        for k in asked:
+                            if k.width == w:
+                                for j in np.flatnonzero(in_filter(known[k.c], h)).tolist():
+                                    found[k.c, b" ".join(words[at + j : at + j + w])] = h[j]
                 row += [i] * len(found)
                 size += [len(words)] * len(found)
                 names += found.values()
-                texts += found
+                of += [c for c, _ in found]
+                texts += [g for _, g in found]
             at = pa.array(row, pa.int64())
             h = pa.array(np.array(names, np.uint64).view(np.int64))
-            made = [pa.array(np.array(row, np.int64) + d), b.column(0).take(at), b.column(1).take(at), pa.array(size, pa.int64()), h, pa.array(texts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(made, ["d", "doc_id", "t", "n_words", "h", "g"])
+            made = [pa.array(np.array(row, np.int64) + d), b.column(0).take(at), b.column(1).take(at), pa.array(size, pa.int64()), pa.array(of, pa.int32()), h, pa.array(texts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, ["d", "doc_id", "t", "n_words", "c", "h", "g"])
             d += b.num_rows
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("t"), F.encode("text", "UTF-8").alias("text"))
-    return rows.mapInArrow(run, f"d bigint, doc_id {kind}, t bigint, n_words bigint, h bigint, g binary")
+    return rows.mapInArrow(run, f"d bigint, doc_id {kind}, t bigint, n_words bigint, c int, h bigint, g binary")
 
 
 def _matches(docs: DataFrame, items: DataFrame, threshold: float, k: int) -> DataFrame | None:
     """(d, doc_id, t, item_id, n_shingles, n_shared) of every item contained in a document's row; None without items."""
-    held, _ = materialise(sketched(items, threshold, k), "leak-items")
-    sized = held.groupBy("width", "size_class").agg(F.min("n_shingles").alias("least"), F.sum("n_shingles").alias("n")).collect()  # a row for each class
+    c = F.shiftleft("width", 6).bitwiseOR(F.col("size_class")).alias("c")
+    held, _ = materialise(sketched(items, threshold, k).select("*", c), "leak-items")
+    sized = held.groupBy("c", "width").agg(F.min("n_shingles").alias("least"), F.sum("n_shingles").alias("n")).collect()  # a row for each class
     if not sized:
         return None
-    n = sum(r["n"] for r in sized)
-    classes = [(r["width"], math.ceil(threshold * r["least"] - 1e-9)) for r in sized]
-    each = held.select("i", "item_id", "width", "n_shingles", F.explode("shingles").alias("s")).select("i", "item_id", "width", "n_shingles", "s.h", "s.g")
-    bits = bit_filter(each, "h", n << 4, FILTER_BITS)  # 128 bits a shingle: what passes by chance is under a hundredth
-    hits, _ = materialise(shared_shingles(docs, bits, classes), "leak-hits")
-    sketch = held.select("i", "n_shingles", "width", "size_class", F.explode(F.slice("shingles", F.lit(1), F.col("sketch").cast("int"))).alias("s"))
-    sketch = small_or_plain(sketch.select("i", "width", "n_shingles", "s.h"), n, BROADCAST_SHINGLES)
+    classes = [SizeClass(r["c"], r["width"], math.ceil(threshold * r["least"] - 1e-9), r["n"]) for r in sized]
+    n = sum(x.n for x in classes)
+    each = held.select("i", "item_id", "c", "n_shingles", F.explode("shingles").alias("s")).select("i", "item_id", "c", "n_shingles", "s.h", "s.g")
+    # 128 bits a shingle: what passes by chance is under a hundredth.
+    filters = bit_filters(each, "h", "c", {x.c: x.n << 4 for x in classes}, FILTER_BITS)
+    hits, _ = materialise(shared_shingles(docs, filters, classes), "leak-hits")
+    sketch = held.select("i", "n_shingles", "width", "c", F.explode(F.slice("shingles", F.lit(1), F.col("sketch").cast("int"))).alias("s"))
+    sketch = small_or_plain(sketch.select("i", "c", "width", "n_shingles", "s.h"), n, BROADCAST_SHINGLES)
     need = F.ceil(F.lit(threshold) * F.col("n_shingles") - F.lit(1e-9))
-    pairs = hits.join(sketch, "h").filter(F.col("n_words") - F.col("width") + 1 >= need).select("d", "i").distinct()
+    pairs = hits.join(sketch, ["c", "h"]).filter(F.col("n_words") - F.col("width") + 1 >= need).select("d", "i").distinct()
     pairs, _ = materialise(pairs, "leak-pairs")
-    # A candidate's shingles, each met again in what its document shares with the filter, are counted.
-    wanted = pairs.join(small_or_plain(each, n, BROADCAST_SHINGLES), "i").select("d", "i", "item_id", "n_shingles", "g")
-    found = wanted.join(hits.select("d", "doc_id", "t", "g"), ["d", "g"])
+    # A candidate's shingles, each met again in what its document shares with the item's class, are counted.
+    wanted = pairs.join(small_or_plain(each, n, BROADCAST_SHINGLES), "i").select("d", "i", "item_id", "n_shingles", "c", "g")
+    found = wanted.join(hits.select("d", "doc_id", "t", "c", "g"), ["d", "c", "g"])
     counted = found.groupBy("d", "i").agg(F.first("doc_id").alias("doc_id"), F.first("t").alias("t"), F.first("item_id").alias("item_id"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n_shared"))
     return counted.filter(F.col("n_shared") >= F.lit(threshold) * F.col("n_shingles") - F.lit(1e-9))
 
