@@ -1,4 +1,10 @@
-from wardstream.operators import suites
+import math
+import random
+import statistics
+
+import pytest
+
+from wardstream.operators import evaluate, suites
 
 TRIAGE = "classification string, severity string, confidence double, investigation_required boolean, expected_classification string, expected_severity string, findings array<array<string>>, evidence_ids array<string>"
 INVESTIGATION = "status string, conclusion string, expected_conclusion string, steps array<string>, findings array<array<string>>, attempts array<string>"
@@ -55,3 +61,19 @@ def test_manifest_review_and_shares(spark):
     s = one(suites.score_stats(rows, "quality_score"))
     assert (s["n"], s["mean"], s["least"], s["most"]) == (2, 67.5, 40, 95)
     assert suites.allocate(10, {"a": 1, "b": 1, "c": 1}) == {"a": 3, "b": 3, "c": 4}
+
+
+@pytest.mark.parametrize("few", [evaluate.FEW_ROWS, 0])
+def test_order_statistics(spark, monkeypatch, few):
+    rng = random.Random(4)
+    values = [rng.gauss(5, 2) for _ in range(3000)] + [7.5] * 500 + [1e308, -1e308, 5e-324, 1e-323, 0.0, -0.0] + [round(rng.random(), 2) for _ in range(500)]
+    d = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double")
+    monkeypatch.setattr(evaluate, "FEW_ROWS", few)
+    places = [1, 2, 500, 1000, 2003, 3900, len(values) - 1, len(values), 3000, 3001]
+    assert evaluate.order_statistics(d, "v", places) == [sorted(values)[p - 1] for p in places]
+    assert math.isnan(evaluate.order_statistics(d, "v", [len(values) + 1])[0])
+    row = evaluate.latency(d.filter("v > 0 and v < 100"), "v").first()
+    good = sorted(v for v in values if 0 < v < 100)
+    want = [statistics.median(good), good[min(int(0.95 * len(good)), len(good) - 1)], good[0], good[-1]]
+    assert row.n == len(good) and all(abs(a - b) < 0.0051 for a, b in zip((row["median"], row.p95, row["min"], row["max"]), want))
+    assert tuple(evaluate.latency(d.limit(0), "v").first()) == (0, None, None, None, None, None)

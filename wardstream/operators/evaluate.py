@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rounded
+from ..session import written
 
 
 def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
@@ -61,20 +64,66 @@ def macro(df: DataFrame, truth: str, pred: str, labels: list[str], skip_empty: b
     return rows.agg(*[rounded(F.avg(m)).alias(f"macro_{m}") for m in ("precision", "recall", "f1")])
 
 
+#: Equal parts of a range of values that one round counts, and rows that are few enough to be looked at one by one.
+RANGE_PARTS, FEW_ROWS = 1024, 1000
+
+
+def order_statistics(df: DataFrame, value: str, places: list[int]) -> list[float]:
+    """The values at the given places (from 1) of the non-null values in order, exactly, with no buffer that grows with them.
+
+    Selection by histograms: a round counts the rows of each of RANGE_PARTS equal parts of the range that holds a place
+    (aggregates that combine map-side), and goes on with the least and largest value of the part where the place falls,
+    until that part holds one value or FEW_ROWS rows. NaN stands after all numbers.
+    """
+    v = F.col(value).cast("double")
+    rows = df.filter(v.isNotNull() & ~F.isnan(v)).select(v.alias("v"))
+    ends = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).first()
+    out = {p: float("nan") for p in places if p > ends["n"]}
+    open_ = {p: (ends["lo"], ends["hi"], p, ends["n"]) for p in places if p <= ends["n"]}  # range, place in it, its rows
+    while open_:
+        for p, (lo, hi, _, _) in list(open_.items()):
+            if lo == hi:
+                out[p] = lo
+                del open_[p]
+        few = {p: x for p, x in open_.items() if x[3] <= FEW_ROWS}
+        if few:
+            near = F.array_compact(F.array(*[F.when(F.col("v").between(lo, hi), F.lit(p)) for p, (lo, hi, _, _) in few.items()]))
+            held: dict[int, list[float]] = {}
+            for r in rows.select("v", F.explode(near).alias("p")).collect():  # FEW_ROWS for each place
+                held.setdefault(r["p"], []).append(r["v"])
+            for p, (_, _, at, _) in few.items():
+                out[p] = sorted(held[p])[at - 1]
+                del open_[p]
+        if not open_:
+            break
+
+        def part(lo: float, hi: float) -> Column:
+            by = 2 if math.isinf(hi - lo) else 1  # no range is too wide for a double, or too narrow
+            return F.least(F.floor((F.col("v") / by - lo / by) / (hi / by - lo / by) * RANGE_PARTS), F.lit(RANGE_PARTS - 1))
+
+        parts = F.array_compact(F.array(*[F.when(F.col("v").between(lo, hi), F.struct(F.lit(p).alias("p"), part(lo, hi).alias("b"))) for p, (lo, hi, _, _) in open_.items()]))
+        counts = rows.select("v", F.explode(parts).alias("x")).groupBy("x.p", "x.b").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+        for r in counts.orderBy("p", "b").collect():  # RANGE_PARTS rows for each place
+            p = r["p"]
+            if p in open_ and len(open_[p]) == 4:
+                left = open_[p][2]
+                open_[p] = (r["lo"], r["hi"], left, r["n"], True) if left <= r["n"] else (*open_[p][:2], left - r["n"], open_[p][3])
+        open_ = {p: x[:4] for p, x in open_.items()}
+    return [out[p] for p in places]
+
+
 def latency(df: DataFrame, value: str) -> DataFrame:
-    """n, mean, median, p95 (the value at place floor(0.95 n), the largest at most), min, max.
+    """n, mean, median, p95 (the value at place floor(0.95 n) + 1, the largest at most), min, max of the non-null values.
 
-    Percentiles are exact, over value counts that combine map-side; their state grows with the distinct values, so
-    round continuous latencies (to milliseconds, say) before very large runs.
+    Median and p95 are exact, by ``order_statistics``.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    one = rows.agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.median("v").alias("median"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.expr("percentile_disc(0.95) within group (order by v)").alias("at"))
-    # percentile_disc gives the value at ceil(0.95 n); the wanted one is at floor(0.95 n) + 1, the next if they differ.
-    place = F.least(F.floor(F.lit(0.95) * F.col("n")) + 1, F.col("n"))
-    sides = rows.crossJoin(F.broadcast(one.select("at"))).agg(F.count_if(F.col("v") <= F.col("at")).alias("upto"), F.min(F.when(F.col("v") > F.col("at"), F.col("v"))).alias("next"))
-    p95 = F.when(place <= F.col("upto"), F.col("at")).otherwise(F.col("next"))
+    rows = written(df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")), "latencies")
+    one = rows.agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    n = rows.count()
+    middle, late, p95 = order_statistics(rows, "v", [(n + 1) // 2, n // 2 + 1, min(int(0.95 * n) + 1, n)]) if n else (None, None, None)
+    median = F.lit(None).cast("double") if middle is None else F.lit(middle) + (F.lit(late) - F.lit(middle)) / 2
     two = lambda c: rounded(c, 2)
-    return one.crossJoin(F.broadcast(sides)).select("n", two(F.col("mean")).alias("mean"), two(F.col("median")).alias("median"), two(p95).alias("p95"), two(F.col("lo")).alias("min"), two(F.col("hi")).alias("max"))
+    return one.select("n", two(F.col("mean")).alias("mean"), two(median).alias("median"), two(F.lit(p95).cast("double")).alias("p95"), two(F.col("lo")).alias("min"), two(F.col("hi")).alias("max"))
 
 
 def grounding(df: DataFrame, refs: str, valid: str) -> DataFrame:

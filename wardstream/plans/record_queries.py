@@ -517,3 +517,23 @@ def manifest_whole(spark, sf):
     n = 10 * d.select("lang").distinct().count()
     out = suites.manifest_report(first, d, "doc_id", "lang", n, 10)
     return out.select(F.col("n").cast("bigint").alias("n"), (F.col("n_repeated") + F.col("n_missing")).cast("int").alias("n_faults"), "ok")
+
+
+def _draw_sql(key: str, field: str, least: int, most: int) -> str:
+    return f"(CAST('0x' || substr(sha256('42|{field}|' || {key}), 1, 12) AS BIGINT) % {most - least + 1} + {least})"
+
+
+_CONF = "CASE c " + " ".join(f"WHEN '{c}' THEN {_draw_sql('conv_id', 'confidence', *r)}" for c, r in training.CONFIDENCES.items()) + f" ELSE {_draw_sql('conv_id', 'confidence', 50, 80)} END / 100.0"
+
+
+@query(f"""WITH g AS (SELECT conv_id, count(*) AS n, {sql_pick([*vocab.SOC_CLASSIFICATIONS, 'other'], 'sum(length(text))')} AS c FROM conversations GROUP BY 1),
+  s AS (SELECT *, epoch(TIMESTAMP '2026-02-01 09:00:00') - {_draw_sql('conv_id', 'days', 0, 30)} * 86400 - {_draw_sql('conv_id', 'hours', 0, 20)} * 3600 - {_draw_sql('conv_id', 'minutes', 0, 50)} * 60 AS start FROM g),
+  e AS (SELECT conv_id, i, start + coalesce(sum(CASE WHEN i > 0 THEN {_draw_sql("(conv_id || '/' || i)", 'gap', *training.GAPS)} ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i), 0) AS t FROM (SELECT *, unnest(range(0, n)) AS i FROM s)),
+  t AS (SELECT conv_id, string_agg(strftime(to_timestamp(t) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ'), ',' ORDER BY i) AS stamps FROM e GROUP BY 1)
+  SELECT conv_id, sha256(CASE WHEN c IN ('likely_malicious', 'confirmed_malicious') THEN 'hostile/' ELSE 'harmless/' END || {_draw_sql('conv_id', 'file', 0, 999_999_999)}) AS file_hash, stamps, CAST({_CONF} AS DOUBLE) AS confidence, 'RULE-' || {_draw_sql('conv_id', 'rule', 1000, 9999)} AS rule_id FROM g JOIN t USING (conv_id)""")
+def synthetic_values(spark, sf):
+    """Made-up hashes, event times, confidences and rules for a record of each conversation, an event for each turn."""
+    per = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size"))
+    rows = per.withColumn("c", pick([*vocab.SOC_CLASSIFICATIONS, "other"], F.col("size")))
+    out = training.synthetic_values(rows, "conv_id", "c", "n", "2026-02-01T09:00:00Z")
+    return out.select("conv_id", "file_hash", F.array_join("stamps", ",").alias("stamps"), "confidence", "rule_id")
