@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quality
 from ..session import scratch_path
-from ..sources import connectors, readers, sinks
+from ..sources import connectors, readers, sinks, workbooks
 from .catalogue import pick, query, sql_pick, table
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -51,11 +51,23 @@ def folder(spark: SparkSession, sf: str) -> str:
     return root
 
 
-@query("""SELECT f AS format, n_files > 0 AS found, confidence FROM (VALUES ('csv', 4, 1.0), ('jsonl', 2, 0.75), ('text_log', 2, 1.0), ('xml', 2, 1.0), ('parquet', 2, 1.0), ('json', 8, 0.75)) t(f, n_files, confidence)""")
+@query("""SELECT f AS format, CAST(n AS BIGINT) AS n_files, CAST(c AS DOUBLE) AS confidence FROM (VALUES ('csv', 4, 1.0), ('jsonl', 2, 0.75), ('text_log', 2, 1.0), ('xml', 2, 1.0), ('parquet', 2, 1.0)) t(f, n, c)
+  UNION ALL SELECT 'json', count(DISTINCT event_id // 500), 0.75 FROM events""")
 def discover_files(spark, sf):
     """Formats and confidence of the files found; those written as .txt are told by their content."""
     found = readers.discover(spark, folder(spark, sf)).filter("size > 0")
-    return found.groupBy("format", "confidence").agg((F.count("*") > 0).alias("found"))
+    return found.groupBy("format", "confidence").agg(F.count("*").alias("n_files"))
+
+
+@query("SELECT event_id, event_type, value, user_id % 2 = 0 AS even, CASE WHEN event_id % 5 <> 0 THEN '<u> & ' || user_id END AS who FROM events")
+def workbook_rows(spark, sf):
+    """The events written as workbooks of several sheets, and the rows of all sheets read back."""
+    i = F.col("event_id")
+    who = F.when(i % 5 != 0, F.concat(F.lit("<u> & "), F.col("user_id").cast("string")))
+    rows = table(spark, sf, "events").select("event_id", "event_type", "value", (F.col("user_id") % 2 == 0).alias("even"), who.alias("who")).repartition(3)
+    back = readers.read_excel(spark, workbooks.write_sheets(rows, scratch_path(spark, "books"), 2000))
+    kinds = "event_id bigint, event_type string, value double, even boolean, who string"
+    return back.select(F.from_json("raw", kinds).alias("r")).select("r.*")
 
 
 @query(f"""WITH e AS (SELECT *, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t FROM events)

@@ -24,13 +24,25 @@ def scheme_of(path: str) -> str:
     return path.split(":", 1)[0].lower() if ":" in path.split("/", 1)[0] else "file"
 
 
-def opened(path: str) -> pa.NativeFile:
-    """A file of any store with a scheme of SCHEMES, open for reading in order."""
+def opened(path: str, seek: bool = False) -> pa.NativeFile:
+    """A file of any store with a scheme of SCHEMES, open for reading in order, or at any place with ``seek``."""
     scheme = scheme_of(path)
     if scheme == "file":
-        return fs.LocalFileSystem().open_input_stream("/" + path.split(":", 1)[-1].lstrip("/") if ":" in path else path, compression=None)
-    system, at = fs.FileSystem.from_uri(f"{SCHEMES[scheme]}:{path.split(':', 1)[1]}")
-    return system.open_input_stream(at, compression=None)
+        system, at = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+    else:
+        system, at = fs.FileSystem.from_uri(f"{SCHEMES[scheme]}:{path.split(':', 1)[1]}")
+    return system.open_input_file(at) if seek else system.open_input_stream(at, compression=None)
+
+
+def created(path: str) -> pa.NativeFile:
+    """A new file, open for writing in order; its folder is made if it is not there."""
+    scheme = scheme_of(path)
+    if scheme == "file":
+        system, at = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+    else:
+        system, at = fs.FileSystem.from_uri(f"{SCHEMES[scheme]}:{path.split(':', 1)[1]}")
+    system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    return system.open_output_stream(at, compression=None)
 
 
 def listed(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
@@ -101,4 +113,4 @@ def alike(spark: SparkSession, paths: list[str], n: int, judge: Callable[[bytes]
     return out
 
 
-__all__ = ["alike", "digests", "heads", "listed", "opened", "scheme_of"]
+__all__ = ["alike", "created", "digests", "heads", "listed", "opened", "scheme_of"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import event_timestamp
 from ..registry import readers
 from ..session import small, written
-from . import files
+from . import files, workbooks
 
 # What discovery takes and leaves, and wrapper keys of JSON documents.
 EXTENSIONS = ["csv", "tsv", "json", "jsonl", "ndjson", "xml", "log", "txt", "parquet", "xlsx", "xls"]
@@ -229,34 +229,8 @@ def read_parquet(spark: SparkSession, path: Paths) -> DataFrame:
 
 @readers.register("excel")
 def read_excel(spark: SparkSession, path: Paths) -> DataFrame:
-    """Needs openpyxl; every sheet, first row as header. Workbooks (small by their format) are read by the tasks."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("reading Excel files needs the optional package openpyxl") from e
-
-    def run(batches):
-        import io
-        import json
-
-        import openpyxl
-        import pandas as pd
-
-        for b in batches:
-            rows = []
-            for name, content in zip(b["path"], b["content"]):
-                n = 0
-                for sheet in openpyxl.load_workbook(io.BytesIO(content), read_only=True, data_only=True).worksheets:
-                    it = sheet.iter_rows(values_only=True)
-                    top = [c if c is not None else f"col{i}" for i, c in enumerate(next(it, ()))]
-                    for r in it:
-                        if any(c is not None for c in r):
-                            rows.append((name.rsplit("/", 1)[-1], n, json.dumps(dict(zip(top, r)), default=str)))
-                            n += 1
-            yield pd.DataFrame(rows, columns=["source_name", "record_index", "raw"])
-
-    books = spark.read.format("binaryFile").load(path).select("path", "content")
-    return books.mapInPandas(run, "source_name string, record_index bigint, raw string")
+    """The rows of every sheet of xlsx workbooks under the names in its first row, a task for each sheet."""
+    return workbooks.read_sheets(spark, path)
 
 
 def ingest(spark: SparkSession, path: str, limit: int | None = None, limit_per_file: int | None = None) -> DataFrame:
