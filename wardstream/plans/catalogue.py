@@ -118,13 +118,13 @@ def raw_events(spark, sf):
   CASE WHEN event_id % 300 <= 255 THEN '10.1.' || (user_id % 256) || '.' || (event_id % 300) END AS source_ip, 'network_connection' AS event_type,
   CASE WHEN event_id % 300 > 255 THEN '10.1.' || (user_id % 256) || '.' || (event_id % 300) END AS invalid_ip, json_extract_string(props, '$.k') AS k FROM events""")
 def canonicalize_events(spark, sf):
-    out = events.canonicalize(raw_events(spark, sf), ipv6=False)
+    out = events.canonicalize(raw_events(spark, sf))
     return out.select("event_id", "timestamp", "username", "source_ip", "event_type", F.col("attributes")["_invalid_source_ip"].alias("invalid_ip"), F.col("attributes")["props.k"].alias("k"))
 
 
 @query("""SELECT CASE WHEN event_id % 300 > 255 THEN 'rejected' ELSE 'trusted' END AS status, CASE WHEN event_id % 300 > 255 THEN 'invalid' ELSE 'valid' END AS validation_status, count(*) AS n FROM events GROUP BY 1, 2""")
 def process_events(spark, sf):
-    return events.process(raw_events(spark, sf), ipv6=False).groupBy("status", "validation_status").agg(F.count("*").alias("n"))
+    return events.process(raw_events(spark, sf)).groupBy("status", "validation_status").agg(F.count("*").alias("n"))
 
 
 _SAYS = lambda words: "(" + " OR ".join(f"contains(w, '{x}')" for x in words) + ")"
@@ -263,12 +263,12 @@ def enrich_category_dims(spark, sf):
   count(*) FILTER (NOT ({VALID})) AS errors, count(*) FILTER (source_label IS NULL) AS warnings, count(*) FILTER (status NOT IN ('rejected', 'duplicate')) AS enriched,
   count(*) FILTER (status = 'harmonized') AS harmonized, count(*) FILTER (status = 'review_required') AS review_required FROM outcome""")
 def pipeline_report(spark, sf):
-    return records.pipeline_report(records.run_pipeline(flows(spark, sf), records.label_map(spark), ipv6=False))
+    return records.pipeline_report(records.run_pipeline(flows(spark, sf), records.label_map(spark)))
 
 
 @query(f"""WITH {OUTCOME} SELECT record_id, status, CASE WHEN status IN ('rejected', 'duplicate') THEN NULL WHEN source_label IS NULL THEN 'insufficient_evidence' WHEN status = 'review_required' THEN 'review_required' ELSE b.c END AS classification FROM outcome""")
 def pipeline_outcomes(spark, sf):
-    return records.run_pipeline(flows(spark, sf), records.label_map(spark), ipv6=False).select("record_id", "status", "classification")
+    return records.run_pipeline(flows(spark, sf), records.label_map(spark)).select("record_id", "status", "classification")
 
 
 CLASS_ROWS = "c AS (SELECT CASE WHEN l.doc_id IS NULL THEN NULL WHEN toxic = 1 THEN 'malicious' WHEN quality = 1 THEN 'benign' ELSE 'suspicious' END AS classification, d.text, d.lang, d.source FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
@@ -504,7 +504,7 @@ _CATEGORY = "CASE WHEN status IN ('rejected', 'duplicate') THEN NULL WHEN source
   || CASE WHEN src_ip IS NOT NULL THEN chr(10) || '  Source: ' || src_ip || CASE WHEN src_port > 0 THEN ':' || src_port ELSE '' END ELSE '' END || chr(10) || '  Destination: ' || dst_ip || ':443' || chr(10) || '  Protocol: ' || protocol || chr(10) || '  Bytes sent: ' || bytes_sent AS prompt FROM outcome""")
 def prompt_rendering(spark, sf):
     """The whole prompt of every record, whatever its outcome."""
-    out = records.run_pipeline(flows(spark, sf), records.label_map(spark), ipv6=False)
+    out = records.run_pipeline(flows(spark, sf), records.label_map(spark))
     return out.select("record_id", training.user_prompt().alias("prompt"))
 
 
@@ -647,7 +647,11 @@ def empty_scan(spark, sf):
     return table(spark, sf, "events").filter("event_id < 0").select("event_id", F.concat(F.lit("hash"), (F.col("event_id") % 4).cast("string")).alias("shard_name"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT doc_id, sha256('{"text":' || CAST(to_json(text) AS VARCHAR) || '}') AS f, row_number() OVER (ORDER BY doc_id) AS r FROM documents),
+  s AS (SELECT CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS VARCHAR) AS f, CAST([] AS STRUCT(f VARCHAR, k BIGINT)[]) AS seen, CAST(NULL AS BIGINT) AS duplicate_of, CAST(0 AS BIGINT) AS evictions
+  UNION ALL SELECT d.r, d.doc_id, d.f, CASE WHEN h IS NOT NULL THEN seen ELSE list_append(seen, struct_pack(f := d.f, k := d.doc_id))[-100:] END, h, evictions + CASE WHEN h IS NULL AND len(seen) = 100 THEN 1 ELSE 0 END
+    FROM (SELECT s.*, list_filter(seen, lambda x: x.f = d2.f)[1].k AS h FROM s JOIN d d2 ON d2.r = s.r + 1) s JOIN d ON d.r = s.r + 1)
+  SELECT doc_id, f AS fingerprint, duplicate_of, evictions FROM s WHERE r > 0""")
 def fifo_dedup(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     return records.fifo_deduplicate(d, ["text"], 100, "doc_id", "doc_id")
@@ -674,7 +678,10 @@ def log_parse(spark, sf):
     return e.select("event_id", m["timestamp"].alias("timestamp"), m["user"].alias("username"), m["message"].alias("message"))
 
 
-@query()
+_FP = "'{" + ",".join(f'"{f}":' + {"source_label": """' || CAST(to_json(event_type) AS VARCHAR) || '""", "src_ip": """"10.0.0.' || user_id % 250 || '\""""}.get(f, "null") for f in sorted(vocab.EXACT_FIELDS)) + "}'"
+
+
+@query(f"SELECT DISTINCT sha256({_FP}) AS fingerprint, event_type AS source_label, '10.0.0.' || user_id % 250 AS src_ip FROM events")
 def streaming_dedup(spark, sf):
     """The distinct fingerprints that a stream over the events' file gives, through the memory sink."""
     import uuid
