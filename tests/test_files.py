@@ -83,3 +83,20 @@ def test_workbooks(spark, tmp_path):
     assert [held["b.xlsx", 3 + i] for i in range(2500)] == [{"n": i} for i in range(2500)] and held["c.xlsx", 0] == {"n": 0}
     got = readers.ingest(spark, str(tmp_path)).groupBy("source_format").count().collect()
     assert [tuple(r) for r in got] == [("excel", 2504)]
+
+
+def test_csv_files_are_split_unless_quotes_span_lines(spark, tmp_path):
+    (tmp_path / "flat.csv").write_text("id,t,u\n" + "".join(f'{i},"a, ""{i}""",x\n' for i in range(4000)))
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "span.csv").write_text('id,t,v\n1,"two\nlines",\n2,b,c\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        flat = readers.read_csv(spark, str(tmp_path / "flat.csv"))
+        assert flat.rdd.getNumPartitions() > 4
+        assert {r.record_index: json.loads(r.raw) for r in flat.collect()} == {i: {"id": str(i), "t": f'a, "{i}"', "u": "x"} for i in range(4000)}
+        both = readers.read_csv(spark, [str(tmp_path / "flat.csv"), str(tmp_path / "deep")]).filter("source_name = 'span.csv'")
+        assert [json.loads(r.raw) for r in both.orderBy("record_index").collect()] == [{"id": "1", "t": "two\nlines"}, {"id": "2", "t": "b", "v": "c"}]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vocab
-from ..session import written
+from ..session import small, written
 
 #: Columns of a record and their types after normalization. Ports, counters and duration arrive as text.
 RECORD = {
@@ -259,7 +259,7 @@ def resolve_labels(labels: DataFrame, maps: DataFrame) -> DataFrame:
     Exact match, then case-insensitive, then containment either way; the first in map order wins. The containment
     search is a join without an equality, so it runs over distinct labels, never over rows.
     """
-    m = F.broadcast(maps.select(F.col("source").alias("_s"), F.col("label").alias("_l"), F.col("classification").alias("_c"), F.col("attack_category").alias("_a"), "ord"))
+    m = small(maps.select(F.col("source").alias("_s"), F.col("label").alias("_l"), F.col("classification").alias("_c"), F.col("attack_category").alias("_a"), "ord"))
     low, key = F.lower("source_label"), F.lower("_l")
     level = F.when(F.col("source_label") == F.col("_l"), 0).when(low == key, 1).otherwise(2)
     hit = (F.col("source") == F.col("_s")) & (low.contains(key) | key.contains(low))

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import vocab
 from ..functions.scalars import let, sorted_json, strip
+from ..session import small
 from .training import highest_severity
 
 #: raw_data keeps its JSON text.
@@ -317,7 +318,7 @@ def shares(df: DataFrame) -> DataFrame:
 def template_checks(df: DataFrame, reference: DataFrame) -> DataFrame:
     """(template_id, technique_id, problem): techniques of templates that the reference does not have, or has otherwise."""
     used = df.select(F.col("metadata.template_id").alias("template_id"), F.explode("output.mitre_techniques").alias("t")).select("template_id", "t.technique_id", "t.technique_name", "t.tactic").distinct()
-    known = F.broadcast(reference.select("technique_id", F.col("technique_name").alias("_n"), F.col("tactic").alias("_t")))  # a small dimension table
+    known = small(reference.select("technique_id", F.col("technique_name").alias("_n"), F.col("tactic").alias("_t")))
     problem = F.when(F.col("_n").isNull(), "unknown technique").when(~F.col("technique_name").eqNullSafe(F.col("_n")), "other name").when(~F.col("tactic").eqNullSafe(F.col("_t")), "other tactic")
     return used.join(known, "technique_id", "left").select("template_id", "technique_id", problem.alias("problem")).filter("problem is not null")
 

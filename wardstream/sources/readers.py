@@ -111,12 +111,19 @@ def dialect(sample: str) -> tuple[str, str]:
     return max([",", "\t", ";", "|"], key=lambda d: (min(x.count(d) for x in whole), whole[0].count(d))), lines[0]
 
 
+def _may_span_lines(spark: SparkSession, paths: list[str], encoding: str) -> bool:
+    """Whether a line of the files has an odd number of quotes; of encodings in which lines cannot be told, always."""
+    if encoding.upper().replace("-", "").startswith(("UTF16", "UTF32")):
+        return True
+    return spark.read.text(paths).filter(F.regexp_count("value", F.lit('"')) % 2 == 1).limit(1).count() > 0
+
+
 @readers.register("csv")
-def read_csv(spark: SparkSession, path: Paths, sep: str | None = None, encoding: str = "UTF-8", multiline: bool = True) -> DataFrame:
-    """Header row, all text, empty cells null; files are read together where delimiter and header agree.
+def read_csv(spark: SparkSession, path: Paths, sep: str | None = None, encoding: str = "UTF-8", multiline: bool | None = None) -> DataFrame:
+    """Header row, all text, empty cells null, quotes doubled inside quotes; files are read together where delimiter and header agree.
 
-    The delimiter is judged for each file from its first 4,096 characters. ``multiline=False`` lets large files without
-    line ends inside quotes be split.
+    The delimiter is judged for each file from its first 4,096 characters. Files in which a line has an odd number of quotes
+    may have line ends inside quotes, and are then read whole, a task each; others are split. ``multiline`` says so unjudged.
     """
     paths = [path] if isinstance(path, str) else path
 
@@ -127,7 +134,8 @@ def read_csv(spark: SparkSession, path: Paths, sep: str | None = None, encoding:
     alike = files.alike(spark, paths, 4096, judge)
     out = None
     for (d, _), same in alike.items():
-        reader = spark.read.option("header", True).option("sep", d).option("nullValue", "").option("multiLine", multiline).option("encoding", encoding).option("inferSchema", False)
+        whole = multiline if multiline is not None else _may_span_lines(spark, same, encoding)
+        reader = spark.read.option("header", True).option("sep", d).option("nullValue", "").option("multiLine", whole).option("escape", '"').option("encoding", encoding).option("inferSchema", False)
         rows = reader.csv(same)
         rows = rows.withColumnsRenamed({c: c.lstrip("\ufeff") for c in rows.columns})
         rows = _numbered(rows, F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))
