@@ -57,6 +57,26 @@ def test_sharding_sizes_slots_and_permutation(spark, texts):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
+@pytest.mark.parametrize("shards,per,block", [(4, 25, 8), (7, 9, 1000), (16, 40, 3)])
+def test_sharding_against_a_plain_deal(spark, texts, shards, per, block):
+    """The whole deal by hand: rows in files of ``per``, counts by the matrix, a permutation a file, an order of keys a shard."""
+    rows = [(i, t) for i, t in enumerate(texts * 2)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shard(d, shards, 7, block, per, 1 << 40).collect()}
+    parts = [rows[i : i + per] for i in range(0, len(rows), per)]
+    matrix = sharding.communication_matrix([len(x) for x in parts], shards, 7)
+    assert matrix.sum(axis=1).tolist() == [len(x) for x in parts] and np.ptp(matrix.sum(axis=0)) <= 1
+    keys = {(r.p, r.i): r.k for r in spark.createDataFrame([(p, i) for p, x in enumerate(parts) for i in range(len(x))], "p bigint, i bigint").select("p", "i", F.xxhash64(F.lit(7), "p", "i").alias("k")).collect()}
+    blocks, held = max(1, -(-len(rows) // shards // block), int(np.ceil(len(rows) / shards / block))), defaultdict(list)
+    for p, part in enumerate(parts):
+        dest = np.random.default_rng([7, p]).permutation(np.repeat(np.arange(shards), matrix[p]))
+        for i, (doc, _) in enumerate(part):
+            k = keys[p, i]
+            held[int(dest[i])].append(((k & (2**64 - 1)) // 2**33 * blocks // 2**31, k, p, i, doc))
+    want = {x[-1]: (s, n) for s, mine in held.items() for n, x in enumerate(sorted(mine))}
+    assert got == want
+
+
 def test_sharding_digest_and_empty(spark, texts):
     rows = sharding.shard_digest(docs(spark, texts)).collect()
     for r in rows:
