@@ -525,6 +525,89 @@ def test_jpeg_colour_without_restarts():
     assert t.shape == (6, 4) and t[1, 0] == min(255, max(0, (want[2][0] + 4 >> 3) + 128))
 
 
+def plain_jpeg(data):
+    """Width, height and DC differences' sums times the quantizer, block by block, of a one-component baseline JPEG, bit by bit."""
+    at, codes, tables = 2, {}, {}
+    while True:
+        marker, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+        body, at = data[at + 4 : at + 2 + size], at + 2 + size
+        if marker == 0xDB:
+            tables[body[0] & 15] = body[1]
+        elif marker == 0xC0:
+            high, wide, n, quantizer = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big"), body[5], body[8]
+        elif marker == 0xDD:
+            interval = int.from_bytes(body[:2], "big")
+        elif marker == 0xC4:
+            while body:
+                counts, symbols, code, table = body[1:17], iter(body[17:]), 0, {}
+                for length, k in enumerate(counts, 1):
+                    for _ in range(k):
+                        table[length, code] = next(symbols)
+                        code += 1
+                    code <<= 1
+                codes[body[0]], body = table, body[17 + sum(counts) :]
+        elif marker == 0xDA:
+            dc_table, ac_table = codes[body[2] >> 4], codes[0x10 | body[2] & 15]
+            break
+    assert n == 1 and data[-2:] == b"\xff\xd9"
+    runs, run = [], bytearray()
+    i = at
+    while i < len(data) - 2:
+        if data[i] == 0xFF and data[i + 1]:
+            runs.append(bytes(run))
+            run = bytearray()
+            i += 2
+            continue
+        run.append(data[i])
+        i += 2 if data[i] == 0xFF else 1
+    out = []
+    for run in [*runs, bytes(run)]:
+        bits, place, last, left = "".join(f"{b:08b}" for b in run), 0, 0, -(-wide // 8) * -(-high // 8) - len(out)
+
+        def symbol(table):
+            nonlocal place
+            code = length = 0
+            while (length, code) not in table or not length:
+                code, length, place = code << 1 | int(bits[place]), length + 1, place + 1
+            return table[length, code]
+
+        def number(size):
+            nonlocal place
+            v, place = int(bits[place : place + size] or "0", 2), place + size
+            return v if not size or v >> size - 1 else v - (1 << size) + 1
+
+        for _ in range(min(interval or left, left)):
+            last += number(symbol(dc_table))
+            out.append(last * tables[quantizer])
+            k = 1
+            while k < 64:
+                x = symbol(ac_table)
+                if not x:
+                    break
+                k += (x >> 4) + 1
+                number(x & 15)
+    return wide, high, out
+
+
+def plain_feature(data):
+    wide, high, dc = plain_jpeg(data)
+    across, down = -(-wide // 8), -(-high // 8)
+    t = [[min(255, max(0, (dc[y * across + x] + 4) // 8 + 128)) for x in range(across)] for y in range(down)]
+    cut = lambda n: [range(i * n // 8, max(i * n // 8 + 1, (i + 1) * n // 8)) for i in range(8)]
+    mean = [[sum(t[y][x] for y in ys for x in xs) / len(xs) for xs in cut(across)] for ys in cut(down)]
+    bits = "".join(str(int(row[j] > row[(j + 1) % 8])) for row in mean for j in range(8))
+    return f"{wide}x{high}x1:{across}x{down}:{int(bits, 2):016x}"
+
+
+def test_media_against_a_plain_decoder(spark, texts):
+    """Every column of the digest from the stored files themselves, decoded bit by bit."""
+    short = [t for t in texts if t is None or len(t) < 6000]
+    stored = {r.doc_id: bytes(r.media) for r in media.store_texts(docs(spark, short)).collect()}
+    for r in media.media_digest(docs(spark, short)).collect():
+        data = stored[r.doc_id]
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(data), hashlib.sha256(data).hexdigest(), plain_feature(data)), r.doc_id
+
+
 def test_media_digest(spark, texts):
     rows = {r.doc_id: r for r in media.media_digest(docs(spark, texts)).collect()}
     for i, t in enumerate(texts):
