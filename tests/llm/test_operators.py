@@ -312,6 +312,14 @@ def pages(spark):
     return spark.createDataFrame(rows, PAGES).withColumn("payload", F.lit(1)), rows
 
 
+@pytest.mark.parametrize("given,asked", [("s3a://b/k", "s3://b/k"), ("s3n://b/k", "s3://b/k"), ("abfss://c@h/k", "abfss://c@h/k"), ("wasb://c@h/k", "abfs://c@h/k"), ("hdfs://n/k", "hdfs://n/k"), ("file:/a/b", "file:///a/b"), ("file:///a/b", "file:///a/b")])
+def test_warc_addresses_of_stores(monkeypatch, given, asked):
+    seen = []
+    monkeypatch.setattr(warc.fs, "FileSystem", type("Stub", (), {"from_uri": staticmethod(lambda uri: seen.append(uri) or (None, "k"))}))
+    warc.opened(given)
+    assert seen == [asked]
+
+
 def test_warc_round_trip(spark):
     d, rows = pages(spark)
     first = {}

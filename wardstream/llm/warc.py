@@ -44,6 +44,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+from ..sources.files import SCHEMES
 from ._common import materialise, scratch_path, small_or_plain, spread_join
 
 #: Compressed bytes after which a task begins a new file.
@@ -54,8 +55,12 @@ DATE = "2024-01-01T00:00:00Z"
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
-    if "://" in uri or uri.startswith("file:"):
-        return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri[5:])
+    """The file system and the path there of an address as Spark writes it."""
+    if "://" in uri:
+        scheme, rest = uri.split("://", 1)
+        return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+    if uri.startswith("file:"):
+        return fs.FileSystem.from_uri("file://" + uri[5:])
     return fs.LocalFileSystem(), uri
 
 
