@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
+    DataSourceArrowWriter,
     DataSourceReader,
-    DataSourceWriter,
     EqualTo,
     Filter,
     In,
@@ -47,6 +47,8 @@ from pyspark.sql.types import StructType
 from ..sources.files import SCHEMES
 from ._common import materialise, scratch_path, small_or_plain, spread_join
 
+#: Rows of a batch that are plain objects at a time.
+SLICE_ROWS = 256
 #: Compressed bytes after which a task begins a new file.
 FILE_BYTES = 64_000_000
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_bytes bigint, payload_digest string, payload binary, file string, offset bigint"
@@ -96,23 +98,23 @@ class Written(WriterCommitMessage):
     files: list[str]
 
 
-class WarcWriter(DataSourceWriter):
+class WarcWriter(DataSourceArrowWriter):
     def __init__(self, path: str, fields: list[str]):
         self.path, self.fields = path, fields
 
-    def write(self, iterator: Iterator) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, root = opened(self.path)
         system.create_dir(root, recursive=True)
         files, out, size = [], None, 0
         at = [self.fields.index(c) for c in ("record_id", "record_type", "target_uri", "payload", "refers_to")]
-        for row in iterator:
+        parts = (b.slice(lo, SLICE_ROWS) for b in iterator for lo in range(0, b.num_rows, SLICE_ROWS))
+        for record_id, kind, uri, payload, refers in (row for p in parts for row in zip(*(p.column(i).to_pylist() for i in at))):
             if out is None or size > FILE_BYTES:
                 if out is not None:
                     out.close()
                 files.append(f"part-{uuid.uuid4().hex}.warc.gz")
                 out, size = system.open_output_stream(f"{root}/{files[-1]}", compression=None), 0
-            record_id, kind, uri, payload, refers = (row[i] for i in at)
-            member = gzip_member(record_bytes(record_id, kind, uri, bytes(payload or b""), refers))
+            member = gzip_member(record_bytes(record_id, kind, uri, payload or b"", refers))
             out.write(member)
             size += len(member)
         if out is not None:
