@@ -301,17 +301,25 @@ def generated_records(spark, sf):
     return training.generate_records(t, "p_brand").select("template_no", "variant", "split", "record_id", F.array_join("tags", ",").alias("tags"))
 
 
-@query("""SELECT count(*) AS n, TRUE AS about_a_third, TRUE AS in_order, TRUE AS within_the_gap FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def _draw_sql(key: str, field: str, least: int, most: int) -> str:
+    return f"(CAST('0x' || substr(sha256('42|{field}|' || {key}), 1, 12) AS BIGINT) % {most - least + 1} + {least})"
+
+
+_BACK = [f"{t}|{d}" for t, d in training.BACKGROUND]
+
+
+@query(f"""WITH g AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1),
+  x AS (SELECT *, {_draw_sql('conv_id', 'has', 0, 99)} < 30 AS has, 1700000000 + n * 5 + 15 + {_draw_sql('conv_id', 'gap', 0, 59)} AS t FROM g)
+  SELECT conv_id, n + CAST(has AS INT) AS n, CASE WHEN has THEN 'EVT-' || lpad(CAST(n + 1 AS VARCHAR), 3, '0') || '|' || {sql_pick(_BACK, _draw_sql('conv_id', 'kind', 0, len(_BACK) - 1))} || '|' || strftime(to_timestamp(t) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') END AS added FROM x""")
 def distracted_evidence(spark, sf):
-    """Evidence with background events: how often, in time order, and 15 to 74 seconds after the last item."""
+    """Evidence with background events: how many items there are, and what was added after the last."""
     g = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
     one = lambda i: F.struct(F.format_string("EVT-%03d", i).alias("id"), F.lit("email").alias("type"), F.lit("d").alias("description"), F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + i * 5), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"))
     g = g.withColumn("before", F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), one))
     g = g.withColumn("after", training.with_distractor(F.col("before"), F.col("conv_id")))
-    stamps = F.transform("after", lambda e: e["timestamp"])
-    gap = F.unix_seconds(F.to_timestamp(F.array_max(stamps))) - F.unix_seconds(F.to_timestamp(F.array_max(F.transform("before", lambda e: e["timestamp"]))))
-    has = F.size("after") > F.size("before")
-    return g.agg(F.count("*").alias("n"), F.avg(has.cast("double")).between(0.1, 0.5).alias("about_a_third"), F.every(stamps == F.array_sort(stamps)).alias("in_order"), F.every(~has | gap.between(15, 74)).alias("within_the_gap"))
+    last = F.element_at("after", -1)
+    added = F.when(F.size("after") > F.size("before"), F.concat_ws("|", *[last[f] for f in ("id", "type", "description", "timestamp")]))
+    return g.select("conv_id", F.size("after").cast("bigint").alias("n"), added.alias("added"))
 
 
 @query(f"""WITH {OUTCOME}, k AS (SELECT record_id, record_index, source, coalesce(CASE WHEN source_label IS NULL THEN 'insufficient_evidence' ELSE b.c END, '') AS c, CASE WHEN source_label IS NULL THEN 'other' ELSE b.a END AS a, src_ip, dst_ip FROM outcome WHERE status = 'harmonized')
@@ -519,10 +527,6 @@ def manifest_whole(spark, sf):
     return out.select(F.col("n").cast("bigint").alias("n"), (F.col("n_repeated") + F.col("n_missing")).cast("int").alias("n_faults"), "ok")
 
 
-def _draw_sql(key: str, field: str, least: int, most: int) -> str:
-    return f"(CAST('0x' || substr(sha256('42|{field}|' || {key}), 1, 12) AS BIGINT) % {most - least + 1} + {least})"
-
-
 _CONF = "CASE c " + " ".join(f"WHEN '{c}' THEN {_draw_sql('conv_id', 'confidence', *r)}" for c, r in training.CONFIDENCES.items()) + f" ELSE {_draw_sql('conv_id', 'confidence', 50, 80)} END / 100.0"
 
 
