@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vocab
-from ..operators import evaluate, events, quality, records, retrieval, suites, training
+from ..operators import evaluate, events, quality, records, retrieval, soc, suites, training
 from ..session import scratch_path
 from ..streaming import streams
 from .catalogue import FLOWS, JUDGED, OUTCOME, R4, _folder, flows, judged, pick, query, sql_pick, table
@@ -452,7 +452,7 @@ def top_of_each(spark, sf):
     """The first three of each list, in the order of two keys."""
     n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     lists = n.groupBy("r_name").agg(F.array_sort(F.collect_list("n_name")).alias("names"))
-    return lists.select(F.col("r_name").alias("region"), F.explode(F.slice("names", 1, 3)).alias("nation")).orderBy("region", "nation")
+    return lists.select(F.col("r_name").alias("region"), F.explode(soc.top(F.col("names"), 3)).alias("nation")).orderBy("region", "nation")
 
 
 @query("""WITH w AS (SELECT lang, count(*) AS c FROM documents WHERE lang IS NOT NULL GROUP BY 1), r AS (SELECT lang, CAST(round_even(1000 * c / (SELECT sum(c) FROM w), 0) AS BIGINT) AS n FROM w)

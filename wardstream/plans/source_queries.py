@@ -86,14 +86,19 @@ def ingest_formats(spark, sf):
     )
 
 
-@query("""SELECT * FROM (VALUES ('csv'), ('json'), ('jsonl'), ('parquet'), ('text_log'), ('xml')) t(source_format), (SELECT TRUE AS gapless, TRUE AS named)""")
+#: The files that folder() writes of each format, but for JSON documents of 500 rows each.
+_FILES = "files AS (SELECT f AS source_format, CAST(n AS BIGINT) AS n_files FROM (VALUES ('csv', 4), ('jsonl', 2), ('parquet', 2), ('text_log', 2), ('xml', 2)) t(f, n) UNION ALL SELECT 'json', count(DISTINCT event_id // 500) FROM events)"
+
+
+@query(f"WITH {_FILES} SELECT source_format, n_files, n AS n_rows, n AS n_numbers, n AS n_named FROM files, (SELECT count(*) AS n FROM events)")
 def ingest_numbering(spark, sf):
-    """Whether each file's rows are numbered from 0 without gaps, and named after file and number."""
+    """Files and rows of each format; the numbers that the files' rows have (from 0, without gaps as many as rows), and the
+    rows named after file and number."""
     rows = readers.ingest(spark, folder(spark, sf))
     right = F.col("event_id") == F.format_string("%s-%06d", F.regexp_replace("source_name", r"\.[^.]*$", ""), "record_index")
-    per = rows.groupBy("source_format", "source_name").agg(F.count_distinct("record_index").alias("d"), F.max("record_index").alias("m"), F.count("*").alias("n"), F.every(right).alias("named"))
-    whole = (F.col("d") == F.col("n")) & (F.col("m") == F.col("n") - 1)
-    return per.groupBy("source_format").agg(F.every(whole).alias("gapless"), F.every("named").alias("named"))
+    per = rows.groupBy("source_format", "source_name").agg(F.count_distinct("record_index").alias("d"), F.max("record_index").alias("m"), F.count("*").alias("n"), F.count_if(right).alias("named"))
+    numbers = F.when((F.col("d") == F.col("n")) & (F.col("m") == F.col("n") - 1), F.col("d")).otherwise(0)
+    return per.groupBy("source_format").agg(F.count("*").alias("n_files"), F.sum("n").alias("n_rows"), F.sum(numbers).alias("n_numbers"), F.sum("named").alias("n_named"))
 
 
 @query("""WITH e AS (SELECT count(*) AS n, count(*) FILTER (event_id % 10 = 3) AS bad FROM events), f AS (SELECT f AS source_format, n AS records, CASE WHEN f = 'jsonl' THEN bad ELSE 0 END AS errors FROM e, (VALUES ('csv'), ('json'), ('jsonl'), ('parquet'), ('text_log'), ('xml')) t(f))
@@ -102,10 +107,10 @@ def ingest_totals(spark, sf):
     return readers.ingest_summary(readers.ingest(spark, folder(spark, sf))).filter("source_name is null").select("source_format", "records", "errors")
 
 
-@query("SELECT 7 AS most")
+@query(f"""WITH {_FILES} SELECT source_format, CASE WHEN source_format = 'json' THEN (SELECT CAST(sum(least(7, c)) AS BIGINT) FROM (SELECT count(*) AS c FROM events GROUP BY event_id // 500)) ELSE 7 * n_files END AS n_rows FROM files""")
 def ingest_limit_per_file(spark, sf):
-    rows = readers.ingest(spark, folder(spark, sf), limit_per_file=7)
-    return rows.agg((F.max("record_index") + 1).cast("int").alias("most"))
+    """The first seven rows of every file."""
+    return readers.ingest(spark, folder(spark, sf), limit_per_file=7).groupBy("source_format").agg(F.count("*").alias("n_rows"))
 
 
 # Flow tables in the shapes of the data sets.
