@@ -115,15 +115,23 @@ def validate(df: DataFrame) -> DataFrame:
     return df.withColumn("validation_status", state)
 
 
-def deduplicate(df: DataFrame) -> DataFrame:
-    """Adds fingerprint, duplicate_of and status (trusted, rejected, duplicate) over the valid events."""
+def fingerprint() -> Column:
+    """SHA-256 of the event's fields as JSON, attributes in the order of their keys."""
     sorted_attributes = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("attributes"))))
     plain = [f for f in vocab.EVENT_FIELDS if f != "attributes"]
     text = F.to_json(F.struct(*sorted(plain), sorted_attributes.alias("attributes")), {"ignoreNullFields": "false"})
-    df = df.withColumn("fingerprint", F.sha2(text, 256))
+    return F.sha2(text, 256)
+
+
+def deduplicate(df: DataFrame) -> DataFrame:
+    """Adds fingerprint (if it is not there yet), duplicate_of and status (trusted, rejected, duplicate) over the valid events.
+
+    The join shuffles by hint, as that of ``records.first_of_each`` does.
+    """
+    df = df if "fingerprint" in df.columns else df.withColumn("fingerprint", fingerprint())
     place = F.struct(F.col("record_index").alias("o"), F.col("event_id").alias("k"))
     first = df.filter("validation_status <> 'invalid'").groupBy("fingerprint").agg(F.min(place).alias("_f"))
-    out = df.join(first, "fingerprint", "left")
+    out = df.join(first.hint("merge"), "fingerprint", "left")
     later = (F.col("validation_status") != "invalid") & (F.struct(F.col("record_index").alias("o"), F.col("event_id").alias("k")) != F.col("_f"))
     out = out.withColumn("duplicate_of", F.when(later, F.col("_f.k"))).drop("_f")
     status = F.when(F.col("validation_status") == "invalid", "rejected").when(F.col("duplicate_of").isNotNull(), "duplicate").otherwise("trusted")
@@ -134,7 +142,7 @@ def process(df: DataFrame, ipv6: bool = True) -> DataFrame:
     """All outcomes of the raw rows; filter on ``status = 'trusted'`` for what goes on."""
     for step in (lambda d: canonicalize(d, ipv6), normalize):
         df = df.transform(step).transform(evaluated)
-    return deduplicate(written(validate(df), "events"))
+    return deduplicate(written(validate(df).withColumn("fingerprint", fingerprint()), "events"))
 
 
 def alert_input(df: DataFrame) -> DataFrame:

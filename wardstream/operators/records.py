@@ -117,11 +117,19 @@ def deduplicate(df: DataFrame, fields: list[str] | None = None, order: str = "re
     The first row of a fingerprint is found by a min-aggregation, which combines map-side, and joined back; a frequent
     fingerprint is a skewed join key, which adaptive execution splits, and never a window partition.
     """
-    df = df.withColumn("fingerprint", fingerprint(fields or vocab.EXACT_FIELDS))
+    return first_of_each(df.withColumn("fingerprint", fingerprint(fields or vocab.EXACT_FIELDS)), order, key)
+
+
+def first_of_each(df: DataFrame, order: str = "record_index", key: str = "record_id") -> DataFrame:
+    """deduplicate() for rows that have their fingerprint.
+
+    There are up to as many first rows as rows, so the join shuffles by hint: from the size of a compressed file the
+    planner takes them for few and would send them through the driver.
+    """
     live = F.col("status") != "rejected" if "status" in df.columns else F.lit(True)
     place = F.struct(F.col(order).alias("o"), F.col(key).alias("k"))
     first = df.filter(live).groupBy("fingerprint").agg(F.min(place).alias("_first"))
-    out = df.join(first, "fingerprint", "left")
+    out = df.join(first.hint("merge"), "fingerprint", "left")
     later = live & (F.struct(F.col(order).alias("o"), F.col(key).alias("k")) != F.col("_first"))
     out = out.withColumn("duplicate_of", F.when(later, F.col("_first.k"))).drop("_first")
     return out.withColumn("status", F.when(F.col("duplicate_of").isNotNull(), "duplicate").otherwise(F.col("status"))) if "status" in df.columns else out
@@ -305,8 +313,8 @@ def run_pipeline(
     of both.
     """
     out = as_records(df).transform(lambda d: normalize(d, ipv6)).transform(evaluated).transform(validate)
-    out = written(out, "records")  # the search for first rows reads two columns of it, the rest goes on
-    out = out.transform(lambda d: deduplicate(d, vocab.NEAR_FIELDS if near else vocab.EXACT_FIELDS))
+    out = out.withColumn("fingerprint", fingerprint(vocab.NEAR_FIELDS if near else vocab.EXACT_FIELDS))
+    out = first_of_each(written(out, "records"))  # the search for first rows reads four columns of it, the rest goes on
     if steps is None:
         steps = [enrich, lambda d: harmonize(d, maps)]
         steps = steps[::-1] if harmonize_first else steps

@@ -66,5 +66,6 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def small(df: DataFrame, limit: int = 500_000) -> DataFrame:
-    """A broadcast hint where the counted rows are within the limit, else df as it is (a shuffle join)."""
-    return F.broadcast(df) if df.count() <= limit else df
+    """A broadcast hint where the counted rows are within the limit, else the hint of a shuffle join, which keeps the
+    planner from sending them through the driver on the size of a compressed file."""
+    return F.broadcast(df) if df.count() <= limit else df.hint("merge")
