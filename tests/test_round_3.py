@@ -25,3 +25,13 @@ def test_what_is_not_small_is_joined_by_a_shuffle(spark):
     left, right = spark.range(100), spark.range(50)
     assert "Broadcast" in plan(left.join(small(right), "id"))
     assert "Broadcast" not in plan(left.join(small(right, 49), "id"))
+
+
+def test_log_lines_are_searched_once(spark):
+    from wardstream.sources.readers import log_fields
+
+    df = spark.createDataFrame([("2024-01-01 10:00:00 a=1 b='x y' a=2 done",), ("none",), (None,)], "line string").select(log_fields(F.col("line")).alias("m"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2
+    first, second, third = (r.m for r in df.collect())
+    assert first == {"timestamp": "2024-01-01T10:00:00Z", "10": "00:00", "a": "2", "b": "x y", "message": "a= b= a= done", "_raw_line": "2024-01-01 10:00:00 a=1 b='x y' a=2 done"}
+    assert second == {"message": "none", "_raw_line": "none"} and not third

@@ -674,8 +674,8 @@ def log_parse(spark, sf):
 
     e = table(spark, sf, "events")
     line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" host=h1 user="), F.col("user_id").cast("string"), F.lit(" user=last did "), "event_type")
-    m = log_fields(line)
-    return e.select("event_id", m["timestamp"].alias("timestamp"), m["user"].alias("username"), m["message"].alias("message"))
+    m = F.col("m")
+    return e.select("event_id", log_fields(line).alias("m")).select("event_id", m["timestamp"].alias("timestamp"), m["user"].alias("username"), m["message"].alias("message"))
 
 
 _FP = "'{" + ",".join(f'"{f}":' + {"source_label": """' || CAST(to_json(event_type) AS VARCHAR) || '""", "src_ip": """"10.0.0.' || user_id % 250 || '\""""}.get(f, "null") for f in sorted(vocab.EXACT_FIELDS)) + "}'"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import vocab
 from ..operators import evaluate, events, quality, records, retrieval, soc, suites, training
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..streaming import streams
 from .catalogue import FLOWS, JUDGED, OUTCOME, R4, _folder, flows, judged, pick, query, sql_pick, table
 
@@ -114,9 +114,9 @@ def event_alert_bridge(spark, sf):
     i = F.col("event_id")
     raw = F.to_json(F.struct(F.when(i % 4 == 1, F.concat(F.lit("soon "), i.cast("string"))).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("time"), F.when(i % 3 == 0, "h").alias("host"), F.lit("x").alias("cmd")))
     rows = table(spark, sf, "events").select(i.cast("string").alias("event_id"), F.lit("f").alias("source_name"), F.lit("jsonl").alias("source_format"), i.alias("record_index"), raw.alias("raw"))
-    out = events.canonicalize(rows)
+    out = written(events.canonicalize(rows), "alerts")  # read twice below
     alert = events.alert_input(out).select(F.col("event_id").cast("bigint").alias("number"), F.col("alert.title").alias("title"), F.get("evidence", F.lit(0))["id"].alias("evidence_id"))
-    return out.select(F.col("record_index").alias("number"), F.col("attributes")["_unparsed_timestamp"].alias("unparsed"), F.col("timestamp").alias("stamp")).join(alert, "number")
+    return out.select(F.col("record_index").alias("number"), F.col("attributes")["_unparsed_timestamp"].alias("unparsed"), F.col("timestamp").alias("stamp")).join(alert.hint("merge"), "number")
 
 
 @query(f"""WITH {FLOWS}, e AS (SELECT event_id, user_id FROM events) SELECT 'flow-' || lpad(CAST(event_id AS VARCHAR), 8, '0') AS record_id, concat_ws('; ', 'timestamp: normalized timestamp', 'src_ip: normalized ip', CASE WHEN (user_id * 37) % 70000 > 65535 THEN 'src_port: normalized port' END,
@@ -369,9 +369,9 @@ def log_lines(spark, sf):
     from ..sources.readers import log_fields
 
     line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" id="), F.col("event_id").cast("string"), F.lit(" host='h1 x' user="), F.col("user_id").cast("string"), F.lit(" user='last'  did "), "event_type")
-    m = log_fields(line)
-    e = table(spark, sf, "events")
-    return e.select("event_id", m["timestamp"].alias("stamp"), m["user"].alias("username"), F.regexp_replace(m["message"], " +", " ").alias("message"), (m["_raw_line"] == line).alias("has_line"))
+    m = F.col("m")
+    e = table(spark, sf, "events").select("event_id", line.alias("line"), log_fields(line).alias("m"))
+    return e.select("event_id", m["timestamp"].alias("stamp"), m["user"].alias("username"), F.regexp_replace(m["message"], " +", " ").alias("message"), (m["_raw_line"] == F.col("line")).alias("has_line"))
 
 
 @query(f"""WITH RECURSIVE d AS (SELECT doc_id, md5(coalesce(text, '')) AS f, row_number() OVER (ORDER BY doc_id) AS r FROM documents),

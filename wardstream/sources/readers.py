@@ -8,7 +8,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import event_timestamp
+from ..functions.scalars import event_timestamp, let
 from ..registry import readers
 from ..session import small, written
 from . import files, workbooks
@@ -207,21 +207,29 @@ def log_fields(line: Column) -> Column:
 
     The message is the line without its timestamps and without each pair's value, once; keys stay.
     """
-    times = [F.nullif(F.btrim(F.regexp_extract(line, p, 0), F.lit("[]")), F.lit("")) for p in LOG_TIMES]
-    stamp = F.coalesce(*[event_timestamp(t) for t in times])
-    pairs = lambda i: F.regexp_extract_all(line, F.lit(LOG_PAIR), F.lit(i))
-    values = F.transform(pairs(2), lambda v: F.btrim(F.btrim(F.trim(v), F.lit('"')), F.lit("'")))
-    rest = line
-    for p in LOG_TIMES:
-        rest = F.regexp_replace(rest, p, "")
     without = lambda text, v: F.when(F.position(v, text) > 0, F.concat(F.substring(text, F.lit(1), F.position(v, text) - 1), F.substring(text, F.position(v, text) + F.length(v), F.length(text)))).otherwise(text)
-    rest = F.aggregate(pairs(2), rest, without)
-    message = F.nullif(F.trim(F.regexp_replace(rest, r"\s{2,}", " ")), F.lit(""))
     entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
-    both = F.concat(F.array(entry("timestamp", stamp)), F.arrays_zip(pairs(1).alias("key"), values.alias("value")), F.array(entry("message", message), entry("_raw_line", line)))
-    both = F.filter(both, lambda e: e["value"].isNotNull())
-    # The last entry of a key stands.
-    return F.map_from_entries(F.filter(F.transform(both, lambda e, i: F.when(~F.exists(F.slice(both, i + 2, F.size(both)), lambda x: x["key"] == e["key"]), e)), lambda e: e.isNotNull()))
+
+    def entries(x: Column) -> Column:
+        times = [F.nullif(F.btrim(F.regexp_extract(x["line"], p, 0), F.lit("[]")), F.lit("")) for p in LOG_TIMES]
+        stamp = F.coalesce(*[event_timestamp(t) for t in times])
+        values = F.transform(x["values"], lambda v: F.btrim(F.btrim(F.trim(v), F.lit('"')), F.lit("'")))
+        rest = x["line"]
+        for p in LOG_TIMES:
+            rest = F.regexp_replace(rest, p, "")
+        rest = F.aggregate(x["values"], rest, without)
+        message = F.nullif(F.trim(F.regexp_replace(rest, r"\s{2,}", " ")), F.lit(""))
+        both = F.concat(F.array(entry("timestamp", stamp)), F.arrays_zip(x["keys"].alias("key"), values.alias("value")), F.array(entry("message", message), entry("_raw_line", x["line"])))
+        return F.filter(both, lambda e: e["value"].isNotNull())
+
+    def last(both: Column) -> Column:
+        """The last entry of a key stands."""
+        return F.map_from_entries(F.filter(F.transform(both, lambda e, i: F.when(~F.exists(F.slice(both, i + 2, F.size(both)), lambda x: x["key"] == e["key"]), e)), lambda e: e.isNotNull()))
+
+    # The searches and the entries are bound once: every use of an expression, as for each entry in last(), evaluates it anew.
+    pairs = lambda i: F.regexp_extract_all(line, F.lit(LOG_PAIR), F.lit(i))
+    found = F.struct(line.alias("line"), pairs(1).alias("keys"), pairs(2).alias("values"))
+    return let(let(found, entries), last)
 
 
 @readers.register("text_log")
