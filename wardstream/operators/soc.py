@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions import vocab
 from ..functions.scalars import let, sorted_json, strip
 from ..session import small
+from .records import evaluated
 from .training import highest_severity
 
 #: raw_data keeps its JSON text.
@@ -68,20 +69,24 @@ def parse(df: DataFrame, raw: str = "raw") -> DataFrame:
 
     An item of the wrong type in an array of objects is null, its neighbours are kept.
     """
-    v, wrong, r = F.try_parse_json(raw), F.coalesce("_w", F.array().cast("array<string>")), F.col("_r")
     fields = T.StructType.fromDDL(SCHEMA)
 
-    def mended(block: str, array: str) -> Column:
+    def mended(x: Column, block: str, array: str) -> Column:
         kind = fields[block].dataType[array].dataType.simpleString()
-        items = F.try_variant_get(v, f"$.{block}.{array}", kind)
-        return F.when(F.exists(wrong, lambda p: p.startswith(f"{block}.{array}[")), r[block].withField(array, items)).otherwise(r[block])
-
-    out = df.withColumn("_r", F.from_json(raw, SCHEMA)).withColumn("_w", wrong_types(raw))
-    out = out.withColumn("_r", r.withField("input", mended("input", "evidence")).withField("output", mended("output", "findings")))
-    truth = F.try_variant_get(v, "$.output.confidence", "boolean").cast("double")
-    sure = F.when(r["output"]["confidence"].isNull() & truth.isNotNull(), r["output"].withField("confidence", truth)).otherwise(r["output"])
-    out = out.withColumn("_r", r.withField("output", sure))
-    return out.select("*", "_r.*", F.col("_w").alias("wrong_types")).drop("_r", "_w")
+        items = F.try_variant_get(x["v"], f"$.{block}.{array}", kind)
+        wrong = F.coalesce(x["w"], F.array().cast("array<string>"))
+        return F.when(F.exists(wrong, lambda p: p.startswith(f"{block}.{array}[")), x["r"][block].withField(array, items)).otherwise(x["r"][block])
+
+    def sure(x: Column) -> Column:
+        truth = F.try_variant_get(x["v"], "$.output.confidence", "boolean").cast("double")
+        output = F.when(x["o"]["confidence"].isNull() & truth.isNotNull(), x["o"].withField("confidence", truth)).otherwise(x["o"])
+        return F.struct(x["r"].withField("input", x["i"]).withField("output", output).alias("r"), x["w"].alias("w"))
+
+    # Each part is bound once, and none is merged into what reads it: copied into every use, the text would be parsed for each.
+    parts = F.struct(F.from_json(raw, SCHEMA).alias("r"), F.try_parse_json(raw).alias("v"), wrong_types(raw).alias("w"))
+    both = lambda x: F.struct(x["r"].alias("r"), x["v"].alias("v"), x["w"].alias("w"), mended(x, "input", "evidence").alias("i"), mended(x, "output", "findings").alias("o"))
+    out = df.withColumn("_p", let(let(parts, both), sure)).transform(evaluated)
+    return out.select("*", "_p.r.*", F.col("_p.w").alias("wrong_types")).drop("_p")
 
 
 def _issue(when: Column, code: str, at: Column | str | None = None, severity: str = "error") -> Column:
