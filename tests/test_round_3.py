@@ -62,3 +62,60 @@ def test_files_of_lines_begin_with_a_sound_one(spark, tmp_path):
     rows.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     files = spark.read.text(f"{source_queries.folder(spark, str(tmp_path))}/lines", wholetext=True).collect()
     assert len(files) == 2 and all(r.value.startswith('{"id"') for r in files)
+
+
+def test_rejected_rows_of_a_stream_need_no_state(spark, tmp_path):
+    from test_records import flows
+    from wardstream.streaming import streams
+
+    d = flows(spark, 4)
+    d.write.parquet(f"{tmp_path}/in")
+    out = streams.outcomes(spark.readStream.schema(d.schema).parquet(f"{tmp_path}/in"))
+    said = out._jdf.queryExecution().analyzed().toString()
+    assert "Union" in said and "rejected/" not in said
+
+
+def test_a_fingerprint_is_read_once_a_batch():
+    """Against a plain loop with a memory of two, over three batches; looks in the state are counted."""
+    import collections
+    import random
+
+    import pandas as pd
+    from wardstream.streaming import streams
+
+    looks = collections.Counter()
+
+    class State(dict):
+        def getValue(self, key):
+            looks[id(self)] += 1
+            return self.get(key)
+
+        updateValue, removeKey = dict.__setitem__, dict.pop
+
+    class Counters:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    for limit, most in ((2, 120), (9, 15)):
+        looks.clear()
+        p = streams.FifoProcessor(limit)
+        p.firsts, p.order, p.counters = State(), State(), Counters()  # a new one may get the id of one that is gone
+        rng = random.Random(limit)
+        rows = [(i, f"r{i}", f"f{rng.randrange(5)}") for i in range(120)]
+        batches = [pd.DataFrame(rows[at : at + 40], columns=["record_index", "record_id", "fingerprint"]) for at in (0, 40, 80)]
+        got = [tuple(r) for b in p.handleInputRows((0,), iter(batches), None) for r in b.astype(object).where(b.notna(), None).itertuples(index=False)]
+        seen, gone, want = collections.OrderedDict(), 0, []
+        for _, rid, fp in rows:
+            first = seen.get(fp)
+            if first is None:
+                seen[fp] = rid
+                if len(seen) > limit:
+                    seen.popitem(last=False)
+                    gone += 1
+            want.append((rid, fp, first, gone))
+        assert got == want and looks[id(p.firsts)] <= most

@@ -28,11 +28,11 @@ def unique(stream: DataFrame) -> DataFrame:
 def outcomes(stream: DataFrame) -> DataFrame:
     """Every row of the stream with its outcome: record_id, fingerprint, status and duplicate_of; nothing is dropped.
 
-    The first row of a fingerprint that comes is kept in the state; rejected rows have no state of their own.
+    The first row of a fingerprint that comes is kept in the state. Rejected rows need none and go past it: as groups of
+    one row each they would cost a call of the function for every row.
     """
-    rows = prepare(stream)
-    bad = F.col("status") == "rejected"
-    rows = rows.select("record_id", "record_index", "fingerprint", "status", F.when(bad, F.concat(F.lit("rejected/"), F.coalesce("record_id", F.lit("")))).otherwise(F.col("fingerprint")).alias("state_key"))
+    rows = prepare(stream).select("record_id", "record_index", "fingerprint", "status")
+    bad = F.col("status").eqNullSafe("rejected")
 
     def run(key, batches, state):
         import pandas as pd
@@ -41,9 +41,6 @@ def outcomes(stream: DataFrame) -> DataFrame:
         for rows in batches:
             out = []
             for rid, fp, status in rows.sort_values(["record_index", "record_id"])[["record_id", "fingerprint", "status"]].itertuples(index=False):
-                if status == "rejected":
-                    out.append((rid, fp, status, None))
-                    continue
                 out.append((rid, fp, "duplicate" if first is not None else status, first))
                 first = rid if first is None else first
             if fresh and first is not None:
@@ -52,7 +49,8 @@ def outcomes(stream: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["record_id", "fingerprint", "status", "duplicate_of"])
 
     made = "record_id string, fingerprint string, status string, duplicate_of string"
-    return rows.groupBy("state_key").applyInPandasWithState(run, made, "first string", "append", GroupStateTimeout.NoTimeout)
+    live = rows.filter(~bad).groupBy("fingerprint").applyInPandasWithState(run, made, "first string", "append", GroupStateTimeout.NoTimeout)
+    return live.unionByName(rows.filter(bad).select("record_id", "fingerprint", "status", F.lit(None).cast("string").alias("duplicate_of")))
 
 
 def unique_within(stream: DataFrame, event_time: str, delay: str) -> DataFrame:
@@ -64,8 +62,8 @@ class FifoProcessor(StatefulProcessor):
     """Fingerprints of one shard, the oldest forgotten beyond ``limit``.
 
     Two maps and three counters are kept: fingerprint to its first row and number, number to fingerprint, and the numbers
-    of the oldest and the next one. A row reads one entry, a new fingerprint writes two, an eviction removes two: the cost
-    of a batch follows its rows and not what is remembered.
+    of the oldest and the next one. A fingerprint is read once for each Arrow batch it is in, a new one writes two entries,
+    an eviction removes two: the cost of a batch follows its rows and not what is remembered.
     """
 
     MADE = "record_id string, fingerprint string, duplicate_of string, evictions bigint"
@@ -83,16 +81,19 @@ class FifoProcessor(StatefulProcessor):
 
         oldest, following, gone = self.counters.get() or (0, 0, 0)
         for batch in rows:
-            out = []
+            out, known = [], {}  # known: what the state holds of this batch's fingerprints, as each look there is a call to the JVM
             for rid, fp in batch.sort_values(["record_index", "record_id"])[["record_id", "fingerprint"]].itertuples(index=False):
-                held = self.firsts.getValue((fp,))
+                held = known[fp] if fp in known else self.firsts.getValue((fp,))
+                known[fp] = (rid, following) if held is None else held
                 if held is None:
                     self.firsts.updateValue((fp,), (rid, following))
                     self.order.updateValue((following,), (fp,))
                     following += 1
                     if following - oldest > self.limit:
-                        self.firsts.removeKey(tuple(self.order.getValue((oldest,))))
+                        last = tuple(self.order.getValue((oldest,)))
+                        self.firsts.removeKey(last)
                         self.order.removeKey((oldest,))
+                        known.pop(last[0], None)
                         oldest, gone = oldest + 1, gone + 1
                 out.append((rid, fp, None if held is None else held[0], gone))
             yield pd.DataFrame(out, columns=["record_id", "fingerprint", "duplicate_of", "evictions"])
@@ -117,9 +118,10 @@ class RecentProcessor(StatefulProcessor):
         import pandas as pd
 
         for batch in rows:
-            out = []
+            out, known = [], {}  # as in FifoProcessor; what is forgotten goes between two calls, by the clock of the batch
             for rid, fp in batch.sort_values(["record_index", "record_id"])[["record_id", "fingerprint"]].itertuples(index=False):
-                held = self.firsts.getValue((fp,))
+                held = known[fp] if fp in known else self.firsts.getValue((fp,))
+                known[fp] = (rid,) if held is None else held
                 if held is None:
                     self.firsts.updateValue((fp,), (rid,))
                 out.append((rid, fp, None if held is None else held[0]))
