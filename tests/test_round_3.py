@@ -119,3 +119,15 @@ def test_a_fingerprint_is_read_once_a_batch():
                     gone += 1
             want.append((rid, fp, first, gone))
         assert got == want and looks[id(p.firsts)] <= most
+
+
+def test_columns_of_a_stream_are_computed_once(spark):
+    from test_records import flows
+    from wardstream.functions import vocab
+    from wardstream.streaming import streams
+
+    d = flows(spark, 4)
+    plain = records.as_records(d).transform(records.normalize).transform(records.validate).withColumn("fingerprint", records.fingerprint(vocab.EXACT_FIELDS))
+    size = lambda df: len(df.filter("status <> 'rejected'").select("record_id", "fingerprint", "status")._jdf.queryExecution().optimizedPlan().toString())
+    assert size(streams.prepare(d)) < size(plain) / 2
+    assert sorted(streams.prepare(d).select("record_id", "fingerprint", "status").collect()) == sorted(plain.select("record_id", "fingerprint", "status").collect())

@@ -14,10 +14,15 @@ from ..operators import records
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def evaluated(stream: DataFrame) -> DataFrame:
+    """``records.evaluated`` for streams, which take no row ids: all rows pass a filter on a random number."""
+    return stream.withColumn("_once", F.rand()).filter("_once >= 0").drop("_once")
+
+
 def prepare(stream: DataFrame) -> DataFrame:
     """Normalized, validated, fingerprinted: the same expressions as in batch, so they run on a stream as they are."""
-    out = records.as_records(stream).transform(records.normalize).transform(records.validate)
-    return out.withColumn("fingerprint", records.fingerprint(vocab.EXACT_FIELDS))
+    out = records.as_records(stream).transform(records.normalize).transform(evaluated).transform(records.validate)
+    return out.withColumn("fingerprint", records.fingerprint(vocab.EXACT_FIELDS)).transform(evaluated)
 
 
 def unique(stream: DataFrame) -> DataFrame:
