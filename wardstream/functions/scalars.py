@@ -6,7 +6,7 @@ Two families share names in the source semantics: records (``record_*``, strict
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -224,8 +224,8 @@ def entropy_bits(p: Column) -> Column:
     return F.when(p > 0, -p * F.log2(p)).otherwise(0.0)
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def flatten_json(s: pd.Series) -> pd.Series:
+@F.arrow_udf(T.MapType(T.StringType(), T.StringType()))
+def flatten_json(a: pa.Array) -> pa.Array:
     """Dotted paths of a JSON object of any shape, down to five levels; deeper parts are dropped."""
     import json
 
@@ -254,11 +254,19 @@ def flatten_json(s: pd.Series) -> pd.Series:
             walk(doc, "", 0, out)
         return out
 
-    return s.map(one, na_action="ignore")
+    # The maps of a batch are laid out as one list of keys and one of values: no map is made of Python objects.
+    starts, keys, values = [], [], []
+    for x in a:
+        held = one(x.as_py()) if x.is_valid else None
+        starts.append(None if held is None else len(keys))
+        if held:
+            keys.extend(held)
+            values.extend(held.values())
+    return pa.MapArray.from_arrays(pa.array([*starts, len(keys)], pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()))
 
 
-@F.pandas_udf(T.StringType())
-def sorted_json(s: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def sorted_json(a: pa.Array) -> pa.Array:
     """A JSON line with keys sorted at every level and no blanks; text that is no JSON stays as it is."""
     import json
 
@@ -268,4 +276,6 @@ def sorted_json(s: pd.Series) -> pd.Series:
         except ValueError:
             return x
 
-    return s.map(one, na_action="ignore")
+    # A batch is gone through in slices: of Python's own texts a task holds those of one slice only.
+    slices = [pa.array([one(x) if x is not None else None for x in a.slice(i, 256).to_pylist()], pa.string()) for i in range(0, len(a), 256)]
+    return pa.concat_arrays(slices) if slices else pa.array([], pa.string())
