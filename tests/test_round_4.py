@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from wardstream.functions import scalars as S
-from wardstream.operators import training
+from wardstream.operators import retrieval, training
 
 
 def plan(df) -> str:
@@ -34,3 +34,35 @@ def test_json_is_flattened_without_maps_of_python_objects(spark):
     out = [r["m"] for r in rows.select("i", S.flatten_json("j").alias("m")).orderBy("i").collect()]
     assert out == [None, None, {}, {}, {"a.b": "1", "c": None}, {"a": "x"}, {"0": "true"}]
     assert "ArrowEvalPython" in plan(rows.select(S.flatten_json("j"))) and S.flatten_json.evalType != 200  # 200: pandas
+
+
+def test_hits_are_summed_where_their_text_lies(spark):
+    texts = [(1, "alpha beta gamma delta"), (2, "beta gamma beta"), (3, None), (4, "gamma"), (5, "alpha beta gamma delta"), (6, "")]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    asks = spark.createDataFrame([(1, "alpha beta gamma"), (2, "gamma"), (3, "zeta"), (4, "a"), (5, None), (6, "gamma gamma")], "query_id int, query string")
+    out = retrieval.bm25(docs, "doc_id", "text", asks, k=2)
+    steps = plan(out)
+    assert steps.count("hashpartitioning(doc_id") >= 1 and "hashpartitioning(query_id#" in steps
+    assert not any("hashpartitioning(query_id" in x and "doc_id" in x for x in steps.splitlines() if "Exchange" in x)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"], r["score"]))
+    # By hand: n = 6, average length 12 / 6; a bonus of 2 for texts that hold the whole query.
+    import math
+
+    tok = {k: (t or "").split() for k, t in texts}
+    avg = sum(map(len, tok.values())) / len(tok)
+
+    def score(q, k):
+        total = 0.0
+        for w in q.split():
+            df = sum(w in t for t in tok.values())
+            tf = tok[k].count(w)
+            total += max(0.01, math.log(1 + (6 - df + 0.5) / (df + 0.5))) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(tok[k]) / avg)) if tf else 0.0
+        total += 2.0 if len(q) >= 4 and q in " ".join(dict.fromkeys(tok[k])) else 0.0
+        return math.floor(total * 1e4 + 0.5) / 1e4
+
+    for i, q in ((1, "alpha beta gamma"), (2, "gamma"), (6, "gamma gamma")):
+        best = sorted(((-score(q, k), k) for k in tok if score(q, k) > 0.05))[:2]
+        assert sorted(got[i]) == [(n + 1, k, -s) for n, (s, k) in enumerate(best)]
+    assert set(got) == {1, 2, 6}

@@ -38,25 +38,30 @@ def bm25(df: DataFrame, key: str, text: str, queries: DataFrame, k: int = 3, thr
     of a text's distinct terms (joined by blanks, in order) adds 2. Of a query of three words or more an inner word is
     then a whole term of the text, so it is looked for among the hits of that term only.
     """
-    tokens = df.select(key, search_tokens(F.coalesce(text, F.lit(""))).alias("tok"))  # a null text has length 0
-    stats = F.broadcast(tokens.agg(F.count("*").alias("n"), F.avg(F.size("tok")).alias("avg_len")))  # one row
+    tokens = written(df.select(key, search_tokens(F.coalesce(text, F.lit(""))).alias("tok")), "tokens")  # a null text has length 0
+    stats = F.broadcast(written(tokens.agg(F.count("*").alias("n"), F.avg(F.size("tok")).alias("avg_len")), "stats"))  # one row
     asked = queries.select("query_id", F.explode(search_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
     terms = small(asked.select("term").distinct())
     postings = tokens.select(key, F.size("tok").alias("len"), F.explode("tok").alias("term")).join(terms, "term", "left_semi")
     postings = written(postings.groupBy(key, "len", "term").agg(F.count("*").alias("tf")), "postings")
     idf = F.greatest(F.lit(0.01), F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weights = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(stats).select("term", idf.alias("idf"), "avg_len")
-    tf, norm = F.col("tf"), k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
-    part = F.col("qn") * F.col("idf") * tf * (k1 + 1) / (tf + norm)
-    hits = postings.join(small(asked.join(weights, "term")), "term").select("query_id", key, part.alias("part"))
+    weights = written(asked.join(weights, "term").select("query_id", "term", "qn", "idf", "avg_len"), "weights")
     want = queries.select("query_id", F.lower(strip(F.col("query"))).alias("_q")).filter(F.length("_q") >= 4)
     inner = F.slice(F.split("_q", " "), 2, F.greatest(F.size(F.split("_q", " ")) - 2, F.lit(0)))
     want = want.withColumn("term", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    words = df.select(key, F.array_join(F.array_distinct(search_tokens(F.col(text))), " ").alias("_w"))
+    words = tokens.select(key, F.array_join(F.array_distinct("tok"), " ").alias("_w"))
     long = written(postings.select(key, "term").join(small(want.filter("term is not null")), "term").select("query_id", key, "_q"), "bonus")
-    short = words.join(small(want.filter("term is null").select("query_id", "_q")), F.col("_w").contains(F.col("_q"))).select("query_id", key)
-    bonus = words.join(small(long), key).filter(F.col("_w").contains(F.col("_q"))).select("query_id", key).union(short)
-    scored = hits.union(bonus.withColumn("part", F.lit(2.0))).groupBy("query_id", key).agg(rounded(F.sum("part")).alias("score")).filter(F.col("score") > threshold)
+    bonus = words.join(small(long), key).filter(F.col("_w").contains(F.col("_q"))).select("query_id", key)
+    short = want.filter("term is null").select("query_id", "_q")
+    if short.limit(1).count():  # else no text is looked at
+        bonus = bonus.union(words.join(small(short), F.col("_w").contains(F.col("_q"))).select("query_id", key))
+    # Postings and bonuses go to their text's task before they are multiplied by the queries: a hit is never shuffled.
+    rows = postings.unionByName(bonus.select(F.col("query_id").alias("_for"), key, F.lit(2.0).alias("_bonus")), allowMissingColumns=True).repartition(key)
+    tf, norm = F.col("tf"), k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
+    part = F.col("qn") * F.col("idf") * tf * (k1 + 1) / (tf + norm)
+    hits = rows.join(small(weights), "term", "left").select(F.when(F.col("_bonus").isNull(), F.col("query_id")).otherwise(F.col("_for")).alias("query_id"), key, F.coalesce("_bonus", part).alias("part"))
+    scored = hits.groupBy("query_id", key).agg(rounded(F.sum("part")).alias("score")).filter(F.col("score") > threshold)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
