@@ -6,6 +6,9 @@ Two families share names in the source semantics: records (``record_*``, strict
 
 from __future__ import annotations
 
+import functools
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -224,40 +227,42 @@ def entropy_bits(p: Column) -> Column:
     return F.when(p > 0, -p * F.log2(p)).otherwise(0.0)
 
 
-@F.arrow_udf(T.MapType(T.StringType(), T.StringType()))
-def flatten_json(a: pa.Array) -> pa.Array:
-    """Dotted paths of a JSON object of any shape, down to five levels; deeper parts are dropped."""
+def flat_entries(text: str) -> dict[str, str | None] | None:
+    """Dotted paths of a JSON object of any shape, down to five levels; deeper parts are dropped. None: no JSON."""
     import json
 
-    def walk(v, prefix: str, depth: int, out: dict) -> None:
+    def walk(v, prefix: str, depth: int) -> None:
         if depth > 4:
             return
         if isinstance(v, dict):
             for k, x in v.items():
                 if isinstance(x, (dict, list)):
-                    walk(x, f"{prefix}{k}.", depth + 1, out)
+                    walk(x, f"{prefix}{k}.", depth + 1)
                 else:
                     out[f"{prefix}{k}"] = x if isinstance(x, str) or x is None else json.dumps(x)
         elif isinstance(v, list):
             for i, x in enumerate(v):
-                walk(x, f"{prefix}{i}.", depth + 1, out)
+                walk(x, f"{prefix}{i}.", depth + 1)
         else:
             out[prefix.rstrip(".")] = v if isinstance(v, str) or v is None else json.dumps(v)
 
-    def one(x: str | None) -> dict | None:
-        try:
-            doc = json.loads(x) if x is not None else None
-        except ValueError:
-            return None
-        out: dict = {}
-        if doc is not None:
-            walk(doc, "", 0, out)
-        return out
+    try:
+        doc = json.loads(text)
+    except ValueError:
+        return None
+    out: dict = {}
+    if doc is not None:
+        walk(doc, "", 0)
+    return out
+
 
+@F.arrow_udf(T.MapType(T.StringType(), T.StringType()))
+def flatten_json(a: pa.Array) -> pa.Array:
+    """The entries of flat_entries() as a map."""
     # The maps of a batch are laid out as one list of keys and one of values: no map is made of Python objects.
     starts, keys, values = [], [], []
     for x in a:
-        held = one(x.as_py()) if x.is_valid else None
+        held = flat_entries(x.as_py()) if x.is_valid else None
         starts.append(None if held is None else len(keys))
         if held:
             keys.extend(held)
@@ -265,6 +270,39 @@ def flatten_json(a: pa.Array) -> pa.Array:
     return pa.MapArray.from_arrays(pa.array([*starts, len(keys)], pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()))
 
 
+ALIASES = {spelling: i for i, words in enumerate(vocab.FIELD_ALIASES.values()) for spelling in words}
+
+
+@functools.lru_cache(1 << 16)
+def field_place(key: str) -> int | None:
+    """Which field of vocab.FIELD_ALIASES a key of any spelling stands for."""
+    return ALIASES.get(re.sub("[^a-z0-9]", "", key.lower()))
+
+
+@F.arrow_udf(T.StructType().add("known", T.ArrayType(T.StringType())).add("rest", T.MapType(T.StringType(), T.StringType())))
+def event_entries(a: pa.Array) -> pa.Array:
+    """Of the entries of flat_entries() that are not empty, the first of each field, in the order of vocab.FIELD_ALIASES,
+    and those of no field. ``rest`` is null where the text is no JSON."""
+    n = len(vocab.FIELD_ALIASES)
+    known, starts, keys, values = [], [], [], []
+    for x in a:
+        held = flat_entries(x.as_py()) if x.is_valid else None
+        starts.append(None if held is None else len(keys))
+        first = [None] * n
+        for k, v in (held or {}).items():
+            if v:
+                i = field_place(k)
+                if i is None:
+                    keys.append(k)
+                    values.append(v)
+                elif first[i] is None:
+                    first[i] = v
+        known.extend(first)
+    cuts = pa.array(range(0, len(known) + 1, n), pa.int32())
+    rest = pa.MapArray.from_arrays(pa.array([*starts, len(keys)], pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()))
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(cuts, pa.array(known, pa.string())), rest], ["known", "rest"])
+
+
 @F.arrow_udf(T.StringType())
 def sorted_json(a: pa.Array) -> pa.Array:
     """A JSON line with keys sorted at every level and no blanks; text that is no JSON stays as it is."""

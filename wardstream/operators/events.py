@@ -13,7 +13,6 @@ from ..session import written
 from .records import evaluated
 
 TEXT_FIELDS = ["hostname", "username", "domain", "process_name", "command_line", "file_path", "file_hash", "protocol", "status"]
-ALIASES = {spelling: field for field, words in vocab.FIELD_ALIASES.items() for spelling in words}
 
 
 def event_type(mapped: dict[str, Column]) -> Column:
@@ -45,27 +44,21 @@ def canonicalize(df: DataFrame, ipv6: bool = True) -> DataFrame:
 
     The object is flattened to dotted paths; invalid addresses and ports are kept as ``_invalid_*`` attributes.
     """
-    df = df.withColumn("flat", S.flatten_json("raw"))
-    # Each key is reduced and looked up once; the fields and the attributes both come from these entries.
-    entry = lambda e: F.struct(S.lookup(S.field_key(e["key"]), ALIASES).alias("f"), e["key"].alias("k"), e["value"].alias("v"))
-    df = df.withColumn("_e", F.filter(F.transform(F.map_entries("flat"), entry), lambda e: e["v"] != ""))
-    df = df.withColumns({"_known": F.filter("_e", lambda e: e["f"].isNotNull()), "_rest": F.filter("_e", lambda e: e["f"].isNull())})
-    # One array of all fields' values: as single columns the optimizer would copy the search into every use.
+    # Each key is reduced and looked up once, where the text is read; the fields and the attributes both come from that.
+    df = df.withColumn("_e", S.event_entries("raw"))
     fields = list(vocab.FIELD_ALIASES)
-    first = F.transform(F.array(*[F.lit(f) for f in fields]), lambda f: F.try_element_at(F.filter("_known", lambda e: e["f"] == f), F.lit(1))["v"])
-    df = df.withColumn("_m", first)
-    m = {f: F.col("_m")[i] for i, f in enumerate(fields)}
+    m = {f: F.col("_e.known")[i] for i, f in enumerate(fields)}
     df = df.withColumns({f"_{f}_text": m[f] for f in ("source_ip", "dest_ip")})
-    df = df.withColumns({f"_{f}": S.event_ip(F.col(f"_{f}_text"), ipv6) for f in ("source_ip", "dest_ip")})
+    ips = {f"_{f}": S.event_ip(F.col(f"_{f}_text"), ipv6) for f in ("source_ip", "dest_ip")}
+    df = df.withColumns(ips | {"_timestamp": S.event_timestamp(m["timestamp"])})
     typed = {"source_ip": F.col("_source_ip"), "dest_ip": F.col("_dest_ip"), "port": S.safe_long(m["port"]).cast("int"), "dest_port": S.safe_long(m["dest_port"]).cast("int")}
     invalid = [x for f, v in typed.items() for x in (F.lit(f"_invalid_{f}"), F.when(m[f].isNotNull() & (m[f] != "") & v.isNull(), m[f]))]
-    odd = F.when(S.event_timestamp(m["timestamp"]).isNull() & (m["timestamp"] != ""), m["timestamp"])
+    odd = F.when(F.col("_timestamp").isNull() & (m["timestamp"] != ""), m["timestamp"])
     invalid += [F.lit("_unparsed_timestamp"), odd]
-    rest = F.map_from_entries(F.transform("_rest", lambda e: F.struct(e["k"], e["v"])))
-    attributes = F.map_concat(rest, F.map_filter(F.create_map(*invalid), lambda k, v: v.isNotNull()))
+    attributes = F.map_concat("_e.rest", F.map_filter(F.create_map(*invalid), lambda k, v: v.isNotNull()))
     text = {f: F.nullif(S.strip(m[f]), F.lit("")) for f in TEXT_FIELDS}
     return df.select(
-        "event_id", "source_name", "source_format", "record_index", S.event_timestamp(m["timestamp"]).alias("timestamp"), event_type(m).alias("event_type"),
+        "event_id", "source_name", "source_format", "record_index", F.col("_timestamp").alias("timestamp"), event_type(m).alias("event_type"),
         *[v.alias(f) for f, v in (text | typed).items()], S.event_severity(m["severity"]).alias("severity"), "raw", attributes.alias("attributes"),
     )
 
